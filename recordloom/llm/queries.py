@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from recordloom.llm import topk
+from recordloom.llm import mixing, simhash, topk
 
-QUERIES = {"op7_exact_topk": topk.op7_exact_topk}
+QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op7_exact_topk": topk.op7_exact_topk,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+}
 ORACLES = {"op7_exact_topk": topk.ORACLE}
