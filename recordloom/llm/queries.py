@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from recordloom.llm import mixing, simhash, topk
+from recordloom.llm import langid, mixing, packing, simhash, sketches, topk
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op7_exact_topk": topk.op7_exact_topk,
+    "op8_language_id": langid.op8_language_id,
+    "op9_document_fingerprints": sketches.op9_document_fingerprints,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLES = {"op7_exact_topk": topk.ORACLE}
