@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordloom.llm import langid, mixing, packing, simhash, sketches, topk
+from recordloom.llm import langid, mixing, packing, secrets, simhash, sketches, topk
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op7_exact_topk": topk.op7_exact_topk,
