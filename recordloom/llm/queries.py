@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from recordloom.llm import langid, mixing, packing, secrets, simhash, sketches, topk
+from recordloom.llm import chat, langid, mixing, packing, secrets, simhash, sketches, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_chat_perspectives": chat.op5_chat_perspectives,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_language_id": langid.op8_language_id,
     "op9_document_fingerprints": sketches.op9_document_fingerprints,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
-ORACLES = {"op7_exact_topk": topk.ORACLE}
+ORACLES = {"op5_chat_perspectives": chat.ORACLE, "op7_exact_topk": topk.ORACLE}
