@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from recordloom.llm import chat, langid, mixing, packing, secrets, simhash, sketches, topk
+from recordloom.llm import chat, langid, mixing, packing, secrets, simhash, sketches, templates, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_chat_perspectives": chat.op5_chat_perspectives,
+    "op6_line_dedup": templates.op6_line_dedup,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_language_id": langid.op8_language_id,
     "op9_document_fingerprints": sketches.op9_document_fingerprints,
