@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from recordloom.llm import chat, langid, mixing, packing, secrets, simhash, sketches, templates, topk
+from recordloom.llm import chat, langid, mixing, packing, secrets, simhash, sketches, suffixes, templates, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_chat_perspectives": chat.op5_chat_perspectives,
     "op6_line_dedup": templates.op6_line_dedup,
     "op7_exact_topk": topk.op7_exact_topk,
