@@ -216,12 +216,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     text keeps the white space between and after its words.
     """
     mix = Mix(docs.select("doc_id", "text", "lang", "source"), carry=("lang",), **options)
-    parts = mix.pieces.select("doc_id", "mark", "lang", "source", "from_word", "words", "chunk", "nth")
-    texts = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_m"), F.col("text").alias("_t")).dropDuplicates(["_d", "_m"])
-    joined = parts.join(texts, parts.doc_id.eqNullSafe(texts._d) & (parts.mark == texts._m))
-    words = F.regexp_extract_all(F.col("_t"), F.lit(r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.array_join(F.slice(words, (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), "")
-    return joined.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    parts = mix.pieces.groupBy(key, F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("doc_id", "lang", "source", "from_word", "words")).alias("parts"))
+    texts = docs.select(key, F.xxhash64("text").alias("_mark"), "text").dropDuplicates(["_key", "_mark"])
+    words = F.regexp_extract_all("text", F.lit(r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    # words are cut once per document; each part takes its slice of them
+    taken = texts.join(parts, ["_key", "_mark"]).select(words.alias("all_words"), "parts").select("all_words", F.explode("parts").alias("p"))
+    text = F.array_join(F.slice("all_words", (F.col("p.from_word") + 1).cast("int"), F.col("p.words").cast("int")), "")
+    return taken.select("p.doc_id", text.alias("text"), "p.lang", "p.source").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
