@@ -55,7 +55,7 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedd
         if marks.any() and not marks.all():
             x = _unit(table.column("x").to_pylist())
             left, right = ids[marks], ids[~marks]
-            sims = np.round(x[marks] @ x[~marks].T, 9)
+            sims = np.round(x[marks] @ x[~marks].T, 12)
             for i in range(len(left)):
                 order = np.lexsort((right, -sims[i])) if k * 8 > len(right) else _best(sims[i], right, k + 1)
                 kept = [j for j in order[: k + 1] if right[j] != left[i] and (floor is None or sims[i, j] >= floor)][:k]
