@@ -140,7 +140,7 @@ def star_merge(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for p in sorted(name):
             if p in taken:
                 continue
-            for q in sorted(edges.get(p, ()) - taken):
+            for q in sorted(edges.get(p, set()) - taken):
                 taken.add(q)
                 out.append((name[p], name[q]))
         return pd.DataFrame(out, columns=["survivor", "member"])

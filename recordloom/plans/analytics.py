@@ -11,7 +11,10 @@ from recordloom.plans.bind import MENTIONS, RECORDS, REPORTS, Tables
 from recordloom.plans.registry import query
 
 FIRST, LAST = "2023-12-25", "2024-01-31"
-_last = F.lit("2024-01-30").cast("date")
+
+
+def _last():
+    return F.lit("2024-01-30").cast("date")
 
 
 @query(
@@ -74,7 +77,7 @@ def retention_pivot(spark, sf_dir):
 )
 def period_vs_previous(spark, sf_dir):
     """RP1: seven days and the seven before."""
-    return P.period_vs_previous(Tables(spark, sf_dir).clocks, "event_type", "ts", _last, 7)
+    return P.period_vs_previous(Tables(spark, sf_dir).clocks, "event_type", "ts", _last(), 7)
 
 
 @query(

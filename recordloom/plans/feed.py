@@ -10,7 +10,10 @@ from recordloom.plans.bind import MENTIONS, RECORDS, REPORTS, Tables
 from recordloom.plans.registry import query
 
 AS_OF = "2001-08-01 00:00:00"
-_as_of = F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 @query(
@@ -29,7 +32,7 @@ def feed_ranked(spark, sf_dir):
     t = Tables(spark, sf_dir)
     counts = R.corroboration(t.reports).select("event_id", F.col("outlets").alias("source_count"))
     scored = t.records.join(counts, "event_id").withColumn(
-        "score", F.round(R.lens_score(R.hours_between(_as_of, F.col("first_seen")), F.col("source_count"), 1.0, 0.25), 6)
+        "score", F.round(R.lens_score(R.hours_between(_as_of(), F.col("first_seen")), F.col("source_count"), 1.0, 0.25), 6)
     )
     return R.top_per_group(scored, ["sector"], [F.desc("score"), F.desc("first_seen"), F.asc("event_id")], 20).select("sector", "event_id", "source_count", "score", "rnk")
 
@@ -97,7 +100,7 @@ def interest_narrowing(spark, sf_dir):
 def recency_window(spark, sf_dir):
     """FP5: strictly after the window's start, up to as_of."""
     seen = F.col("first_seen")
-    return Tables(spark, sf_dir).records.where((seen > _as_of - F.expr("INTERVAL 30 DAYS")) & (seen <= _as_of)).select("event_id", F.to_date("first_seen").alias("day"))
+    return Tables(spark, sf_dir).records.where((seen > _as_of() - F.expr("INTERVAL 30 DAYS")) & (seen <= _as_of())).select("event_id", F.to_date("first_seen").alias("day"))
 
 
 @query(
@@ -120,8 +123,8 @@ def first_published(spark, sf_dir):
 )
 def velocity_trending(spark, sf_dir):
     """AG7 WN11 DM3: outlets lately and overall under exponential decay, top 30."""
-    v = R.velocity(Tables(spark, sf_dir).reports, _as_of, 720)
-    age = R.hours_between(_as_of, F.col("newest")) / 24
+    v = R.velocity(Tables(spark, sf_dir).reports, _as_of(), 720)
+    age = R.hours_between(_as_of(), F.col("newest")) / 24
     heat = F.round((2 * F.col("recent") + F.col("total")) * F.exp(-R.DECAY_PER_DAY * age), 6)
     return v.select("event_id", "recent", "total", heat.alias("heat")).orderBy(F.desc("heat"), "event_id").limit(30)
 
@@ -353,5 +356,5 @@ def sitemap_feed(spark, sf_dir):
     """SC13 SC16: the newest indexable records with the lesser of two clocks."""
     t = Tables(spark, sf_dir)
     ok = t.reports.groupBy("event_id").agg(F.max("published_at").alias("latest"), F.countDistinct("publisher").alias("n")).where(F.col("n") >= 2)
-    rows = t.records.select("event_id").join(ok, "event_id").select("event_id", F.least("latest", _as_of).alias("lastmod"))
+    rows = t.records.select("event_id").join(ok, "event_id").select("event_id", F.least("latest", _as_of()).alias("lastmod"))
     return rows.orderBy(F.desc("lastmod"), "event_id").limit(100)
