@@ -149,10 +149,10 @@ def star_merge(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def b_cubed(df: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """precision, recall, f1, purity of one labelling against another, from the contingency table."""
+    """precision, recall, f1 and macro purity of one labelling against another, from the contingency table."""
     cell = df.groupBy(predicted, gold).agg(F.count(F.lit(1)).alias("n"))
     cell = cell.withColumn("p", F.sum("n").over(Window.partitionBy(predicted))).withColumn("g", F.sum("n").over(Window.partitionBy(gold)))
-    top = cell.groupBy(predicted).agg(F.max("n").alias("top"), F.sum("n").alias("all")).agg((F.sum("top") / F.sum("all")).alias("purity"))
+    top = cell.groupBy(predicted).agg((F.max("n") / F.sum("n")).alias("share")).agg(F.avg("share").alias("purity"))
     n = F.col("n")
     out = cell.agg((F.sum(n * n / F.col("p")) / F.sum(n)).alias("precision"), (F.sum(n * n / F.col("g")) / F.sum(n)).alias("recall"))
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
@@ -190,6 +190,36 @@ def weighted_detection_cost(fn: Column, fp: Column, positives: Column, negatives
     return (miss * prior * fn / positives + alarm * (1 - prior) * fp / negatives) / min(miss * prior, alarm * (1 - prior))
 
 
+def average_linkage(pairs: DataFrame, floor: float) -> DataFrame:
+    """event_id, cluster: average-linkage clusters inside the components of pairs at or above the floor.
+
+    ``pairs`` is (component, a, b, sim) with all pairs of a component; each component is a
+    group of its own, merged greedily by mean similarity, ties to the smaller ids.
+    """
+
+    def run(pdf):
+        import pandas as pd
+
+        sim = {(a, b): s for a, b, s in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["sim"].tolist(), strict=True)}
+        groups = [[v] for v in sorted({v for pair in sim for v in pair})]
+
+        def mean(x, y):
+            total = [sim.get((min(i, j), max(i, j)), 0.0) for i in x for j in y]
+            return sum(total) / len(total)
+
+        while len(groups) > 1:
+            best = max(((round(mean(x, y), 12), -x[0], -y[0], i, j) for i, x in enumerate(groups) for j, y in enumerate(groups[:i])), default=None)
+            if best is None or best[0] < floor:
+                break
+            i, j = best[3], best[4]
+            groups[j] = sorted(groups[j] + groups[i])
+            del groups[i]
+            groups.sort()
+        return pd.DataFrame([(v, g[0]) for g in groups for v in g], columns=["event_id", "cluster"])
+
+    return pairs.groupBy("component").applyInPandas(run, "event_id long, cluster long")
+
+
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval of a share."""
     p = hits / n

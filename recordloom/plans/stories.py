@@ -161,11 +161,11 @@ def story_centroid(spark, sf_dir):
 @query(
     "b_cubed",
     f"""WITH {_CENTRE}, e AS (SELECT label, gold, count(*) AS n FROM near WHERE k = 1 GROUP BY ALL), f AS (SELECT *, sum(n) OVER (PARTITION BY label) AS p, sum(n) OVER (PARTITION BY gold) AS g FROM e),
-    s AS (SELECT sum(n * n / p) / sum(n) AS precision, sum(n * n / g) / sum(n) AS recall FROM f), t AS (SELECT sum(top) / sum(n) AS purity FROM (SELECT label, max(n) AS top, sum(n) AS n FROM e GROUP BY label))
+    s AS (SELECT sum(n * n / p) / sum(n) AS precision, sum(n * n / g) / sum(n) AS recall FROM f), t AS (SELECT avg(top / n) AS purity FROM (SELECT label, max(n) AS top, sum(n) AS n FROM e GROUP BY label))
     SELECT round(CAST(precision AS DOUBLE), 6) AS precision, round(CAST(recall AS DOUBLE), 6) AS recall, round(CAST(2 * precision * recall / (precision + recall) AS DOUBLE), 6) AS f1, round(CAST(purity AS DOUBLE), 6) AS purity FROM s, t""",
 )
 def b_cubed(spark, sf_dir):
-    """EV1 EV2: B-cubed precision, recall, F1 and purity."""
+    """EV1 EV2: B-cubed precision, recall, F1, and macro purity."""
     out = S.b_cubed(_nearest_centroid(Tables(spark, sf_dir)), "label", "gold")
     return out.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "purity")])
 
@@ -196,7 +196,7 @@ _GRID = [round(0.05 * i, 2) for i in range(1, 20)]
     SELECT threshold, tp, fp, fn, round(fn / (tp + fn) + 4 * fp / neg, 6) AS cdet FROM c""",
 )
 def threshold_sweep(spark, sf_dir):
-    """EV3 EV6 EV7: counts and detection cost over a grid of thresholds."""
+    """EV3 EV6: counts and detection cost over a grid of thresholds."""
     c = S.threshold_sweep(_label_pairs(Tables(spark, sf_dir)).withColumn("sim", F.col("sim") + 1e-9), "sim", F.col("same"), _GRID)
     cost = S.detection_cost(F.col("fn"), F.col("fp"), F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn"))
     return c.select("threshold", "tp", "fp", "fn", F.round(cost, 6).alias("cdet"))
@@ -217,7 +217,7 @@ def weighted_detection_cost(spark, sf_dir):
 
 @query("label_agreement", "SELECT quality, toxic, count(*) AS n, round((count(*) / CAST((SELECT count(*) FROM labels) AS DOUBLE)), 6) AS share FROM labels GROUP BY quality, toxic")
 def label_agreement(spark, sf_dir):
-    """EV4 EV8: the contingency of two labellings with shares."""
+    """The contingency of two labellings with shares."""
     labels = Tables(spark, sf_dir).raw("labels")
     total = labels.agg(F.count(F.lit(1)).alias("t"))
     n = labels.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
@@ -229,7 +229,7 @@ def label_agreement(spark, sf_dir):
     """WITH c AS (SELECT count(*) AS n, count(*) FILTER (quality = toxic) AS agree, count(*) FILTER (quality = 1) AS q, count(*) FILTER (toxic = 1) AS t FROM labels), p AS (SELECT agree / n AS po, (q / n) * (t / n) + (1 - q / n) * (1 - t / n) AS pe FROM c) SELECT round((po - pe) / (1 - pe), 6) AS kappa, round(po, 6) AS agreement FROM p""",
 )
 def label_kappa(spark, sf_dir):
-    """EV9: agreement beyond chance."""
+    """EV10: two labellers' agreement, and that beyond chance."""
     c = Tables(spark, sf_dir).raw("labels").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == F.col("toxic")).alias("agree"), F.count_if(F.col("quality") == 1).alias("q"), F.count_if(F.col("toxic") == 1).alias("t"))
     q, t, po = F.col("q") / F.col("n"), F.col("t") / F.col("n"), F.col("agree") / F.col("n")
     pe = q * t + (1 - q) * (1 - t)
@@ -242,7 +242,7 @@ def label_kappa(spark, sf_dir):
     SELECT source, n, round((hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low, round((hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM c""",
 )
 def wilson_interval(spark, sf_dir):
-    """EV10: bounds of a labelled share per source."""
+    """Bounds of a labelled share per source."""
     t = Tables(spark, sf_dir)
     c = t.raw("labels").join(t.raw("documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("hits"))
     low, high = S.wilson(F.col("hits"), F.col("n"))
@@ -251,7 +251,7 @@ def wilson_interval(spark, sf_dir):
 
 @query("held_out_split", "SELECT doc_id, ('0x' || substr(md5('split:' || CAST(doc_id AS VARCHAR)), 1, 4))::BIGINT % 10 < 3 AS held_out FROM labels")
 def held_out_split(spark, sf_dir):
-    """EV11 EV13: a hash split of labelled rows."""
+    """EV13: a hash split of labelled rows."""
     bucket = F.conv(F.substring(F.md5(F.concat(F.lit("split:"), F.col("doc_id").cast("string"))), 1, 4), 16, 10).cast("long") % 10
     return Tables(spark, sf_dir).raw("labels").select("doc_id", (bucket < 3).alias("held_out"))
 

@@ -114,3 +114,27 @@ def tiers_reached(stream: DataFrame, key: str, tiers: tuple[int, ...] = TIERS) -
         yield pd.DataFrame([(k[0], t) for t in tiers if before < t <= now], columns=[key, "members"])
 
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, members long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def match_or_create(stream: DataFrame, key: str, identity: str, at: str) -> DataFrame:
+    """(key, founder, members): each row joins its key's record or founds it.
+
+    One writer handles one batch at a time, so no lock is needed. Each batch writes a new
+    version of the table that its number names; a batch that runs again starts from the
+    version before it.
+    """
+    spark = stream.sparkSession
+    base = f"{scratch_root(spark)}/records-{uuid.uuid4().hex[:12]}"
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, founder long, founded timestamp, members long"
+
+    def handle(batch: DataFrame, n: int) -> None:
+        new = batch.groupBy(key).agg(F.min_by(F.col(identity), F.struct(at, identity)).alias("founder"), F.min(at).alias("founded"), F.count(F.lit(1)).alias("members"))
+        old = spark.read.schema(schema).parquet(f"{base}/version={n - 1}") if n else spark.createDataFrame([], schema)
+        rows = old.unionByName(new.select(key, F.col("founder").cast("long").alias("founder"), "founded", "members"))
+        merged = rows.groupBy(key).agg(F.min_by("founder", F.struct("founded", "founder")).alias("founder"), F.min("founded").alias("founded"), F.sum("members").alias("members"))
+        merged.write.mode("overwrite").parquet(f"{base}/version={n}")
+        last[0] = n
+
+    last = [-1]
+    stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(handle).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/version={last[0]}").drop("founded")
