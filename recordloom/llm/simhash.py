@@ -30,12 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.sketches import shingle_hashes
 from recordloom.operators.components import connected_components
 from recordloom.storage import stored
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
+#: Word fingerprints from which near copies are found.
+VIEWS = 6
 #: Variants that one task sorts at once, 8 bytes each.
 VARIANTS_AT_ONCE = 6_000_000
 
@@ -105,24 +108,25 @@ def _collide(low, budget, owner, bits, emit, at_once):
     same = (packed[1:] >> np.uint64(24)) == (packed[:-1] >> np.uint64(24))
     if not same.any():
         return
-    start = np.concatenate(([True], ~same))
-    run = np.cumsum(start) - 1
-    who = (packed & np.uint64(0xFFFFFF)).astype(np.int64)
-    leader = who[np.flatnonzero(start)][run]
-    mate = ~start & (leader != who)
-    emit(leader[mate], who[mate], run[mate])
+    run = np.cumsum(np.concatenate(([True], ~same))) - 1
+    shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    emit((packed[shared] & np.uint64(0xFFFFFF)).astype(np.int64), run[shared])
 
 
-def _links(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the verified links found below one prefix."""
-    fps = np.unique(fps.astype(np.int64)).view(np.uint64)
+def _owners(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(open bits, flips left, place) of the fingerprints that have variants below the prefix."""
     if len(fps) > 1 << 24:
         raise ValueError("over 16M fingerprints below one prefix: raise prefix_bits")
     bits = 64 - prefix_bits
-    away = np.bitwise_count((fps >> np.uint64(bits)) ^ np.uint64(prefix)).astype(np.int64) if prefix_bits else np.zeros(len(fps), np.int64)
+    away = np.bitwise_count((fps >> np.uint64(bits)) ^ np.uint64(prefix)).astype(np.int64)
     budget = radius // 2 - away
     keep = budget >= 0
-    low = fps & np.uint64((1 << bits) - 1)
+    return fps[keep] & np.uint64((1 << bits) - 1), budget[keep], np.flatnonzero(keep)
+
+
+def _links(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the verified links found below one prefix."""
+    fps = np.unique(fps.astype(np.int64)).view(np.uint64)
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -135,7 +139,9 @@ def _links(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once:
         if a != b:
             parent[max(a, b)] = min(a, b)
 
-    def emit(lead, mate, run):
+    def emit(who, run):
+        first = np.concatenate(([True], run[1:] != run[:-1]))
+        lead, mate, run = who[np.flatnonzero(first)][np.cumsum(first) - 1][~first], who[~first], run[~first]
         good = np.bitwise_count(fps[lead] ^ fps[mate]) <= radius
         for pair in np.unique((lead[good] << 24) | mate[good]).tolist():
             join(pair >> 24, pair & 0xFFFFFF)
@@ -145,7 +151,7 @@ def _links(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once:
                 if int(np.bitwise_count(fps[a] ^ fps[b])) <= radius:
                     join(a, b)
 
-    _collide(low[keep], budget[keep], np.flatnonzero(keep), bits, emit, at_once)
+    _collide(*_owners(fps, prefix, prefix_bits, radius), 64 - prefix_bits, emit, at_once)
     ends = [(x, find(x)) for x in parent]
     ends = [(x, r) for x, r in ends if x != r]
     u = np.array([x for x, _ in ends], np.int64)
@@ -154,28 +160,63 @@ def _links(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once:
     return signed[u], signed[v]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = None, at_once: int = VARIANTS_AT_ONCE) -> DataFrame:
-    """(u, v): links that join all fingerprints (column ``fp``, distinct) within ``radius`` bits.
+def _pairs(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints that collide below one prefix: all of a small collision, a star of a large one.
 
-    ``radius`` must be even; each task returns a spanning forest of the links it verified.
+    The star's centre is the member that collides most often, as the text that others were
+    copied from does.
+    """
+    fps = np.unique(fps.astype(np.int64)).view(np.uint64)
+    found: list[np.ndarray] = []
+
+    def emit(who, run):
+        first = np.concatenate(([True], run[1:] != run[:-1]))
+        own = np.cumsum(first) - 1
+        size = np.bincount(own)[own]
+        often = np.bincount(who, minlength=len(fps))[who]
+        order = np.lexsort((who, -often, own))
+        centre = who[order][np.flatnonzero(first)][own]
+        pairs = [np.stack([centre, who])]
+        for step in (1, 2):
+            if len(who) > step:
+                near = (own[step:] == own[:-step]) & (size[step:] <= 4)
+                pairs.append(np.stack([who[:-step][near], who[step:][near]]))
+        a, b = np.concatenate(pairs, axis=1)
+        keep = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
+        found.append(np.unique((np.minimum(a, b)[keep] << 24) | np.maximum(a, b)[keep]))
+
+    _collide(*_owners(fps, prefix, prefix_bits, radius), 64 - prefix_bits, emit, at_once)
+    codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    signed = fps.view(np.int64)
+    return signed[codes >> 24], signed[codes & 0xFFFFFF]
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = None, at_once: int = VARIANTS_AT_ONCE, forest: bool = True) -> DataFrame:
+    """(view, u, v): links among the fingerprints (column ``fp``, distinct in each ``view``) within ``radius`` bits.
+
+    ``radius`` must be even. With ``forest`` each task returns a spanning forest of the
+    links it verified, which joins all that are linked; else the pairs of ``_pairs``.
     """
     if radius % 2:
         raise ValueError("radius must be even: each side takes half of it")
     half = radius // 2
+    if "view" not in distinct.columns:
+        distinct = distinct.withColumn("view", F.lit(0))
     n = distinct.count() if count is None else count
     variants = n * sum(math.comb(64, f) for f in range(half + 1))
     bits = max(6, math.ceil(math.log2(max(1, variants / (at_once * 2 / 3)))))
     masks = [int(m) for f in range(half + 1) for m in _ball(bits, f)]
     prefix = F.shiftrightunsigned("fp", 64 - bits)
     sent = distinct.select(
-        "fp", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: prefix.bitwiseXOR(m))).alias("prefix")
+        "view", "fp", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: prefix.bitwiseXOR(m))).alias("prefix")
     )
+    find = _links if forest else _pairs
 
     def run(key, table):
-        u, v = _links(table.column("fp").to_numpy(), key[0].as_py(), bits, radius, at_once)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        u, v = find(table.column("fp").to_numpy(), key[1].as_py(), bits, radius, at_once)
+        return pa.table({"view": pa.array([key[0].as_py()] * len(u), pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return sent.groupBy("prefix").applyInArrow(run, "u long, v long")
+    return sent.groupBy("view", "prefix").applyInArrow(run, "view int, u long, v long")
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -194,13 +235,89 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIU
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of smallest doc_id.
+def word_prints(text: str | None, views: int) -> list[int]:
+    """``views`` fingerprints of the text's distinct words, each under a hash of its own."""
+    words = shingle_hashes(text or "", 1)
+    out = []
+    for k in range(views):
+        mixed = (words ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        counts = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((counts * 2 > len(words)).astype(np.uint8), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _shingle_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py() or "", words).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
+                keep.append(both >= least * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = VIEWS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id): documents joined by a Jaccard similarity of word shingles.
+
+    A 64-bit fingerprint of five-word shingles moves by some ten bits at a similarity of 0.8,
+    far beyond the radius. Its candidates therefore come from ``views`` fingerprints of the
+    distinct words, of which each stays within four bits for more than half of such pairs;
+    the pairs found are verified on the whole sets of shingles. Equal texts are one.
+    """
+
+    def prints(batches):
+        for batch in batches:
+            found = [word_prints(t.as_py(), views) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "mark", "prints"])
+
+    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    marks = stored(base.withColumn("mark", F.xxhash64("text")).mapInArrow(prints, "doc_id long, mark long, prints array<long>"), "prints")
+    marks = marks.withColumn("print", F.get("prints", F.lit(0)))
+    texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints")), "texts")
+    seen = texts.select("id", F.posexplode("prints").alias("view", "fp"))
+    spots = stored(seen.groupBy("view", "fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "spots")
+    links = stored(fingerprint_links(spots.select("view", "fp"), radius, forest=False).distinct(), "pairs")
+    heads = spots.select("view", F.col("fp").alias("u"), F.col("head").alias("uh"))
+    pairs = links.join(heads, ["view", "u"]).join(heads.withColumnRenamed("u", "v").withColumnRenamed("uh", "vh"), ["view", "v"])
+    # texts that share a fingerprint meet its head, and the heads of the fingerprints linked to it
+    crowded = seen.join(spots.where(F.col("n") > 1), ["view", "fp"]).where(F.col("id") != F.col("head")).select("view", "fp", "id", "head")
+    each = [
+        pairs.select(F.col("uh").alias("a"), F.col("vh").alias("b")), crowded.select(F.col("id").alias("a"), F.col("head").alias("b")),
+        pairs.join(crowded.select("view", F.col("fp").alias("u"), "id"), ["view", "u"]).select(F.col("id").alias("a"), F.col("vh").alias("b")),
+        pairs.join(crowded.select("view", F.col("fp").alias("v"), "id"), ["view", "v"]).select(F.col("uh").alias("a"), F.col("id").alias("b")),
+    ]
+    every = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).where(F.col("a") != F.col("b"))
+    every = stored(every.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
+    asked = every.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = base.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi").dropDuplicates(["id"])
+    sets = stored(sets.mapInArrow(_shingle_sets(words), "id long, shingles binary"), "sets")
+    both = every.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("xs")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("ys")), "v")
+    roots = connected_components(both.mapInArrow(_alike(similarity), "u long, v long"))
+    named = texts.join(roots, texts["id"] == roots["node"], "left").select("mark", "print", F.coalesce("root", "id").alias("component_id"))
+    return marks.join(named, ["mark", "print"]).select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = VIEWS, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one of smallest doc_id.
 
     Repeated rows of one doc_id are one document, of which one row stays. A row without a
     doc_id can't be named in a group and stays.
     """
-    groups = near_groups(docs.select("doc_id", "text"), words, radius, seed)
+    groups = near_copies(docs.select("doc_id", "text"), words, similarity, views, radius)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
 

@@ -510,6 +510,38 @@ def test_ball_hashing_finds_all_links(spark, at_once):
                 assert find(a) == find(b)
 
 
+def test_near_copies_equal_brute_force(spark, docs):
+    def edited(text, n, seed):
+        words = text.split(" ")
+        for k in np.random.default_rng(seed).choice(len(words), n, replace=False):
+            words[k] = f"edit{seed}x{k}"
+        return " ".join(words)
+
+    base = max((t for _, t in docs if 1500 < len(t) < 4000), key=len)
+    n = len(base.split(" "))
+    rows = docs[:120] + [(90_000, base)] + [(90_001 + i, edited(base, max(1, n * (i % 5 + 1) // 250), i)) for i in range(25)] + [(95_000, base + " one more"), (95_001, None), (95_002, "")]
+    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    sets = {i: set(sketches.shingle_hashes(t or "").tolist()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    text = {i: t or "" for i, t in rows}
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if text[a] == text[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in ids}
+    assert sum(got[i] == want[i] for i in ids) >= 0.98 * len(ids)
+    for i in ids:  # nothing is joined that the brute force keeps apart
+        assert want[got[i]] == want[i]
+
+
 def test_dedup_keeps_one_of_each_group(spark, edge, none):
     kept = simhash.deduplicate(edge).collect()
     ids = collections.Counter(r.doc_id for r in kept)
@@ -528,18 +560,18 @@ def test_pipeline_equals_its_stages_by_hand(spark, tiny):
     model = langid.fit(langid.training_sample(docs))
     kept = {i: r.text for i, r in rows.items() if not model.predict([r.text or ""])[2][0]}
     cleaned = _brute_lines(sorted(kept.items()), templates.MIN_DOCS)
-    prints = {i: simhash.simhash64(t, 5) & (2**64 - 1) for i, t in cleaned.items()}
-    parent = {i: i for i in prints}
+    sets = {i: set(sketches.shingle_hashes(t).tolist()) for i, t in cleaned.items()}
+    parent = {i: i for i in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(prints)
+    ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
+            if cleaned[a] == cleaned[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     single = {i: cleaned[i] for i in ids if find(i) == i}
