@@ -158,12 +158,12 @@ class Mix:
         # draws: uniform in [0, total); the source whose range of running slot counts holds the draw
         draws = (
             self.spark.range(total).select(F.expr(f"id div {self.shard}").alias("shard"), F.pmod(F.xxhash64(seed, F.lit("draw"), "id"), F.lit(max(1, total))).alias("draw"))
-            .withColumn("cell", F.expr(f"draw div {cell}")).groupBy("shard", "cell", "draw").agg(F.count(F.lit(1)).alias("times"))
+            .withColumn("cell", F.expr(f"draw div {cell}"))
         )
         ranges = plan.select("source", (F.col("slots_to") - F.col("n_slots")).alias("lo"), F.col("slots_to").alias("hi"))
         ranges = ranges.withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {cell}"), F.expr(f"(hi - 1) div {cell}"))))
         hit = draws.join(ranges, "cell").where((F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi")))
-        counts = hit.groupBy("source", "shard").agg(F.sum("times").alias("drawn"))
+        counts = hit.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("drawn"))
         upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("k_to", F.sum("drawn").over(upto))
         wide = plan.select(F.col("source").alias("_s"), "n_slots", "blocks", "passes", "tail", "cut")
