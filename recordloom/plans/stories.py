@@ -466,14 +466,14 @@ def search_ilike(spark, sf_dir):
 
 @query(
     "search_groups",
-    f"""WITH {RECORDS}, m AS (SELECT event_id, author_id AS story, row_number() OVER (ORDER BY first_seen DESC, event_id) AS place FROM records WHERE sector = '1-URGENT' AND status = 'O') SELECT story, count(*) AS n, min(place) AS best FROM m GROUP BY story HAVING count(*) >= 2""",
+    f"""WITH {RECORDS} SELECT author_id AS story, count(*) AS n, CAST(max(first_seen) AS TIMESTAMP) AS best_at, arg_max(event_id, (first_seen, -event_id)) AS best FROM records WHERE sector = '1-URGENT' AND status = 'O' GROUP BY author_id HAVING count(*) >= 2""",
 )
 def search_groups(spark, sf_dir):
-    """GR22: matches grouped by story, in order of their best."""
-    m = Tables(spark, sf_dir).records.where((F.col("sector") == "1-URGENT") & (F.col("status") == "O")).select("event_id", F.col("author_id").alias("story"), "first_seen")
-    groups = m.groupBy("story").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("first_seen", (-F.col("event_id")).alias("i"))).alias("top"))
-    m = m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("first_seen"), "event_id")).cast("long"))
-    return groups.where(F.col("n") >= 2).select("story", "n").join(m.groupBy("story").agg(F.min("place").alias("best")), "story")
+    """GR22: matches grouped by story, each group with its best match, by which callers order the groups."""
+    m = Tables(spark, sf_dir).records.where((F.col("sector") == "1-URGENT") & (F.col("status") == "O"))
+    best = F.max_by("event_id", F.struct("first_seen", (-F.col("event_id")).alias("i")))
+    groups = m.groupBy(F.col("author_id").alias("story")).agg(F.count(F.lit(1)).alias("n"), F.max("first_seen").alias("best_at"), best.alias("best"))
+    return groups.where(F.col("n") >= 2)
 
 
 @query("verdict_reuse", f"WITH {RECORDS}, s AS (SELECT author_id AS story, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) || '|v1') AS signature FROM records GROUP BY author_id) SELECT story, signature FROM s WHERE story % 3 <> 0")
