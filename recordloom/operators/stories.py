@@ -159,23 +159,23 @@ def b_cubed(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     return out.withColumn("f1", f1).crossJoin(top)
 
 
-def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """auc: the share of (positive, negative) pairs ranked right, ties half, from counts per score.
+def auc(counts: DataFrame, score: str, positive: Column, n: str = "n") -> DataFrame:
+    """auc: the share of (positive, negative) pairs ranked right, ties half, from ``n`` per score and class.
 
-    Scores collapse to distinct values first; running counts need an order over these, so
-    callers round scores to bound their number.
+    Running counts need an order over the distinct scores, so callers round them.
     """
-    each = df.groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    each = counts.groupBy(score).agg(F.sum(F.when(positive, F.col(n)).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(F.col(n))).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = each.withColumn("below", below)
     return placed.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
-def threshold_sweep(df: DataFrame, score: str, positive: Column, grid: list[float]) -> DataFrame:
-    """threshold, tp, fp, fn, tn for each value of the grid, in one pass over the pairs."""
+def threshold_sweep(counts: DataFrame, score: str, positive: Column, grid: list[float]) -> DataFrame:
+    """threshold, tp, fp, fn, tn for each value of the grid, from ``n`` per score and class."""
     hit = F.explode(F.array(*map(F.lit, grid))).alias("threshold")
-    counted = df.groupBy(F.floor(F.col(score) * 1000).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).select("s", "p", "n", hit)
-    over = F.col("s") >= F.floor(F.col("threshold") * 1000)
+    split = counts.select(score, F.when(positive, F.col("n")).otherwise(0).alias("p"), F.when(positive, 0).otherwise(F.col("n")).alias("n"))
+    counted = split.groupBy(score).agg(F.sum("p").alias("p"), F.sum("n").alias("n")).select(score, "p", "n", hit)
+    over = F.col(score) >= F.col("threshold") - 1e-9
     total = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
     return counted.groupBy("threshold").agg(total("p", over).alias("tp"), total("n", over).alias("fp"), total("p", ~over).alias("fn"), total("n", ~over).alias("tn"))
 

@@ -76,6 +76,43 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -sims[at]))][:k]
 
 
+def similarity_counts(df: DataFrame, label: str, digits: int = 3, id_col: str = "vec_id", vector: str = "embedding", dims: int | None = None, block: int = BLOCK) -> DataFrame:
+    """sim, same, n: all unordered pairs counted by rounded cosine and by whether their labels agree.
+
+    Block pairs are multiplied where they are dealt and only their histograms travel, so
+    the rows shuffled are vectors times blocks. ``dims`` compares leading components alone.
+    """
+    x = F.col(vector) if dims is None else F.slice(vector, 1, dims)
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), x.alias("x"))
+    blocks = max(1, math.ceil(rows.count() / block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    placed = rows.select(own.alias("own"), "id", "label", "x").select("own", "id", "label", "x", every.alias("other"))
+    dealt = placed.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "label", "x")
+
+    def run(table):
+        own_, q = table.column("own").to_numpy(), table.column("q").to_numpy()
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        unit = _unit(table.column("x").to_pylist())
+        left = np.flatnonzero(own_ == table.column("p").to_numpy())
+        right = np.flatnonzero(own_ == q)
+        counts: dict[tuple[float, bool], int] = {}
+        for at in range(0, len(left), 512):
+            rows_ = left[at : at + 512]
+            sims = np.round(unit[rows_] @ unit[right].T, digits) + 0.0
+            keep = ids[rows_][:, None] < ids[right][None, :] if table.column("p")[0] == table.column("q")[0] else np.ones(sims.shape, bool)
+            same = labels[rows_][:, None] == labels[right][None, :]
+            for flag in (True, False):
+                values, n = np.unique(sims[keep & (same == flag)], return_counts=True)
+                for v, c in zip(values.tolist(), n.tolist(), strict=True):
+                    counts[v, flag] = counts.get((v, flag), 0) + c
+        items = sorted(counts.items())
+        return pa.table({"sim": pa.array([k[0] for k, _ in items], pa.float64()), "same": pa.array([k[1] for k, _ in items], pa.bool_()), "n": pa.array([c for _, c in items], pa.int64())})
+
+    parts = dealt.groupBy("p", "q").applyInArrow(run, "sim double, same boolean, n long")
+    return parts.groupBy("sim", "same").agg(F.sum("n").alias("n"))
+
+
 def mutual(neighbours: DataFrame) -> DataFrame:
     """a < b, sim: pairs in which each is among the other's neighbours."""
     back = neighbours.select(F.col("vec_id").alias("nbr_id"), F.col("nbr_id").alias("vec_id"))

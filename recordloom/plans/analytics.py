@@ -422,12 +422,12 @@ def occurred_guard(spark, sf_dir):
 
 @query(
     "headline_choice",
-    """WITH t AS (SELECT doc_id % 100 AS record, arg_min(substr(text, 1, 40), doc_id) FILTER (lang = 'fr') AS fr, arg_min(substr(text, 1, 40), doc_id) FILTER (lang = 'en') AS en FROM documents GROUP BY 1) SELECT record, coalesce(fr, en) AS headline FROM t""",
+    """WITH t AS (SELECT doc_id % 100 AS record, arg_min(split_part(text, chr(10), 1), doc_id) FILTER (lang = 'fr') AS fr, arg_min(split_part(text, chr(10), 1), doc_id) FILTER (lang = 'en') AS en FROM documents GROUP BY 1) SELECT record, coalesce(fr, en) AS headline FROM t""",
 )
 def headline_choice(spark, sf_dir):
     """DM11: a headline by language preference with English as fallback."""
     d = Tables(spark, sf_dir).documents.withColumn("record", F.col("doc_id") % 100)
-    pick = lambda lang: F.min_by(F.when(F.col("lang") == lang, F.substring("text", 1, 40)), F.when(F.col("lang") == lang, F.col("doc_id")))
+    pick = lambda lang: F.min_by(F.when(F.col("lang") == lang, F.substring_index("text", "\n", 1)), F.when(F.col("lang") == lang, F.col("doc_id")))
     return d.groupBy("record").agg(F.coalesce(pick("fr"), pick("en")).alias("headline"))
 
 

@@ -48,20 +48,23 @@ def corroborated_records(spark, sf_dir):
 
 @query(
     "indexable_records",
-    f"""WITH {REPORTS} SELECT event_id, count(DISTINCT publisher) FILTER (source_id % 7 <> 0) AS outlets, count(*) AS reports
-    FROM reports GROUP BY event_id HAVING count(DISTINCT publisher) FILTER (source_id % 7 <> 0) >= 2""",
+    f"""WITH {REPORTS}, raw AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1500)
+    SELECT event_id, count(DISTINCT publisher) FILTER (s_suppkey IS NULL) AS outlets, count(*) AS reports
+    FROM reports LEFT JOIN raw ON source_id = s_suppkey GROUP BY event_id HAVING count(DISTINCT publisher) FILTER (s_suppkey IS NULL) >= 2""",
 )
 def indexable_records(spark, sf_dir):
-    """AG6: publishers among sources that are not raw-record feeds (every 7th here)."""
-    usual = F.when(F.col("source_id") % 7 != 0, F.col("publisher"))
-    return Tables(spark, sf_dir).reports.groupBy("event_id").agg(F.countDistinct(usual).alias("outlets"), F.count(F.lit(1)).alias("reports")).where(F.col("outlets") >= 2)
+    """AG6: publishers among sources that are not raw-record feeds (suppliers of a low balance here)."""
+    t = Tables(spark, sf_dir)
+    raw = t.raw("supplier").where(F.col("s_acctbal") < 1500).select(F.col("s_suppkey").alias("source_id"), F.lit(1).alias("raw"))
+    usual = F.when(F.col("raw").isNull(), F.col("publisher"))
+    return t.reports.join(raw, "source_id", "left").groupBy("event_id").agg(F.countDistinct(usual).alias("outlets"), F.count(F.lit(1)).alias("reports")).where(F.col("outlets") >= 2)
 
 
-@query("served_records", f"WITH {REPORTS} SELECT DISTINCT event_id FROM reports WHERE source_id % 7 <> 0")
+@query("served_records", f"WITH {REPORTS} SELECT DISTINCT event_id FROM reports WHERE source_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1500)")
 def served_records(spark, sf_dir):
     """FP1: records with at least one report outside the raw-record feeds."""
     t = Tables(spark, sf_dir)
-    raw = t.raw("supplier").where(F.col("s_suppkey") % 7 == 0).select(F.col("s_suppkey").alias("source_id"))
+    raw = t.raw("supplier").where(F.col("s_acctbal") < 1500).select(F.col("s_suppkey").alias("source_id"))
     return R.served(t.reports, raw)
 
 
@@ -242,13 +245,13 @@ def founder_ranking(spark, sf_dir):
 
 @query(
     "round_robin_interleave",
-    f"""WITH {REPORTS}, q AS (SELECT event_id, publisher % 4 AS lane, source_id, entity_id, position, quantity, published_at FROM reports WHERE event_id % 10 = 0),
+    f"""WITH {REPORTS}, q AS (SELECT event_id, publisher % 4 AS lane, source_id, entity_id, position, quantity, published_at FROM reports),
     p AS (SELECT *, count(*) OVER (PARTITION BY event_id, lane) AS sz, row_number() OVER (PARTITION BY event_id, lane ORDER BY published_at, source_id, entity_id, position, quantity) AS nth FROM q)
     SELECT event_id, lane, source_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY nth, (lane = 0) DESC, sz DESC, lane) AS INTEGER) AS place FROM p""",
 )
 def round_robin_interleave(spark, sf_dir):
     """WN6: one report per language before any second."""
-    rows = Tables(spark, sf_dir).reports.where(F.col("event_id") % 10 == 0).withColumn("lane", F.col("publisher") % 4)
+    rows = Tables(spark, sf_dir).reports.withColumn("lane", F.col("publisher") % 4)
     order = [F.asc(c) for c in ("published_at", "source_id", "entity_id", "position", "quantity")]
     return R.interleave(rows, ["event_id"], "lane", 0, order).select("event_id", "lane", "source_id", "place")
 

@@ -25,17 +25,17 @@ def entity_df_idf(spark, sf_dir):
 
 @query(
     "weighted_shared_actors",
-    f"""WITH {MENTIONS}, d AS (SELECT entity_id, count(*) AS df FROM mentions GROUP BY entity_id), q AS (SELECT * FROM mentions WHERE event_id % 50 = 0)
+    f"""WITH {MENTIONS}, d AS (SELECT entity_id, count(*) AS df FROM mentions GROUP BY entity_id), q AS (SELECT * FROM mentions)
     SELECT q.event_id AS a, m.event_id AS b, count(*) AS shared, round(sum(1.0 / df), 6) AS weight, round(max(1.0 / df), 6) AS rarest
     FROM q JOIN mentions m ON q.entity_id = m.entity_id AND q.event_id <> m.event_id JOIN d ON d.entity_id = q.entity_id
     GROUP BY q.event_id, m.event_id HAVING count(*) >= 2 AND (max(1.0 / df) >= 0.02 OR count(*) >= 4)""",
 )
 def weighted_shared_actors(spark, sf_dir):
-    """AG3 JN7: shared actors weighted by rarity, restricted to the asked records' actors before it aggregates."""
+    """AG3 JN7: shared actors weighted by rarity; actors named once can't be shared and go before the join."""
     mentions = Tables(spark, sf_dir).mentions
-    asked = mentions.where(F.col("event_id") % 50 == 0).withColumnRenamed("event_id", "a")
-    df = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("df"))
-    near = J.semi_reduced(mentions, asked, "entity_id").withColumnRenamed("event_id", "b")
+    df = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    near = J.semi_reduced(mentions, df, "entity_id").withColumnRenamed("event_id", "b")
+    asked = mentions.withColumnRenamed("event_id", "a")
     pairs = asked.join(near, "entity_id").where(F.col("a") != F.col("b")).join(df, "entity_id")
     inv = 1.0 / F.col("df")
     rows = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(inv).alias("w"), F.max(inv).alias("r"))
@@ -107,22 +107,22 @@ def has_claims(spark, sf_dir):
 @query(
     "array_membership",
     f"""WITH {RECORDS}, s AS (SELECT author_id AS story, list(event_id ORDER BY event_id) AS members FROM records GROUP BY author_id)
-    SELECT event_id, story, len(members) AS n_members FROM (SELECT story, members, unnest(members) AS event_id FROM s) WHERE event_id % 20 = 0""",
+    SELECT event_id, story, len(members) AS n_members FROM (SELECT story, members, unnest(members) AS event_id FROM s)""",
 )
 def array_membership(spark, sf_dir):
     """JN18 JN10: the story whose member array holds a record, by explode and hash join."""
     rows = Tables(spark, sf_dir).records
     stories = rows.groupBy(F.col("author_id").alias("story")).agg(F.array_sort(F.collect_list("event_id")).alias("members"))
-    asked = rows.where(F.col("event_id") % 20 == 0).select("event_id")
+    asked = rows.select("event_id")
     held = stories.select("story", F.size("members").cast("long").alias("n_members"), F.explode("members").alias("event_id"))
     return held.join(asked, "event_id", "left_semi").select("event_id", "story", "n_members")
 
 
-@query("zip_probe", f"WITH {RECORDS}, z AS (SELECT unnest([1, 2, 3]) AS a, unnest(['O', 'F', 'P']) AS s) SELECT event_id, a, status FROM records JOIN z ON status = s AND event_id % 10 = a")
+@query("zip_probe", f"WITH {RECORDS}, z AS (SELECT unnest([1, 2, 3]) AS a, unnest(['O', 'F', 'P']) AS s) SELECT event_id, a, status FROM records JOIN z ON status = s AND CAST(substr(sector, 1, 1) AS INTEGER) = a")
 def zip_probe(spark, sf_dir):
     """JN20: pairs zipped from two arrays, joined to rows."""
     z = spark.range(1).select(F.explode(F.arrays_zip(F.array(F.lit(1), F.lit(2), F.lit(3)).alias("a"), F.array(F.lit("O"), F.lit("F"), F.lit("P")).alias("s"))).alias("z")).select("z.a", "z.s")
-    return Tables(spark, sf_dir).records.join(F.broadcast(z), (F.col("status") == F.col("s")) & (F.col("event_id") % 10 == F.col("a"))).select("event_id", "a", "status")
+    return Tables(spark, sf_dir).records.join(F.broadcast(z), (F.col("status") == F.col("s")) & (F.substring("sector", 1, 1).cast("int") == F.col("a"))).select("event_id", "a", "status")
 
 
 _LINKS = "links AS (SELECT o_orderkey AS id, o_orderkey // 2 AS target FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey > 0)"
@@ -178,13 +178,13 @@ def as_of_value(spark, sf_dir):
 
 @query(
     "touching_links",
-    f"WITH {RECORDS}, l AS (SELECT event_id AS src, event_id // 3 AS dst FROM records) SELECT DISTINCT src, dst FROM l WHERE src % 11 = 0 OR dst % 11 = 0",
+    f"WITH {RECORDS}, l AS (SELECT event_id AS src, event_id // 3 AS dst FROM records) SELECT DISTINCT src, dst FROM l WHERE src IN (SELECT event_id FROM records WHERE status = 'P') OR dst IN (SELECT event_id FROM records WHERE status = 'P')",
 )
 def touching_links(spark, sf_dir):
     """JN17: links that touch a set on either side, as two equi-joins."""
     rows = Tables(spark, sf_dir).records
     links = rows.select(F.col("event_id").alias("src"), F.expr("event_id div 3").alias("dst"))
-    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().where(F.col("node") % 11 == 0)
+    nodes = rows.where(F.col("status") == "P").select(F.col("event_id").alias("node"))
     return J.touching(links, nodes, "src", "dst", "node")
 
 
@@ -237,28 +237,28 @@ def subject_prefix(spark, sf_dir):
 @query(
     "ordered_names",
     f"""WITH {MENTIONS}, d AS (SELECT entity_id, count(*) AS df FROM mentions GROUP BY entity_id)
-    SELECT event_id, string_agg(p_name, ',' ORDER BY df, p_name, m.entity_id) AS names FROM mentions m JOIN d ON m.entity_id = d.entity_id JOIN part ON p_partkey = m.entity_id WHERE event_id % 10 = 0 GROUP BY event_id""",
+    SELECT event_id, string_agg(p_name, ',' ORDER BY df, p_name, m.entity_id) AS names FROM mentions m JOIN d ON m.entity_id = d.entity_id JOIN part ON p_partkey = m.entity_id GROUP BY event_id""",
 )
 def ordered_names(spark, sf_dir):
     """AG23: names aggregated in order of rarity."""
     t = Tables(spark, sf_dir)
     df = t.mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("df"))
-    rows = t.mentions.where(F.col("event_id") % 10 == 0).join(df, "entity_id").join(t.actors.select("entity_id", "name"), "entity_id")
+    rows = t.mentions.join(df, "entity_id").join(t.actors.select("entity_id", "name"), "entity_id")
     listed = rows.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("df", "name", "entity_id"))).alias("l"))
     return listed.select("event_id", F.array_join("l.name", ",").alias("names"))
 
 
 @query(
     "candidate_union",
-    f"""WITH {RECORDS}, u AS (SELECT event_id, 1 AS tier FROM records WHERE status = 'O' AND event_id % 5 = 0 UNION ALL SELECT event_id, 2 FROM records WHERE sector = '1-URGENT' AND event_id % 3 = 0 UNION ALL SELECT event_id, 3 FROM records WHERE event_id % 50 = 0)
+    f"""WITH {RECORDS}, u AS (SELECT event_id, 1 AS tier FROM records WHERE status = 'O' AND weight > 400000 UNION ALL SELECT event_id, 2 FROM records WHERE sector = '1-URGENT' AND weight > 300000 UNION ALL SELECT event_id, 3 FROM records WHERE status = 'P')
     SELECT event_id, min(tier) AS tier FROM u GROUP BY event_id ORDER BY tier, event_id LIMIT 500""",
 )
 def candidate_union(spark, sf_dir):
     """ST2 ST3: candidates of three branches, first seen wins, capped."""
     r = Tables(spark, sf_dir).records
     tier = lambda cond, n: r.where(cond).select("event_id", F.lit(n).alias("tier"))
-    e = F.col("event_id")
-    every = tier((F.col("status") == "O") & (e % 5 == 0), 1).unionByName(tier((F.col("sector") == "1-URGENT") & (e % 3 == 0), 2)).unionByName(tier(e % 50 == 0, 3))
+    w = F.col("weight")
+    every = tier((F.col("status") == "O") & (w > 400000), 1).unionByName(tier((F.col("sector") == "1-URGENT") & (w > 300000), 2)).unionByName(tier(F.col("status") == "P", 3))
     return every.groupBy("event_id").agg(F.min("tier").alias("tier")).orderBy("tier", "event_id").limit(500)
 
 
@@ -278,13 +278,14 @@ def undirected_pairs(spark, sf_dir):
 
 @query(
     "set_overlap",
-    f"""WITH {REPORTS}, s AS (SELECT event_id, list(DISTINCT publisher) AS p FROM reports WHERE event_id % 20 = 0 GROUP BY event_id), k AS (SELECT *, event_id // 200 AS g FROM s)
+    f"""WITH {REPORTS}, s AS (SELECT event_id, list(DISTINCT publisher) AS p FROM reports GROUP BY event_id), {RECORDS}, k AS (SELECT s.*, author_id AS g FROM s JOIN records USING (event_id))
     SELECT a.event_id AS a, b.event_id AS b, round(len(list_intersect(a.p, b.p)) / CAST(least(len(a.p), len(b.p)) AS DOUBLE), 6) AS overlap,
       round(len(list_intersect(a.p, b.p)) / CAST(len(list_distinct(list_concat(a.p, b.p))) AS DOUBLE), 6) AS jaccard FROM k a JOIN k b ON a.g = b.g AND a.event_id < b.event_id""",
 )
 def set_overlap(spark, sf_dir):
-    """ST5: overlap coefficient and Jaccard similarity of two records' outlets."""
-    s = Tables(spark, sf_dir).reports.where(F.col("event_id") % 20 == 0).groupBy("event_id").agg(F.collect_set("publisher").alias("p")).withColumn("g", F.expr("event_id div 200"))
+    """ST5: overlap coefficient and Jaccard similarity of the outlets of two records of one author."""
+    t = Tables(spark, sf_dir)
+    s = t.reports.groupBy("event_id").agg(F.collect_set("publisher").alias("p")).join(t.records.select("event_id", F.col("author_id").alias("g")), "event_id")
     a, b = s.select("g", F.col("event_id").alias("a"), F.col("p").alias("pa")), s.select("g", F.col("event_id").alias("b"), F.col("p").alias("pb"))
     pair = a.join(b, "g").where(F.col("a") < F.col("b"))
     return pair.select("a", "b", F.round(J.overlap(F.col("pa"), F.col("pb")), 6).alias("overlap"), F.round(J.jaccard(F.col("pa"), F.col("pb")), 6).alias("jaccard"))
@@ -348,11 +349,11 @@ def language_override(spark, sf_dir):
     return Tables(spark, sf_dir).documents.join(F.broadcast(over), "source", "left").select("doc_id", F.coalesce("own", "lang").alias("lang"))
 
 
-@query("idempotent_insert", f"WITH {RECORDS} SELECT event_id, sector FROM records WHERE event_id >= 100 AND event_id NOT IN (SELECT event_id FROM records WHERE status = 'F')")
+@query("idempotent_insert", f"WITH {RECORDS} SELECT event_id, sector FROM records WHERE sector <> '5-LOW' AND event_id NOT IN (SELECT event_id FROM records WHERE status = 'F')")
 def idempotent_insert(spark, sf_dir):
     """SC3: rows that are not in the target yet."""
     r = Tables(spark, sf_dir).records
-    return r.where(F.col("event_id") >= 100).join(r.where(F.col("status") == "F").select("event_id"), "event_id", "left_anti").select("event_id", "sector")
+    return r.where(F.col("sector") != "5-LOW").join(r.where(F.col("status") == "F").select("event_id"), "event_id", "left_anti").select("event_id", "sector")
 
 
 @query("json_payload", """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS payload, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")

@@ -50,10 +50,10 @@ def stream_dead_letters(spark, sf_dir):
     return counted.join(lost, "event_type").select("event_type", "good", "dead")
 
 
-@query("stream_tiers", "WITH c AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 4 = 0 GROUP BY user_id) SELECT user_id, CAST(t AS BIGINT) AS members FROM c, (VALUES (2), (3), (5), (8), (13), (21), (34)) v(t) WHERE n >= t")
+@query("stream_tiers", "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, CAST(t AS BIGINT) AS members FROM c, (VALUES (2), (3), (5), (8), (13), (21), (34)) v(t) WHERE n >= t")
 def stream_tiers(spark, sf_dir):
     """SS9: the membership tiers that keys reach."""
-    return P.drain(P.tiers_reached(_events(spark, sf_dir).where(F.col("event_id") % 4 == 0).select("user_id"), "user_id"))
+    return P.drain(P.tiers_reached(_events(spark, sf_dir).select("user_id"), "user_id"))
 
 
 @query("stream_debounce")
@@ -72,9 +72,9 @@ def failures_given_up(spark, sf_dir):
 @query("quote_verdicts")
 def quote_verdicts(spark, sf_dir):
     """QC3 QC5 QC6: whether a document gives a sentence as its speaker's direct words."""
-    d = Tables(spark, sf_dir).documents.where(F.col("doc_id") % 10 == 0)
+    d = Tables(spark, sf_dir).documents
     sentence = F.regexp_extract("text", r"([^.]{20,80})\.", 1)
-    q = d.select("doc_id", F.concat(F.lit('Asha Rao said: "'), sentence, F.lit('." Then '), F.substring("text", 1, 200)).alias("text"), sentence.alias("quote"), F.lit("Asha Rao").alias("speaker"), "lang")
+    q = d.select("doc_id", F.concat(F.lit('Asha Rao said: "'), sentence, F.lit('." Then '), "text").alias("text"), sentence.alias("quote"), F.lit("Asha Rao").alias("speaker"), "lang")
     return Q.checked(q).select("doc_id", "verdict")
 
 
@@ -82,7 +82,7 @@ def quote_verdicts(spark, sf_dir):
 def collapsed_quotes(spark, sf_dir):
     """QC7 QC8 QC9: one row per thing said in a record."""
     c = Tables(spark, sf_dir).raw("conversations")
-    q = c.select(F.col("conv_id").alias("record"), F.initcap("role").alias("speaker"), F.substring("text", 1, 80).alias("quote"), F.concat(F.lit("s"), (F.col("turn") % 3).cast("string")).alias("source"), F.col("turn").cast("double").alias("published"), F.lit(10.0).alias("gap"))
+    q = c.select(F.col("conv_id").alias("record"), F.initcap("role").alias("speaker"), F.col("text").alias("quote"), F.concat(F.lit("s"), (F.col("turn") % 3).cast("string")).alias("source"), F.col("turn").cast("double").alias("published"), F.lit(10.0).alias("gap"))
     return Q.collapse_quotes(q)
 
 
@@ -96,13 +96,13 @@ def transcript_windows(spark, sf_dir):
 
 @query(
     "one_per_publisher_first",
-    """WITH r AS (SELECT l_orderkey AS event_id, s_nationkey AS publisher, l_partkey AS url, min(l_shipdate) AS told FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 20 = 0 GROUP BY ALL),
+    """WITH r AS (SELECT l_orderkey AS event_id, s_nationkey AS publisher, l_partkey AS url, min(l_shipdate) AS told FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
     u AS (SELECT *, row_number() OVER (PARTITION BY event_id, url ORDER BY told, publisher) AS d FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY event_id, publisher ORDER BY told, url) AS nth FROM u WHERE d = 1)
     SELECT event_id, url, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY (nth = 1) DESC, told, publisher, url) AS place FROM p) WHERE place <= 6""",
 )
 def one_per_publisher_first(spark, sf_dir):
     """WN8: one of each publisher leads, then the rest; repeated addresses are dropped."""
-    r = Tables(spark, sf_dir).reports.where(F.col("event_id") % 20 == 0).groupBy("event_id", "publisher", F.col("entity_id").alias("url")).agg(F.min("published_at").alias("at"))
+    r = Tables(spark, sf_dir).reports.groupBy("event_id", "publisher", F.col("entity_id").alias("url")).agg(F.min("published_at").alias("at"))
     one = R.top_per_group(r, ["event_id", "url"], [F.asc("at"), F.asc("publisher")], 1, "d")
     nth = R.top_per_group(one, ["event_id", "publisher"], [F.asc("at"), F.asc("url")], 2**31 - 1, "nth")
     order = [F.desc(F.col("nth") == 1), F.asc("at"), F.asc("publisher"), F.asc("url")]

@@ -15,6 +15,11 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
 
 
+def _headline():
+    """A document's first line."""
+    return F.substring_index("text", "\n", 1)
+
+
 def _words(c: str) -> str:
     return _WORDS.format(c)
 
@@ -75,16 +80,14 @@ def headline_list(spark, sf_dir):
 
 @query(
     "title_share_scores",
-    f"""WITH b AS (SELECT item_id, {_content("substr(text, 1, 80)")} AS w FROM benchmark), d AS (SELECT doc_id, array_to_string({_words("text")}, ' ') AS t FROM documents WHERE doc_id % 10 = 0)
-    SELECT item_id, doc_id, round(len(list_filter(w, lambda x: contains(t, substr(x, 1, greatest(4, length(x) - 2))))) / CAST(len(w) AS DOUBLE), 6) AS share FROM b, d WHERE len(w) >= 3 AND item_id % 40 = doc_id % 40""",
+    f"""WITH d AS (SELECT doc_id, {_content("split_part(text, chr(10), 1)")} AS w, array_to_string({_words("substr(text, length(split_part(text, chr(10), 1)) + 1)")}, ' ') AS t FROM documents)
+    SELECT doc_id, round(len(list_filter(w, lambda x: contains(t, substr(x, 1, greatest(4, length(x) - 2))))) / CAST(len(w) AS DOUBLE), 6) AS share FROM d WHERE len(w) >= 3""",
 )
 def title_share_scores(spark, sf_dir):
-    """TX5 TX6: how much of a headline its text holds."""
-    t = Tables(spark, sf_dir)
-    b = t.raw("benchmark").select("item_id", T.content_words(F.substring("text", 1, 80)).alias("w"))
-    d = t.documents.where(F.col("doc_id") % 10 == 0).select("doc_id", F.array_join(T.words(F.col("text")), " ").alias("t"))
-    pairs = b.join(d, F.col("item_id") % 40 == F.col("doc_id") % 40)
-    return pairs.withColumn("share", F.round(T.title_share(F.col("w"), F.col("t")), 6)).where(F.col("share").isNotNull()).select("item_id", "doc_id", "share")
+    """TX5 TX6: how much of a headline (the first line) its text (the rest) holds."""
+    rest = F.substring(F.col("text"), F.length(_headline()) + 1, F.length("text"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", T.content_words(_headline()).alias("w"), F.array_join(T.words(rest), " ").alias("t"))
+    return d.select("doc_id", F.round(T.title_share(F.col("w"), F.col("t")), 6).alias("share")).where(F.col("share").isNotNull())
 
 
 @query(
@@ -116,7 +119,7 @@ def chunked_documents(spark, sf_dir):
 @query("slugs")
 def slugs(spark, sf_dir):
     """TX10: identity slugs of names in any script."""
-    return Tables(spark, sf_dir).documents.select("doc_id", U.slug_udf(F.substring("text", 1, 60)).alias("slug"))
+    return Tables(spark, sf_dir).documents.select("doc_id", U.slug_udf(_headline()).alias("slug"))
 
 
 @query("ascii_slugs", "SELECT entity_id, trim(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM (SELECT p_partkey AS entity_id, p_name || ' ' || p_brand AS n FROM part)")
@@ -147,24 +150,23 @@ def script_detect(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", T.script_of(F.col("text")).alias("script"), T.is_latin(F.col("text")).alias("is_latin"))
 
 
-@query("content_word_counts", f"SELECT doc_id, len({_content('text')}) AS n FROM documents WHERE doc_id % 5 = 0".replace("len(", "CAST(len(", 1).replace(" AS n", " AS INTEGER) AS n"))
+@query("content_word_counts", f"SELECT doc_id, len({_content('text')}) AS n FROM documents".replace("len(", "CAST(len(", 1).replace(" AS n", " AS INTEGER) AS n"))
 def content_word_counts(spark, sf_dir):
     """TX14: distinct content words."""
-    return Tables(spark, sf_dir).documents.where(F.col("doc_id") % 5 == 0).select("doc_id", F.size(T.content_words(F.col("text"))).alias("n"))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.size(T.content_words(F.col("text"))).alias("n"))
 
 
 @query(
     "headline_overlap",
-    f"""WITH h AS (SELECT doc_id, source, lang, {_content("substr(text, 1, 120)")} AS w FROM documents WHERE doc_id % 5 = 0)
-    SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.lang = b.lang AND least(len(a.w), len(b.w)) > 0 THEN round(len(list_intersect(a.w, b.w)) / CAST(least(len(a.w), len(b.w)) AS DOUBLE), 6) END AS overlap FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id""",
+    f"""WITH h AS (SELECT doc_id, lang, {_content("split_part(text, chr(10), 1)")} AS w, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents)
+    SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.lang = b.lang AND least(len(a.w), len(b.w)) > 0 THEN round(len(list_intersect(a.w, b.w)) / CAST(least(len(a.w), len(b.w)) AS DOUBLE), 6) END AS overlap FROM h a JOIN h b ON a.doc_id = b.before""",
 )
 def headline_overlap(spark, sf_dir):
-    """TX15 GR4: overlap of two headlines' words; unknown across languages."""
-    h = Tables(spark, sf_dir).documents.where(F.col("doc_id") % 5 == 0).select("doc_id", "source", "lang", T.content_words(F.substring("text", 1, 120)).alias("w"))
-    a = h.select("source", F.col("doc_id").alias("a"), F.col("lang").alias("la"), F.col("w").alias("wa"))
-    b = h.select("source", F.col("doc_id").alias("b"), F.col("lang").alias("lb"), F.col("w").alias("wb"))
-    pair = a.join(b, "source").where(F.col("a") < F.col("b"))
-    return pair.select("a", "b", F.when(F.col("la") == F.col("lb"), F.round(J.overlap(F.col("wa"), F.col("wb")), 6)).alias("overlap"))
+    """TX15 GR4: overlap of the words of a headline and of its source's one before; unknown across languages."""
+    h = Tables(spark, sf_dir).documents.select("doc_id", "source", "lang", T.content_words(_headline()).alias("w"))
+    before = Window.partitionBy("source").orderBy("doc_id")
+    pair = h.select(*[F.lag(c).over(before).alias(n) for c, n in (("doc_id", "a"), ("lang", "la"), ("w", "wa"))], F.col("doc_id").alias("b"), "lang", "w").where(F.col("a").isNotNull())
+    return pair.select("a", "b", F.when(F.col("la") == F.col("lang"), F.round(J.overlap(F.col("wa"), F.col("w")), 6)).alias("overlap"))
 
 
 @query(
@@ -184,13 +186,13 @@ def title_trigram_pairs(spark, sf_dir):
 
 @query(
     "title_idf_cosine",
-    f"""WITH t AS (SELECT doc_id, source, unnest({_words("substr(text, 1, 80)")}) AS w FROM documents), f AS (SELECT doc_id, source, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM f),
+    f"""WITH t AS (SELECT doc_id, source, unnest({_words("split_part(text, chr(10), 1)")}) AS w FROM documents), f AS (SELECT doc_id, source, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM f),
     i AS (SELECT w, ln((any_value(n) + 1) / (count(*) + 0.5)) AS idf FROM f, n GROUP BY w), v AS (SELECT doc_id, source, f.w, tf * idf AS x FROM f JOIN i ON f.w = i.w), m AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY doc_id)
     SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.x * b.x) / (any_value(ma.norm) * any_value(mb.norm)), 5) AS score FROM v a JOIN v b ON a.source = b.source AND a.w = b.w AND a.doc_id < b.doc_id JOIN m ma ON ma.doc_id = a.doc_id JOIN m mb ON mb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id HAVING sum(a.x * b.x) / (any_value(ma.norm) * any_value(mb.norm)) >= 0.39""",
 )
 def title_idf_cosine(spark, sf_dir):
     """TX17 MC4 MC5: IDF-weighted word cosine of headlines within a source."""
-    t = Tables(spark, sf_dir).documents.select("doc_id", "source", F.explode(T.words(F.substring("text", 1, 80))).alias("w"))
+    t = Tables(spark, sf_dir).documents.select("doc_id", "source", F.explode(T.words(_headline())).alias("w"))
     f = t.groupBy("doc_id", "source", "w").agg(F.count(F.lit(1)).alias("tf"))
     n = f.agg(F.countDistinct("doc_id").alias("n"))
     idf = f.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("w", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
@@ -271,16 +273,16 @@ def sentence_lines(spark, sf_dir):
 
 @query(
     "cited_lines",
-    f"""WITH q AS (SELECT item_id, {_content("substr(text, 1, 60)")} AS w FROM benchmark), r AS (SELECT doc_id, list_distinct({_words("text")}) AS t FROM documents WHERE doc_id % 20 = 0),
-    s AS (SELECT item_id, doc_id, len(list_intersect(w, t)) / CAST(len(w) AS DOUBLE) AS share FROM q, r WHERE len(w) > 0 AND item_id % 10 = doc_id // 20 % 10)
+    f"""WITH q AS (SELECT item_id, {_content("text")} AS w FROM benchmark), r AS (SELECT doc_id, list_distinct({_words("text")}) AS t FROM documents),
+    s AS (SELECT item_id, doc_id, len(list_intersect(w, t)) / CAST(len(w) AS DOUBLE) AS share FROM q, r WHERE len(w) > 0)
     SELECT item_id, doc_id, round(share, 6) AS share, CAST(k AS INTEGER) AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, doc_id) AS k FROM s WHERE share >= 0.2) WHERE k <= 3""",
 )
 def cited_lines(spark, sf_dir):
     """TX28 TX36: the reports that carry enough of a line's words, three at most, through an inverted index."""
     t = Tables(spark, sf_dir)
-    q = t.raw("benchmark").select("item_id", T.content_words(F.substring("text", 1, 60)).alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"), (F.col("item_id") % 10).alias("g"))
-    r = t.documents.where(F.col("doc_id") % 20 == 0).select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"), F.expr("doc_id div 20 % 10").alias("g"))
-    s = q.join(r, ["g", "w"]).groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("share", F.col("k") / F.col("n")).where(F.col("share") >= 0.2)
+    q = t.raw("benchmark").select("item_id", T.content_words(F.col("text")).alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    r = t.documents.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
+    s = q.join(r, "w").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("share", F.col("k") / F.col("n")).where(F.col("share") >= 0.2)
     w = Window.partitionBy("item_id").orderBy(F.desc("share"), "doc_id")
     return s.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= 3).select("item_id", "doc_id", F.round("share", 6).alias("share"), "rnk")
 
@@ -330,10 +332,10 @@ def image_sizes(spark, sf_dir):
     return Tables(spark, sf_dir).raw("pages").select("page_id", F.regexp_replace(F.concat("url", F.lit("-150x150.jpg")), r"-[0-9]+x[0-9]+(\.jpg)$", "$1").alias("image"))
 
 
-@query("story_slugs", r"SELECT doc_id, rtrim(substr(trim(regexp_replace(lower(substr(text, 1, 90)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), '-') || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS slug FROM documents")
+@query("story_slugs", r"SELECT doc_id, rtrim(substr(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), '-') || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS slug FROM documents")
 def story_slugs(spark, sf_dir):
     """TX37: a readable slug with a stable suffix."""
-    return Tables(spark, sf_dir).documents.select("doc_id", T.story_slug(F.substring("text", 1, 90), F.col("doc_id").cast("string")).alias("slug"))
+    return Tables(spark, sf_dir).documents.select("doc_id", T.story_slug(_headline(), F.col("doc_id").cast("string")).alias("slug"))
 
 
 @query("model_commentary", "SELECT doc_id, regexp_matches(text, '(?i)\\b(the provided|this) (text|article)\\b') AS commentary FROM documents")
@@ -344,26 +346,26 @@ def model_commentary(spark, sf_dir):
 
 @query(
     "hamming_pairs",
-    """WITH h AS (SELECT doc_id, source, substr(md5(text), 1, 16) AS h FROM documents WHERE doc_id % 2 = 0)
+    """WITH h AS (SELECT doc_id, source, substr(md5(text), 1, 16) AS h FROM documents)
     SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(CAST(('0x' || substr(a.h, 1, 8)) AS BIGINT), CAST(('0x' || substr(b.h, 1, 8)) AS BIGINT))) + bit_count(xor(CAST(('0x' || substr(a.h, 9, 8)) AS BIGINT), CAST(('0x' || substr(b.h, 9, 8)) AS BIGINT))) AS INTEGER) AS bits
-    FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id AND bit_count(xor(CAST(('0x' || substr(a.h, 1, 8)) AS BIGINT), CAST(('0x' || substr(b.h, 1, 8)) AS BIGINT))) + bit_count(xor(CAST(('0x' || substr(a.h, 9, 8)) AS BIGINT), CAST(('0x' || substr(b.h, 9, 8)) AS BIGINT))) <= 24""",
+    FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id AND bit_count(xor(CAST(('0x' || substr(a.h, 1, 8)) AS BIGINT), CAST(('0x' || substr(b.h, 1, 8)) AS BIGINT))) + bit_count(xor(CAST(('0x' || substr(a.h, 9, 8)) AS BIGINT), CAST(('0x' || substr(b.h, 9, 8)) AS BIGINT))) <= 20""",
 )
 def hamming_pairs(spark, sf_dir):
     """DM6: pairs of image hashes within a source that differ in few bits."""
-    h = Tables(spark, sf_dir).documents.where(F.col("doc_id") % 2 == 0).select("doc_id", "source", F.substring(F.md5("text"), 1, 16).alias("h"))
+    h = Tables(spark, sf_dir).documents.select("doc_id", "source", F.substring(F.md5("text"), 1, 16).alias("h"))
     a, b = h.select("source", F.col("doc_id").alias("a"), F.col("h").alias("ha")), h.select("source", F.col("doc_id").alias("b"), F.col("h").alias("hb"))
-    return a.join(b, "source").where(F.col("a") < F.col("b")).withColumn("bits", T.hamming_hex(F.col("ha"), F.col("hb"))).where(F.col("bits") <= 24).select("a", "b", "bits")
+    return a.join(b, "source").where(F.col("a") < F.col("b")).withColumn("bits", T.hamming_hex(F.col("ha"), F.col("hb"))).where(F.col("bits") <= 20).select("a", "b", "bits")
 
 
 @query(
     "verbatim_quotes",
-    r"""WITH b AS (SELECT item_id, trim(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 60)) AS q FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+    r"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
     SELECT item_id, doc_id, CAST(instr(t, q) AS INTEGER) AS quote_start FROM b, d WHERE contains(t, q)""",
 )
 def verbatim_quotes(spark, sf_dir):
     """QC1 TX9: quotes found word for word in flattened documents, by the quote's first characters as key."""
     t = Tables(spark, sf_dir)
-    b = t.raw("benchmark").select("item_id", F.trim(F.substring(T.flat_ws(F.col("text")), 1, 60)).alias("q")).withColumn("k", F.substring("q", 1, 24))
+    b = t.raw("benchmark").select("item_id", T.flat_ws(F.col("text")).alias("q")).withColumn("k", F.substring("q", 1, 24))
     d = t.documents.select("doc_id", T.flat_ws(F.col("text")).alias("t"))
     # 24-character openings of all positions that begin a word meet the quotes' openings in an equi-join
     at = d.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(r"(?=(?:^|(?<= ))(.{24}))"), F.lit(1)), lambda x: x))).alias("k"))
