@@ -41,6 +41,8 @@ SEED = 42
 VIEWS = 6
 #: Variants that one task sorts at once, 8 bytes each.
 VARIANTS_AT_ONCE = 6_000_000
+#: Variants below one prefix, in portions of the above.
+VARIANTS_PER_PREFIX = 36_000_000
 
 
 def simhash64(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -191,11 +193,12 @@ def _pairs(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once:
     return signed[codes >> 24], signed[codes & 0xFFFFFF]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = None, at_once: int = VARIANTS_AT_ONCE, forest: bool = True) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = None, at_once: int = VARIANTS_AT_ONCE, forest: bool = True, views: int = 1) -> DataFrame:
     """(view, u, v): links among the fingerprints (column ``fp``, distinct in each ``view``) within ``radius`` bits.
 
     ``radius`` must be even. With ``forest`` each task returns a spanning forest of the
-    links it verified, which joins all that are linked; else the pairs of ``_pairs``.
+    links it verified, which joins all that are linked; else the pairs of ``_pairs``. The prefix
+    is chosen for the mean size of ``views`` views.
     """
     if radius % 2:
         raise ValueError("radius must be even: each side takes half of it")
@@ -203,8 +206,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | No
     if "view" not in distinct.columns:
         distinct = distinct.withColumn("view", F.lit(0))
     n = distinct.count() if count is None else count
-    variants = n * sum(math.comb(64, f) for f in range(half + 1))
-    bits = max(6, math.ceil(math.log2(max(1, variants / (at_once * 2 / 3)))))
+    variants = n / views * sum(math.comb(64, f) for f in range(half + 1))
+    bits = max(4, math.ceil(math.log2(max(1, variants / VARIANTS_PER_PREFIX))))
     masks = [int(m) for f in range(half + 1) for m in _ball(bits, f)]
     prefix = F.shiftrightunsigned("fp", 64 - bits)
     sent = distinct.select(
@@ -290,7 +293,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
     texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints")), "texts")
     seen = texts.select("id", F.posexplode("prints").alias("view", "fp"))
     spots = stored(seen.groupBy("view", "fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "spots")
-    links = stored(fingerprint_links(spots.select("view", "fp"), radius, forest=False).distinct(), "pairs")
+    links = stored(fingerprint_links(spots.select("view", "fp"), radius, forest=False, views=views).distinct(), "pairs")
     heads = spots.select("view", F.col("fp").alias("u"), F.col("head").alias("uh"))
     pairs = links.join(heads, ["view", "u"]).join(heads.withColumnRenamed("u", "v").withColumnRenamed("uh", "vh"), ["view", "v"])
     # texts that share a fingerprint meet its head, and the heads of the fingerprints linked to it
