@@ -41,13 +41,26 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedd
     and returns each row's k best, and a window picks among the blocks' lists. Rows
     shuffled grow with rows times blocks, never with pairs.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("x"))
-    blocks = max(1, math.ceil(rows.count() / block))
-    side = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    asks = rows if asked is None else rows.where(asked)
-    a = asks.select(side(1).alias("ab"), every.alias("bb"), "id", "x", F.lit(True).alias("asks"))
-    b = rows.select(side(1).alias("bb"), every.alias("ab"), "id", "x", F.lit(False).alias("asks")).select("ab", "bb", "id", "x", "asks")
+    rows = _rows(df, id_col, vector)
+    return _blocked(rows if asked is None else rows.where(asked), rows, k, floor, True, block)
+
+
+def nearest_to(df: DataFrame, targets: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", target_id: str = "id", target_vector: str = "centroid", block: int = BLOCK) -> DataFrame:
+    """vec_id, nbr_id, rnk, sim: each row's k most similar targets, blocked like ``nearest``."""
+    return _blocked(_rows(df, id_col, vector), _rows(targets, target_id, target_vector), k, None, False, block)
+
+
+def _rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+
+
+def _blocked(asks: DataFrame, held: DataFrame, k: int, floor: float | None, apart: bool, block: int) -> DataFrame:
+    """The k best of ``held`` for each row of ``asks``; ``apart`` leaves out a row's own id."""
+    n_a, n_b = (max(1, math.ceil(x.count() / block)) for x in (asks, held))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = asks.select(own(n_a).alias("ab"), every(n_b).alias("bb"), "id", "x", F.lit(True).alias("asks"))
+    b = held.select(own(n_b).alias("bb"), every(n_a).alias("ab"), "id", "x", F.lit(False).alias("asks")).select("ab", "bb", "id", "x", "asks")
 
     def run(table):
         ids, marks = table.column("id").to_numpy(), np.array(table.column("asks").to_pylist(), bool)
@@ -58,7 +71,7 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedd
             sims = np.round(x[marks] @ x[~marks].T, 12)
             for i in range(len(left)):
                 order = np.lexsort((right, -sims[i])) if k * 8 > len(right) else _best(sims[i], right, k + 1)
-                kept = [j for j in order[: k + 1] if right[j] != left[i] and (floor is None or sims[i, j] >= floor)][:k]
+                kept = [j for j in order[: k + 1] if not (apart and right[j] == left[i]) and (floor is None or sims[i, j] >= floor)][:k]
                 out[0].extend([left[i]] * len(kept))
                 out[1].extend(right[kept])
                 out[2].extend(sims[i, kept])

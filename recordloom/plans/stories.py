@@ -144,12 +144,11 @@ _CENTRE = f"""{_UNIT}, x AS (SELECT label, unnest(v) AS v, unnest(range(len(v)))
 
 
 def _nearest_centroid(t: Tables):
-    c = V.centroids(t.vectors, "label", "embedding").withColumnRenamed("label", "centre")
-    pairs = t.vectors.withColumn("_k", F.lit(0)).join(F.broadcast(c.withColumn("_k", F.lit(0))), "_k")  # one centroid for each label
-    sim = V.cosine(F.col("embedding"), F.col("centroid"))
-    scored = pairs.select("vec_id", "label", "centre", sim.alias("sim"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc(F.round("sim", 9)), "centre")
-    return scored.withColumn("k", F.row_number().over(order)).where(F.col("k") == 1).select("vec_id", F.col("label").alias("gold"), F.col("centre").alias("label"), F.round(1 - F.col("sim"), 6).alias("dist"))
+    c = V.centroids(t.vectors, "label", "embedding").withColumnRenamed("label", "id")
+    near = V.nearest_to(t.vectors, c, 3)  # of the closest, the one that leads after rounding
+    order = Window.partitionBy("vec_id").orderBy(F.desc(F.round("sim", 9)), "nbr_id")
+    first = near.withColumn("k", F.row_number().over(order)).where(F.col("k") == 1)
+    return first.join(t.vectors.select("vec_id", F.col("label").alias("gold")), "vec_id").select("vec_id", "gold", F.col("nbr_id").cast("int").alias("label"), F.round(1 - F.col("sim"), 6).alias("dist"))
 
 
 @query("story_centroid", f"WITH {_CENTRE} SELECT vec_id, label, dist FROM near WHERE k = 1")
