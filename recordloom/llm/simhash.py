@@ -197,8 +197,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | No
     """(view, u, v): links among the fingerprints (column ``fp``, distinct in each ``view``) within ``radius`` bits.
 
     ``radius`` must be even. With ``forest`` each task returns a spanning forest of the
-    links it verified, which joins all that are linked; else the pairs of ``_pairs``. The prefix
-    is chosen for the mean size of ``views`` views.
+    links it verified, which joins all that are linked; else the pairs of ``_pairs``, with
+    the ``head`` of either fingerprint as uh and vh. The prefix is chosen for the mean size of
+    ``views`` views.
     """
     if radius % 2:
         raise ValueError("radius must be even: each side takes half of it")
@@ -210,16 +211,22 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | No
     bits = max(4, math.ceil(math.log2(max(1, variants / VARIANTS_PER_PREFIX))))
     masks = [int(m) for f in range(half + 1) for m in _ball(bits, f)]
     prefix = F.shiftrightunsigned("fp", 64 - bits)
+    carried = [] if forest else ["head"]
     sent = distinct.select(
-        "view", "fp", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: prefix.bitwiseXOR(m))).alias("prefix")
+        "view", "fp", *carried, F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: prefix.bitwiseXOR(m))).alias("prefix")
     )
     find = _links if forest else _pairs
 
     def run(key, table):
-        u, v = find(table.column("fp").to_numpy(), key[1].as_py(), bits, radius, at_once)
-        return pa.table({"view": pa.array([key[0].as_py()] * len(u), pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        fps = table.column("fp").to_numpy()
+        u, v = find(fps, key[1].as_py(), bits, radius, at_once)
+        out = {"view": pa.array([key[0].as_py()] * len(u), pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
+        if not forest:
+            heads, order = table.column("head").to_numpy(), np.argsort(fps)
+            out |= {name: pa.array(heads[order[np.searchsorted(fps, x, sorter=order)]], pa.int64()) for name, x in (("uh", u), ("vh", v))}
+        return pa.table(out)
 
-    return sent.groupBy("view", "prefix").applyInArrow(run, "view int, u long, v long")
+    return sent.groupBy("view", "prefix").applyInArrow(run, "view int, u long, v long" + ("" if forest else ", uh long, vh long"))
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -293,9 +300,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
     texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints")), "texts")
     seen = texts.select("id", F.posexplode("prints").alias("view", "fp"))
     spots = stored(seen.groupBy("view", "fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "spots")
-    links = stored(fingerprint_links(spots.select("view", "fp"), radius, forest=False, views=views).distinct(), "pairs")
-    heads = spots.select("view", F.col("fp").alias("u"), F.col("head").alias("uh"))
-    pairs = links.join(heads, ["view", "u"]).join(heads.withColumnRenamed("u", "v").withColumnRenamed("uh", "vh"), ["view", "v"])
+    pairs = stored(fingerprint_links(spots.select("view", "fp", "head"), radius, forest=False, views=views).distinct(), "pairs")
     # texts that share a fingerprint meet its head, and the heads of the fingerprints linked to it
     crowded = seen.join(spots.where(F.col("n") > 1), ["view", "fp"]).where(F.col("id") != F.col("head")).select("view", "fp", "id", "head")
     each = [
