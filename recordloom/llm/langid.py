@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.llm.workers import lean
+
 UND = "und"
 DIMS = 4096
 CLUSTERS = 4
@@ -206,7 +208,7 @@ def identify(docs: DataFrame, model: Centroids | None, passing: tuple[str, ...]
                 columns = [part.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select("text", *keep).mapInArrow(run, schema) if "text" not in keep else docs.select(*keep).mapInArrow(run, schema)
+    return docs.select("text", *keep).mapInArrow(lean(run), schema) if "text" not in keep else docs.select(*keep).mapInArrow(lean(run), schema)
 
 
 def accepted(docs: DataFrame) -> DataFrame:

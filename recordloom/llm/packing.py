@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.workers import lean
 from recordloom.storage import stored
 
 LENGTH = 1024
@@ -90,10 +91,7 @@ class TokenIds:
     """Ids of a text by the tokenizer file at ``path``, and the same ids faster where ``ranks`` allows."""
 
     def __init__(self, path: str, ranks: str | None = None):
-        import tokenizers
-
-        self.slow = tokenizers.Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
         if ranks:
             import tiktoken
 
@@ -104,6 +102,10 @@ class TokenIds:
     def __call__(self, text: str) -> list[int]:
         if self.fast is not None and _COMMON.fullmatch(text) and _MARK not in text:
             return self.fast.encode_ordinary(text)
+        if self.slow is None:
+            import tokenizers
+
+            self.slow = tokenizers.Tokenizer.from_file(self.path)
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -178,7 +180,7 @@ def _repacked(length, most_open):
 def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, most_open: int = OPEN_BINS, paths: tuple[str, str | None] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _packed(paths or tokenizer_paths(), length, end_id, most_open),
+        lean(_packed(paths or tokenizer_paths(), length, end_id, most_open)),
         "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, open boolean",
     )
     pieces = stored(pieces, "pieces")

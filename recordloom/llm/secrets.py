@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.workers import lean
+
 SAMPLE_DOCS = 120
 #: Generated examples of each kind.
 EXAMPLES = 60
@@ -314,7 +316,7 @@ def find_secrets(docs: DataFrame, field: Field | None) -> DataFrame:
             )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.sketches import shingle_hashes
+from recordloom.llm.workers import lean, release
 from recordloom.operators.components import connected_components
 from recordloom.storage import stored
 
@@ -40,7 +41,7 @@ SEED = 42
 #: Word fingerprints from which near copies are found.
 VIEWS = 6
 #: Variants that one task sorts at once, 8 bytes each.
-VARIANTS_AT_ONCE = 6_000_000
+VARIANTS_AT_ONCE = 2_000_000
 #: Variants below one prefix, in portions of the above.
 VARIANTS_PER_PREFIX = 36_000_000
 
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
             fps = [simhash64(t.as_py(), words, seed) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _ball(bits: int, flips: int) -> np.ndarray:
@@ -224,6 +225,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | No
         if not forest:
             heads, order = table.column("head").to_numpy(), np.argsort(fps)
             out |= {name: pa.array(heads[order[np.searchsorted(fps, x, sorter=order)]], pa.int64()) for name, x in (("uh", u), ("vh", v))}
+        release()
         return pa.table(out)
 
     return sent.groupBy("view", "prefix").applyInArrow(run, "view int, u long, v long" + ("" if forest else ", uh long, vh long"))
@@ -295,7 +297,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "mark", "prints"])
 
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = stored(base.withColumn("mark", F.xxhash64("text")).mapInArrow(prints, "doc_id long, mark long, prints array<long>"), "prints")
+    marks = stored(base.withColumn("mark", F.xxhash64("text")).mapInArrow(lean(prints), "doc_id long, mark long, prints array<long>"), "prints")
     marks = marks.withColumn("print", F.get("prints", F.lit(0)))
     texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints")), "texts")
     seen = texts.select("id", F.posexplode("prints").alias("view", "fp"))
@@ -312,9 +314,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
     every = stored(every.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
     asked = every.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = base.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(sets.mapInArrow(_shingle_sets(words), "id long, shingles binary"), "sets")
+    sets = stored(sets.mapInArrow(lean(_shingle_sets(words)), "id long, shingles binary"), "sets")
     both = every.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("xs")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("ys")), "v")
-    roots = connected_components(both.mapInArrow(_alike(similarity), "u long, v long"))
+    roots = connected_components(both.mapInArrow(lean(_alike(similarity)), "u long, v long"))
     named = texts.join(roots, texts["id"] == roots["node"], "left").select("mark", "print", F.coalesce("root", "id").alias("component_id"))
     return marks.join(named, ["mark", "print"]).select("doc_id", "component_id")
 

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm.workers import lean
+
 WORDS = 5
 FRACTION = 1 / 16
 FLOOR = 64
@@ -167,7 +169,7 @@ def with_successor(docs: DataFrame, each, schema: str, names: list[str]) -> Data
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 class _Edited:
@@ -199,7 +201,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION
             marks = [to_text(sketch(t.as_py() or "", words, fraction, floor)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:

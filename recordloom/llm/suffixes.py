@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.workers import lean, release
 from recordloom.storage import stored
 
 WINDOW = 100
@@ -414,8 +415,6 @@ def _find_repeats(buckets, window, gram):
     reach = window - gram
 
     def run(table):
-        from pyspark import TaskContext  # noqa: F401 - workers only
-
         load = lambda part, name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
         ids, marks, froms, tos = [], [], [], []
         usual = table.filter(pa.compute.equal(table.column("kind"), 0))
@@ -457,6 +456,7 @@ def _find_repeats(buckets, window, gram):
         i, m, a, b = merged(cat(ids), cat(marks), cat(froms), cat(tos))
         bucket = np.mod(_bucket_hash(i, m), buckets).astype(np.int64)
         rows = [(x, i[k].tobytes(), m[k].tobytes(), a[k].tobytes(), b[k].tobytes()) for x, k in _split(bucket, buckets)]
+        release()
         types = [pa.int64(), *[pa.binary()] * 4]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["bucket", "ids", "marks", "froms", "tos"])
 
@@ -514,7 +514,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     parts = max(tasks, -(-total // (2 * bucket_bytes)))
     own = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)).bitwiseXOR(F.col("mark")), F.lit(1 << 31)), F.lit(buckets))
     base = base.withColumn("bucket", own)
-    found = base.where(F.octet_length("text") >= window).mapInArrow(_hash_anchors(parts, window, gram), "part int, hashes binary, buckets binary, times binary")
+    found = base.where(F.octet_length("text") >= window).mapInArrow(lean(_hash_anchors(parts, window, gram)), "part int, hashes binary, buckets binary, times binary")
     replies = stored(found.groupBy("part").applyInArrow(_repeated_anchors(hot), "bucket long, hashes binary, hot binary"), "anchors")
     contexts = base.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_contexts(parts, window, gram), _CONTEXT)
     ranges = stored(contexts.groupBy("part").applyInArrow(_find_repeats(buckets, window, gram), _RANGES), "ranges")
