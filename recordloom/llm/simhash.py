@@ -312,7 +312,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
     ]
     every = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).where(F.col("a") != F.col("b"))
     every = stored(every.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
-    asked = every.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    asked = every.select(F.col("u").alias("id")).union(every.select("v")).distinct()
     sets = base.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi").dropDuplicates(["id"])
     sets = stored(sets.mapInArrow(lean(_shingle_sets(words)), "id long, shingles binary"), "sets")
     both = every.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("xs")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("ys")), "v")
