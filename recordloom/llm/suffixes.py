@@ -70,16 +70,16 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return (done ^ (done >> np.uint64(32))) * _MIX
 
 
-def anchors(raw: np.ndarray, doc_start: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors of all windows inside documents that stand one after another in ``raw``.
+def anchors(raw: np.ndarray, doc_start: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, first, last) of the anchors of all windows inside documents that stand one after another in ``raw``.
 
-    ``doc_start`` has each document's first position and, last, the length of ``raw``.
+    ``first`` and ``last`` are the starts of the windows that the anchor stands for. ``doc_start`` has each document's first position and, last, the length of ``raw``.
     """
     if len(raw) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = _gram_hashes(raw, gram)
     doc = np.repeat(np.arange(len(doc_start) - 1), np.diff(doc_start))
-    places, step = [], (1 << 24) - window
+    places, windows, step = [], [], (1 << 24) - window
     for lo in range(0, len(raw) - window + 1, step):
         hi = min(len(raw), lo + step + window - 1)
         part = (hashes[lo : hi - gram + 1] & ~_LOW) | np.arange(hi - gram + 1 - lo, dtype=np.uint64)
@@ -92,9 +92,11 @@ def anchors(raw: np.ndarray, doc_start: np.ndarray, window: int = WINDOW, gram:
         n = hi - lo - window + 1
         inside = doc[lo : lo + n] == doc[lo + window - 1 : lo + window - 1 + n]
         places.append((part[:n][inside] & _LOW).astype(np.int64) + lo)
-    found = np.concatenate(places)
-    found = np.unique(found) if len(places) > 1 else found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
-    return found, hashes[found]
+        windows.append(np.flatnonzero(inside) + lo)
+    place, start = np.concatenate(places), np.concatenate(windows)
+    begin = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+    last = np.concatenate((begin[1:], [len(place)])).astype(np.int64) - 1 if len(place) else begin
+    return place[begin], hashes[place[begin]], start[begin], start[last]
 
 
 def blind_trie(keys: list[int], bits: int) -> tuple[list[int], list[int]]:
@@ -281,7 +283,7 @@ def _hash_anchors(parts, window, gram):
                 bucket = _Bucket(table)
                 rows: list[tuple] = []
                 for base, raw, starts in bucket.pieces():
-                    where, hashes = anchors(raw, starts, window, gram)
+                    where, hashes, _, _ = anchors(raw, starts, window, gram)
                     doc = base + np.searchsorted(starts, where, "right") - 1
                     for p, pick in _split(_parts_of(hashes, parts), parts):
                         found, own, times = _counted(hashes[pick], buckets[doc[pick]])
@@ -349,12 +351,13 @@ def _contexts(parts, window, gram):
             bucket = _Bucket(docs)
             hot_windows: list[np.ndarray] = []
             for base, raw, starts in bucket.pieces():
-                where, hashes = anchors(raw, starts, window, gram)
+                where, hashes, first, last = anchors(raw, starts, window, gram)
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 found = known[at] == hashes
                 where, hashes, is_hot = where[found], hashes[found], hot[at[found]]
                 doc = np.searchsorted(starts, where, "right") - 1
-                n_before, n_after = np.minimum(reach, where - starts[doc]), np.minimum(window, starts[doc + 1] - where)
+                # equal windows have their anchor in one place, so each anchor answers for its own windows alone
+                n_before, n_after = where - first[found], window - (where - last[found])
                 if is_hot.any():
                     hot_windows.append(_first_windows(raw, where[is_hot], n_before[is_hot], n_after[is_hot], doc[is_hot], starts, base, window, reach))
                 where, hashes, doc, n_before, n_after = (x[~is_hot] for x in (where, hashes, doc, n_before, n_after))
