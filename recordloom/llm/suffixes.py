@@ -20,9 +20,10 @@ An anchor that occurs more than ``HOT`` times is not gathered: its windows are r
 their first occurrence inside each bucket of documents, and only those meet, by window.
 
 Defined cases: a null text is empty; texts under ``WINDOW`` bytes lose nothing; repeated
-rows (same doc_id, same text) are one document and get the same result each; documents of
-equal doc_id and different text are ordered by the hash of their text, those without
-doc_id come last; an empty table gives an empty result; only doc_id and text are read.
+rows (same doc_id or none, same text) are one document, whose bytes are no repeats of
+themselves, and get the same result each; documents of equal doc_id and different text are
+ordered by the hash of their text, those without doc_id come last; an empty table gives an
+empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -260,6 +261,15 @@ class _Bucket:
             at = to
 
 
+def _once(docs: pa.Table) -> pa.Table:
+    """One row of each document: a bucket holds all rows of an id and text."""
+    ids = pa.compute.fill_null(docs.column("doc_id"), _NO_ID).to_numpy()
+    marks = docs.column("mark").to_numpy()
+    order = np.lexsort((marks, ids))
+    again = order[1:][(ids[order][1:] == ids[order][:-1]) & (marks[order][1:] == marks[order][:-1])]
+    return docs.take(np.delete(np.arange(len(ids)), again)) if len(again) else docs
+
+
 def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
@@ -348,7 +358,7 @@ def _contexts(parts, window, gram):
             hot = np.frombuffer(b"".join(replies.column("hot").to_pylist()), bool)
             order = np.argsort(known)
             known, hot = known[order], hot[order]
-            bucket = _Bucket(docs)
+            bucket = _Bucket(_once(docs))
             hot_windows: list[np.ndarray] = []
             for base, raw, starts in bucket.pieces():
                 where, hashes, first, last = anchors(raw, starts, window, gram)

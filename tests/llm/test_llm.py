@@ -243,6 +243,15 @@ def test_repeats_edge_cases(spark, edge, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_repeated_rows_keep_their_text(spark, hot):
+    alone = " ".join(f"w{i * i}" for i in range(80))
+    rows = [(1, alone), (1, alone), (None, alone[::-1]), (None, alone[::-1]), (2, "x" + alone), (3, "short")]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    assert [r.n_removed for r in got if r.doc_id in (1, None)] == [0] * 4
+    assert [r.n_removed for r in got if r.doc_id == 2] == [len(alone)]
+
+
 @given(st.lists(st.binary(min_size=6, max_size=6), min_size=1, max_size=40))
 @settings(max_examples=80, deadline=None)
 def test_blind_trie_sorts(rows):
