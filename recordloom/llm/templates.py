@@ -8,10 +8,10 @@ differ into variable fields. A template that occurs in ``min_docs`` documents or
 recurs; every document but the first that has it (smallest doc_id) loses its lines.
 
 The tree works on distinct masked lines, counted map-side, so a line that every document
-repeats is one row. A leaf of more than ``max_leaf`` distinct lines is parted by further
-leading tokens, level by level, until its parts are small enough or hold lines of one
-beginning alone; no line is left out. Only leaves whose lines could recur together are
-parsed in Python.
+repeats is one row. Its depth is the same at every size: a leaf is parsed whole, and beyond
+``max_leaf`` templates a line looks its template up by blocks of tokens, one of which it
+must share with every template within reach, so the result is that of comparing with each.
+Only leaves whose lines could recur together are parsed in Python.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line;
 lines of fewer than ``min_tokens`` tokens are never dropped; the first document keeps all
@@ -22,6 +22,9 @@ through unchanged.
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +35,8 @@ MIN_DOCS = 10
 MIN_TOKENS = 3
 LEADING = 3
 SHARE = 0.7
+#: Templates of a leaf from which on they are looked up by blocks of tokens.
 MAX_LEAF = 1000
-#: Leading tokens at which a leaf that is too large is parted further.
-DEEPER = (6, 12, 24)
 FIELD = "<*>"
 #: Stands for a missing doc_id, after all others.
 _LAST = (1 << 63) - 1
@@ -61,37 +63,75 @@ def line_rows(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     return rows.select("d", "pos", F.xxhash64("m").alias("line"), _leaf(F.col("m"), leading).alias("leaf"))
 
 
-def _parse_leaf(lines: list[tuple], share: float) -> list[str]:
+class _Blocks:
+    """A leaf's templates by blocks of their tokens.
+
+    A line that shares enough tokens with a template differs from it in fewer places than
+    there are blocks, so it equals the template in one block at least.
+    """
+
+    def __init__(self, templates: list[list[str]], share: float):
+        width = len(templates[0])
+        self.need = next(n for n in range(width + 1) if n >= share * width)
+        count = width - self.need + 1
+        places = [i for i in range(width) if len({t[i] for t in templates}) > 1]
+        self.blocks = [places[b::count] for b in range(count)] if len(places) >= count else [[]]
+        self.numbers: dict[str, int] = {}
+        self.rows = np.zeros((2 * len(templates), width), np.int32)
+        self.at: dict[tuple, array] = {}
+        for n, template in enumerate(templates):
+            self.put(n, template)
+
+    def _keys(self, row: list[int]) -> list[tuple]:
+        return [(b, *[row[i] for i in block]) for b, block in enumerate(self.blocks)]
+
+    def put(self, n: int, template: list[str]) -> None:
+        """Enter template ``n``, or enter it anew after it changed; old entries do no harm."""
+        if n >= len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        row = [self.numbers.setdefault(t, len(self.numbers)) for t in template]
+        self.rows[n] = row
+        for key in self._keys(row):
+            self.at.setdefault(key, array("q")).append(n)
+
+    def first(self, tokens: list[str]) -> list[int]:
+        """The first template that shares enough tokens with the line, if any does."""
+        row = [self.numbers.get(t, -1) for t in tokens]
+        found = [np.array(self.at[key]) for key in self._keys(row) if key in self.at]
+        if not found:
+            return []
+        near = np.concatenate(found)
+        near = near[(self.rows[near] == np.array(row)).sum(axis=1) >= self.need]
+        return [int(near.min())] if len(near) else []
+
+
+def _parse_leaf(lines: list[tuple], share: float, max_leaf: int = MAX_LEAF) -> list[str]:
     """The template of each line, parsed in the order given."""
     templates: list[list[str]] = []
     members: list[int] = []
+    blocks = None
     for line, *_ in lines:
         tokens = line.split(" ")
-        for n, template in enumerate(templates):
+        if blocks is None and len(templates) > max_leaf:
+            blocks = _Blocks(templates, share)
+        for n in range(len(templates)) if blocks is None else blocks.first(tokens):
+            template = templates[n]
             same = sum(a == b for a, b in zip(tokens, template, strict=True))
             if same >= share * len(tokens):
                 if same < len(tokens):
-                    templates[n] = [a if a == b else FIELD for a, b in zip(tokens, template, strict=True)]
+                    grown = [a if a == b else FIELD for a, b in zip(tokens, template, strict=True)]
+                    if blocks is not None and grown != template:
+                        blocks.put(n, grown)
+                    templates[n] = grown
                 members.append(n)
                 break
         else:
             templates.append(tokens)
             members.append(len(templates) - 1)
-    return [" ".join(templates[n]) for n in members]
-
-
-def _fit_leaves(rows: DataFrame, max_leaf: int) -> DataFrame:
-    """(line, masked, n_docs, leaf, slice): leaves of more than ``max_leaf`` lines are parted by further leading tokens."""
-    for n in DEEPER:
-        size = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"))
-        if not size.where(F.col("n_lines") > max_leaf).take(1):
-            return rows.withColumn("slice", F.lit(0).cast("long"))
-        rows = rows.join(size, "leaf").withColumn("leaf", F.when(F.col("n_lines") > max_leaf, _leaf(F.col("masked"), n, F.lit(n))).otherwise(F.col("leaf"))).drop("n_lines")
-        rows = stored(rows, "leaves")
-    size = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"))
-    # what is still too large shares its first 24 tokens: parted by hash, as all but its tails is equal
-    part = F.pmod(F.xxhash64("masked"), F.ceil(F.col("n_lines") / max_leaf))
-    return rows.join(size, "leaf").withColumn("slice", F.when(F.col("n_lines") > max_leaf, part).otherwise(F.lit(0)).cast("long"))
+            if blocks is not None:
+                blocks.put(len(templates) - 1, tokens)
+    joined = [" ".join(t) for t in templates]
+    return [joined[n] for n in members]
 
 
 def templates(rows: DataFrame, share: float = SHARE, max_leaf: int = MAX_LEAF) -> DataFrame:
@@ -99,7 +139,6 @@ def templates(rows: DataFrame, share: float = SHARE, max_leaf: int = MAX_LEAF) -
 
     ``rows`` has (line, leaf, masked, n_docs), one row per distinct masked line.
     """
-    rows = _fit_leaves(rows, max_leaf)
 
     def as_batch(done):
         return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())], names=["line", "template"])
@@ -108,18 +147,18 @@ def templates(rows: DataFrame, share: float = SHARE, max_leaf: int = MAX_LEAF) -
         def flush():
             nonlocal group
             group.sort(key=lambda g: (-g[1], g[0]))
-            found = _parse_leaf(group, share) if group else []
+            found = _parse_leaf(group, share, max_leaf) if group else []
             out = [(g[2], t) for g, t in zip(group, found, strict=True)]
             group = []
             return out
 
         group, at, done = [], None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("leaf", "slice", "masked", "n_docs", "line")]
-            for leaf, part, text, n, line in zip(*columns, strict=True):
-                if (leaf, part) != at:
+            columns = [batch.column(c).to_pylist() for c in ("leaf", "masked", "n_docs", "line")]
+            for leaf, text, n, line in zip(*columns, strict=True):
+                if leaf != at:
                     done += flush()
-                    at = (leaf, part)
+                    at = leaf
                 group.append((text, n, line))
             if done:
                 yield as_batch(done)
@@ -127,8 +166,8 @@ def templates(rows: DataFrame, share: float = SHARE, max_leaf: int = MAX_LEAF) -
         if done := flush():
             yield as_batch(done)
 
-    parted = rows.select("leaf", "slice", "masked", "n_docs", "line").repartition("leaf", "slice").sortWithinPartitions("leaf", "slice")
-    return parted.mapInArrow(run, "line long, template string")
+    dealt = rows.select("leaf", "masked", "n_docs", "line").repartition("leaf").sortWithinPartitions("leaf")
+    return dealt.mapInArrow(run, "line long, template string")
 
 
 def recurring(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_leaf: int = MAX_LEAF) -> DataFrame:

@@ -350,6 +350,21 @@ def test_large_leaves_are_parted(spark):
     assert sum(r._n_dropped for r in got if r.doc_id >= 100) == 12
 
 
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=6, max_size=6), min_size=1, max_size=150), st.sampled_from([0.3, 0.5, 0.7, 0.9]))
+@settings(max_examples=150, deadline=None)
+def test_lookup_by_blocks_equals_comparing_all(lines, share):
+    lines = [(" ".join(x),) for x in lines]
+    assert templates._parse_leaf(lines, share, max_leaf=2) == templates._parse_leaf(lines, share, max_leaf=10**9)
+
+
+def test_a_template_of_many_variants_is_dropped(spark):
+    n = templates.MAX_LEAF + 200
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"Posted by user {name(i)} in forum of the old town\nonly here {name(i)} {name(i)}{name(i)} {name(3 * i)}") for i in range(n)]
+    got = {r.doc_id: r.text for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i == 0 else t.split("\n")[1] for i, t in rows} == _brute_lines(rows, templates.MIN_DOCS)
+
+
 def test_lines_edge_cases(spark, edge, none):
     got = templates.drop_recurring(edge, min_docs=2)
     assert got.count() == 15 and set(edge.columns) <= set(got.columns)
