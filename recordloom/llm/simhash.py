@@ -40,6 +40,9 @@ RADIUS = 4
 SEED = 42
 #: Word fingerprints from which near copies are found.
 VIEWS = 6
+#: Bands of least shingle hashes: of pairs that are 0.8 alike, all but (1 - 0.8 ** ROWS) ** BANDS, 1 in 20,000, share one.
+BANDS = 25
+ROWS = 5
 #: Variants that one task sorts at once, 8 bytes each.
 VARIANTS_AT_ONCE = 2_000_000
 #: Variants below one prefix, in portions of the above.
@@ -260,6 +263,23 @@ def word_prints(text: str | None, views: int) -> list[int]:
     return out
 
 
+def band_keys(text: str | None, words: int, bands: int = BANDS, rows: int = ROWS) -> list[int]:
+    """A hash of the ``rows`` least values of each band, every value under a hash of its own; none without shingles."""
+    shingles = shingle_hashes(text or "", words)
+    if not len(shingles):
+        return []
+    out = []
+    for band in range(bands):
+        least = []
+        for k in range(band * rows, band * rows + rows):
+            mixed = (shingles ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            least.append((mixed * np.uint64(0xD6E8FEB86659FD93)).min())
+        value = xxhash.xxh64_intdigest(np.array(least, "<u8").tobytes(), band)
+        out.append(value - (1 << 64) if value >> 63 else value)
+    return out
+
+
 def _shingle_sets(words: int):
     def run(batches):
         for batch in batches:
@@ -287,23 +307,27 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
 
     A 64-bit fingerprint of five-word shingles moves by some ten bits at a similarity of 0.8,
     far beyond the radius. Its candidates therefore come from ``views`` fingerprints of the
-    distinct words, of which each stays within four bits for more than half of such pairs;
-    the pairs found are verified on the whole sets of shingles. Equal texts are one.
+    distinct words, which scattered edits move by little, and from bands of least shingle
+    hashes, which depend on the similarity alone and so also meet where a passage was added,
+    cut or replaced; the pairs found are verified on the whole sets of shingles. Equal texts
+    are one.
     """
 
     def prints(batches):
         for batch in batches:
             found = [word_prints(t.as_py(), views) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "mark", "prints"])
+            bands = [band_keys(t.as_py(), words) for t in batch.column("text")]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *lists], names=["doc_id", "mark", "prints", "bands"])
 
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = stored(base.withColumn("mark", F.xxhash64("text")).mapInArrow(lean(prints), "doc_id long, mark long, prints array<long>"), "prints")
+    marks = stored(base.withColumn("mark", F.xxhash64("text")).mapInArrow(lean(prints), "doc_id long, mark long, prints array<long>, bands array<long>"), "prints")
     marks = marks.withColumn("print", F.get("prints", F.lit(0)))
-    texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints")), "texts")
-    seen = texts.select("id", F.posexplode("prints").alias("view", "fp"))
+    texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints"), F.first("bands").alias("bands")), "texts")
+    seen = texts.select("id", F.posexplode(F.concat("prints", "bands")).alias("view", "fp"))
     spots = stored(seen.groupBy("view", "fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "spots")
-    pairs = stored(fingerprint_links(spots.select("view", "fp", "head"), radius, forest=False, views=views).distinct(), "pairs")
-    # texts that share a fingerprint meet its head, and the heads of the fingerprints linked to it
+    pairs = stored(fingerprint_links(spots.where(F.col("view") < views).select("view", "fp", "head"), radius, forest=False, views=views).distinct(), "pairs")
+    # texts that share a fingerprint or band meet its head, and the heads of the fingerprints linked to it
     crowded = seen.join(spots.where(F.col("n") > 1), ["view", "fp"]).where(F.col("id") != F.col("head")).select("view", "fp", "id", "head")
     each = [
         pairs.select(F.col("uh").alias("a"), F.col("vh").alias("b")), crowded.select(F.col("id").alias("a"), F.col("head").alias("b")),

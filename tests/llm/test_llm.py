@@ -566,6 +566,23 @@ def test_near_copies_equal_brute_force(spark, docs):
         assert want[got[i]] == want[i]
 
 
+@pytest.mark.parametrize("length", [100, 400])
+def test_near_copies_with_edited_passages(spark, length):
+    rng = np.random.default_rng(7)
+    some = lambda n: [f"w{int(w)}" for w in rng.zipf(1.3, n) % 5000]
+    rows, pairs = [], []
+    for n in range(90):
+        words = some(length)
+        cut = int(length * (0.16, 0.12, 0.08)[n % 3])
+        near = (words + some(cut), words[: length - cut], words[:20] + some(cut // 2) + words[20 + cut // 2 :])[n // 3 % 3]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(near))]
+        a, b = (set(sketches.shingle_hashes(t, 5).tolist()) for _, t in rows[-2:])
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(2 * n)
+    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert len(pairs) > 60 and [i for i in pairs if got[i + 1] != i] == []
+
+
 def test_dedup_keeps_one_of_each_group(spark, edge, none):
     kept = simhash.deduplicate(edge).collect()
     ids = collections.Counter(r.doc_id for r in kept)
