@@ -336,11 +336,26 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
     ]
     every = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).where(F.col("a") != F.col("b"))
     every = stored(every.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
-    asked = every.select(F.col("u").alias("id")).union(every.select("v")).distinct()
-    sets = base.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(sets.mapInArrow(lean(_shingle_sets(words)), "id long, shingles binary"), "sets")
-    both = every.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("xs")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("ys")), "v")
-    roots = connected_components(both.mapInArrow(lean(_alike(similarity)), "u long, v long"))
+
+    def verified(pairs):
+        asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+        sets = base.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi").dropDuplicates(["id"])
+        sets = stored(sets.mapInArrow(lean(_shingle_sets(words)), "id long, shingles binary"), "sets")
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("xs")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("ys")), "v")
+        return stored(both.mapInArrow(lean(_alike(similarity)), "u long, v long"), "links")
+
+    links = verified(every)
+    roots = connected_components(links)
+    # whom the heads leave apart in a band meet each other, unless the links join them already
+    bands = seen.where(F.col("view") >= views).join(spots.where(F.col("n") > 1).select("view", "fp"), ["view", "fp"])
+    bands = stored(bands.join(roots.withColumnRenamed("node", "id"), "id", "left").select("view", "fp", "id", F.coalesce("root", "id").alias("root")), "bands")
+    parted = bands.groupBy("view", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
+    bands = bands.join(parted.select("view", "fp"), ["view", "fp"])
+    a, b = (bands.select("view", "fp", F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
+    rest = a.join(b, ["view", "fp"]).where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root"))).select("u", "v").distinct()
+    rest = stored(rest.join(every, ["u", "v"], "left_anti"), "rest")
+    if rest.take(1):
+        roots = connected_components(links.unionByName(verified(rest)))
     named = texts.join(roots, texts["id"] == roots["node"], "left").select("mark", "print", F.coalesce("root", "id").alias("component_id"))
     return marks.join(named, ["mark", "print"]).select("doc_id", "component_id")
 

@@ -583,6 +583,23 @@ def test_near_copies_with_edited_passages(spark, length):
     assert len(pairs) > 60 and [i for i in pairs if got[i + 1] != i] == []
 
 
+def test_members_apart_from_the_head_meet_each_other(spark):
+    base = [f"base{i}" for i in range(200)]
+    other = base[:60] + [f"other{i}" for i in range(30)] + base[90:]
+    tail = lambda i, n: [f"tail{i}x{k}" for k in range(n)]
+    groups = [base + tail(0, 20), other + tail(1, 4), other + tail(2, 4), other + tail(3, 4), base[:100] + tail(4, 40), *[base + tail(i, 20 + i) for i in range(5, 40)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(groups)]
+    sets = [set(sketches.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), views=1).collect())
+    assert got == dict(enumerate(root)) and root[2] == 1 and len(set(root)) > 2
+
+
 def test_dedup_keeps_one_of_each_group(spark, edge, none):
     kept = simhash.deduplicate(edge).collect()
     ids = collections.Counter(r.doc_id for r in kept)
