@@ -9,8 +9,8 @@ under ``reject_share`` of the median cosine that the language's own training tex
 no letter.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``per_language``
-texts of each of at most ``max_languages`` languages (the most frequent), chosen by hash
-of doc_id, so the sample does not depend on partitioning. Prediction covers every row and
+texts of each of at most ``max_languages`` languages (the most frequent, of equal counts the
+first in code point order), chosen by hash of doc_id, so the sample does not depend on partitioning. Prediction covers every row and
 is map-only.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and rejected; a
@@ -186,11 +186,14 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_langu
     open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = open_rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= per_language)
-    ids = chosen.select("lang", "doc_id").orderBy("lang", "doc_id").limit(per_language * max_languages).collect()
+    most = open_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    ids = chosen.join(most, "lang").select("lang", "doc_id").collect()
     if not ids:
         return []
     wanted = sorted({r["doc_id"] for r in ids})
-    return [(r["lang"], r["text"]) for r in open_rows.where(F.col("doc_id").isin(wanted)).select("lang", "text").collect()]
+    learned = sorted({r["lang"] for r in ids})
+    asked = open_rows.where(F.col("doc_id").isin(wanted) & F.col("lang").isin(learned))
+    return [(r["lang"], r["text"]) for r in asked.select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, model: Centroids | None, passing: tuple[str, ...] = ()) -> DataFrame:

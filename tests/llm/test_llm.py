@@ -426,6 +426,12 @@ def test_languages_edge_cases(spark, edge, none, tiny):
     assert langid.identify(foreign, model).first().rejected
 
 
+def test_most_frequent_languages_are_learned(spark):
+    rows = [(i, f"text {i}", "aa" if i < 10 else "bb" if i < 40 else "zz") for i in range(120)]
+    got = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5, max_languages=2)
+    assert collections.Counter(lang for lang, _ in got) == {"bb": 5, "zz": 5}
+
+
 def test_lang_is_no_input(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     model = langid.fit(langid.training_sample(docs))
