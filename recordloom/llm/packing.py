@@ -10,12 +10,14 @@ pieces of their own, largest first, in tasks that gather a bounded number of the
 of a full sequence's length need no bin.
 
 Token ids come from the tokenizer file; texts made of common Latin characters take
-a faster library with the same vocabulary and pattern, which gives the same ids.
+a faster library with the same vocabulary and pattern, which gives the same ids. That
+library gives up on very long runs of blanks, so texts with one go by the tokenizer file.
 
 Defined cases: a null or empty text is the end id alone; documents longer than a sequence
 are cut so that all pieces but the first are full; repeated rows and rows without doc_id
-are packed like any other; an empty table gives an empty result; only doc_id and text
-are read.
+are packed like any other; a text of any length (a word or a run of blanks of a million
+characters too) is encoded whole; an empty table gives an empty result; only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BINS_PER_TASK = 200_000
 _COMMON = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MARK = "<|endoftext|>"
+#: A run of blanks beyond what the faster library's pattern engine takes.
+_BLANKS = re.compile(r"(?<!\s)\s{10001}")
 
 
 class Bins:
@@ -100,7 +104,7 @@ class TokenIds:
             self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and _COMMON.fullmatch(text) and _MARK not in text:
+        if self.fast is not None and _COMMON.fullmatch(text) and _MARK not in text and not _BLANKS.search(text):
             return self.fast.encode_ordinary(text)
         if self.slow is None:
             import tokenizers

@@ -201,6 +201,26 @@ def test_both_tokenizers_agree(docs):
     assert ids("a<|endoftext|>b") == slow("a<|endoftext|>b")
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "x" + "\n \t" * 300_000 + "y", "a" * 1_000_000, "antidisestablish" * 62_500, "né漢т " * 200_000, "." * 1_000_000])
+def test_very_long_runs_are_encoded_whole(text):
+    ids = packing.TokenIds(*packing.tokenizer_paths())
+    slow = packing.TokenIds(packing.tokenizer_paths()[0])
+    assert ids(text) == slow(text)
+
+
+def test_packing_of_very_long_texts(spark):
+    rows = [(1, " " * 1_000_000), (2, "b" * 1_000_000), (3, "short")]
+    got = _by(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), "doc_id")
+    slow = packing.TokenIds(packing.tokenizer_paths()[0])
+    assert {i: sum(r.length for r in rows_) for i, rows_ in got.items()} == {i: len(slow(t)) + 1 for i, t in rows}
+
+
+def test_packing_needs_few_sequences(spark, docs):
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    least = -(-sum(r.length for r in got) // 1024)
+    assert len({r.sequence_id for r in got}) <= 1.02 * least + 1
+
+
 def _by(rows, key):
     out = collections.defaultdict(list)
     for r in rows:
