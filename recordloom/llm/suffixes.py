@@ -6,10 +6,14 @@ every byte a hundred times, so the suffix array is sparse: each window is stood
 anchor, the ``GRAM`` bytes in it with the least hash. Equal windows have equal anchors at
 equal places, so all repeats are found among the suffixes that start at anchors.
 
-1. Every task hashes its documents' anchors; anchors that occur once in all the corpus
-   can't lie in a repeated window and are dropped.
+1. Documents are dealt into buckets, once; every step below reads that one exchange.
+   Each bucket sends its anchors' hashes, four bytes each, dealt by their other bytes;
+   anchors that occur once in all the corpus can't lie in a repeated window and are
+   dropped, the others come back to their buckets. (Two anchors with one hash only make
+   suffixes that are compared in vain.)
 2. The suffixes at the others, with the bytes before them that a window can hold, are
-   dealt by anchor. In each task they are sorted forwards (the bytes from the anchor) and
+   dealt by anchor; of equal ones in a bucket only the first travels whole, the rest are
+   repeats already. In each task they are sorted forwards (the bytes from the anchor) and
    backwards (the bytes before it): multikey quicksort on eight-byte characters down to
    ``SHALLOW`` bytes, then blind tries order the groups whose prefixes are still equal.
    The sorted order with its longest common prefixes tells, for every place of the anchor
@@ -19,11 +23,14 @@ equal places, so all repeats are found among the suffixes that start at anchors.
 An anchor that occurs more than ``HOT`` times is not gathered: its windows are reduced to
 their first occurrence inside each bucket of documents, and only those meet, by window.
 
-Defined cases: a null text is empty; texts under ``WINDOW`` bytes lose nothing; repeated
+Buckets and parts grow in number with the bytes of text, and so do the tasks.
+
+Defined cases: a null text is empty; texts under ``WINDOW`` bytes lose nothing; a very
+long text is one document of its bucket, read in one piece; repeated
 rows (same doc_id or none, same text) are one document, whose bytes are no repeats of
 themselves, and get the same result each; documents of equal doc_id and different text are
-ordered by the hash of their text, those without doc_id come last; an empty table gives an
-empty result; only doc_id and text are read.
+ordered by the hash of their text, those without doc_id come last; any doc_id is legal; an
+empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -35,8 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.workers import lean, release
-from recordloom.storage import stored
+from recordloom.llm.workers import release
 
 WINDOW = 100
 GRAM = 24
@@ -45,9 +51,11 @@ HOT = 100_000
 #: Bytes of text in a bucket of documents, about.
 BUCKET_BYTES = 8_000_000
 _AT_ONCE = 2_000_000
-_NO_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
+#: A document: those without an id come after all others.
+_DOC = np.dtype([("none", "u1"), ("id", "<i8"), ("mark", "<i8")])
+_SPOT = np.dtype([("doc", _DOC), ("at", "<i8")])
 
 
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -242,9 +250,7 @@ class _Bucket:
     """Documents of a bucket, one after another, in pieces of bounded size."""
 
     def __init__(self, table: pa.Table, at_once: int = _AT_ONCE):
-        ids = table.column("doc_id").to_pylist()
-        self.ids = np.array([_NO_ID if i is None else i for i in ids], np.int64)
-        self.marks = table.column("mark").to_numpy()
+        self.docs = _doc_keys(table)
         self.texts = [t.as_py().encode("utf-8", "surrogatepass") for t in table.column("text")]
         self.at_once = at_once
 
@@ -261,100 +267,101 @@ class _Bucket:
             at = to
 
 
-def _once(docs: pa.Table) -> pa.Table:
+def _doc_keys(table: pa.Table) -> np.ndarray:
+    out = np.zeros(len(table), _DOC)
+    out["none"] = table.column("doc_id").is_null().to_numpy()
+    out["id"] = pa.compute.fill_null(table.column("doc_id"), 0).to_numpy()
+    out["mark"] = table.column("mark").to_numpy()
+    return out
+
+
+def _keys(docs: np.ndarray) -> tuple:
+    """Sort keys of documents, the last first, as ``lexsort`` takes them."""
+    return docs["mark"], docs["id"], docs["none"]
+
+
+def _once(table: pa.Table) -> pa.Table:
     """One row of each document: a bucket holds all rows of an id and text."""
-    ids = pa.compute.fill_null(docs.column("doc_id"), _NO_ID).to_numpy()
-    marks = docs.column("mark").to_numpy()
-    order = np.lexsort((marks, ids))
-    again = order[1:][(ids[order][1:] == ids[order][:-1]) & (marks[order][1:] == marks[order][:-1])]
-    return docs.take(np.delete(np.arange(len(ids)), again)) if len(again) else docs
+    docs = _doc_keys(table)
+    order = np.lexsort(_keys(docs))
+    again = order[1:][docs[order][1:] == docs[order][:-1]]
+    return table.take(np.delete(np.arange(len(docs)), again)) if len(again) else table
 
 
 def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    return ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """What tells an anchor from others of its part."""
+    return hashes.astype(np.uint32)
 
 
 def _split(part: np.ndarray, parts: int):
     order = np.argsort(part, kind="stable")
     edge = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if edge[p] < edge[p + 1]:
-            yield p, order[edge[p] : edge[p + 1]]
+    for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+        yield p, order[edge[p] : edge[p + 1]]
+
+
+def _table(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields.values(), strict=True)], names=[*fields])
+
+
+_ANCHORS = {"part": pa.int32(), "bucket": pa.int64(), "hashes": pa.binary(), "times": pa.binary()}
 
 
 def _hash_anchors(parts, window, gram):
-    """Step 1, map side: (part, hashes, buckets, times) in blocks."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                table = pa.Table.from_batches([batch.slice(at, 2000)])
-                buckets = table.column("bucket").to_numpy()
-                bucket = _Bucket(table)
-                rows: list[tuple] = []
-                for base, raw, starts in bucket.pieces():
-                    where, hashes, _, _ = anchors(raw, starts, window, gram)
-                    doc = base + np.searchsorted(starts, where, "right") - 1
-                    for p, pick in _split(_parts_of(hashes, parts), parts):
-                        found, own, times = _counted(hashes[pick], buckets[doc[pick]])
-                        rows.append((p, found.tobytes(), own.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()))
-                if rows:
-                    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "hashes", "buckets", "times"])
+    """Step 1, a bucket: its distinct anchors of each part, and how often they occur."""
+
+    def run(key, docs):
+        found = [anchors(raw, starts, window, gram)[1] for _, raw, starts in _Bucket(_once(docs)).pieces()]
+        hashes = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+        times = np.minimum(np.diff(np.concatenate((begin, [len(hashes)]))), (1 << 31) - 1).astype(np.uint32)
+        hashes = hashes[begin]
+        rows = [(p, key[0].as_py(), _short(hashes[pick]).tobytes(), times[pick].tobytes()) for p, pick in _split(_parts_of(hashes, parts), parts)]
+        release()
+        return _table(rows, _ANCHORS)
 
     return run
 
 
-def _counted(hashes: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each (hash, bucket) once, with its number of occurrences."""
-    order = np.lexsort((buckets, hashes))
-    hashes, buckets = hashes[order], buckets[order]
-    begin = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (buckets[1:] != buckets[:-1]))))
-    return hashes[begin], buckets[begin], np.diff(np.concatenate((begin, [len(hashes)])))
+_REPLIES = {"bucket": pa.int64(), "part": pa.int32(), "hashes": pa.binary(), "hot": pa.binary()}
 
 
 def _repeated_anchors(hot):
-    """Step 1, reduce side: for each bucket its anchors that occur more than once in the corpus."""
-
-    def run(table):
-        load = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        hashes, buckets, times = load("hashes", np.uint64), load("buckets", np.uint32), load("times", np.uint32)
-        order = np.argsort(hashes, kind="stable")
-        hashes, buckets, times = hashes[order], buckets[order], times[order]
-        begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
-        total = np.add.reduceat(times.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(begin)), np.diff(np.concatenate((begin, [len(hashes)]))))
-        keep = total[of] > 1
-        hashes, buckets, is_hot = hashes[keep], buckets[keep].astype(np.int64), (total[of] > hot)[keep]
-        order = np.lexsort((hashes, buckets))
-        hashes, buckets, is_hot = hashes[order], buckets[order], is_hot[order]
-        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (buckets[1:] != buckets[:-1]))) if len(hashes) else np.zeros(0, bool)
-        hashes, buckets, is_hot = hashes[new], buckets[new], is_hot[new]
-        edge = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else np.zeros(0, np.int64)
-        ends = np.concatenate((edge[1:], [len(buckets)])).astype(np.int64)
-        return pa.table(
-            {
-                "bucket": pa.array(buckets[edge], pa.int64()),
-                "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(edge, ends, strict=False)], pa.binary()),
-                "hot": pa.array([is_hot[a:b].tobytes() for a, b in zip(edge, ends, strict=False)], pa.binary()),
-            }
-        )
+    """Step 1, a part: for each bucket its anchors that occur more than once in the corpus."""
+
+    def run(key, table):
+        blobs = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("hashes")]
+        hashes, times = np.concatenate(blobs), np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint32)
+        total = np.bincount(np.unique(hashes, return_inverse=True)[1], times)[np.unique(hashes, return_inverse=True)[1]]
+        rows, at = [], 0
+        for bucket, own in zip(table.column("bucket").to_pylist(), blobs, strict=True):
+            n = total[at : at + len(own)]
+            at += len(own)
+            if (n > 1).any():
+                rows.append((bucket, key[0].as_py(), own[n > 1].tobytes(), (n > hot)[n > 1].tobytes()))
+        release()
+        return _table(rows, _REPLIES)
 
     return run
 
 
-_CONTEXT = "part int, kind int, hashes binary, ids binary, marks binary, places binary, before binary, after binary, bytes binary"
-_CONTEXT_NAMES = [c.split()[0] for c in _CONTEXT.split(", ")]
+_CONTEXT = {"part": pa.int32(), "kind": pa.int32(), "hashes": pa.binary(), "spots": pa.binary(), "before": pa.binary(), "after": pa.binary(), "bytes": pa.binary()}
 
 
 def _contexts(parts, window, gram):
-    """Step 2, map side: the suffixes at repeated anchors (kind 0), and first windows at hot ones (kind 1)."""
+    """Step 2, a bucket: the suffixes at repeated anchors (kind 0), first windows at hot ones (kind 1), and what repeats in the bucket (kinds 2, 3)."""
     reach = window - gram
 
     def run(docs, replies):
         rows: list[tuple] = []
         if len(docs) and len(replies):
-            known = np.frombuffer(b"".join(replies.column("hashes").to_pylist()), np.uint64)
+            part_of = replies.column("part").to_numpy()
+            blobs = [np.frombuffer(x.as_py(), np.uint32) for x in replies.column("hashes")]
+            known = np.repeat(part_of.astype(np.uint64), [len(b) for b in blobs]) << np.uint64(32) | np.concatenate(blobs)
             hot = np.frombuffer(b"".join(replies.column("hot").to_pylist()), bool)
             order = np.argsort(known)
             known, hot = known[order], hot[order]
@@ -362,8 +369,9 @@ def _contexts(parts, window, gram):
             hot_windows: list[np.ndarray] = []
             for base, raw, starts in bucket.pieces():
                 where, hashes, first, last = anchors(raw, starts, window, gram)
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                found = known[at] == hashes
+                own = _parts_of(hashes, parts).astype(np.uint64) << np.uint64(32) | _short(hashes)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                found = known[at] == own
                 where, hashes, is_hot = where[found], hashes[found], hot[at[found]]
                 doc = np.searchsorted(starts, where, "right") - 1
                 # equal windows have their anchor in one place, so each anchor answers for its own windows alone
@@ -371,28 +379,37 @@ def _contexts(parts, window, gram):
                 if is_hot.any():
                     hot_windows.append(_first_windows(raw, where[is_hot], n_before[is_hot], n_after[is_hot], doc[is_hot], starts, base, window, reach))
                 where, hashes, doc, n_before, n_after = (x[~is_hot] for x in (where, hashes, doc, n_before, n_after))
+                spots = np.zeros(len(where), _SPOT)
+                spots["doc"], spots["at"] = bucket.docs[base + doc], where - starts[doc]
                 wide = np.concatenate((np.zeros(reach, np.uint8), raw, np.zeros(window, np.uint8)))
+                column = np.arange(-reach, window)[None, :]
                 for p, pick in _split(_parts_of(hashes, parts), parts):
-                    span = wide[(where[pick] + reach)[:, None] + np.arange(-reach, window)[None, :]]
-                    column = np.arange(-reach, window)[None, :]
+                    pick = pick[np.lexsort((spots["at"][pick], *_keys(spots["doc"][pick])))]
+                    span = wide[(where[pick] + reach)[:, None] + column]
                     span[(column < -n_before[pick][:, None]) | (column >= n_after[pick][:, None])] = 0
-                    rows.append((
-                        p, 0, hashes[pick].tobytes(), bucket.ids[base + doc[pick]].tobytes(), bucket.marks[base + doc[pick]].tobytes(),
-                        (where[pick] - starts[doc[pick]]).tobytes(), n_before[pick].astype(np.uint8).tobytes(), n_after[pick].astype(np.uint8).tobytes(), span.tobytes(),
-                    ))
+                    nb, na = n_before[pick].astype(np.uint8), n_after[pick].astype(np.uint8)
+                    whole = np.concatenate((nb[:, None], na[:, None], span), axis=1)
+                    lead = np.unique(whole.view(np.dtype((np.void, whole.shape[1])))[:, 0], return_index=True)[1]
+                    again = np.delete(np.arange(len(pick)), lead)
+                    for kind, some, spans in ((0, np.sort(lead), True), (3, again, False)):
+                        if len(some):
+                            rows.append((
+                                p, kind, _short(hashes[pick[some]]).tobytes(), spots[pick[some]].tobytes(), nb[some].tobytes(), na[some].tobytes(),
+                                span[some].tobytes() if spans else b"",
+                            ))
             if hot_windows:
                 rows += _hot_rows(np.concatenate(hot_windows), bucket, parts)
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names=_CONTEXT_NAMES)
+        release()
+        return _table(rows, _CONTEXT)
 
     return run
 
 
-_WINDOW_ROW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("mark", "<i8"), ("start", "<i8")])
+_WINDOW_ROW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("place", "<i8"), ("start", "<i8")])
 
 
 def _first_windows(raw, where, n_before, n_after, doc, starts, base, window, reach) -> np.ndarray:
-    """Windows that hold a hot anchor, by a 128-bit hash of their bytes; ``id`` is the document's place in the bucket."""
+    """Windows that hold a hot anchor, by a 128-bit hash of their bytes; ``place`` is the document's in the bucket."""
     d = np.arange(reach + 1)[None, :]
     ok = (n_before[:, None] >= d) & (n_after[:, None] >= window - d)
     start = np.unique((where[:, None] - d)[ok])
@@ -402,40 +419,48 @@ def _first_windows(raw, where, n_before, n_after, doc, starts, base, window, rea
     pair = np.frombuffer(b"".join(digest), "<u8").reshape(-1, 2)
     out["h1"], out["h2"] = pair[:, 0], pair[:, 1]
     own = np.searchsorted(starts, start, "right") - 1
-    out["id"], out["start"] = base + own, start - starts[own]
+    out["place"], out["start"] = base + own, start - starts[own]
     return out
 
 
 def _hot_rows(found: np.ndarray, bucket: _Bucket, parts: int) -> list[tuple]:
     """Kind 1: the first occurrence of each window in the bucket; kind 2: the later ones, which are repeats already."""
-    place = found["id"].copy()
-    found["id"], found["mark"] = bucket.ids[place], bucket.marks[place]
-    found = found[np.lexsort((found["start"], found["mark"], found["id"], found["h2"], found["h1"]))]
+    spots = np.zeros(len(found), _SPOT)
+    spots["doc"], spots["at"] = bucket.docs[found["place"]], found["start"]
+    order = np.lexsort((spots["at"], *_keys(spots["doc"]), found["h2"], found["h1"]))
+    found, spots = found[order], spots[order]
     first = np.concatenate(([True], (found["h1"][1:] != found["h1"][:-1]) | (found["h2"][1:] != found["h2"][:-1])))
     rows = []
-    for kind, some in ((1, found[first]), (2, found[~first])):
-        for p, pick in _split(_parts_of(some["h1"], parts), parts):
-            part = some[pick]
-            rows.append((p, kind, part["h1"].tobytes(), part["id"].tobytes(), part["mark"].tobytes(), part["start"].tobytes(), b"", b"", part["h2"].tobytes()))
+    for kind, some in ((1, np.flatnonzero(first)), (2, np.flatnonzero(~first))):
+        for p, pick in _split(_parts_of(found["h1"][some], parts), parts):
+            at = some[pick]
+            rows.append((p, kind, found["h1"][at].tobytes(), spots[at].tobytes(), b"", b"", found["h2"][at].tobytes() if kind == 1 else b""))
     return rows
 
 
-_RANGES = "bucket long, ids binary, marks binary, froms binary, tos binary"
+_RANGES = {"bucket": pa.int64(), "docs": pa.binary(), "froms": pa.binary(), "tos": pa.binary()}
 
 
 def _find_repeats(buckets, window, gram):
-    """Step 2, reduce side: merged ranges of repeated bytes, in blocks by bucket."""
+    """Step 2, a part: merged ranges of repeated bytes, by bucket."""
     reach = window - gram
 
     def run(table):
         load = lambda part, name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
-        ids, marks, froms, tos = [], [], [], []
-        usual = table.filter(pa.compute.equal(table.column("kind"), 0))
+        of_kind = lambda k: table.filter(pa.compute.equal(table.column("kind"), k))
+        docs, froms, tos = [], [], []
+
+        def add(spots, lo, hi):
+            docs.append(spots["doc"])
+            froms.append(spots["at"] + lo)
+            tos.append(spots["at"] + hi)
+
+        usual = of_kind(0)
         if len(usual):
-            h, i, m, p = load(usual, "hashes", np.uint64), load(usual, "ids", np.int64), load(usual, "marks", np.int64), load(usual, "places", np.int64)
+            h, spots = load(usual, "hashes", np.uint32), load(usual, "spots", _SPOT)
             nb, na = load(usual, "before", np.uint8).astype(np.int64), load(usual, "after", np.uint8).astype(np.int64)
             span = load(usual, "bytes", np.uint8).reshape(-1, reach + window)
-            order = np.lexsort((p, m, i, h))
+            order = np.lexsort((spots["at"], *_keys(spots["doc"]), h))
             edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
             size = np.diff(np.concatenate((edge, [len(order)])))
             # anchors in blocks of whole groups, so that memory stays bounded
@@ -445,77 +470,79 @@ def _find_repeats(buckets, window, gram):
                 if not len(groups):
                     continue
                 pick = order[np.concatenate([np.arange(edge[g], edge[g] + size[g]) for g in groups])]
-                pick = pick[np.lexsort((p[pick], m[pick], i[pick]))]
+                pick = pick[np.lexsort((spots["at"][pick], *_keys(spots["doc"][pick])))]
                 rows, lo, hi = repeated_ranges(h[pick], span[pick, :reach][:, ::-1], nb[pick], span[pick, reach:], na[pick], window)
-                at = pick[rows]
-                ids.append(i[at])
-                marks.append(m[at])
-                froms.append(p[at] + lo)
-                tos.append(p[at] + hi)
-        hot = table.filter(pa.compute.greater(table.column("kind"), 0))
+                add(spots[pick[rows]], lo, hi)
+        again = of_kind(3)
+        if len(again):
+            add(load(again, "spots", _SPOT), -load(again, "before", np.uint8).astype(np.int64), load(again, "after", np.uint8).astype(np.int64))
+        hot = of_kind(1)
         if len(hot):
-            kind = np.repeat(hot.column("kind").to_numpy(), [len(x) // 8 for x in hot.column("hashes").to_pylist()])
-            h1, h2 = load(hot, "hashes", np.uint64), load(hot, "bytes", np.uint64)
-            i, m, p = load(hot, "ids", np.int64), load(hot, "marks", np.int64), load(hot, "places", np.int64)
-            order = np.lexsort((p, m, i, kind, h2, h1))
-            again = np.concatenate(([False], (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])))
-            # the least of the buckets' first windows stays; kind 2 always follows a kind 1
-            at = order[again]
-            ids.append(i[at])
-            marks.append(m[at])
-            froms.append(p[at])
-            tos.append(p[at] + window)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        i, m, a, b = merged(cat(ids), cat(marks), cat(froms), cat(tos))
-        bucket = np.mod(_bucket_hash(i, m), buckets).astype(np.int64)
-        rows = [(x, i[k].tobytes(), m[k].tobytes(), a[k].tobytes(), b[k].tobytes()) for x, k in _split(bucket, buckets)]
+            h1, h2, spots = load(hot, "hashes", np.uint64), load(hot, "bytes", np.uint64), load(hot, "spots", _SPOT)
+            order = np.lexsort((spots["at"], *_keys(spots["doc"]), h2, h1))
+            # the least of the buckets' first windows stays
+            add(spots[order[1:][(h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])]], 0, window)
+        later = of_kind(2)
+        if len(later):
+            add(load(later, "spots", _SPOT), 0, window)
+        rows = []
+        if docs:
+            found, a, b = merged(np.concatenate(docs), np.concatenate(froms), np.concatenate(tos))
+            rows = [(x, found[k].tobytes(), a[k].tobytes(), b[k].tobytes()) for x, k in _split(np.mod(_bucket_hash(found), buckets).astype(np.int64), buckets)]
         release()
-        types = [pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["bucket", "ids", "marks", "froms", "tos"])
+        return _table(rows, _RANGES)
 
     return run
 
 
-def _bucket_hash(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Bucket of a document, from its id and the hash of its text; the same as ``_bucket``."""
-    return np.mod(ids ^ marks, 1 << 31)
+def _bucket_hash(docs: np.ndarray) -> np.ndarray:
+    """Bucket of a document, from its id (0 for none) and the hash of its text; the same as in ``remove_repeats``."""
+    return np.mod(docs["id"] ^ docs["mark"], 1 << 31)
 
 
-def merged(ids, marks, froms, tos):
+def merged(docs, froms, tos):
     """The union of ranges, per document."""
-    order = np.lexsort((tos, froms, marks, ids))
-    ids, marks, froms, tos = ids[order], marks[order], froms[order], tos[order]
-    if not len(ids):
-        return ids, marks, froms, tos
-    doc = np.cumsum(np.concatenate(([False], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))))
+    order = np.lexsort((tos, froms, *_keys(docs)))
+    docs, froms, tos = docs[order], froms[order], tos[order]
+    if not len(docs):
+        return docs, froms, tos
+    doc = np.cumsum(np.concatenate(([False], docs[1:] != docs[:-1])))
     wide = int(tos.max()) + 2
     reach = np.maximum.accumulate(tos + doc * wide)
     new = np.concatenate(([True], froms[1:] + doc[1:] * wide > reach[:-1]))
     begin = np.flatnonzero(new)
-    last = np.concatenate((begin[1:] - 1, [len(ids) - 1]))
-    return ids[begin], marks[begin], froms[begin], reach[last] - doc[begin] * wide
+    last = np.concatenate((begin[1:] - 1, [len(docs) - 1]))
+    return docs[begin], froms[begin], reach[last] - doc[begin] * wide
+
 
+_CUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
-def _drop_bytes(docs, ranges):
+
+def _drop_bytes(table, ranges):
     """Step 3: each document of a bucket without its repeated bytes."""
-    load = lambda name: np.frombuffer(b"".join(ranges.column(name).to_pylist()), np.int64)
-    cut: dict[tuple[int, int], list] = {}
+    load = lambda name, kind: np.frombuffer(b"".join(ranges.column(name).to_pylist()), kind)
+    cut: dict[tuple, list] = {}
     if len(ranges):
-        for i, m, a, b in zip(*(x.tolist() for x in merged(load("ids"), load("marks"), load("froms"), load("tos"))), strict=True):
-            cut.setdefault((i, m), []).append((a, b))
-    bucket = _Bucket(docs)
+        for doc, a, b in zip(*(x.tolist() for x in merged(load("docs", _DOC), load("froms", np.int64), load("tos", np.int64))), strict=True):
+            cut.setdefault(doc, []).append((a, b))
+    bucket = _Bucket(table)
     out = []
-    for i, m, text in zip(bucket.ids.tolist(), bucket.marks.tolist(), bucket.texts, strict=True):
-        gone = cut.get((i, m), [])
+    for i, doc, text in zip(table.column("doc_id").to_pylist(), bucket.docs.tolist(), bucket.texts, strict=True):
+        gone = cut.get(doc, [])
         keep, at = [], 0
         for a, b in gone:
             keep.append(text[at:a])
             at = b
         keep.append(text[at:])
         kept = b"".join(keep)
-        out.append((None if i == _NO_ID else i, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        out.append((i, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+    release()
+    return _table(out, _CUT)
+
+
+def _schema(fields: dict[str, pa.DataType]) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{n} {names[t]}" for n, t in fields.items())
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -525,22 +552,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     total = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(tasks, -(-total // bucket_bytes))
     parts = max(tasks, -(-total // (2 * bucket_bytes)))
-    own = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)).bitwiseXOR(F.col("mark")), F.lit(1 << 31)), F.lit(buckets))
-    base = base.withColumn("bucket", own)
-    found = base.where(F.octet_length("text") >= window).mapInArrow(lean(_hash_anchors(parts, window, gram)), "part int, hashes binary, buckets binary, times binary")
-    replies = stored(found.groupBy("part").applyInArrow(_repeated_anchors(hot), "bucket long, hashes binary, hot binary"), "anchors")
-    contexts = base.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_contexts(parts, window, gram), _CONTEXT)
-    ranges = stored(contexts.groupBy("part").applyInArrow(_find_repeats(buckets, window, gram), _RANGES), "ranges")
-    return base.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(
-        _drop_bytes_fn(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
-
-
-def _drop_bytes_fn():
-    def run(docs, ranges):
-        return _drop_bytes(docs, ranges)
-
-    return run
+    own = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("mark")), F.lit(1 << 31)), F.lit(buckets))
+    # all three steps below read this exchange, so a text travels once
+    base = base.withColumn("bucket", own).repartition(buckets, "bucket").groupBy("bucket")
+    by_part = lambda df: df.repartition(parts, "part").groupBy("part")
+    by_bucket = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    found = base.applyInArrow(_hash_anchors(parts, window, gram), _schema(_ANCHORS))
+    replies = by_part(found).applyInArrow(_repeated_anchors(hot), _schema(_REPLIES))
+    contexts = base.cogroup(by_bucket(replies)).applyInArrow(_contexts(parts, window, gram), _schema(_CONTEXT))
+    ranges = by_part(contexts).applyInArrow(_find_repeats(buckets, window, gram), _schema(_RANGES))
+    return base.cogroup(by_bucket(ranges)).applyInArrow(_drop_bytes, _schema(_CUT))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -272,6 +272,30 @@ def test_repeated_rows_keep_their_text(spark, hot):
     assert [r.n_removed for r in got if r.doc_id == 2] == [len(alone)]
 
 
+def test_repeats_take_any_id_and_put_missing_ones_last(spark):
+    alone = " ".join(f"w{i * i}" for i in range(80))
+    last = (1 << 63) - 1
+    rows = [(last, alone), (None, alone + "y"), (-last - 1, "z" * 99), (0, alone[:120]), (None, None)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [
+        (False, -last - 1, 99, 0), (False, 0, 120, 0), (False, last, len(alone), 120), (True, 0, 0, 0), (True, 0, len(alone) + 1, len(alone)),
+    ]
+
+
+def test_repeats_ship_each_text_once(spark, tiny):
+    out = suffixes.op4_suffix_dedup(spark, tiny)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") == 1 and plan.count("ReusedExchange") == 2
+
+
+def test_repeats_of_a_very_long_text(spark):
+    body = " ".join(f"v{i * 7919 % 100_003}" for i in range(100_000))
+    rows = [(1, body), (2, "start " + body[400_000:400_300] + " end"), (3, body[:500_000])]
+    got = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=100_000).collect()}
+    assert got == {1: 0, 2: 300, 3: 500_000}
+
+
 @given(st.lists(st.binary(min_size=6, max_size=6), min_size=1, max_size=40))
 @settings(max_examples=80, deadline=None)
 def test_blind_trie_sorts(rows):
