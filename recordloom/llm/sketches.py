@@ -1,40 +1,41 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch retains every distinct shingle hash below a fixed fraction of the hash range, so
-its size follows the document's and two sketches of very unequal documents still answer
-how much of one is contained in the other. Texts with few shingles also keep their
-``FLOOR`` smallest hashes, so that short texts have a sketch at all. A sketch is complete
-below its bound (the fraction, or its largest hash where the floor reaches higher, or the
-whole range where it holds fewer than ``FLOOR`` hashes); two sketches are compared below
-the smaller bound. The union of two sketches, cut at the smaller bound, is the sketch of
-both documents together, so sketches merge.
+A sketch retains every distinct shingle hash below a fixed fraction of the hash range and
+nothing else, so its size follows the document's and two sketches of very unequal
+documents still answer how much of one is contained in the other. The union of two
+sketches is the sketch of both documents together, so sketches merge. Hashes have 32
+bits; with n retained hashes a likeness j is off by about sqrt(j (1 - j) / n).
 
 Documents meet their successor in one pass: rows are dealt by ranges of doc_id, sorted in
 their range, and the first row of each range is also sent to the end of the range
-before. No range holds more than its share of the rows, and only range bounds reach the
-driver.
-
-Defined cases: a null text is empty; a text without words has an empty sketch, which is
-alike 1 to another empty one and 0 to any other; fewer words than a shingle make one
-shingle; rows of equal doc_id follow one another by the hash of their text, rows without
-doc_id come last; a table of one row has itself as successor; an empty table gives an
-empty result; only doc_id and text are read.
+before. An id that fills several ranges, and the rows without one, are parted further by
+the hash of their text. The ranges' number follows the bytes of text up to ``MOST_RANGES``;
+only their bounds reach the driver, and a task streams its ranges row by row.
+
+Defined cases: a null text is empty; a text without words has an empty sketch, as may one
+of very few words; an empty sketch is alike 1 to another empty one and 0 to any other;
+fewer words than a shingle make one shingle; a very long text is sketched whole, in one
+piece; rows of equal doc_id follow one another by the hash of their text, rows without
+doc_id come last, by the same; a table of one row has itself as successor; an empty table
+gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.workers import lean
 
 WORDS = 5
-FRACTION = 1 / 16
-FLOOR = 64
+FRACTION = 1 / 4
+RANGE_BYTES = 32_000_000
+MOST_RANGES = 16_384
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -74,68 +75,70 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def sketch(text: str, words: int = WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> np.ndarray:
+def sketch(text: str, words: int = WORDS, fraction: float = FRACTION) -> np.ndarray:
     """The retained hashes, sorted."""
-    hashes = shingle_hashes(text, words)
-    return hashes[: max(floor, int(np.searchsorted(hashes, np.uint64(int(fraction * 2**64)))))]
+    hashes = np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32))
+    return hashes[: np.searchsorted(hashes, fraction * 2**32)]
 
 
-def bound(hashes: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> int:
-    """Below this (inclusive) the sketch holds all hashes of its text."""
-    if len(hashes) < floor:
-        return (1 << 64) - 1
-    return max(int(fraction * 2**64) - 1, int(hashes[-1]))
-
-
-def compare(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> tuple[float, float | None, float | None]:
+def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, float | None, float | None]:
     """(likeness, share of a in b, share of b in a); a share of nothing is None."""
     if not len(a) or not len(b):
         return float(len(a) == len(b)), None, None
-    most = np.uint64(min(bound(a, fraction, floor), bound(b, fraction, floor)))
-    a, b = a[: np.searchsorted(a, most, "right")], b[: np.searchsorted(b, most, "right")]
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both), both / len(a) if len(a) else None, both / len(b) if len(b) else None
+    return both / (len(a) + len(b) - both), both / len(a), both / len(b)
 
 
-def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both texts' shingles together."""
-    most = np.uint64(min(bound(a, fraction, floor), bound(b, fraction, floor)))
-    both = np.union1d(a, b)
-    return both[: np.searchsorted(both, most, "right")]
+    return np.union1d(a, b)
 
 
 def to_text(hashes: np.ndarray) -> str:
-    return hashes.astype(">u8").tobytes().hex()
+    return hashes.astype(">u4").tobytes().hex()
 
 
 def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
-def _ranges(spark: SparkSession, docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text, mark, range, late): each row in its range, the head of a range also at the end of the one before."""
-    probs = [i / n for i in range(1, n)]
-    bounds = sorted(set(docs.approxQuantile("id_", probs, 1 / (4 * n)))) if n > 1 else []
+def _range_of(bounds: list[float], repeats: list[int], none_ranges: int) -> Column:
+    """The range of a row by doc_id, then by the hash of its text where one id fills several ranges."""
+    by_mark = F.col("mark").cast("double") / F.lit(2.0**64) + 0.5
+    part = lambda n: F.least(F.floor(by_mark * n), n - 1)
+    if not bounds:
+        return F.when(F.col("doc_id").isNull(), part(F.lit(none_ranges))).otherwise(F.lit(-1)).cast("long")
+    listed = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    edge, times = listed(bounds, "double"), listed(repeats, "int")
     # the place of an id among the bounds, by halving
-    place = F.lit(0)
-    if bounds:
-        array = F.array(*[F.lit(b) for b in bounds])
-        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
-
-        def halve(lo, step):
-            at = lo + step
-            return F.when((at <= len(bounds)) & (F.col("id_") >= F.get(array, at - 1)), at).otherwise(lo)
-
-        place = F.aggregate(steps, F.lit(0), halve)
-    rows = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(place))
-    heads = sorted((r["range"], r["head"]) for r in rows.groupBy("range").agg(F.min("doc_id").alias("head")).collect())
-    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    small = F.broadcast(spark.createDataFrame(before, "head long, to int"))  # one row for each range
-    also = rows.join(small, rows.doc_id.eqNullSafe(small["head"])).select("doc_id", "text", "mark", F.col("to").alias("range"), F.lit(True).alias("late"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def halve(lo, step):
+        at = lo + step
+        return F.when((at <= len(bounds)) & (F.col("id_") >= F.get(edge, at - 1)), at).otherwise(lo)
+
+    place = F.aggregate(steps, F.lit(0), halve)
+    n = F.coalesce(F.get(times, place - 1), F.lit(0))
+    sub = F.when((n > 1) & (F.col("id_") == F.get(edge, place - 1)), part(n)).otherwise(n)
+    wide = MOST_RANGES + 1
+    return F.when(F.col("doc_id").isNull(), F.lit((len(bounds) + 1) * wide) + part(F.lit(none_ranges))).otherwise(place * wide + sub).cast("long")
+
+
+def _ranges(spark: SparkSession, docs: DataFrame, n: int, none_ranges: int) -> DataFrame:
+    """(doc_id, text, mark, range, late): each row in its range, the head of a range also at the end of the one before."""
+    cuts = Counter(docs.approxQuantile("id_", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [])
+    bounds = sorted(cuts)
+    # beyond 2**53 a double stands for several ids, which must stay together
+    rows = docs.withColumn("range", _range_of(bounds, [cuts[b] if abs(b) < 2.0**53 else 1 for b in bounds], none_ranges))
+    heads = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("head")).orderBy("range").collect()
+    before = [(r["head"]["doc_id"], r["head"]["mark"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
+    small = F.broadcast(spark.createDataFrame(before, "head long, head_mark long, to long"))  # one row for each range
+    also = rows.join(small, rows.doc_id.eqNullSafe(small["head"]) & (rows.mark == small["head_mark"])).dropDuplicates(["to"])
+    also = also.select("doc_id", "text", "mark", F.col("to").alias("range"), F.lit(True).alias("late"))
     return rows.select("doc_id", "text", "mark", "range", F.lit(False).alias("late")).unionByName(also)
 
 
-def with_successor(docs: DataFrame, each, schema: str, names: list[str]) -> DataFrame:
+def with_successor(docs: DataFrame, each, schema: str, names: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``each(doc_id, text, state, next_text, next_state) -> tuple`` for every row and the row after it.
 
     ``each.state(text)`` is made once per row. After the last row comes the first.
@@ -144,7 +147,10 @@ def with_successor(docs: DataFrame, each, schema: str, names: list[str]) -> Data
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("mark", F.xxhash64("text")).withColumn("id_", F.col("doc_id").cast("double"))
-    dealt = _ranges(spark, base, min(4096, 4 * tasks)).repartition(tasks, "range").sortWithinPartitions("range", "late", "doc_id", "mark")
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    n = min(MOST_RANGES, max(4 * tasks, size["bytes"] // range_bytes))
+    none_ranges = max(1, n * size["none"] // max(1, size["n"]))
+    dealt = _ranges(spark, base, n, none_ranges).repartition(max(tasks, n // 4), "range").sortWithinPartitions("range", "late", "doc_id", "mark")
     types = pa.schema([pa.field(n, t) for n, t in zip(names, each.types, strict=True)])
 
     def run(batches):
@@ -177,28 +183,28 @@ class _Edited:
 
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
 
-    def __init__(self, words: int, fraction: float, floor: int):
-        self.words, self.fraction, self.floor = words, fraction, floor
+    def __init__(self, words: int, fraction: float):
+        self.words, self.fraction = words, fraction
 
     def state(self, text: str) -> np.ndarray:
-        return sketch(text, self.words, self.fraction, self.floor)
+        return sketch(text, self.words, self.fraction)
 
     def __call__(self, doc_id, text, own, next_text, next_own):
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + next_text[:quarter]
         changed = self.state(edited)
-        near, inside, _ = compare(own, changed, self.fraction, self.floor)
-        near_next, inside_next, _ = compare(own, next_own, self.fraction, self.floor)
+        near, inside, _ = compare(own, changed)
+        near_next, inside_next, _ = compare(own, next_own)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         return doc_id, len(text), digest, to_text(own), to_text(changed), near, near_next, inside, inside_next
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
     """(doc_id, fingerprint) for every row; map-only."""
 
     def run(batches):
         for batch in batches:
-            marks = [to_text(sketch(t.as_py() or "", words, fraction, floor)) for t in batch.column("text")]
+            marks = [to_text(sketch(t.as_py() or "", words, fraction)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fingerprint string")
@@ -208,4 +214,4 @@ def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """The contract's digest over all of ``documents``; the shares contained are extra columns."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
-    return with_successor(spark.read.parquet(f"{sf_dir}/documents.parquet"), _Edited(WORDS, FRACTION, FLOOR), schema, names)
+    return with_successor(spark.read.parquet(f"{sf_dir}/documents.parquet"), _Edited(WORDS, FRACTION), schema, names)
