@@ -5,7 +5,9 @@ fixed depth: lines part by token count, then by their leading tokens. In a leaf,
 are parsed in a fixed order (most documents first, then by text): a line joins the first
 template most of whose tokens it shares in place, and the template turns the tokens that
 differ into variable fields. A template that occurs in ``min_docs`` documents or more
-recurs; every document but the first that has it (smallest doc_id) loses its lines.
+recurs; every document but the first that has it (smallest doc_id) loses its lines. A long
+line, of ``long_tokens`` tokens or ``long_chars`` characters, recurs from its second
+document on where it is the same to the letter.
 
 The tree works on distinct masked lines, counted map-side, so a line that every document
 repeats is one row. Its depth is the same at every size: a leaf is parsed whole, and beyond
@@ -14,10 +16,11 @@ must share with every template within reach, so the result is that of comparing
 Only leaves whose lines could recur together are parsed in Python.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line;
-lines of fewer than ``min_tokens`` tokens are never dropped; the first document keeps all
-its lines of a template; a line is told by the 64-bit hash of its masked form; rows of equal doc_id are one document, a null doc_id counts as
-one document that comes last; an empty table gives an empty result; further columns pass
-through unchanged.
+lines of fewer than ``min_tokens`` tokens that are not long are never dropped; the first
+document keeps all its lines of a template; a line is told by the 64-bit hash of its masked
+form; rows of equal doc_id are one document, a null doc_id counts as one document that
+comes last; dropping takes time in proportion to a text's lines, however long it is; an
+empty table gives an empty result; further columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ MIN_DOCS = 10
 MIN_TOKENS = 3
 LEADING = 3
 SHARE = 0.7
+#: From here on a line that repeats to the letter recurs from its second document on.
+LONG_TOKENS = 50
+LONG_CHARS = 300
 #: Templates of a leaf from which on they are looked up by blocks of tokens.
 MAX_LEAF = 1000
 FIELD = "<*>"
@@ -56,11 +62,21 @@ def _leaf(line: Column, leading: int, *more: Column) -> Column:
     return F.xxhash64(_tokens(line), F.substring_index(line, " ", leading), *more)
 
 
-def line_rows(docs: DataFrame, leading: int = LEADING) -> DataFrame:
-    """(d, pos, line, leaf): each line that may be dropped, by the hashes of its masked form and its leaf; d is the doc_id, or the last of all ids."""
-    lines = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = lines.select("d", "pos", masked(F.col("raw")).alias("m")).where((F.length("m") > 0) & (_tokens(F.col("m")) >= MIN_TOKENS))
-    return rows.select("d", "pos", F.xxhash64("m").alias("line"), _leaf(F.col("m"), leading).alias("leaf"))
+def line_rows(docs: DataFrame, leading: int = LEADING, long_tokens: int = LONG_TOKENS, long_chars: int = LONG_CHARS) -> DataFrame:
+    """(d, mark, pos, line, leaf, whole): each line that may be dropped.
+
+    ``d`` is the doc_id, or the last of all ids, and ``mark`` the hash of the text, which
+    tells rows of one doc_id apart. ``line`` and ``leaf`` are the hashes of the masked form
+    and of its leaf, null for lines of few tokens; ``whole`` is that of a long line itself.
+    """
+    base = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text")
+    lines = base.select("d", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    rows = lines.select("d", "mark", "pos", "raw", masked(F.col("raw")).alias("m")).where(F.length("m") > 0)
+    rows = rows.withColumn("n", _tokens(F.col("m"))).where((F.col("n") >= MIN_TOKENS) | (F.length("raw") >= long_chars))
+    many, long = F.col("n") >= MIN_TOKENS, (F.col("n") >= long_tokens) | (F.length("raw") >= long_chars)
+    return rows.select(
+        "d", "mark", "pos", F.when(many, F.xxhash64("m")).alias("line"), F.when(many, _leaf(F.col("m"), leading)).alias("leaf"), F.when(long, F.xxhash64("raw")).alias("whole")
+    )
 
 
 class _Blocks:
@@ -176,13 +192,14 @@ def recurring(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, share:
     Counting runs on hashes; only lines of leaves that could recur together are looked up
     in their first document's text.
     """
-    in_doc = rows.groupBy("line", "leaf", "d").agg(F.min("pos").alias("pos"))
-    counted = stored(in_doc.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("d", "pos")).alias("first")), "counted")
+    rows = rows.where(F.col("line").isNotNull())
+    in_doc = rows.groupBy("line", "leaf", "d").agg(F.min(F.struct("mark", "pos")).alias("at"))
+    counted = stored(in_doc.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("d", "at.mark", "at.pos")).alias("first")), "counted")
     leaves = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_docs").alias("sum_docs"))
     # lines that can't reach min_docs even together, or have no other line beside them, need no parsing
     leaves = leaves.where((F.col("n_lines") > 1) & (F.col("sum_docs") >= min_docs)).select("leaf")
-    asked = counted.join(leaves, "leaf", "left_semi").groupBy("first.d").agg(F.collect_list(F.struct("first.pos", "line", "leaf", "n_docs")).alias("asked"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text").where(F.col("text").isNotNull()).join(asked, "d")
+    asked = counted.join(leaves, "leaf", "left_semi").groupBy("first.d", "first.mark").agg(F.collect_list(F.struct("first.pos", "line", "leaf", "n_docs")).alias("asked"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text").join(asked, ["d", "mark"])
     split = texts.select(F.split("text", "\n", -1).alias("lines"), "asked").select("lines", F.explode("asked").alias("a"))
     found = split.select("a.line", "a.leaf", masked(F.get("lines", F.col("a.pos"))).alias("masked"), "a.n_docs")
     found = stored(found.where(F.xxhash64("masked") == F.col("line")), "asked").dropDuplicates(["line"])
@@ -196,24 +213,38 @@ def recurring(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, share:
     return grown.unionByName(alone)
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, max_leaf: int = MAX_LEAF) -> DataFrame:
+def _recurring_whole(rows: DataFrame) -> DataFrame:
+    """(whole, first_doc): the long lines that repeat to the letter in another document."""
+    long = rows.where(F.col("whole").isNotNull())
+    return long.groupBy("whole").agg(F.min("d").alias("first_doc"), F.max("d").alias("last_doc")).where(F.col("first_doc") < F.col("last_doc")).select("whole", "first_doc")
+
+
+def drop_recurring(
+    docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, max_leaf: int = MAX_LEAF, long_tokens: int = LONG_TOKENS, long_chars: int = LONG_CHARS
+) -> DataFrame:
     """``docs`` with its recurring lines dropped, and the columns _n_lines and _n_dropped."""
-    rows = stored(line_rows(docs.select("doc_id", "text"), leading), "lines")
+    rows = stored(line_rows(docs.select("doc_id", "text"), leading, long_tokens, long_chars), "lines")
     found = stored(recurring(docs, rows, min_docs, share, max_leaf), "recurring").groupBy("line").agg(F.min("first_doc").alias("first_doc"))
-    hits = rows.select("d", "pos", "line").join(found, "line").where(F.col("d") != F.col("first_doc"))
-    hits = hits.groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("pos", "line")).alias("_hits"))
+    spots = [
+        rows.where(F.col("line").isNotNull()).select("d", "mark", "pos", "line").join(found, "line"),
+        rows.where(F.col("whole").isNotNull()).select("d", "mark", "pos", "whole").join(stored(_recurring_whole(rows), "whole"), "whole"),
+    ]
+    hits = spots[0].drop("line").unionByName(spots[1].drop("whole")).where(F.col("d") != F.col("first_doc"))
+    hits = hits.groupBy(F.col("d").alias("_d"), F.col("mark").alias("_mark")).agg(F.collect_set("pos").alias("_hits"))
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
-    joined = docs.join(hits, key == hits["_d"], "left").drop("_d")
+    joined = docs.join(hits, (key == hits["_d"]) & (F.xxhash64(docs["text"]) == hits["_mark"]), "left").drop("_d", "_mark")
     split = F.split("text", "\n", -1)
-    # rows of one doc_id may have different texts: a line goes only where it stands
-    kept = F.filter(split, lambda x, i: ~F.exists("_hits", lambda h: (h["pos"] == i) & (h["line"] == F.xxhash64(masked(x)))))
+    # a hash set of the dropped places, so that a text of many lines takes time in proportion
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_hits")
+    kept = F.transform(places, lambda i: F.get(F.col("_split"), i))
     hit = F.col("_hits").isNotNull() & F.col("text").isNotNull()
     return (
-        joined.withColumn("_n_lines", F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long"))
+        joined.withColumn("_split", F.when(F.col("text").isNotNull(), split))
+        .withColumn("_n_lines", F.when(F.col("text").isNotNull(), F.size("_split")).otherwise(0).cast("long"))
         .withColumn("_kept", F.when(hit, kept))
         .withColumn("_n_dropped", F.when(hit, F.col("_n_lines") - F.size("_kept")).otherwise(0).cast("long"))
         .withColumn("text", F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-        .drop("_kept", "_hits")
+        .drop("_kept", "_hits", "_split")
     )
 
 
