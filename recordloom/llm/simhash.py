@@ -5,8 +5,9 @@ so each fingerprint is matched on all its variants within half the radius. Varia
 dealt by their leading bits: a fingerprint travels once to each prefix that any of its
 variants can have (1 + b + b(b-1)/2 rows instead of 2081 at r = 4), and the task that
 owns a prefix generates the variants below it, deduplicates and verifies the colliding
-pairs. The prefix grows with the number of distinct fingerprints, so a task holds a
-bounded number of variants; larger sets are split on further bits inside the task.
+pairs. The prefix grows with the number of distinct fingerprints; a prefix that still
+holds over ``MOST_BELOW`` of them is dealt again by further bits before the shuffle, and
+a task splits what is above its memory on further bits yet.
 
 Exact copies collapse to one fingerprint before anything is matched. All fingerprints in
 one collision are within r of each other, so a star of verified links per collision joins
@@ -15,8 +16,8 @@ the same components as all pairs would.
 Defined cases: a null or empty text has no words and fingerprint zero, which links like
 any other; a text of fewer words than a shingle is one shingle; repeated rows share a
 component; a null doc_id never becomes a component's id unless no member has another; an
-empty table gives an empty result; only ``doc_id`` and ``text`` are read, so further
-columns of any name do not clash.
+empty table gives an empty result; a very long text is hashed whole, in one piece; only
+``doc_id`` and ``text`` are read, so further columns of any name do not clash.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ ROWS = 5
 VARIANTS_AT_ONCE = 2_000_000
 #: Variants below one prefix, in portions of the above.
 VARIANTS_PER_PREFIX = 36_000_000
+#: Fingerprints below one prefix, before it is dealt again by ``MORE_BITS`` further bits.
+MOST_BELOW = 2_000_000
+MORE_BITS = 8
 
 
 def simhash64(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -121,8 +125,6 @@ def _collide(low, budget, owner, bits, emit, at_once):
 
 def _owners(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(open bits, flips left, place) of the fingerprints that have variants below the prefix."""
-    if len(fps) > 1 << 24:
-        raise ValueError("over 16M fingerprints below one prefix: raise prefix_bits")
     bits = 64 - prefix_bits
     away = np.bitwise_count((fps >> np.uint64(bits)) ^ np.uint64(prefix)).astype(np.int64)
     budget = radius // 2 - away
@@ -197,7 +199,29 @@ def _pairs(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, at_once:
     return signed[codes >> 24], signed[codes & 0xFFFFFF]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = None, at_once: int = VARIANTS_AT_ONCE, forest: bool = True, views: int = 1) -> DataFrame:
+def _dealt(distinct: DataFrame, bits: int, half: int, carried: list[str], most: int, n: int) -> DataFrame:
+    """(view, fp, bits, prefix): every fingerprint at each prefix that its variants can have."""
+    masks = lambda wide: F.transform(F.array(*[F.lit(int(m)) for f in range(half + 1) for m in _ball(wide, f)]), lambda m: m.cast("long"))
+    prefix = F.shiftrightunsigned("fp", 64 - bits)
+    sent = distinct.select("view", "fp", *carried, F.lit(bits).alias("bits"), F.explode(F.transform(masks(bits), lambda m: prefix.bitwiseXOR(m))).alias("prefix"))
+    while n > most and bits + MORE_BITS < 60:
+        hot = stored(sent.groupBy("view", "bits", "prefix").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"), "hot")
+        if not hot.take(1):
+            break
+        deep = bits + MORE_BITS
+        left = half - F.bit_count(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("prefix")))
+        own = F.shiftrightunsigned("fp", 64 - deep).bitwiseAND(F.lit((1 << MORE_BITS) - 1))
+        near = F.filter(masks(MORE_BITS), lambda m: F.bit_count(m) <= left)
+        split = sent.join(hot, ["view", "bits", "prefix"]).withColumn("_m", F.explode(near))
+        split = split.select("view", "fp", *carried, F.lit(deep).alias("bits"), F.shiftleft("prefix", MORE_BITS).bitwiseOR(own.bitwiseXOR(F.col("_m"))).alias("prefix"))
+        sent = stored(sent.join(hot, ["view", "bits", "prefix"], "left_anti").select(split.columns).unionByName(split), "dealt")
+        bits = deep
+    return sent
+
+
+def fingerprint_links(
+    distinct: DataFrame, radius: int = RADIUS, count: int | None = None, at_once: int = VARIANTS_AT_ONCE, forest: bool = True, views: int = 1, most: int = MOST_BELOW
+) -> DataFrame:
     """(view, u, v): links among the fingerprints (column ``fp``, distinct in each ``view``) within ``radius`` bits.
 
     ``radius`` must be even. With ``forest`` each task returns a spanning forest of the
@@ -213,17 +237,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | No
     n = distinct.count() if count is None else count
     variants = n / views * sum(math.comb(64, f) for f in range(half + 1))
     bits = max(4, math.ceil(math.log2(max(1, variants / VARIANTS_PER_PREFIX))))
-    masks = [int(m) for f in range(half + 1) for m in _ball(bits, f)]
-    prefix = F.shiftrightunsigned("fp", 64 - bits)
-    carried = [] if forest else ["head"]
-    sent = distinct.select(
-        "view", "fp", *carried, F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: prefix.bitwiseXOR(m))).alias("prefix")
-    )
+    sent = _dealt(distinct, bits, half, [] if forest else ["head"], most, n)
     find = _links if forest else _pairs
 
     def run(key, table):
         fps = table.column("fp").to_numpy()
-        u, v = find(fps, key[1].as_py(), bits, radius, at_once)
+        u, v = find(fps, key[2].as_py(), key[1].as_py(), radius, at_once)
         out = {"view": pa.array([key[0].as_py()] * len(u), pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
         if not forest:
             heads, order = table.column("head").to_numpy(), np.argsort(fps)
@@ -231,7 +250,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, count: int | No
         release()
         return pa.table(out)
 
-    return sent.groupBy("view", "prefix").applyInArrow(run, "view int, u long, v long" + ("" if forest else ", uh long, vh long"))
+    return sent.groupBy("view", "bits", "prefix").applyInArrow(run, "view int, u long, v long" + ("" if forest else ", uh long, vh long"))
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -268,23 +287,20 @@ def band_keys(text: str | None, words: int, bands: int = BANDS, rows: int = ROWS
     shingles = shingle_hashes(text or "", words)
     if not len(shingles):
         return []
-    out = []
-    for band in range(bands):
-        least = []
-        for k in range(band * rows, band * rows + rows):
-            mixed = (shingles ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(32)
-            least.append((mixed * np.uint64(0xD6E8FEB86659FD93)).min())
-        value = xxhash.xxh64_intdigest(np.array(least, "<u8").tobytes(), band)
-        out.append(value - (1 << 64) if value >> 63 else value)
-    return out
+    own, mix = np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 512):
+        mixed = (shingles[at : at + 512, None] ^ own) * mix
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * mix).min(axis=0))
+    return [xxhash.xxh64_intdigest(x.tobytes(), n) - (1 << 63) for n, x in enumerate(least.astype("<u8").reshape(bands, rows))]
 
 
 def _shingle_sets(words: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_hashes(t.as_py() or "", words).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = [shingle_hashes(t.as_py() or "", words).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return run
 
@@ -294,7 +310,7 @@ def _alike(least: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                a, b = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
                 keep.append(both >= least * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -302,8 +318,39 @@ def _alike(least: float):
     return run
 
 
+def _rare_pairs(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """u < v: documents of different roots that share one of their rarest shingles.
+
+    Two sets that are ``least`` alike share an element among the first
+    ``n - ceil(least * n) + 1`` of either in any one order; here the rarest of ``sets`` come
+    first, so what many documents have in common makes no pairs unless they have little else.
+    """
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    df = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    listed = each.join(df, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
+    first = F.slice("rare", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))
+    keys = stored(listed.select("id", "n", F.explode(first).alias("r")).where(F.col("r.df") > 1).select(F.col("r.s").alias("s"), "id", "n").join(roots, "id"), "rare")
+    a, b = (keys.select("s", F.col("id").alias(x), F.col("root").alias(f"{x}_root"), F.col("n").alias(f"{x}_n")) for x in "uv")
+    near = F.least("u_n", "v_n") >= least * F.greatest("u_n", "v_n")
+    return a.join(b, "s").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & near).select("u", "v").distinct()
+
+
+def _texts(marks: DataFrame) -> DataFrame:
+    """(id, first, mark, print, prints, bands): one row per distinct text; ``first`` is its least doc_id.
+
+    ``id`` is ``first``, but for texts that share it with another text, of which all but one
+    get a hash instead.
+    """
+    texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("first"), F.first("prints").alias("prints"), F.first("bands").alias("bands")), "texts")
+    clash = texts.groupBy("first").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("mark", "print")).alias("_least")).where(F.col("_n") > 1).drop("_n")
+    if not clash.take(1):
+        return texts.withColumn("id", F.col("first"))
+    own = F.col("_least").isNull() | (F.struct("mark", "print") == F.col("_least"))
+    return stored(texts.join(clash, "first", "left").withColumn("id", F.when(own, F.col("first")).otherwise(F.xxhash64("first", "mark", "print"))).drop("_least"), "texts")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = VIEWS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, component_id): documents joined by a Jaccard similarity of word shingles.
+    """(doc_id, mark, component_id, lead): documents joined by a Jaccard similarity of word shingles.
 
     A 64-bit fingerprint of five-word shingles moves by some ten bits at a similarity of 0.8,
     far beyond the radius. Its candidates therefore come from ``views`` fingerprints of the
@@ -311,6 +358,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
     hashes, which depend on the similarity alone and so also meet where a passage was added,
     cut or replaced; the pairs found are verified on the whole sets of shingles. Equal texts
     are one.
+
+    Texts that share a fingerprint or band meet its centre, the one that shares most with
+    others, as the text that others were copied from does. Groups that the verified links
+    still leave in several parts are then joined exactly, by an index of their rarest
+    shingles in which only texts of different parts meet.
+
+    ``mark`` is the hash of the row's text, ``lead`` is true for the row that stays: of the
+    component's smallest doc_id, the text with the smallest mark.
     """
 
     def prints(batches):
@@ -320,55 +375,67 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, bands)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *lists], names=["doc_id", "mark", "prints", "bands"])
 
-    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = stored(base.withColumn("mark", F.xxhash64("text")).mapInArrow(lean(prints), "doc_id long, mark long, prints array<long>, bands array<long>"), "prints")
+    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    marks = stored(base.mapInArrow(lean(prints), "doc_id long, mark long, prints array<long>, bands array<long>"), "prints")
     marks = marks.withColumn("print", F.get("prints", F.lit(0)))
-    texts = stored(marks.groupBy("mark", "print").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints"), F.first("bands").alias("bands")), "texts")
+    texts = _texts(marks)
     seen = texts.select("id", F.posexplode(F.concat("prints", "bands")).alias("view", "fp"))
-    spots = stored(seen.groupBy("view", "fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "spots")
-    pairs = stored(fingerprint_links(spots.where(F.col("view") < views).select("view", "fp", "head"), radius, forest=False, views=views).distinct(), "pairs")
-    # texts that share a fingerprint or band meet its head, and the heads of the fingerprints linked to it
-    crowded = seen.join(spots.where(F.col("n") > 1), ["view", "fp"]).where(F.col("id") != F.col("head")).select("view", "fp", "id", "head")
+    spots = stored(seen.groupBy("view", "fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "spots")
+    crowded = stored(seen.join(spots.where(F.col("n") > 1).select("view", "fp", "n"), ["view", "fp"]), "crowded")
+    often = crowded.groupBy("id").agg(F.sum("n").alias("often"))
+    centres = crowded.join(often, "id").groupBy("view", "fp").agg(F.min_by("id", F.struct(-F.col("often"), F.col("id"))).alias("head"))
+    centres = stored(centres, "centres")
+    heads = spots.where((F.col("n") == 1) & (F.col("view") < views)).select("view", "fp", F.col("id").alias("head")).unionByName(centres.where(F.col("view") < views))
+    pairs = stored(fingerprint_links(heads, radius, forest=False, views=views).distinct(), "pairs")
+    members = stored(crowded.join(centres, ["view", "fp"]).where(F.col("id") != F.col("head")).select("view", "fp", "id", "head"), "members")
     each = [
-        pairs.select(F.col("uh").alias("a"), F.col("vh").alias("b")), crowded.select(F.col("id").alias("a"), F.col("head").alias("b")),
-        pairs.join(crowded.select("view", F.col("fp").alias("u"), "id"), ["view", "u"]).select(F.col("id").alias("a"), F.col("vh").alias("b")),
-        pairs.join(crowded.select("view", F.col("fp").alias("v"), "id"), ["view", "v"]).select(F.col("uh").alias("a"), F.col("id").alias("b")),
+        pairs.select(F.col("uh").alias("a"), F.col("vh").alias("b")), members.select(F.col("id").alias("a"), F.col("head").alias("b")),
+        pairs.join(members.select("view", F.col("fp").alias("u"), "id"), ["view", "u"]).select(F.col("id").alias("a"), F.col("vh").alias("b")),
+        pairs.join(members.select("view", F.col("fp").alias("v"), "id"), ["view", "v"]).select(F.col("uh").alias("a"), F.col("id").alias("b")),
     ]
     every = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).where(F.col("a") != F.col("b"))
     every = stored(every.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
 
-    def verified(pairs):
-        asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        sets = base.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi").dropDuplicates(["id"])
-        sets = stored(sets.mapInArrow(lean(_shingle_sets(words)), "id long, shingles binary"), "sets")
+    def sets_of(ids):
+        asked = texts.select("id", F.col("first").alias("doc_id"), "mark").join(ids, "id", "left_semi")
+        rows = base.join(asked, ["doc_id", "mark"]).select("id", "text").dropDuplicates(["id"])
+        return stored(rows.mapInArrow(lean(_shingle_sets(words)), "id long, shingles array<long>"), "sets")
+
+    def verified(pairs, sets):
         both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("xs")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("ys")), "v")
         return stored(both.mapInArrow(lean(_alike(similarity)), "u long, v long"), "links")
 
-    links = verified(every)
+    links = verified(every, sets_of(every.select(F.col("u").alias("id")).union(every.select("v")).distinct()))
     roots = connected_components(links)
-    # whom the heads leave apart in a band meet each other, unless the links join them already
-    bands = seen.where(F.col("view") >= views).join(spots.where(F.col("n") > 1).select("view", "fp"), ["view", "fp"])
-    bands = stored(bands.join(roots.withColumnRenamed("node", "id"), "id", "left").select("view", "fp", "id", F.coalesce("root", "id").alias("root")), "bands")
-    parted = bands.groupBy("view", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
-    bands = bands.join(parted.select("view", "fp"), ["view", "fp"])
-    a, b = (bands.select("view", "fp", F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
-    rest = a.join(b, ["view", "fp"]).where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root"))).select("u", "v").distinct()
-    rest = stored(rest.join(every, ["u", "v"], "left_anti"), "rest")
-    if rest.take(1):
-        roots = connected_components(links.unionByName(verified(rest)))
-    named = texts.join(roots, texts["id"] == roots["node"], "left").select("mark", "print", F.coalesce("root", "id").alias("component_id"))
-    return marks.join(named, ["mark", "print"]).select("doc_id", "component_id")
+    # groups that the links leave in parts
+    rooted = stored(crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("view", "fp", "id", F.coalesce("root", "id").alias("root")), "rooted")
+    parted = rooted.groupBy("view", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
+    apart = stored(rooted.join(parted.select("view", "fp"), ["view", "fp"], "left_semi").select("id", "root").distinct(), "apart")
+    if apart.take(1):
+        sets = sets_of(apart.select("id"))
+        rest = stored(_rare_pairs(sets, apart, similarity).join(every, ["u", "v"], "left_anti"), "rest")
+        more = verified(rest, sets)
+        if more.take(1):
+            roots = connected_components(links.unionByName(more))
+    named = stored(texts.join(roots, texts["id"] == roots["node"], "left").select("mark", "print", "first", F.coalesce("root", "id").alias("root")), "named")
+    leads = named.groupBy("root").agg(F.min(F.struct("first", "mark")).alias("lead"))
+    named = named.join(leads, "root").select("mark", "print", "lead")
+    rows = marks.join(named, ["mark", "print"])
+    return rows.select("doc_id", "mark", F.col("lead.first").alias("component_id"), ((F.col("doc_id") == F.col("lead.first")) & (F.col("mark") == F.col("lead.mark"))).alias("lead"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = VIEWS, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one of smallest doc_id.
 
-    Repeated rows of one doc_id are one document, of which one row stays. A row without a
+    Repeated rows of one doc_id and text are one document, of which one row stays; rows of
+    one doc_id and texts that are not alike are documents of their own. A row without a
     doc_id can't be named in a group and stays.
     """
     groups = near_copies(docs.select("doc_id", "text"), words, similarity, views, radius)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = groups.where("lead").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    own = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = own.join(keep.withColumnRenamed("_mark", "_m"), (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_m")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
