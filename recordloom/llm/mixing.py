@@ -19,12 +19,15 @@ Permutations are swap-or-not networks over xxhash64, bijections of [0, n) for an
 all numbers come from hashes of (seed, source, position): reruns agree.
 
 Running positions per source are found in two levels (a hashed chunk of the source, then
-the chunk sums), so a source with a third of all rows is spread over ``chunks`` keys.
+the chunk sums), so a source with a third of all rows is spread over ``chunks`` keys, of
+which there are more the more rows there are. Only the plan, one row per source, is ever
+in one task: sources may number in the hundred thousands, not in the billions.
 
 Defined cases: a null or blank text has no words, takes no part and gets ``taken`` 0; a
 null source is a source of its own, ordered last; a null doc_id is a document like any
-other; repeated rows are separate documents; an empty table gives an empty result; only
-doc_id, text and source (and the columns named in ``carry``) are read.
+other; repeated rows are separate documents; a very long text spans blocks like any other
+and is counted whole; an empty table gives an empty result; only doc_id, text and source
+(and the columns named in ``carry``) are read.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BLOCK_WORDS = 512
 SHARD_SLOTS = 1024
-CHUNKS = 256
+#: Rows of a chunk, about, and the least number of chunks.
+CHUNK_ROWS = 20_000
+LEAST_CHUNKS = 256
 ROUNDS = 24
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,11 +96,11 @@ def permuted(k: Column, n: Column, *key: Column, inverse: bool = False, rounds:
     return F.aggregate(steps, k.cast("long"), step)
 
 
-def _explode_range(df: DataFrame, low: Column, high: Column, name: str, piece: int = 4096) -> DataFrame:
-    """A row for each whole number in [low, high), in two steps, so no task unrolls a hot row alone."""
+def _explode_range(df: DataFrame, low: Column, high: Column, name: str, total: int, piece: int = 4096) -> DataFrame:
+    """A row for each of the ``total`` whole numbers in [low, high), in two steps, so no task unrolls a hot row alone."""
     parts = df.withColumn("_lo", low.cast("long")).withColumn("_hi", high.cast("long")).where(F.col("_hi") > F.col("_lo"))
     parts = parts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_hi") - F.col("_lo") - 1) / piece))))
-    parts = parts.repartition("source", "_part")
+    parts = parts.repartition(max(1, -(-total // (8 * piece))), F.xxhash64("source", "_lo", "_part"))
     start = F.col("_lo") + F.col("_part") * piece
     return parts.withColumn(name, F.explode(F.sequence(start, F.least(start + piece, F.col("_hi")) - 1))).drop("_lo", "_hi", "_part")
 
@@ -109,7 +114,8 @@ class Mix:
     ``pieces``  one row per slot and document part: what the slot takes from the document
     """
 
-    def __init__(self, docs: DataFrame, weights=WEIGHTS, most_times=MOST_TIMES, block_words=BLOCK_WORDS, shard_slots=SHARD_SLOTS, seed=SEED, chunks=CHUNKS, carry=()):
+    def __init__(self, docs: DataFrame, weights=WEIGHTS, most_times=MOST_TIMES, block_words=BLOCK_WORDS, shard_slots=SHARD_SLOTS, seed=SEED, chunks: int | None = None, carry=()):
+        chunks = chunks or max(LEAST_CHUNKS, -(-docs.count() // CHUNK_ROWS))
         self.spark, self.block, self.shard, self.seed, self.carry = docs.sparkSession, block_words, shard_slots, seed, list(carry)
         sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), *self.carry)
         sized = stored(sized.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.lit(chunks))), "sized")
@@ -176,7 +182,7 @@ class Mix:
         )
         lacking = short.agg(F.sum(F.greatest(F.lit(0), F.col("k_to") - F.col("k_from"))).alias("n")).first()["n"] or 0
         closing = max(1, -(-lacking // self.shard))
-        slots = _explode_range(main.unionByName(short), F.col("k_from"), F.col("k_to"), "k")
+        slots = _explode_range(main.unionByName(short), F.col("k_from"), F.col("k_to"), "k", total)
         turn = F.expr("k div blocks")
         block = permuted(F.expr("k % blocks"), F.col("blocks"), seed, F.col("source"), turn)
         whole = F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(self.block))
