@@ -10,13 +10,16 @@ no letter.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``per_language``
 texts of each of at most ``max_languages`` languages (the most frequent, of equal counts the
-first in code point order), chosen by hash of doc_id, so the sample does not depend on partitioning. Prediction covers every row and
-is map-only.
+first in code point order), chosen by hash of doc_id, so the sample does not depend on
+partitioning; one text (the least) of an id that repeats within a language. Their grams
+are counted where they lie, and only the counts reach the driver. Prediction covers every
+row and is map-only.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and rejected; a
 null lang is never learned from; with nothing to learn from, every text is ``und``; very
-long texts are scanned in pieces of half a million characters and counted whole; equal cosines go to the language first
-in code point order; only doc_id, text and lang are read.
+long texts are scanned in pieces of half a million characters, with all grams across
+their edges; equal cosines go to the language first in code point order; repeated rows get
+equal results; an empty table gives an empty result; only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -56,8 +59,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _gram_cells(seq: np.ndarray, dims: int, row: np.ndarray | None = None, tail: int = 0) -> list[np.ndarray]:
+    """The cell of every 1-, 2- and 3-gram of ``seq`` that ends at or after ``tail``, within rows."""
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - (dims.bit_length() - 1))
+    cells, gram = [], seq
+    for n in range(3):
+        if n:
+            gram = (gram[:-1] * np.uint64(0x100000001B3)) ^ seq[n:]
+        cell = (((gram + np.uint64(n)) * mix) >> shift).astype(np.int64)
+        if row is not None:
+            cell = (row[: len(cell)] * dims + cell)[row[n:] == row[: len(cell)]]
+        cells.append(cell[max(0, tail - n) :])
+    return cells
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _long_counts(lowered: str, dims: int) -> tuple[np.ndarray, int]:
+    """``gram_counts`` of one text, piece by piece; the last two characters of a piece go on to the next."""
+    counts, letters = np.zeros(dims, np.int64), 0
+    tail, before = np.zeros(0, np.uint64), False
+    for at in range(0, len(lowered), _CHARS_AT_ONCE):
+        code = _codes(lowered[at : at + _CHARS_AT_ONCE])
+        is_letter = _letters()[code]
+        letters += int(is_letter.sum())
+        code[~is_letter] = 32
+        seq = np.concatenate((tail, code[is_letter | np.concatenate(([before], is_letter[:-1]))]))
+        counts += np.bincount(np.concatenate(_gram_cells(seq, dims, tail=len(tail))), minlength=dims)
+        tail, before = seq[-2:], bool(is_letter[-1])
+    return counts, letters
+
+
 def gram_counts(texts: list[str], dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 1- to 3-gram counts (texts x dims) and the number of letters of each text."""
+    """Hashed 1- to 3-gram counts (texts x dims) and the number of letters of each text.
+
+    A run of other characters after a letter counts as one space, one before the first letter not at all.
+    """
     counts = np.zeros((len(texts), dims), np.float32)
     letters = np.zeros(len(texts), np.int64)
     flat = counts.ravel()
@@ -68,37 +107,26 @@ def gram_counts(texts: list[str], dims: int = DIMS) -> tuple[np.ndarray, np.ndar
         if not rows:
             return
         lens = np.array([len(c) for c in codes])
-        code = np.concatenate(codes).astype(np.uint64)
+        code = np.concatenate(codes)
         row = np.repeat(np.array(rows, np.int64), lens)
         is_letter = _letters()[code]
-        np.add.at(letters, np.array(rows), np.add.reduceat(is_letter, np.concatenate(([0], np.cumsum(lens)[:-1])), dtype=np.int64))
+        letters[rows] = np.add.reduceat(is_letter, np.concatenate(([0], np.cumsum(lens)[:-1])), dtype=np.int64)
         code[~is_letter] = 32
         keep = is_letter.copy()
-        keep[1:] |= is_letter[:-1] | (row[1:] != row[:-1])
-        code, row = code[keep], row[keep]
-        base = row * dims
-        mix = np.uint64(0x9E3779B97F4A7C15)
-        shift = np.uint64(64 - (dims.bit_length() - 1))
-        gram = code.copy()
-        cells = [base + ((gram * mix) >> shift).astype(np.int64)]
-        for n in (1, 2):
-            gram = (gram[:-1] * np.uint64(0x100000001B3)) ^ code[n:]
-            same = row[n:] == row[: len(row) - n]
-            cells.append((base[: len(gram)] + (((gram + np.uint64(n)) * mix) >> shift).astype(np.int64))[same])
+        keep[1:] |= is_letter[:-1] & (row[1:] == row[:-1])
         low = rows[0] * dims
-        found = np.bincount(np.concatenate(cells) - low, minlength=(rows[-1] + 1) * dims - low)
+        found = np.bincount(np.concatenate(_gram_cells(code[keep], dims, row[keep])) - low, minlength=(rows[-1] + 1) * dims - low)
         flat[low : low + len(found)] += found
         rows, codes, size = [], [], 0
 
     for i, text in enumerate(texts):
         lowered = text.lower()
-        for at in range(0, len(lowered), _CHARS_AT_ONCE):
-            piece = lowered[at : at + _CHARS_AT_ONCE]
-            if at:  # one row of a scan for each text
-                flush()
+        if len(lowered) > _CHARS_AT_ONCE:
+            counts[i], letters[i] = _long_counts(lowered, dims)
+        elif lowered:
             rows.append(i)
-            codes.append(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4"))
-            size += len(piece)
+            codes.append(_codes(lowered))
+            size += len(lowered)
             if size >= _CHARS_AT_ONCE or len(rows) >= 256:
                 flush()
     flush()
@@ -142,12 +170,28 @@ class Centroids:
         return langs, scores, rejected
 
 
-def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS, dims: int = DIMS, rounds: int = 12, reject_share: float = REJECT_SHARE) -> Centroids | None:
-    """Fit on (lang, text) pairs; the same pairs in any order give the same centroids."""
+def packed(text: str, dims: int = DIMS) -> bytes:
+    """A text's gram counts as (cell, count) pairs after its number of letters."""
+    counts, letters = gram_counts([text], dims)
+    cell = np.flatnonzero(counts[0])
+    return np.concatenate(([letters[0]], cell, counts[0][cell])).astype("<i8").tobytes()
+
+
+def _unpacked(blobs: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    counts, letters = np.zeros((len(blobs), dims), np.float32), np.zeros(len(blobs), np.int64)
+    for i, blob in enumerate(blobs):
+        values = np.frombuffer(blob, "<i8")
+        half = len(values) // 2
+        letters[i], counts[i, values[1 : half + 1]] = values[0], values[half + 1 :]
+    return counts, letters
+
+
+def fit(samples: list[tuple[str, bytes]], clusters: int = CLUSTERS, dims: int = DIMS, rounds: int = 12, reject_share: float = REJECT_SHARE) -> Centroids | None:
+    """Fit on (lang, packed gram counts) pairs; the same pairs in any order give the same centroids."""
     samples = sorted(samples)
     if not samples:
         return None
-    counts, letters = gram_counts([t for _, t in samples], dims)
+    counts, letters = _unpacked([blob for _, blob in samples], dims)
     seen = letters > 0
     if not seen.any():
         return None
@@ -178,22 +222,30 @@ def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS, dims: int = DI
     return model
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """At most ``per_language`` (lang, text) pairs of each language, by hash of doc_id.
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, dims: int = DIMS) -> list[tuple[str, bytes]]:
+    """At most ``per_language`` (lang, packed gram counts) pairs of each language, by hash of doc_id.
 
-    The ids are chosen on narrow columns first; only the chosen rows' texts are read.
+    The ids are chosen on narrow columns, in two levels, so that no task sees more of a
+    language than its best of each of 64 deals; only the chosen rows' texts are read.
     """
-    open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = open_rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= per_language)
+    open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     most = open_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    ids = chosen.join(most, "lang").select("lang", "doc_id").collect()
-    if not ids:
+    chosen = open_rows.select("doc_id", "lang").distinct().join(F.broadcast(most), "lang")  # at most max_languages rows
+    for keys in (["lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))], ["lang"]):
+        by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= per_language).drop("nth")
+    picked = chosen.collect()
+    if not picked:
         return []
-    wanted = sorted({r["doc_id"] for r in ids})
-    learned = sorted({r["lang"] for r in ids})
-    asked = open_rows.where(F.col("doc_id").isin(wanted) & F.col("lang").isin(learned))
-    return [(r["lang"], r["text"]) for r in asked.select("lang", "text").collect()]
+    few = F.broadcast(docs.sparkSession.createDataFrame(picked, chosen.schema))  # at most per_language * max_languages rows
+    texts = open_rows.join(few, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def count(batches):
+        for batch in batches:
+            blobs = [packed(t.as_py(), dims) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(blobs, pa.binary())], names=["lang", "grams"])
+
+    return [(r["lang"], bytes(r["grams"])) for r in texts.mapInArrow(lean(count), "lang string, grams binary").collect()]
 
 
 def identify(docs: DataFrame, model: Centroids | None, passing: tuple[str, ...] = ()) -> DataFrame:
