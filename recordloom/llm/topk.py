@@ -19,7 +19,8 @@ vector shared by a third of the table costs one row.
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
 part, nor do rows without an id; vectors of different lengths are compared over their
 common components; repeated rows (same id, same vector) count once; ties go to the smaller
-id; an empty table gives an empty result; only the id and vector columns are read.
+id; components so large that ``scale`` times them is no long take the nearest long, and so
+do scores; an empty table gives an empty result; only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.storage import stored
@@ -37,6 +38,7 @@ SCALE = 1024
 SLICES = 2
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 4096
+_MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -45,18 +47,32 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (
         vectors.where(F.col(id_col).isNotNull() & fine)
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("q"))
+        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: _floored(v.cast("double") * scale)).alias("q"))
         .distinct()
     )
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims), np.float64)
-    for i, row in enumerate(column.to_pylist()):
-        out[i, : len(row)] = row
+def _floored(x: Column) -> Column:
+    return F.when(x >= 2.0**63, F.lit(_MOST)).when(x < -(2.0**63), F.lit(-_MOST - 1)).otherwise(F.floor(x))
+
+
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.compute.list_value_length(column).to_numpy()
+
+
+def _matrix(column: pa.ChunkedArray, dims: int, kind) -> np.ndarray:
+    """Vectors as rows, filled up with zeros."""
+    length = _lengths(column)
+    out = np.zeros((len(length), dims), kind)
+    values = pa.compute.list_flatten(column).to_numpy()
+    out[np.arange(dims)[None, :] < length[:, None]] = values if kind != object else [int(v) for v in values]
     return out
 
 
+def _long(score) -> int:
+    return max(-_MOST - 1, min(_MOST, int(score)))
+
+
 def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.dtype:
     """float64 while every sum stays an exact integer in it, else Python integers."""
     most = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
@@ -68,11 +84,10 @@ def _partials(table: pa.Table, slices: int):
     held = table.filter(pa.compute.invert(table.column("asks")))
     if not len(asked) or not len(held):
         return None
-    dims = max(len(r) for part in (asked, held) for r in part.column("q").to_pylist())
-    a, b = _matrix(asked.column("q"), dims), _matrix(held.column("q"), dims)
-    kind = _exact(a, b)
-    if kind == object:
-        a, b = (np.array([[int(v) for v in r] + [0] * (dims - len(r)) for r in part.column("q").to_pylist()], object) for part in (asked, held))
+    dims = max(int(_lengths(part.column("q")).max()) for part in (asked, held))
+    a, b = _matrix(asked.column("q"), dims, np.float64), _matrix(held.column("q"), dims, np.float64)
+    if _exact(a, b) == object:
+        a, b = _matrix(asked.column("q"), dims, object), _matrix(held.column("q"), dims, object)
     cuts = np.linspace(0, dims, slices + 1).astype(int)
     lists = [a[:, lo:hi] @ b[:, lo:hi].T for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo]
     return asked, asked.column("class_id").to_numpy(), held.column("class_id").to_numpy(), lists
@@ -90,7 +105,7 @@ def _seen_scores(table: pa.Table, k: int, slices: int) -> pa.Table:
             np.put_along_axis(seen, best, True, axis=1)
         for i in range(len(asks)):
             at = np.flatnonzero(seen[i])
-            whole = sorted((int(s) for s in sum(p[i, at] for p in lists)), reverse=True)[:k]
+            whole = sorted((_long(s) for s in sum(p[i, at] for p in lists)), reverse=True)[:k]
             query += [int(asks[i])] * len(whole)
             score += whole
     return pa.table({"query_class": pa.array(query, pa.int64()), "score": pa.array(score, pa.int64())})
@@ -113,10 +128,10 @@ def _resolved(table: pa.Table, k: int, slices: int) -> pa.Table:
             if cutoff is not None:
                 ok = np.asarray(whole >= cutoff, bool)
                 at, whole = at[ok], whole[ok]
-            order = sorted(range(len(at)), key=lambda j: (-int(whole[j]), int(holds[at[j]])))[:k] if len(at) else []
+            order = sorted(range(len(at)), key=lambda j: (-_long(whole[j]), int(holds[at[j]])))[:k] if len(at) else []
             query += [int(asks[i])] * len(order)
             held += [int(holds[at[j]]) for j in order]
-            score += [int(whole[j]) for j in order]
+            score += [_long(whole[j]) for j in order]
     return pa.table({"query_class": pa.array(query, pa.int64()), "class_id": pa.array(held, pa.int64()), "score": pa.array(score, pa.int64())})
 
 
