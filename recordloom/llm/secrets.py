@@ -6,13 +6,16 @@ features of its file, decoded by Viterbi; spans it finds apart from the rules' a
 with kind ``crf``.
 
 A token that can't be a secret by its form (under 8 characters, plain words, plain
-numbers) has only the label O. A chain falls apart at such tokens, so Viterbi runs over
-the stretches between them and finds the same path as over the whole text.
+numbers) has only the label O; that is a rule of this tagger, so passphrases of plain
+words, PINs and short secrets are left to the patterns. A chain falls apart at such tokens, so
+Viterbi runs over the stretches between them and finds the same path as over the whole
+text.
 
 The field is trained here by maximum likelihood (full-batch Adam on forward-backward
 gradients) on rows that label themselves: the rules' spans in a bounded sample of
-``SAMPLE_DOCS`` documents, chosen by hash of doc_id, and generated secrets and
-look-alikes of further kinds set between words of those documents. Scanning covers every
+``SAMPLE_DOCS`` documents of at most ``SAMPLE_BYTES`` bytes, chosen by hash of doc_id, and
+generated secrets and look-alikes of further kinds set between words of those documents.
+Longer stretches are learned from in chains of ``CHAIN`` tokens. Scanning covers every
 row, whole texts, and is map-only.
 
 Defined cases: a null or empty text has no spans; a very long text is scanned in one pass
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from recordloom.llm.workers import lean
 
 SAMPLE_DOCS = 120
+SAMPLE_BYTES = 100_000
+CHAIN = 64
 #: Generated examples of each kind.
 EXAMPLES = 60
 SEED = 5
@@ -49,7 +54,7 @@ KINDS = ("assign", "access", "hex", "crf")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=.\-]{8,}")
 _NUMBER = re.compile(r"[0-9.+/_=\-]*")
 _WORD = re.compile(r"[A-Za-z0-9]+")
-_GAP = re.compile(r"[^A-Za-z0-9]{0,8}")
+_GAP = re.compile(r"[^A-Za-z0-9]*")
 
 
 def rule_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,7 +87,7 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
         b -= len(token) - len(token.rstrip(".-"))
         if b - a < 8 or not may_be_secret(text[a:b]):
             continue
-        if end >= 0 and a - end <= 8 and _GAP.fullmatch(text, end, a):
+        if end >= 0 and _GAP.fullmatch(text, end, a):
             runs[-1].append((a, b))
         else:
             runs.append([(a, b)])
@@ -254,25 +259,39 @@ def training_chains(texts: list[str], examples: int = EXAMPLES, seed: int = SEED
                 marks.append(O if hit is None else I if hit == last else B)
                 last = hit
             if whole or any(marks):
-                chains.append(([features(text, at, file) for at in run], marks))
+                names = [features(text, at, file) for at in run]
+                chains.extend((names[at : at + CHAIN], marks[at : at + CHAIN]) for at in range(0, len(run), CHAIN))
 
     for text in texts:
         add(text, [(a, b) for a, b, _ in rule_spans(text)], True)
-    words = [w for t in texts for w in t[:2000].split()][:20_000] or ["of", "the"]
+    words = [w for t in texts for w in t.split()] or ["of", "the"]
     for before, pieces, after, secret in _examples(rng, examples):
         lead = " ".join(rng.choice(words) for _ in range(rng.randint(3, 12))) + " "
         body = "\n".join(pieces)
         tail = after + " " + " ".join(rng.choice(words) for _ in range(rng.randint(2, 8)))
         start = len(lead) + len(before)
         add(lead + before + body + tail, [(start, start + len(body))] if secret else [], True)
-    return [c for c in chains if len(c[0]) <= 64]
+    return chains
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
-    """Train on at most ``sample`` documents, chosen by hash of doc_id."""
-    ids = [r[0] for r in docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("text").limit(4 * sample).collect() if ids else []
-    return train(training_chains(sorted(r[0] for r in rows)))
+    """Train on at most ``sample`` documents, chosen by hash of doc_id; of a repeated id the least text."""
+    small = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
+    ids = [r[0] for r in small.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    rows = small.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if ids else []
+    return train(training_chains(sorted(r["text"] for r in rows)))
+
+
+def _apart(spans: list[list[int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The ``spans`` (ascending, disjoint) that overlap none of ``base`` (ascending by start)."""
+    out, at, reach = [], 0, -1
+    for a, b in spans:
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= a:
+            out.append((a, b, 3))
+    return out
 
 
 def scan(text: str, field: Field | None) -> list[tuple[int, int, int]]:
@@ -284,17 +303,14 @@ def scan(text: str, field: Field | None) -> list[tuple[int, int, int]]:
     if not runs:
         return base
     file = file_features(text, len(base))
-    added = []
+    spans: list[list[int]] = []
     for run in runs:
-        labels = field.viterbi([features(text, at, file) for at in run])
-        spans: list[list[int]] = []
-        for (a, b), label in zip(run, labels, strict=True):
+        for (a, b), label in zip(run, field.viterbi([features(text, at, file) for at in run]), strict=True):
             if label == B:
                 spans.append([a, b])
-            elif label == I and spans:
+            elif label == I:
                 spans[-1][1] = b
-        added += [(a, b, 3) for a, b in spans if not any(a < e and s < b for s, e, _ in base)]
-    return sorted(base + added, key=lambda s: (s[0], s[2]))
+    return sorted(base + _apart(spans, base), key=lambda s: (s[0], s[2]))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
