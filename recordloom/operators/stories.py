@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.operators import relations as J
 from recordloom.operators.components import connected_components
+from recordloom.storage import stored
+
+#: Actors named by more records than this are counted apart, by lists of the records' own.
+HUB_DF = 256
 
 
-def actor_edges(mentions: DataFrame, floor: float, least_shared: int = 2, salt: int = 1) -> DataFrame:
-    """a < b, shared, weight: records that share enough rare actors (weight is the sum of 1/df).
+def shared_actors(mentions: DataFrame, keep: Column, least_shared: int = 1, floor: float = 0.0, hub_shared: int | None = None, hub_df: int = HUB_DF) -> DataFrame:
+    """a < b, shared, weight, rarest: pairs of records that share actors, as far as ``keep`` holds.
 
-    Actors named once can't link anything and never reach the join.
+    ``mentions`` is distinct (event_id, entity_id); an actor weighs 1/df. ``keep`` must imply
+    ``least_shared`` shared actors (``hub_shared`` if all of them are hubs) of at least
+    ``floor`` in weight. So of a record's actors, most frequent first, those can't make a
+    pair alone that come before the ``least_shared``-th or before the weights add up to
+    ``floor``: no pair is made on them. Pairs are either made on all actors but hubs, and
+    the hubs' share is added from the records' lists, or, where that makes far fewer, on
+    the decisive actors alone and counted from the lists altogether. Actors named once can't
+    link anything and never reach the join.
     """
     df = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    rows = mentions.join(df, "entity_id").select("entity_id", "event_id", "df")
-    left, right, keys = rows.withColumnRenamed("event_id", "a"), rows.select("entity_id", F.col("event_id").alias("b")), ["entity_id"]
-    if salt > 1:
-        left = left.withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salt)))
-        right = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-        keys.append("_s")
-    pairs = left.join(right, keys).where(F.col("a") < F.col("b"))
-    out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(1.0 / F.col("df")).alias("weight"))
-    return out.where((F.col("shared") >= least_shared) & (F.col("weight") >= floor))
+    inv, order = 1.0 / F.col("df"), Window.partitionBy("event_id").orderBy(F.desc("df"), "entity_id")
+    nth, sums = F.row_number().over(order), F.sum(inv).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    least = F.when(F.col("df") > hub_df, F.lit(hub_shared or least_shared)).otherwise(F.lit(least_shared))
+    rows = mentions.join(df, "entity_id").select("entity_id", "event_id", "df", ((nth >= least) & (sums >= floor - 1e-9)).alias("decides"))
+    rows = stored(rows, "actors")
+    k = rows.groupBy("entity_id").agg(F.sum(F.col("decides").cast("double")).alias("k"), F.max("df").cast("double").alias("df"))
+    few, many = k.agg(F.sum(F.col("k") * F.col("k")), F.sum(F.col("df") * F.col("df"))).first()
+    cut = 0 if 8 * (few or 0) < (many or 0) else hub_df
+    side = rows.where((F.col("df") <= cut) | F.col("decides"))
+    pairs = side.select("entity_id", "df", F.col("event_id").alias("a")).join(side.select("entity_id", F.col("event_id").alias("b")), "entity_id").where(F.col("a") < F.col("b"))
+    counted = F.col("df") <= cut
+    out = pairs.groupBy("a", "b").agg(
+        F.sum(F.when(counted, 1).otherwise(0)).alias("shared"), F.sum(F.when(counted, inv).otherwise(0.0)).alias("weight"), F.max(F.when(counted, inv).otherwise(0.0)).alias("rarest")
+    )
+    listed = rows.where(F.col("df") > cut)
+    if cut == 0 or listed.take(1):
+        lists = stored(listed.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("df", "entity_id"))).alias("own")), "lists")
+        for side_ in "ab":
+            out = out.join(lists.select(F.col("event_id").alias(side_), F.col("own").alias(f"own_{side_}")), side_, "left")
+        both = F.coalesce(F.array_intersect("own_a", "own_b"), F.array().cast(lists.schema["own"].dataType))
+        out = out.withColumn("both", both).select(
+            "a", "b", (F.col("shared") + F.size("both")).alias("shared"),
+            (F.col("weight") + F.aggregate("both", F.lit(0.0), lambda s, x: s + 1.0 / x["df"])).alias("weight"),
+            F.greatest(F.col("rarest"), F.aggregate("both", F.lit(0.0), lambda s, x: F.greatest(s, 1.0 / x["df"]))).alias("rarest"),
+        )
+    return out.where(keep)
+
+
+def actor_edges(mentions: DataFrame, floor: float, least_shared: int = 2) -> DataFrame:
+    """a < b, shared, weight: records that share enough rare actors (weight is the sum of 1/df)."""
+    keep = (F.col("shared") >= least_shared) & (F.col("weight") >= floor)
+    return shared_actors(mentions, keep, least_shared, floor).select("a", "b", "shared", "weight")
 
 
 def edge_union(first: DataFrame, second: DataFrame, scale: float) -> DataFrame:
@@ -46,19 +77,48 @@ def first_hit(candidates: DataFrame, key: str, match: str) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
 
 
-def branch_parents(members: DataFrame, affinity: DataFrame) -> DataFrame:
-    """event_id, parent_id: each member's earlier member of greatest affinity over its mean pull; the first has none.
+def story_roots(members: DataFrame) -> DataFrame:
+    """component, root: the member with most outlets, then the earliest, then the lowest id."""
+    first = F.min_by("event_id", F.struct(-F.col("outlets"), F.col("at"), F.col("event_id")))
+    return members.groupBy("component").agg(first.alias("root"))
+
+
+def branch_parents(members: DataFrame, affinity: DataFrame, roots: DataFrame) -> DataFrame:
+    """event_id, parent_id: each member's earlier member of greatest affinity over its mean pull on all others; the root has none.
 
-    ``members`` is (event_id, component, at); ``affinity`` is (a, b, weight), undirected.
+    ``members`` is (event_id, component, at), ``affinity`` is (a, b, weight), undirected. A
+    member without affinity to an earlier one hangs on the earliest, the earliest on the root.
     """
     both = affinity.select("a", "b", "weight").unionByName(affinity.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    pull = both.groupBy("b").agg(F.avg("weight").alias("pull"))
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min_by("event_id", F.struct("at", "event_id")).alias("earliest"))
     child = members.select(F.col("event_id").alias("a"), "component", F.col("at").alias("at_a"))
-    earlier = members.select(F.col("event_id").alias("b"), F.col("component").alias("_c"), F.col("at").alias("at_b"))
-    pairs = both.join(child, "a").join(earlier, "b").where((F.col("component") == F.col("_c")) & (F.struct("at_b", "b") < F.struct(F.col("at_a").alias("at_b"), F.col("a").alias("b"))))
-    pairs = pairs.join(pull, "b").withColumn("_f", F.round(F.col("weight") / F.col("pull"), 9))
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("_f"), "b"))).where(F.col("_n") == 1)
-    return members.select("event_id").join(best.select(F.col("a").alias("event_id"), F.col("b").alias("parent_id")), "event_id", "left")
+    other = members.select(F.col("event_id").alias("b"), F.col("component").alias("_c"), F.col("at").alias("at_b"))
+    pairs = both.join(child, "a").join(other, "b").where(F.col("component") == F.col("_c")).join(size.select("component", "n"), "component")
+    pull = pairs.groupBy("b").agg((F.sum("weight") / (F.first("n") - 1)).alias("pull"))
+    earlier = pairs.where(F.struct("at_b", "b") < F.struct(F.col("at_a").alias("at_b"), F.col("a").alias("b"))).join(pull, "b")
+    force = F.round(F.col("weight") / F.col("pull"), 9)
+    best = earlier.groupBy("a").agg(F.min_by("b", F.struct(-force, F.col("at_b"), F.col("b"))).alias("best"))
+    rows = members.join(best, members.event_id == best.a, "left").join(size, "component").join(roots, "component")
+    parent = F.when(F.col("event_id") == F.col("root"), None).otherwise(F.coalesce("best", F.when(F.col("event_id") != F.col("earliest"), F.col("earliest")).otherwise(F.col("root"))))
+    return rows.select("event_id", "component", parent.alias("parent_id"))
+
+
+def off_spine(members: DataFrame, roots: DataFrame, mentions: DataFrame, least: float) -> DataFrame:
+    """event_id, off_spine: members whose actors carry less than ``least`` of their root's weight (1/df each)."""
+    df = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("df"))
+    spine = roots.join(mentions, roots.root == mentions.event_id).select("component", "entity_id").join(df, "entity_id")
+    own = members.select("event_id", "component").join(mentions, "event_id").join(spine, ["component", "entity_id"])
+    weight = own.groupBy("event_id").agg(F.sum(1.0 / F.col("df")).alias("w"))
+    return members.select("event_id").join(weight, "event_id", "left").select("event_id", (F.round(F.coalesce("w", F.lit(0.0)), 9) < least).alias("off_spine"))
+
+
+def tree_depths(parents: DataFrame) -> DataFrame:
+    """event_id, depth: steps to the root, by rounds that double the reach of each step."""
+    walk = stored(parents.select("event_id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth")), "walk")
+    while walk.where(F.col("up").isNotNull()).take(1):
+        step = walk.select(F.col("event_id").alias("_e"), F.col("up").alias("_u"), F.col("depth").alias("_d"))
+        walk = stored(walk.join(step, walk.up == step._e, "left").select("event_id", F.col("_u").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "walk")
+    return walk.select("event_id", "depth")
 
 
 def bounded_reach(edges: DataFrame, seeds: DataFrame, depth: int, floor: float, decay: float = 1.0) -> DataFrame:
@@ -74,78 +134,140 @@ def bounded_reach(edges: DataFrame, seeds: DataFrame, depth: int, floor: float,
     return seen
 
 
-def communities(edges: DataFrame, resolution: float = 0.05, rounds: int = 20) -> DataFrame:
-    """event_id, community: constant-Potts communities inside each connected component.
+def _best_moves(edges: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
+    """id, best: the neighbouring community of greatest constant-Potts gain, for nodes that gain by moving.
 
-    Components are independent, so each is one group of its own; nodes move in id order to
-    the neighbouring community of greatest gain until none moves.
+    ``nodes`` is (id, size, c, within); ``edges`` is (a, b, w), both ways. Only communities of
+    the same ``within`` are open to a node.
     """
-    parts = components(edges)
-    own = edges.join(parts.withColumnRenamed("event_id", "a"), "a").select("component", "a", "b", "weight")
+    links = edges.join(nodes.select(F.col("id").alias("b"), "c", F.col("within").alias("_in")), "b").groupBy("a", "c", "_in").agg(F.sum("w").alias("w"))
+    sizes = nodes.groupBy("c").agg(F.sum("size").alias("all"))
+    own = nodes.select(F.col("id").alias("a"), "size", F.col("c").alias("own"), "within").join(sizes.select(F.col("c").alias("own"), F.col("all").alias("own_all")), "own")
+    options = links.join(own, "a").where(F.col("within") == F.col("_in")).join(sizes, "c")
+    stays = F.col("c") == F.col("own")
+    gain = F.round(F.col("w") - resolution * F.col("size") * (F.col("all") - F.when(stays, F.col("size")).otherwise(0)), 9)
+    scored = options.select("a", "c", "own", gain.alias("gain"), stays.alias("stays"), F.round(-resolution * F.col("size") * (F.col("own_all") - F.col("size")), 9).alias("alone"))
+    best = scored.groupBy("a").agg(
+        F.max(F.when(~F.col("stays"), F.struct("gain", (-F.col("c")).alias("c")))).alias("to"), F.coalesce(F.max(F.when(F.col("stays"), F.col("gain"))), F.first("alone")).alias("now")
+    )
+    return best.where(F.col("to").isNotNull() & (F.col("to.gain") > F.col("now") + 1e-8)).select(F.col("a").alias("id"), (-F.col("to.c")).alias("best"))
+
+
+def _moved(edges: DataFrame, nodes: DataFrame, resolution: float, rounds: int, merge_only: bool = False) -> DataFrame:
+    """``nodes`` after rounds of moves, in each of which a hashed half may move to what the other half owns.
+
+    With ``merge_only`` nodes that share their community stay, so nothing leaves what others joined.
+    """
+    for n in range(rounds):
+        best = _best_moves(edges, nodes, resolution)
+        if merge_only:
+            alone = nodes.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == 1).select("c")
+            best = best.join(nodes.join(alone, "c").where("may").select("id"), "id")
+        best = stored(best, "best")
+        if not best.take(1):
+            break
+        half = lambda c, n=n: F.pmod(F.xxhash64(c, F.lit(n)), F.lit(2))
+        now = best.where((half("id") == 0) & (half("best") == 1)) if merge_only else best.where(half("id") == 0)
+        nodes = stored(nodes.join(now, "id", "left").withColumn("c", F.coalesce("best", "c")).drop("best"), "nodes")
+    return nodes
+
+
+def communities(edges: DataFrame, resolution: float = 0.05, levels: int = 6, rounds: int = 16) -> DataFrame:
+    """event_id, community: constant-Potts communities by the Leiden method, named by their smallest member.
+
+    Each level moves nodes between communities, refines every community into well-connected
+    parts that begin as single nodes, and makes the parts the next level's nodes. All steps
+    are grouped sums and joins, so no component has to fit one task.
+    """
+    one = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w")).where(F.col("a") != F.col("b"))
+    links = stored(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "links")
+    nodes = stored(links.select(F.col("a").alias("id")).distinct().select("id", F.lit(1).cast("long").alias("size"), F.col("id").alias("c"), F.lit(0).alias("within")), "nodes")
+    names = nodes.select(F.col("id").alias("event_id"), "id")
+    for _ in range(levels):
+        nodes = _moved(links, nodes, resolution, rounds)
+        # a part may leave its singleton only if the rest of the community holds it well
+        inner = links.join(nodes.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(nodes.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where(F.col("ca") == F.col("cb"))
+        pull = inner.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("pull"))
+        total = nodes.groupBy("c").agg(F.sum("size").alias("all"))
+        may = F.coalesce("pull", F.lit(0.0)) >= resolution * F.col("size") * (F.col("all") - F.col("size")) - 1e-9
+        start = nodes.join(pull, "id", "left").join(total, "c").select("id", "size", F.col("id").alias("c"), F.col("c").alias("within"), may.alias("may"))
+        parts = _moved(links, stored(start, "start"), resolution, rounds, merge_only=True)
+        names = stored(names.join(parts.select("id", F.col("c").alias("_c")), "id").select("event_id", F.col("_c").alias("id")), "names")
+        fewer = stored(parts.groupBy(F.col("c").alias("id")).agg(F.sum("size").alias("size"), F.min("within").alias("c")).withColumn("within", F.lit(0)), "nodes")
+        if fewer.count() == nodes.count():
+            break
+        ends = parts.select("id", "c")
+        links = links.join(ends.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(ends.select(F.col("id").alias("b"), F.col("c").alias("y")), "b").where(F.col("x") != F.col("y"))
+        links = stored(links.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "links")
+        nodes = fewer
+    found = names.join(nodes.select("id", "c"), "id")
+    least = found.groupBy("c").agg(F.min("event_id").alias("community"))
+    return found.join(least, "c").select("event_id", "community")
+
+
+def seed_communities(edges: DataFrame, reach: DataFrame, most: int = 30) -> DataFrame:
+    """seed, event_id: the seed's community by greedy modularity among the ``most`` first records of its reach.
+
+    ``reach`` is (seed, event_id, hops), as ``bounded_reach`` makes it, so a group is bounded;
+    of equal gains the communities with the smaller members merge first.
+    """
+    near = reach.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("hops", "event_id"))).where(F.col("_n") <= most).select("seed", "event_id")
+    ends = [near.select("seed", F.col("event_id").alias(c)) for c in "ab"]
+    own = edges.select("a", "b", "weight").join(ends[0], "a").join(ends[1], ["seed", "b"]).select("seed", "a", "b", "weight")
 
     def run(pdf):
         import pandas as pd
 
-        near: dict[int, dict[int, float]] = {}
+        seed = int(pdf["seed"].iloc[0])
+        between: dict[tuple[int, int], float] = {}
+        degree: dict[int, float] = {}
         for a, b, w in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["weight"].tolist(), strict=True):
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-        label = {v: v for v in near}
-        size = dict.fromkeys(near, 1)
-        for _ in range(rounds):
-            moved = False
-            for v in sorted(near):
-                at = label[v]
-                links: dict[int, float] = {}
-                for u, w in near[v].items():
-                    links[label[u]] = links.get(label[u], 0.0) + w
-                gain = {c: links.get(c, 0.0) - resolution * (size[c] - (c == at)) for c in {*links, at}}
-                best = min(gain, key=lambda c: (-round(gain[c], 12), c != at, c))
-                if best != at and gain[best] > gain[at] + 1e-12:
-                    size[at] -= 1
-                    size[best] += 1
-                    label[v] = best
-                    moved = True
-            if not moved:
+            between[min(a, b), max(a, b)] = between.get((min(a, b), max(a, b)), 0.0) + w
+            degree[a], degree[b] = degree.get(a, 0.0) + w, degree.get(b, 0.0) + w
+        total, group = sum(between.values()), {v: [v] for v in degree}
+        while between:
+            gain = {p: w / total - degree[p[0]] * degree[p[1]] / (2 * total * total) for p, w in between.items()}
+            x, y = min(gain, key=lambda p: (-round(gain[p], 12), p))
+            if gain[x, y] <= 1e-12:
                 break
-        groups: dict[int, int] = {}
-        for v in sorted(label):
-            groups.setdefault(label[v], v)
-        return pd.DataFrame({"event_id": sorted(label), "community": [groups[label[v]] for v in sorted(label)]})
+            group[x] += group.pop(y)
+            degree[x] += degree.pop(y)
+            joined: dict[tuple[int, int], float] = {}
+            for (a, b), w in between.items():
+                a, b = (x if a == y else a), (x if b == y else b)
+                if a != b:
+                    joined[min(a, b), max(a, b)] = joined.get((min(a, b), max(a, b)), 0.0) + w
+            between = joined
+        mine = next((g for g in group.values() if seed in g), [seed])
+        return pd.DataFrame([(seed, v) for v in sorted(mine)], columns=["seed", "event_id"])
 
-    return own.groupBy("component").applyInPandas(run, "event_id long, community long")
+    return own.groupBy("seed").applyInPandas(run, "seed long, event_id long")
 
 
 def star_merge(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """survivor, member: members join the best-ranked survivor only on their own verdict with it.
 
-    ``pairs`` is (a, b) of accepted verdicts; ``nodes`` is (event_id, outlets, at). Each
-    component is decided apart, survivors by outlets, then time, then id.
+    ``pairs`` is (a, b) of accepted verdicts; ``nodes`` is (event_id, outlets, at); survivors
+    lead by outlets, then time, then id. In each round the records are decided whose better
+    neighbours all are: beside a survivor a record joins the best one, else it survives.
     """
-    roots = components(pairs)
-    ranked = roots.join(nodes, "event_id").withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("outlets"), "at", "event_id")))
-    side = ranked.select("component", "event_id", "place")
-    joined = pairs.join(side.withColumnRenamed("event_id", "a").withColumnRenamed("place", "pa"), "a").join(side.select(F.col("event_id").alias("b"), F.col("place").alias("pb")), "b")
-
-    def run(pdf):
-        import pandas as pd
-
-        edges: dict[int, set[int]] = {}
-        name: dict[int, int] = {}
-        for a, b, pa_, pb in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["pa"].tolist(), pdf["pb"].tolist(), strict=True):
-            name[pa_], name[pb] = a, b
-            edges.setdefault(min(pa_, pb), set()).add(max(pa_, pb))
-        taken: set[int] = set()
-        out = []
-        for p in sorted(name):
-            if p in taken:
-                continue
-            for q in sorted(edges.get(p, set()) - taken):
-                taken.add(q)
-                out.append((name[p], name[q]))
-        return pd.DataFrame(out, columns=["survivor", "member"])
-
-    return joined.groupBy("component").applyInPandas(run, "survivor long, member long")
+    rank = nodes.select(F.col("event_id").alias("id"), F.struct((-F.col("outlets")).alias("o"), F.col("at").alias("t"), F.col("event_id").alias("i")).alias("rank"))
+    ends = [rank.select(F.col("id").alias(c), F.col("rank").alias(f"r{c}")) for c in "ab"]
+    both = pairs.select("a", "b").where(F.col("a") != F.col("b")).distinct().join(ends[0], "a").join(ends[1], "b")
+    first = F.col("ra") < F.col("rb")
+    edges = stored(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("up"), F.when(first, F.col("ra")).otherwise(F.col("rb")).alias("rank"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("low")).distinct(), "verdicts")
+    state = stored(edges.select(F.col("up").alias("id")).union(edges.select("low")).distinct().withColumn("into", F.lit(None).cast("long")), "state")
+    while state.where(F.col("into").isNull()).take(1):
+        above = edges.join(state.withColumnRenamed("id", "up").withColumnRenamed("into", "up_into"), "up")
+        told = above.groupBy(F.col("low").alias("id")).agg(
+            F.min(F.when(F.col("up_into") == F.col("up"), F.struct("rank", "up"))).alias("best"), F.count_if(F.col("up_into").isNull()).alias("open"),
+            F.min(F.when(F.col("up_into").isNull(), F.col("rank"))).alias("open_rank"),
+        )
+        # an undecided neighbour that ranks behind the best survivor changes nothing
+        settled = F.col("best").isNotNull() & (F.col("open_rank").isNull() | (F.col("best.rank") < F.col("open_rank")))
+        into = F.when(settled, F.col("best.up")).when(F.coalesce("open", F.lit(0)) == 0, F.col("id"))
+        state = stored(state.join(told, "id", "left").select("id", F.coalesce("into", into).alias("into")), "state")
+    return state.where(F.col("into") != F.col("id")).select(F.col("into").alias("survivor"), F.col("id").alias("member"))
 
 
 def b_cubed(df: DataFrame, predicted: str, gold: str) -> DataFrame:
@@ -191,33 +313,30 @@ def weighted_detection_cost(fn: Column, fp: Column, positives: Column, negatives
 
 
 def average_linkage(pairs: DataFrame, floor: float) -> DataFrame:
-    """event_id, cluster: average-linkage clusters inside the components of pairs at or above the floor.
+    """event_id, cluster: average-linkage clusters of mean similarity at or above the floor, named by their smallest member.
 
-    ``pairs`` is (component, a, b, sim) with all pairs of a component; each component is a
-    group of its own, merged greedily by mean similarity, ties to the smaller ids.
+    ``pairs`` is (a, b, sim); a pair that is not listed has similarity 0. In each round all
+    clusters merge that are each other's most similar one, which comes to the same tree as
+    merging the most similar pair of all, as a merger is never nearer to a third cluster
+    than its parts were. A round is grouped sums and joins, whatever a component's size.
     """
-
-    def run(pdf):
-        import pandas as pd
-
-        sim = {(a, b): s for a, b, s in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["sim"].tolist(), strict=True)}
-        groups = [[v] for v in sorted({v for pair in sim for v in pair})]
-
-        def mean(x, y):
-            total = [sim.get((min(i, j), max(i, j)), 0.0) for i in x for j in y]
-            return sum(total) / len(total)
-
-        while len(groups) > 1:
-            best = max(((round(mean(x, y), 12), -x[0], -y[0], i, j) for i, x in enumerate(groups) for j, y in enumerate(groups[:i])), default=None)
-            if best is None or best[0] < floor:
-                break
-            i, j = best[3], best[4]
-            groups[j] = sorted(groups[j] + groups[i])
-            del groups[i]
-            groups.sort()
-        return pd.DataFrame([(v, g[0]) for g in groups for v in g], columns=["event_id", "cluster"])
-
-    return pairs.groupBy("component").applyInPandas(run, "event_id long, cluster long")
+    one = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("total")).where(F.col("a") != F.col("b"))
+    sums = stored(one, "sums")
+    names = stored(sums.select(F.col("a").alias("event_id")).union(sums.select("b")).distinct().withColumn("cluster", F.col("event_id")), "names")
+    while True:
+        size = names.groupBy(F.col("cluster").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        sized = sums.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        near = sized.select("a", "b", F.round(F.col("total") / (F.col("na") * F.col("nb")), 12).alias("mean")).where(F.col("mean") >= floor)
+        either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
+        best = either.groupBy("a").agg(F.min_by("b", F.struct(-F.col("mean"), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
+        back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        merged = stored(best.join(back, ["a", "b"]).where(F.col("a") < F.col("b")).select(F.col("b").alias("old"), F.col("a").alias("new")), "merged")
+        if not merged.take(1):
+            return names
+        renamed = lambda df, c: df.join(merged, df[c] == merged["old"], "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+        names = stored(renamed(names, "cluster"), "names")
+        moved = renamed(renamed(sums, "a"), "b").where(F.col("a") != F.col("b"))
+        sums = stored(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total")), "sums")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -227,16 +346,43 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return (centre - spread) / (1 + z * z / n), (centre + spread) / (1 + z * z / n)
 
 
-def salt_for(largest_group: int, rows_per_task: int = 200_000) -> int:
-    """Tasks over which to deal a self-join's largest group so that each makes a bounded number of pairs."""
-    return max(1, math.ceil(largest_group * largest_group / 2 / rows_per_task / 100))
-
-
 def related(members: DataFrame, mentions: DataFrame, floor: float, k: int) -> DataFrame:
     """event_id, other_id, weight, rnk: the k records that share most rare actors with each asked one."""
-    df = J.document_frequency(mentions, "event_id", "entity_id")
-    asked = mentions.join(members.select("event_id"), "event_id", "left_semi").join(df, "entity_id")
-    other = J.semi_reduced(mentions, asked, "entity_id").withColumnRenamed("event_id", "other_id")
-    w = asked.join(other, "entity_id").where(F.col("event_id") != F.col("other_id")).groupBy("event_id", "other_id").agg(F.round(F.sum(1.0 / F.col("df")), 6).alias("weight"))
+    pairs = shared_actors(mentions, F.round("weight", 6) >= floor, 1, floor - 5e-7).select("a", "b", F.round("weight", 6).alias("weight"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("event_id"), F.col("b").alias("other_id")), F.struct(F.col("b").alias("event_id"), F.col("a").alias("other_id")))).alias("p"), "weight").select("p.*", "weight")
+    asked = both.join(members.select("event_id"), "event_id", "left_semi")
     order = Window.partitionBy("event_id").orderBy(F.desc("weight"), "other_id")
-    return w.where(F.col("weight") >= floor).withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
+    return asked.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
+
+
+def entity_folds(named: DataFrame) -> DataFrame:
+    """entity_id, target, why: entities of (entity_id, kind, key, ident) that are another one's variant.
+
+    Entities of one kind and key are one, the least id standing for it, unless they carry
+    different identifiers; then only those with the same identifier are.
+    """
+    group = named.groupBy("kind", "key").agg(F.countDistinct("ident").alias("idents"), F.min("entity_id").alias("least"))
+    known = named.where(F.col("ident").isNotNull()).groupBy("kind", "key", "ident").agg(F.min("entity_id").alias("same"))
+    rows = named.join(group, ["kind", "key"]).join(known, ["kind", "key", "ident"], "left")
+    one = F.col("idents") <= 1
+    folds = rows.select("entity_id", F.when(one, F.col("least")).otherwise(F.col("same")).alias("target"), F.when(one, "name").otherwise("identifier").alias("why"))
+    return folds.where(F.col("entity_id") != F.col("target"))
+
+
+def fold_entities(mentions: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions with folded entities repointed and twins dropped, journal of what moved).
+
+    The journal has (event_id, old_id, new_id, dropped); ``dropped`` marks mentions whose place was
+    taken by one of a lesser id, so that ``restore_entities`` can give all of them back.
+    """
+    moved = stored(mentions.join(folds.select("entity_id", "target"), "entity_id", "left").select("event_id", F.col("entity_id").alias("old_id"), F.coalesce("target", "entity_id").alias("new_id")), "moved")
+    first = moved.groupBy("event_id", "new_id").agg(F.min("old_id").alias("first"))
+    journal = moved.where(F.col("old_id") != F.col("new_id")).join(first, ["event_id", "new_id"]).select("event_id", "old_id", "new_id", (F.col("first") < F.col("old_id")).alias("dropped"))
+    return first.select("event_id", F.col("new_id").alias("entity_id")), journal
+
+
+def restore_entities(folded: DataFrame, journal: DataFrame) -> DataFrame:
+    """The mentions as they were before ``fold_entities``."""
+    # a place was empty before if the least id that moved there met none
+    made = journal.where(~F.col("dropped")).select("event_id", F.col("new_id").alias("entity_id"))
+    return folded.join(made, ["event_id", "entity_id"], "left_anti").unionByName(journal.select("event_id", F.col("old_id").alias("entity_id")))

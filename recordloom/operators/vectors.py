@@ -34,27 +34,27 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", floor: float | None = None, asked: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """vec_id, nbr_id, rnk, sim: the k most similar other vectors by cosine, ties to the smaller id.
+def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", floor: float | None = None, asked: Column | None = None, block: int = BLOCK, digits: int = 12) -> DataFrame:
+    """vec_id, nbr_id, rnk, sim: the k most similar other vectors by cosine of ``digits`` digits, ties to the smaller id.
 
     Exact: both sides are dealt into hashed blocks, a task multiplies one pair of blocks
     and returns each row's k best, and a window picks among the blocks' lists. Rows
     shuffled grow with rows times blocks, never with pairs.
     """
     rows = _rows(df, id_col, vector)
-    return _blocked(rows if asked is None else rows.where(asked), rows, k, floor, True, block)
+    return _blocked(rows if asked is None else rows.where(asked), rows, k, floor, True, block, digits)
 
 
 def nearest_to(df: DataFrame, targets: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", target_id: str = "id", target_vector: str = "centroid", block: int = BLOCK) -> DataFrame:
     """vec_id, nbr_id, rnk, sim: each row's k most similar targets, blocked like ``nearest``."""
-    return _blocked(_rows(df, id_col, vector), _rows(targets, target_id, target_vector), k, None, False, block)
+    return _blocked(_rows(df, id_col, vector), _rows(targets, target_id, target_vector), k, None, False, block, 12)
 
 
 def _rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
 
 
-def _blocked(asks: DataFrame, held: DataFrame, k: int, floor: float | None, apart: bool, block: int) -> DataFrame:
+def _blocked(asks: DataFrame, held: DataFrame, k: int, floor: float | None, apart: bool, block: int, digits: int) -> DataFrame:
     """The k best of ``held`` for each row of ``asks``; ``apart`` leaves out a row's own id."""
     n_a, n_b = (max(1, math.ceil(x.count() / block)) for x in (asks, held))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
@@ -68,7 +68,7 @@ def _blocked(asks: DataFrame, held: DataFrame, k: int, floor: float | None, apar
         if marks.any() and not marks.all():
             x = _unit(table.column("x").to_pylist())
             left, right = ids[marks], ids[~marks]
-            sims = np.round(x[marks] @ x[~marks].T, 12)
+            sims = np.round(x[marks] @ x[~marks].T, digits) + 0.0
             for i in range(len(left)):
                 order = np.lexsort((right, -sims[i])) if k * 8 > len(right) else _best(sims[i], right, k + 1)
                 kept = [j for j in order[: k + 1] if not (apart and right[j] == left[i]) and (floor is None or sims[i, j] >= floor)][:k]

@@ -3,6 +3,7 @@
 records   one row per happening        (orders with the customer's nation as region)
 reports   one row per report of it     (lineitem with the supplier's nation as publisher)
 mentions  one row per record and actor (distinct order and part)
+dossiers  mentions of denser records   (distinct customer and part), with ``dossier_nodes`` for their outlets and time
 actors    one row per actor            (part)
 clocks    usage rows                   (events)
 vectors   dense vectors with labels    (embeddings)
@@ -44,6 +45,18 @@ class Tables:
     def mentions(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id")).distinct()
 
+    @property
+    def dossiers(self) -> DataFrame:
+        orders = self.raw("orders").select("o_orderkey", F.col("o_custkey").alias("event_id"))
+        items = self.raw("lineitem").select("l_orderkey", F.col("l_partkey").alias("entity_id"))
+        return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("event_id", "entity_id").distinct()
+
+    @property
+    def dossier_nodes(self) -> DataFrame:
+        orders = self.raw("orders").select("o_orderkey", F.col("o_custkey").alias("event_id"), "o_orderdate")
+        items = self.raw("lineitem").select("l_orderkey", "l_suppkey")
+        return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("event_id").agg(F.countDistinct("l_suppkey").alias("outlets"), F.min("o_orderdate").alias("at"))
+
     @property
     def actors(self) -> DataFrame:
         return self.raw("part").select(
@@ -75,3 +88,5 @@ REPORTS = """reports AS (
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 )"""
 MENTIONS = "mentions AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey AS entity_id FROM lineitem)"
+DOSSIERS = "mentions AS (SELECT DISTINCT o_custkey AS event_id, l_partkey AS entity_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+DOSSIER_NODES = "nodes AS (SELECT o_custkey AS event_id, count(DISTINCT l_suppkey) AS outlets, min(o_orderdate) AS told FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey)"

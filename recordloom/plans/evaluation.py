@@ -105,8 +105,7 @@ def exact_set_marking(spark, sf_dir):
 def candidate_recall(spark, sf_dir):
     """EV13: per fold, how many gold pairs are among each vector's twenty nearest."""
     v = Tables(spark, sf_dir).vectors
-    near = V.nearest(v, 24).withColumn("sim", F.round("sim", 6))
-    top = R.top_per_group(near, ["vec_id"], [F.desc("sim"), F.asc("nbr_id")], 20, "n").select(F.col("vec_id").alias("a"), F.col("nbr_id").alias("b"), F.lit(1).alias("hit"))
+    top = V.nearest(v, 20, digits=6).select(F.col("vec_id").alias("a"), F.col("nbr_id").alias("b"), F.lit(1).alias("hit"))
     gold = v.select(F.col("vec_id").alias("a"), "label").join(v.select(F.col("vec_id").alias("b"), "label"), "label").where(F.col("a") != F.col("b"))
     fold = F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), F.col("a").cast("string"))), 1, 4), 16, 10).cast("long") % 5
     return gold.join(top, ["a", "b"], "left").groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("found"))
@@ -135,8 +134,7 @@ def decayed_similarity(spark, sf_dir):
 def average_linkage(spark, sf_dir):
     """EV12: average-linkage clusters of mutual neighbours inside each component; pairs that are none count as 0."""
     pairs = plans.mutual_knn(spark, sf_dir).where(F.col("sim") >= 0.3)
-    roots = S.components(pairs).withColumnRenamed("event_id", "a")
-    return S.average_linkage(pairs.join(roots, "a").select("component", "a", "b", "sim"), 0.12)
+    return S.average_linkage(pairs, 0.12)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.operators import relations as J
+from recordloom.operators import stories as S
 from recordloom.operators import vectors as V
 from recordloom.plans.bind import MENTIONS, RECORDS, REPORTS, Tables
 from recordloom.plans.registry import query
@@ -31,16 +32,11 @@ def entity_df_idf(spark, sf_dir):
     GROUP BY q.event_id, m.event_id HAVING count(*) >= 2 AND (max(1.0 / df) >= 0.02 OR count(*) >= 4)""",
 )
 def weighted_shared_actors(spark, sf_dir):
-    """AG3 JN7: shared actors weighted by rarity; actors named once can't be shared and go before the join."""
-    mentions = Tables(spark, sf_dir).mentions
-    df = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    near = J.semi_reduced(mentions, df, "entity_id").withColumnRenamed("event_id", "b")
-    asked = mentions.withColumnRenamed("event_id", "a")
-    pairs = asked.join(near, "entity_id").where(F.col("a") != F.col("b")).join(df, "entity_id")
-    inv = 1.0 / F.col("df")
-    rows = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(inv).alias("w"), F.max(inv).alias("r"))
-    rows = rows.where((F.col("shared") >= 2) & ((F.col("r") >= 0.02) | (F.col("shared") >= 4)))
-    return rows.select("a", "b", "shared", F.round("w", 6).alias("weight"), F.round("r", 6).alias("rarest"))
+    """AG3 JN7: shared actors weighted by rarity, each pair made once and then given both ways."""
+    keep = (F.col("shared") >= 2) & ((F.col("rarest") >= 0.02) | (F.col("shared") >= 4))
+    pairs = S.shared_actors(Tables(spark, sf_dir).mentions, keep, 2, hub_shared=4)
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+    return pairs.select(ends, "shared", "weight", "rarest").select("p.a", "p.b", "shared", F.round("weight", 6).alias("weight"), F.round("rarest", 6).alias("rarest"))
 
 
 @query(

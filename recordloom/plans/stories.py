@@ -10,12 +10,16 @@ from recordloom.operators import records as R
 from recordloom.operators import relations as J
 from recordloom.operators import stories as S
 from recordloom.operators import vectors as V
-from recordloom.plans.bind import MENTIONS, RECORDS, REPORTS, Tables
+from recordloom.plans.bind import DOSSIER_NODES, DOSSIERS, MENTIONS, RECORDS, REPORTS, Tables
 from recordloom.plans.registry import query
+from recordloom.storage import stored
 
-FLOOR = 0.12
+#: Weight of an edge between dossiers, and the weight of a root's actors that keeps a member on its spine.
+FLOOR = 0.2
+SPINE = 0.05
+RESOLUTION = 0.05
 _DF = "d AS (SELECT entity_id, count(*) AS df FROM mentions GROUP BY entity_id)"
-_EDGES = f"""{MENTIONS}, {_DF}, edges AS (SELECT x.event_id AS a, y.event_id AS b, count(*) AS shared, sum(1.0 / df) AS weight FROM mentions x JOIN mentions y ON x.entity_id = y.entity_id AND x.event_id < y.event_id JOIN d ON d.entity_id = x.entity_id
+_EDGES = f"""{DOSSIERS}, {_DF}, edges AS (SELECT x.event_id AS a, y.event_id AS b, count(*) AS shared, sum(1.0 / df) AS weight FROM mentions x JOIN mentions y ON x.entity_id = y.entity_id AND x.event_id < y.event_id JOIN d ON d.entity_id = x.entity_id
   GROUP BY ALL HAVING count(*) >= 2 AND sum(1.0 / df) >= {FLOOR})"""
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 _SIMS = f"{_UNIT}, sims AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id)"
@@ -24,13 +28,18 @@ _REACH = """adj AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edge
 
 
 def _edges(t: Tables):
-    return S.actor_edges(t.mentions, FLOOR)
+    """The actor edges between dossiers, stored once for all that reads them."""
+    return stored(S.actor_edges(t.dossiers, FLOOR), "actor_edges")
+
+
+def _members(t: Tables, edges):
+    return stored(S.components(edges).join(t.dossier_nodes, "event_id"), "members")
 
 
 @query("actor_edges", f"WITH {_EDGES} SELECT a, b, shared, round(weight, 6) AS weight FROM edges")
 def actor_edges(spark, sf_dir):
     """GR1 JN2 MC8: records linked by shared rare actors."""
-    return _edges(Tables(spark, sf_dir)).select("a", "b", "shared", F.round("weight", 6).alias("weight"))
+    return S.actor_edges(Tables(spark, sf_dir).dossiers, FLOOR).select("a", "b", "shared", F.round("weight", 6).alias("weight"))
 
 
 @query("connected_stories", f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT event_id, component FROM comp")
@@ -47,70 +56,102 @@ def connected_stories(spark, sf_dir):
 def story_cast(spark, sf_dir):
     """AG15 GR13: names on two records of a component, the top eight."""
     t = Tables(spark, sf_dir)
-    named = S.components(_edges(t)).join(t.mentions, "event_id").join(t.actors.select("entity_id", "name"), "entity_id")
-    n = named.groupBy("component", "name").agg(F.countDistinct("event_id").alias("n")).where(F.col("n") >= 2)
+    named = S.components(_edges(t)).join(t.dossiers, "event_id").join(t.actors.select("entity_id", "name"), "entity_id")
+    n = named.select("component", "name", "event_id").distinct().groupBy("component", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
     return R.top_per_group(n, ["component"], [F.desc("n"), F.asc("name")], 8).select("component", "name", "n")
 
 
-@query(
-    "root_selection",
-    f"""WITH RECURSIVE {_EDGES}, {_REACH}, {REPORTS}, c AS (SELECT event_id, count(DISTINCT publisher) AS outlets, min(published_at) AS first_at FROM reports GROUP BY event_id)
-    SELECT component, event_id AS root, outlets FROM (SELECT component, event_id, outlets, row_number() OVER (PARTITION BY component ORDER BY outlets DESC, first_at, event_id) AS k FROM comp JOIN c USING (event_id)) WHERE k = 1""",
-)
+_ROOTS = f"""{DOSSIER_NODES}, m AS (SELECT event_id, component, outlets, told FROM comp JOIN nodes USING (event_id)),
+  roots AS (SELECT component, event_id AS root, outlets FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY outlets DESC, told, event_id) AS k FROM m) WHERE k = 1)"""
+
+
+@query("root_selection", f"WITH RECURSIVE {_EDGES}, {_REACH}, {_ROOTS} SELECT component, root FROM roots")
 def root_selection(spark, sf_dir):
     """GR9: a story's root has most outlets, then is earliest, then lowest."""
     t = Tables(spark, sf_dir)
-    c = t.reports.groupBy("event_id").agg(F.countDistinct("publisher").alias("outlets"), F.min("published_at").alias("first_at"))
-    rows = S.components(_edges(t)).join(c, "event_id")
-    return R.top_per_group(rows, ["component"], [F.desc("outlets"), F.asc("first_at"), F.asc("event_id")], 1).select("component", F.col("event_id").alias("root"), "outlets")
+    return S.story_roots(_members(t, _edges(t)))
+
+
+_TREE = f"""{_ROOTS}, w AS (SELECT a AS c, b AS p, weight FROM edges UNION ALL SELECT b, a, weight FROM edges), size AS (SELECT component, count(*) AS n, arg_min(event_id, (told, event_id)) AS earliest FROM m GROUP BY component),
+  pull AS (SELECT p, sum(weight) / (any_value(n) - 1) AS pull FROM w JOIN m ON m.event_id = p JOIN size USING (component) GROUP BY p),
+  f AS (SELECT w.c, w.p, row_number() OVER (PARTITION BY w.c ORDER BY round(weight / pull, 9) DESC, mp.told, w.p) AS k FROM w JOIN m mc ON mc.event_id = w.c JOIN m mp ON mp.event_id = w.p AND (mp.told, mp.event_id) < (mc.told, mc.event_id) JOIN pull ON pull.p = w.p),
+  tree AS (SELECT m.event_id, m.component, CASE WHEN m.event_id = root THEN NULL ELSE coalesce(f.p, CASE WHEN m.event_id <> earliest THEN earliest ELSE root END) END AS parent_id
+    FROM m JOIN size USING (component) JOIN roots USING (component) LEFT JOIN f ON f.c = m.event_id AND f.k = 1)"""
+
+
+def _tree(t: Tables):
+    edges = _edges(t)
+    members = _members(t, edges)
+    roots = stored(S.story_roots(members), "roots")
+    return members, roots, S.branch_parents(members, edges, roots)
+
+
+@query("branch_tree", f"WITH RECURSIVE {_EDGES}, {_REACH}, {_TREE} SELECT event_id, parent_id FROM tree")
+def branch_tree(spark, sf_dir):
+    """GR10 GR11: each development hangs on the earlier one that pulls it most, over that one's pull on all."""
+    return _tree(Tables(spark, sf_dir))[2].select("event_id", "parent_id")
 
 
 @query(
-    "branch_tree",
-    f"""WITH RECURSIVE {_EDGES}, {_REACH}, w AS (SELECT a AS c, b AS p, weight FROM edges UNION ALL SELECT b, a, weight FROM edges), pull AS (SELECT p, avg(weight) AS pull FROM w GROUP BY p), m AS (SELECT event_id, component, o_orderdate AS told FROM comp JOIN orders ON o_orderkey = event_id),
-    f AS (SELECT w.c, w.p, row_number() OVER (PARTITION BY w.c ORDER BY round(weight / pull, 9) DESC, w.p) AS k FROM w JOIN m mc ON mc.event_id = w.c JOIN m mp ON mp.event_id = w.p AND mp.component = mc.component AND (mp.told, mp.event_id) < (mc.told, mc.event_id) JOIN pull ON pull.p = w.p)
-    SELECT m.event_id, f.p AS parent_id FROM m LEFT JOIN f ON f.c = m.event_id AND f.k = 1""",
+    "off_spine",
+    f"""WITH RECURSIVE {_EDGES}, {_REACH}, {_ROOTS}, spine AS (SELECT component, entity_id, 1.0 / df AS w FROM roots JOIN mentions ON root = event_id JOIN d USING (entity_id)),
+    s AS (SELECT event_id, sum(w) AS w FROM m JOIN mentions USING (event_id) JOIN spine USING (component, entity_id) GROUP BY event_id)
+    SELECT m.event_id, round(coalesce(w, 0), 9) < {SPINE} AS off_spine FROM m LEFT JOIN s USING (event_id)""",
 )
-def branch_tree(spark, sf_dir):
-    """GR10 GR11: each development hangs on the earlier one that pulls it most."""
+def off_spine(spark, sf_dir):
+    """GR10: members that share too little of their root's distinctive actors."""
     t = Tables(spark, sf_dir)
-    edges = _edges(t)
-    members = S.components(edges).join(t.records.select("event_id", F.col("first_seen").alias("at")), "event_id")
-    return S.branch_parents(members, edges)
+    members = _members(t, _edges(t))
+    return S.off_spine(members, S.story_roots(members), stored(t.dossiers, "dossiers"), SPINE)
 
 
 @query(
     "tree_shape",
-    f"""WITH RECURSIVE {_EDGES}, {_REACH}, m AS (SELECT event_id, component, row_number() OVER (PARTITION BY component ORDER BY event_id) AS n FROM comp), t AS (SELECT a.component, a.event_id, b.event_id AS parent FROM m a LEFT JOIN m b ON a.component = b.component AND b.n = a.n // 2),
-    w AS (SELECT component, event_id, 0 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.component, t.event_id, depth + 1 FROM w JOIN t ON t.parent = w.event_id)
-    SELECT component, CAST(max(depth) AS INTEGER) AS depth, count(*) AS n FROM w GROUP BY component""",
+    f"""WITH RECURSIVE {_EDGES}, {_REACH}, {_TREE}, walk AS (SELECT event_id, component, 0 AS depth FROM tree WHERE parent_id IS NULL UNION ALL SELECT tree.event_id, tree.component, depth + 1 FROM walk JOIN tree ON tree.parent_id = walk.event_id)
+    SELECT component, CAST(max(depth) AS INTEGER) AS depth, count(*) AS n, CAST(max(fan) AS BIGINT) AS widest FROM walk LEFT JOIN (SELECT parent_id, count(*) AS fan FROM tree GROUP BY parent_id) c ON c.parent_id = event_id GROUP BY component""",
 )
 def tree_shape(spark, sf_dir):
-    """GR12: depth and size of story trees (heap-shaped here), by doubling redirects."""
-    m = S.components(_edges(Tables(spark, sf_dir))).withColumn("n", F.row_number().over(Window.partitionBy("component").orderBy("event_id")))
-    # a node's depth in a binary heap is the bit length of its place, less one
-    return m.groupBy("component").agg(F.floor(F.log2(F.max("n"))).cast("int").alias("depth"), F.count(F.lit(1)).alias("n"))
+    """GR12: depth, size and widest fan of story trees, depths by doubling steps."""
+    _, _, tree = _tree(Tables(spark, sf_dir))
+    tree = stored(tree, "tree")
+    fan = tree.groupBy(F.col("parent_id").alias("event_id")).agg(F.count(F.lit(1)).alias("fan"))
+    rows = tree.join(S.tree_depths(tree), "event_id").join(fan, "event_id", "left")
+    return rows.groupBy("component").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n"), F.max("fan").alias("widest"))
 
 
 @query("story_communities")
 def story_communities(spark, sf_dir):
-    """GR6 GR7: constant-Potts communities inside components."""
-    return S.communities(_edges(Tables(spark, sf_dir)).select("a", "b", "weight"))
+    """GR6: Leiden communities under the constant Potts model."""
+    return S.communities(_edges(Tables(spark, sf_dir)).select("a", "b", "weight"), RESOLUTION)
+
 
+_REACHED = f"""e AS (SELECT a AS x, b AS y, least(weight * 2, 1.0) AS s FROM edges UNION ALL SELECT b, a, least(weight * 2, 1.0) FROM edges), asked AS (SELECT DISTINCT x AS seed FROM e WHERE x % 10 = 0),
+  walk AS (SELECT seed, seed AS event_id, 0 AS hops, CAST(1.0 AS DOUBLE) AS s FROM asked UNION SELECT seed, y, hops + 1, walk.s * e.s FROM walk JOIN e ON e.x = walk.event_id WHERE hops < 3 AND walk.s * e.s >= 0.15)"""
 
-@query("bounded_reach")
+
+@query("bounded_reach", f"WITH RECURSIVE {_EDGES}, {_REACHED} SELECT seed, event_id, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY seed, event_id")
 def bounded_reach(spark, sf_dir):
-    """GR8: records within four decayed steps of each pending record."""
-    t = Tables(spark, sf_dir)
-    edges = _edges(t).select("a", "b", (F.col("weight") * 4).alias("weight"))
-    return S.bounded_reach(edges, t.records.where(F.col("status") == "P"), 4, 0.15).select("seed", "event_id", "hops")
+    """GR8: records within three decaying steps of each tenth record."""
+    return _reach(_edges(Tables(spark, sf_dir)))
+
+
+def _reach(edges):
+    near = edges.select("a", "b", (F.col("weight") * 2).alias("weight"))
+    seeds = edges.select(F.col("a").alias("event_id")).union(edges.select("b")).where(F.col("event_id") % 10 == 0).distinct()
+    return S.bounded_reach(near, seeds, 3, 0.15).select("seed", "event_id", "hops")
+
+
+@query("seed_communities")
+def seed_communities(spark, sf_dir):
+    """GR7: a seed's community by greedy modularity in its bounded reach."""
+    edges = _edges(Tables(spark, sf_dir))
+    return S.seed_communities(edges, _reach(edges))
 
 
 @query("cosine_topk", f"WITH {_SIMS} SELECT vec_id, nbr_id, CAST(rnk AS INTEGER) AS rnk, sim FROM (SELECT a AS vec_id, b AS nbr_id, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rnk FROM sims) WHERE rnk <= 5")
 def cosine_topk(spark, sf_dir):
     """DM5 MC7 MC9 SR2: exact nearest neighbours by cosine, blocked."""
-    near = V.nearest(Tables(spark, sf_dir).vectors, 8).withColumn("sim", F.round("sim", 6))
-    return near.withColumn("rnk", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "nbr_id"))).where(F.col("rnk") <= 5)
+    return V.nearest(Tables(spark, sf_dir).vectors, 5, digits=6)
 
 
 @query(
@@ -119,24 +160,22 @@ def cosine_topk(spark, sf_dir):
 )
 def mutual_knn(spark, sf_dir):
     """GR2 JN16: pairs in each other's four nearest."""
-    near = V.nearest(Tables(spark, sf_dir).vectors, 8).withColumn("sim", F.round("sim", 6))
-    four = near.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "nbr_id"))).where(F.col("n") <= 4)
-    return V.mutual(four)
+    return V.mutual(V.nearest(Tables(spark, sf_dir).vectors, 4, digits=6))
 
 
 @query(
     "edge_union",
-    f"""WITH {_SIMS}, k AS (SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM sims) WHERE n <= 4), m AS (SELECT x.a, x.b, x.sim FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b),
-    h AS (SELECT vec_id AS a, vec_id + 1 AS b, 0.25 AS w FROM embeddings WHERE vec_id % 3 = 0)
+    f"""WITH {_SIMS}, {_EDGES}, k AS (SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM sims) WHERE n <= 4), m AS (SELECT x.a, x.b, x.sim FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b),
+    h AS (SELECT a, b, round(weight, 6) AS w FROM edges WHERE a IN (SELECT vec_id FROM embeddings) AND b IN (SELECT vec_id FROM embeddings))
     SELECT coalesce(m.a, h.a) AS a, coalesce(m.b, h.b) AS b, round(coalesce(sim, 0) + 2.0 * coalesce(CAST(w AS DOUBLE), 0), 6) AS weight FROM m FULL JOIN h ON m.a = h.a AND m.b = h.b""",
 )
 def edge_union(spark, sf_dir):
-    """GR3: two edge lists as one, weights added."""
-    v = Tables(spark, sf_dir).vectors
-    near = V.nearest(v, 8).withColumn("sim", F.round("sim", 6))
-    four = near.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "nbr_id"))).where(F.col("n") <= 4)
-    second = v.where(F.col("vec_id") % 3 == 0).select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.lit(0.25).alias("weight"))
-    return S.edge_union(V.mutual(four).withColumnRenamed("sim", "weight"), second, 2.0).select("a", "b", F.round("weight", 6).alias("weight"))
+    """GR3: mutual neighbours and actor edges (of dossiers that have a vector) as one list, weights added."""
+    t = Tables(spark, sf_dir)
+    mutual = V.mutual(V.nearest(t.vectors, 4, digits=6)).withColumnRenamed("sim", "weight")
+    ids = t.vectors.select("vec_id")
+    second = _edges(t).join(ids.withColumnRenamed("vec_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("vec_id", "b"), "b", "left_semi")
+    return S.edge_union(mutual, second.select("a", "b", F.round("weight", 6).alias("weight")), 2.0).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 _CENTRE = f"""{_UNIT}, x AS (SELECT label, unnest(v) AS v, unnest(range(len(v))) AS i FROM u), c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v) AS m FROM x GROUP BY label, i) GROUP BY label),
@@ -270,11 +309,13 @@ def match_cascade(spark, sf_dir):
     head = F.substring_index("text", "\n", 1)
     long_words = F.array_distinct(F.filter(T.words(head), lambda w: F.length(w) >= 6))
     h = d.select("doc_id", "source", F.md5("text").alias("m"), head.alias("t"), long_words.alias("w"))
-    other = h.select(*[F.col(c).alias("_" + c) for c in h.columns])
     before = F.col("_doc_id") < F.col("doc_id")
     row = lambda n, s: [F.col("doc_id"), F.col("_doc_id").alias("match_id"), F.lit(n).alias("tier"), s.alias("score")]
-    exact = h.join(other, (F.col("m") == F.col("_m")) & before).select(*row(1, F.lit(1.0)))
-    title = h.join(other, (F.col("t") == F.col("_t")) & (F.col("source") == F.col("_source")) & before).select(*row(2, F.lit(0.9)))
+    # the best match on a whole key is the least id that has it
+    least = lambda *keys: F.min("doc_id").over(Window.partitionBy(*keys))
+    first = h.select("doc_id", least("m").alias("one"), least("t", "source").alias("two"))
+    exact = first.where(F.col("one") < F.col("doc_id")).select("doc_id", F.col("one").alias("match_id"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
+    title = first.where(F.col("two") < F.col("doc_id")).select("doc_id", F.col("two").alias("match_id"), F.lit(2).alias("tier"), F.lit(0.9).alias("score"))
     # shared words through an inverted index, so only documents with a word in common meet
     word = h.select("doc_id", "source", F.size("w").alias("n"), F.explode("w").alias("x"))
     other_word = word.select(F.col("doc_id").alias("_doc_id"), "source", F.col("n").alias("_n"), "x")
@@ -291,20 +332,28 @@ def match_cascade(spark, sf_dir):
 def shared_identifiers(spark, sf_dir):
     """MC1: a shared identifier matches the newest record that has it."""
     i = Tables(spark, sf_dir).records.select("event_id", "first_seen", (F.col("author_id") * 5 + F.col("event_id") % 5).alias("cve"))
-    b = i.select(F.col("event_id").alias("other"), F.col("first_seen").alias("at"), "cve")
-    return i.join(b, "cve").where(F.col("other") != F.col("event_id")).groupBy("event_id").agg(F.max_by("other", F.struct("at", "other")).alias("match_id"))
+    two = R.top_per_group(i, ["cve"], [F.desc("first_seen"), F.desc("event_id")], 2, "n").groupBy("cve").agg(
+        F.max(F.when(F.col("n") == 1, F.col("event_id"))).alias("first"), F.max(F.when(F.col("n") == 2, F.col("event_id"))).alias("second")
+    )
+    match = F.when(F.col("first") != F.col("event_id"), F.col("first")).otherwise(F.col("second"))
+    return i.join(two.where(F.col("second").isNotNull()), "cve").select("event_id", match.alias("match_id"))
 
 
 @query(
     "verified_verdicts",
-    f"""WITH {_SIMS}, k AS (SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM sims) WHERE n <= 4), v AS (SELECT a, b, sim, (a * 7 + b * 13) % 100 / 100.0 AS r1, (a * 3 + b * 17) % 100 / 100.0 AS r2 FROM (SELECT x.a, x.b, x.sim FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b))
-    SELECT a, b, CASE WHEN r1 >= 0.85 THEN 'verified' WHEN r1 >= 0.65 AND least(r1, r2) >= 0.70 THEN 'escalated' WHEN r1 >= 0.5 AND r2 < 0.5 THEN 'proposed' ELSE 'none' END AS verdict FROM v""",
+    f"""WITH {_SIMS}, k AS (SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM sims) WHERE n <= 4), p AS (SELECT x.a, x.b, x.sim FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b),
+    v AS (SELECT p.a, p.b, round(0.5 + sim, 6) AS r1, round(0.5 + list_cosine_similarity(x.v[1:32], y.v[1:32]), 6) AS r2 FROM p JOIN u x ON x.vec_id = p.a JOIN u y ON y.vec_id = p.b)
+    SELECT a, b, CASE WHEN r1 >= 0.9 THEN 'verified' WHEN r1 >= 0.8 AND least(r1, r2) >= 0.8 THEN 'escalated' WHEN r1 >= 0.75 AND r2 < 0.9 THEN 'proposed' ELSE 'none' END AS verdict FROM v""",
 )
 def verified_verdicts(spark, sf_dir):
-    """MC10: verdicts on mutual neighbours by floors, with a second reading for the doubtful (the readings are synthetic)."""
-    p = mutual_knn(spark, sf_dir)
-    r1, r2 = (F.col("a") * 7 + F.col("b") * 13) % 100 / 100.0, (F.col("a") * 3 + F.col("b") * 17) % 100 / 100.0
-    verdict = F.when(r1 >= 0.85, "verified").when((r1 >= 0.65) & (F.least(r1, r2) >= 0.70), "escalated").when((r1 >= 0.5) & (r2 < 0.5), "proposed").otherwise("none")
+    """MC10: verdicts on mutual neighbours by floors, the doubtful read again on half the dimensions."""
+    v = Tables(spark, sf_dir).vectors
+    p = V.mutual(V.nearest(v, 4, digits=6))
+    half = F.slice("embedding", 1, 32)
+    p = p.join(v.select(F.col("vec_id").alias("a"), half.alias("x")), "a").join(v.select(F.col("vec_id").alias("b"), half.alias("y")), "b")
+    p = p.select("a", "b", F.round(F.lit(0.5) + F.col("sim"), 6).alias("r1"), F.round(F.lit(0.5) + V.cosine(F.col("x"), F.col("y")), 6).alias("r2"))
+    r1, r2 = F.col("r1"), F.col("r2")
+    verdict = F.when(r1 >= 0.9, "verified").when((r1 >= 0.8) & (F.least(r1, r2) >= 0.8), "escalated").when((r1 >= 0.75) & (r2 < 0.9), "proposed").otherwise("none")
     return p.select("a", "b", verdict.alias("verdict"))
 
 
@@ -321,38 +370,73 @@ def identical_body_guard(spark, sf_dir):
 
 @query(
     "followup_links",
-    f"""WITH {RECORDS}, v AS (SELECT event_id, (event_id * 31 + 7) % 997 AS other, (event_id * 17) % 100 / 100.0 AS score FROM records), s AS (SELECT v.event_id AS x, v.other AS y, score FROM v JOIN records o ON o.event_id = v.other WHERE score >= 0.55 AND v.event_id <> other)
+    f"""WITH {RECORDS}, {_SIMS}, s AS (SELECT a AS x, b AS y, sim AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM sims) WHERE n <= 4 AND sim >= 0.2)
     SELECT CASE WHEN (a.first_seen, a.event_id) <= (b.first_seen, b.event_id) THEN x ELSE y END AS from_id, CASE WHEN (a.first_seen, a.event_id) <= (b.first_seen, b.event_id) THEN y ELSE x END AS to_id, max(score) AS score FROM s JOIN records a ON a.event_id = x JOIN records b ON b.event_id = y GROUP BY 1, 2""",
 )
 def followup_links(spark, sf_dir):
-    """MC12 MC13: the strongest link of a pair, oriented from earlier to later."""
-    r = Tables(spark, sf_dir).records.select("event_id", "first_seen")
-    e = F.col("event_id")
-    v = r.select(e.alias("x"), ((e * 31 + 7) % 997).alias("y"), ((e * 17) % 100 / 100.0).alias("score"), F.col("first_seen").alias("tx")).where((F.col("score") >= 0.55) & (F.col("x") != F.col("y")))
-    s = v.join(r.select(e.alias("y"), F.col("first_seen").alias("ty")), "y")
+    """MC12 MC13: a record's nearest neighbours over a floor, one link of a pair, from the earlier to the later."""
+    t = Tables(spark, sf_dir)
+    r = t.records.select("event_id", "first_seen")
+    s = V.nearest(t.vectors, 4, digits=6).where(F.col("sim") >= 0.2).select(F.col("vec_id").alias("x"), F.col("nbr_id").alias("y"), F.col("sim").alias("score"))
+    s = s.join(r.select(F.col("event_id").alias("x"), F.col("first_seen").alias("tx")), "x").join(r.select(F.col("event_id").alias("y"), F.col("first_seen").alias("ty")), "y")
     forward = F.struct(F.col("tx").alias("t"), F.col("x").alias("i")) <= F.struct(F.col("ty").alias("t"), F.col("y").alias("i"))
     return s.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("from_id"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("to_id"), "score").groupBy("from_id", "to_id").agg(F.max("score").alias("score"))
 
 
 @query("star_merges")
 def star_merges(spark, sf_dir):
-    """MC15 GR18: members join a survivor only on their own verdict with it."""
+    """MC15: members join a survivor only on their own verdict with it."""
     t = Tables(spark, sf_dir)
-    nodes = t.reports.groupBy("event_id").agg(F.countDistinct("publisher").alias("outlets"), F.min("published_at").alias("at"))
-    return S.star_merge(_edges(t).select("a", "b"), nodes)
+    return S.star_merge(_edges(t).select("a", "b"), t.dossier_nodes)
+
+
+@query("story_merge_plan")
+def story_merge_plan(spark, sf_dir):
+    """GR18: stories over the floors of outlets and developments merge along strong pairs, the better covered one stays."""
+    t = Tables(spark, sf_dir)
+    stories = t.records.groupBy(F.col("author_id").alias("event_id")).agg(F.count(F.lit(1)).alias("developments")).where(F.col("developments") >= 8)
+    nodes = t.dossier_nodes.where(F.col("outlets") >= 20).join(stories.select("event_id"), "event_id", "left_semi")
+    pairs = _edges(t).where(F.col("shared") >= 3)
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("event_id").alias(end)), end, "left_semi")
+    return S.star_merge(pairs.select("a", "b"), nodes)
+
+
+_ENTITIES = "n AS (SELECT p_partkey AS entity_id, p_type AS kind, array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS key, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS ident FROM part)"
+_FOLDS = f"""{_ENTITIES}, g AS (SELECT kind, key, count(DISTINCT ident) AS idents, min(entity_id) AS least FROM n GROUP BY kind, key), i AS (SELECT kind, key, ident, min(entity_id) AS least FROM n WHERE ident IS NOT NULL GROUP BY kind, key, ident),
+  folds AS (SELECT n.entity_id, CASE WHEN g.idents <= 1 THEN g.least ELSE i.least END AS target, CASE WHEN g.idents <= 1 THEN 'name' ELSE 'identifier' END AS why FROM n JOIN g USING (kind, key) LEFT JOIN i ON i.kind = n.kind AND i.key = n.key AND i.ident = n.ident
+    WHERE n.entity_id <> CASE WHEN g.idents <= 1 THEN g.least ELSE i.least END)"""
+
+
+def _folds(t: Tables):
+    key = F.array_join(F.array_sort(F.split(F.lower("name"), " ")), " ")
+    named = t.actors.select("entity_id", "kind", key.alias("key"), F.when(F.col("size") % 3 != 0, F.col("brand")).alias("ident"))
+    return S.entity_folds(named)
+
+
+@query("entity_variants", f"WITH {_FOLDS} SELECT entity_id, target, why FROM folds")
+def entity_variants(spark, sf_dir):
+    """MC19 MC20: spellings of one kind that share a key are one entity, unless identifiers part them."""
+    return _folds(Tables(spark, sf_dir))
 
 
 @query(
-    "entity_variants",
-    r"""WITH n AS (SELECT DISTINCT p_name AS name, p_type AS kind FROM part), k AS (SELECT name, kind, replace(name, ' ', '') AS key FROM n UNION ALL SELECT name, kind, regexp_replace(name, '[aeiouy ]', '', 'g') FROM n)
-    SELECT DISTINCT a.kind, a.name AS a, b.name AS b FROM k a JOIN k b ON a.kind = b.kind AND a.key = b.key AND a.name < b.name""",
+    "entity_fold",
+    f"""WITH {_FOLDS}, {MENTIONS}, j AS (SELECT event_id, m.entity_id AS old_id, coalesce(target, m.entity_id) AS new_id FROM mentions m LEFT JOIN folds f ON f.entity_id = m.entity_id)
+    SELECT event_id, old_id, new_id, old_id > (SELECT min(x.old_id) FROM j x WHERE x.event_id = j.event_id AND x.new_id = j.new_id) AS dropped FROM j WHERE old_id <> new_id""",
 )
-def entity_variants(spark, sf_dir):
-    """MC19 MC20 QC7: spellings of one kind that share a key."""
-    n = Tables(spark, sf_dir).actors.select("name", "kind").distinct()
-    k = n.select("name", "kind", F.explode(F.array(F.regexp_replace("name", " ", ""), F.regexp_replace("name", "[aeiouy ]", ""))).alias("key"))
-    b = k.select(F.col("name").alias("b"), "kind", "key")
-    return k.withColumnRenamed("name", "a").join(b, ["kind", "key"]).where(F.col("a") < F.col("b")).select("kind", "a", "b").distinct()
+def entity_fold(spark, sf_dir):
+    """MC18: the journal of a fold: which mention moved where, and whether it met one there."""
+    t = Tables(spark, sf_dir)
+    return S.fold_entities(t.mentions, _folds(t))[1].select("event_id", "old_id", "new_id", "dropped")
+
+
+@query("entity_restore", f"WITH {MENTIONS} SELECT event_id, entity_id FROM mentions")
+def entity_restore(spark, sf_dir):
+    """MC18: mentions folded and given back from the journal."""
+    t = Tables(spark, sf_dir)
+    folded, journal = S.fold_entities(t.mentions, _folds(t))
+    return S.restore_entities(folded, journal)
 
 
 @query("common_name_cut", f"WITH {MENTIONS}, n AS (SELECT count(DISTINCT event_id) AS n FROM mentions) SELECT p_name AS name, count(DISTINCT event_id) AS records FROM mentions JOIN part ON p_partkey = entity_id, n GROUP BY p_name HAVING count(DISTINCT event_id) > 0.05 * any_value(n.n)")
@@ -372,8 +456,7 @@ def common_name_cut(spark, sf_dir):
 def clip_matching(spark, sf_dir):
     """MC21 MC14 WN7: of a clip's hundred nearest those over a floor, one of each episode, four of each clip."""
     v = Tables(spark, sf_dir).vectors
-    near = V.nearest(v, 108).select(F.col("vec_id").alias("clip"), F.col("nbr_id").alias("record"), F.round("sim", 6).alias("sim"))
-    near = R.top_per_group(near, ["clip"], [F.desc("sim"), F.asc("record")], 100, "nth").where(F.col("sim") >= 0.1)
+    near = V.nearest(v, 100, digits=6).where(F.col("sim") >= 0.1).select(F.col("vec_id").alias("clip"), F.col("nbr_id").alias("record"), "sim")
     one = R.top_per_group(near.withColumn("episode", F.col("record") % 20), ["clip", "episode"], [F.desc("sim"), F.asc("record")], 1, "n")
     return R.top_per_group(one, ["clip"], [F.desc("sim"), F.asc("record")], 4).select("clip", "record", "rnk", "sim")
 

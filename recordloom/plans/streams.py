@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recordloom.functions import quotes as Q
 from recordloom.operators import records as R
 from recordloom.plans.bind import Tables
 from recordloom.plans.registry import query
+from recordloom.sources import rss
+from recordloom.storage import scratch_root
 from recordloom.streaming import pipeline as P
 
 
@@ -69,21 +73,105 @@ def failures_given_up(spark, sf_dir):
     return P.given_up(Tables(spark, sf_dir).clocks.where(F.col("event_type") == "error"), "user_id")
 
 
-@query("quote_verdicts")
+@query(
+    "topic_trim",
+    """WITH n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), k AS (SELECT day, n, coalesce(sum(n) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM n)
+    SELECT day, n FROM k WHERE newer < 2500""",
+)
+def topic_trim(spark, sf_dir):
+    """SC7: a topic's newest whole batches (days here) that hold 2,500 rows."""
+    topic = Tables(spark, sf_dir).clocks.select("event_id", F.to_date("ts").alias("day"))
+    return P.trimmed(topic, "day", 2500).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stalled_claims",
+    """WITH c AS (SELECT event_id % 400 AS item, user_id % 4 AS worker, ts, event_type = 'purchase' AND event_id % 9 = 0 AS done FROM events), l AS (SELECT item, arg_max(worker, (ts, worker)) AS worker, max(ts) AS last_seen, count(DISTINCT worker) AS deliveries, bool_or(done) AS done FROM c GROUP BY item)
+    SELECT item, worker, last_seen, deliveries, CASE WHEN deliveries >= 3 THEN 'dead' ELSE 'reclaim' END AS fate FROM l WHERE NOT done AND last_seen <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR""",
+)
+def stalled_claims(spark, sf_dir):
+    """SS3: claimed items without a sign of life for six hours go to another worker, or to the dead letters."""
+    done = (F.col("event_type") == "purchase") & (F.col("event_id") % 9 == 0)
+    log = Tables(spark, sf_dir).clocks.select((F.col("event_id") % 400).alias("item"), (F.col("user_id") % 4).alias("worker"), "ts", done.alias("done"))
+    return P.reclaimed(log, "item", "worker", "ts", "done", 6 * 3600)
+
+
+@query("shadow_and_live", "SELECT event_type, count(*) AS live, count(*) FILTER (value > 50) AS shadow FROM events GROUP BY event_type")
+def shadow_and_live(spark, sf_dir):
+    """SS16: a stage runs live while its successor writes beside it, unseen by readers."""
+    base = f"{scratch_root(spark)}/routed-{uuid.uuid4().hex[:12]}"
+    stages = {"live": (_events(spark, sf_dir), True), "shadow": (_events(spark, sf_dir).where(F.col("value") > 50), False)}
+    schema = "event_type string"
+    for stream, live in stages.values():
+        P.drain(stream.select("event_type"), each=P.routed(f"{base}/live", f"{base}/shadow", live))
+    counted = [spark.read.schema(schema).parquet(f"{base}/{name}/batch=*").groupBy("event_type").agg(F.count(F.lit(1)).alias(name)) for name in stages]
+    return counted[0].join(counted[1], "event_type", "left").select("event_type", "live", F.coalesce("shadow", F.lit(0)).alias("shadow"))
+
+
+@query("feed_entries", "SELECT page_id, url, 'page ' || page_id AS title, TIMESTAMP '2024-01-01' + to_seconds(page_id % 86400) AS published FROM pages WHERE page_id % 11 <> 0")
+def feed_entries(spark, sf_dir):
+    """SC1 SC2: pages told as one feed each and read back; the feeds that are broken cost nothing but themselves."""
+    pages = Tables(spark, sf_dir).raw("pages").select("page_id", "url")
+    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("page_id") % 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fenced = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><guid>"), F.col("page_id").cast("string"), F.lit("</guid><title>page "), F.col("page_id").cast("string"), F.lit("</title><link>"), fenced, F.lit("</link><pubDate>"), at, F.lit("</pubDate></item>"))
+    told = F.concat(F.lit("<rss><channel>"), item, F.when(F.col("page_id") % 11 == 0, "</chan").otherwise("</channel></rss>"))
+    rows = rss.parsed(pages.select(F.col("page_id").cast("string").alias("feed"), told.alias("content"))).where(F.col("error").isNull())
+    return rows.select(F.col("external_id").cast("long").alias("page_id"), "url", "title", F.col("published").cast("timestamp_ntz").alias("published"))
+
+
+#: Frames around five words of a document (%s), with the language, the speaker, the role and the verdict and role that are due.
+_FRAMES = [
+    ('The lawyer of the town, Asha Rao, said: "%s." Then ', "en", "Asha Rao", "lawyer of the town", "direct", "lawyer of the town"),
+    ("The lawyer Asha Rao said that %s. Then ", "en", "Asha Rao", "lawyer of Xanadu", "not_quoted", "lawyer"),
+    ("अध्यक्ष राहुल गांधी ने कहा कि %s। फिर ", "hi", "Rahul Gandhi", None, "reported", None),
+    ("अध्यक्ष राहुल गांधी ने कहा कि %s। फिर ", "hi", "Mamata Banerjee", "", "not_named", None),
+    ("ರಾಹುಲ್ ಗಾಂಧಿ ಅವರು %s ಎಂದು ಹೇಳಿದರು. ", "kn", "Rahul Gandhi", None, "reported", None),
+    ("ರಾಹುಲ್ ಗಾಂಧಿ ಅವರು %s. ಎಂದು ", "kn", "Rahul Gandhi", None, "not_quoted", None),
+    ('They called it "%s, Rao said to us" again. ', "en", "Asha Rao", "the (acting) head", "narration", None),
+]
+_FIVE = "[a-z]+ [a-z]+ [a-z]+ [a-z]+ [a-z]+"
+
+
+def _case(place, values):
+    return "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN " + ("NULL" if v[place] is None else f"'{v[place]}'") for i, v in enumerate(values)) + " END"
+
+
+@query("quote_verdicts", f"SELECT doc_id, {_case(4, _FRAMES)} AS verdict, {_case(5, _FRAMES)} AS role FROM documents WHERE regexp_matches(text, '{_FIVE}')")
 def quote_verdicts(spark, sf_dir):
-    """QC3 QC5 QC6: whether a document gives a sentence as its speaker's direct words."""
-    d = Tables(spark, sf_dir).documents
-    sentence = F.regexp_extract("text", r"([^.]{20,80})\.", 1)
-    q = d.select("doc_id", F.concat(F.lit('Asha Rao said: "'), sentence, F.lit('." Then '), "text").alias("text"), sentence.alias("quote"), F.lit("Asha Rao").alias("speaker"), "lang")
-    return Q.checked(q).select("doc_id", "verdict")
+    """QC3 QC5 QC6: five words of each document in a frame that gives them as direct or reported speech, or does not."""
+    d = Tables(spark, sf_dir).documents.where(F.col("text").rlike(_FIVE))
+    frame = F.element_at(F.array(*[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in zip(("frame", "lang", "speaker", "role"), f[:4], strict=True)]) for f in _FRAMES]), (F.col("doc_id") % 7 + 1).cast("int"))
+    words = F.regexp_extract("text", _FIVE, 0)
+    tail = F.when(F.col("doc_id") % 7 == 6, ", Rao said to us").otherwise("")
+    q = d.select("doc_id", words.alias("words"), frame.alias("f"), "text", tail.alias("tail"))
+    q = q.select("doc_id", F.concat(F.replace("f.frame", F.lit("%s"), F.col("words")), F.lit("\n"), "text").alias("text"), F.concat("words", "tail").alias("quote"), "f.speaker", "f.lang", "f.role")
+    return Q.with_faithful_role(Q.checked(q)).select("doc_id", "verdict", "role")
+
+
+@query(
+    "nearest_speakers",
+    r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Asha Rao' WHEN turn % 3 = 1 THEN 'Vikram Sen' END AS speaker FROM conversations WHERE turn % 3 < 2 AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''""",
+)
+def nearest_speakers(spark, sf_dir):
+    """QC8: of two that claim a quote the one whose name stands nearest has it; a tie gives it to nobody."""
+    words = F.trim(F.regexp_replace("text", r"\s+", " "))
+    c = Tables(spark, sf_dir).raw("conversations").select("conv_id", "turn", words.alias("quote")).where(F.length("quote") > 0)
+    near = [F.concat(F.lit(f"{lead} then: "), "quote") for lead in ("Vikram Sen came. Asha Rao", "Asha Rao came. Vikram Sen", "Somebody")]
+    text = F.element_at(F.array(*near), (F.col("turn") % 3 + 1).cast("int"))
+    both = c.select("conv_id", "turn", "quote", text.alias("text"), F.explode(F.array(F.lit("Asha Rao"), F.lit("Vikram Sen"))).alias("speaker"))
+    record = F.xxhash64("conv_id", "turn", "quote")
+    said = Q.with_gaps(both).select(record.alias("record"), "speaker", F.col("quote"), F.lit("s").alias("source"), F.lit(0.0).alias("published"), "gap")
+    found = Q.collapse_quotes(said).select("record", "speaker")
+    return c.select("conv_id", "turn", record.alias("record")).join(found, "record").select("conv_id", "turn", "speaker")
 
 
 @query("collapsed_quotes")
 def collapsed_quotes(spark, sf_dir):
-    """QC7 QC8 QC9: one row per thing said in a record."""
-    c = Tables(spark, sf_dir).raw("conversations")
-    q = c.select(F.col("conv_id").alias("record"), F.initcap("role").alias("speaker"), F.col("text").alias("quote"), F.concat(F.lit("s"), (F.col("turn") % 3).cast("string")).alias("source"), F.col("turn").cast("double").alias("published"), F.lit(10.0).alias("gap"))
-    return Q.collapse_quotes(q)
+    """QC7 QC9: one row per thing said in a record, with the gaps that the record's text shows."""
+    c = Tables(spark, sf_dir).raw("conversations").select("conv_id", "turn", F.initcap("role").alias("speaker"), "text")
+    quote = c.select(F.col("conv_id").alias("record"), "speaker", F.col("text").alias("quote"), F.concat(F.lit("s"), (F.col("turn") % 3).cast("string")).alias("source"), F.col("turn").cast("double").alias("published"))
+    return Q.collapse_quotes(Q.with_gaps(quote.withColumn("text", F.concat("speaker", F.lit(" said: "), "quote"))))
 
 
 @query("transcript_windows")

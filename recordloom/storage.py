@@ -19,13 +19,15 @@ _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The session's own folder below ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, notebooks) a folder is set once; on a cluster
-    the setting names a folder that all nodes share.
+    Where the setting is absent a local session (tests, notebooks) gets a folder of its
+    machine; on a cluster the setting must name a folder that all nodes share.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all nodes of the cluster share")
             base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         _ROOTS[app] = (spark, f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}")
         atexit.register(clear_scratch, spark)

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -49,6 +49,46 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
     return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
+def routed(live_path: str, shadow_path: str, live: bool) -> Callable[[DataFrame, int], None]:
+    """A batch sink for a stage on trial: its output goes to the shadow path until it is live.
+
+    Batches keep their numbers in either place, so a batch that runs again replaces itself.
+    """
+
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{live_path if live else shadow_path}/batch={n}")
+
+    return sink
+
+
+def every(stream: DataFrame, interval: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start a periodic job: a batch each ``interval`` (as in "10 minutes") of what came meanwhile; returns the running query."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(sink).start()
+
+
+def trimmed(topic: DataFrame, batch: str, keep: int) -> DataFrame:
+    """The newest whole batches of a topic that hold ``keep`` rows or more: an approximate trim, which never cuts a batch."""
+    sizes = topic.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
+    newer = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(batch)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return topic.join(sizes.withColumn("_newer", newer).where(F.col("_newer") < keep).select(batch), batch, "left_semi")
+
+
+def reclaimed(claims: DataFrame, item: str, worker: str, at: str, done: str, idle_seconds: int, most_deliveries: int = GIVE_UP) -> DataFrame:
+    """item, worker, last_seen, deliveries, fate: items that were claimed, are not done and gave no sign of life for ``idle_seconds``.
+
+    ``claims`` is a log of claims and heartbeats; ``done`` is true on a row that ends the item.
+    Time is the log's own newest row. ``fate`` is ``reclaim``, or ``dead`` once an item went to
+    ``most_deliveries`` workers.
+    """
+    last = claims.groupBy(item).agg(
+        F.max_by(worker, F.struct(at, worker)).alias("worker"), F.max(at).alias("last_seen"), F.countDistinct(worker).alias("deliveries"), F.max(F.col(done).cast("int")).alias("_done")
+    )
+    now = F.broadcast(claims.agg(F.max(at).alias("_now")))  # one row
+    quiet = F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) >= idle_seconds * 1_000_000
+    fate = F.when(F.col("deliveries") >= most_deliveries, "dead").otherwise("reclaim")
+    return last.join(now).where((F.col("_done") == 0) & quiet).select(item, "worker", "last_seen", "deliveries", fate.alias("fate"))
+
+
 def staged(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good, dead): payloads that parse, and those that don't, kept with what was wrong."""
     parsed = raw.withColumn("p", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))

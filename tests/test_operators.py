@@ -83,6 +83,105 @@ def test_communities_are_connected_and_stable(spark):
     assert dict(S.communities(df.orderBy(F.rand(7)), 0.3).collect()) == got
 
 
+def _potts(edges, label, resolution):
+    size = {}
+    for c in label.values():
+        size[c] = size.get(c, 0) + 1
+    return sum(w for a, b, w in edges if label[a] == label[b]) - resolution * sum(n * (n - 1) / 2 for n in size.values())
+
+
+def test_communities_are_good_and_hang_together(spark):
+    rng = random.Random(3)
+    nodes = range(60)
+    edges = [(a, b, 1.0) for a, b in itertools.combinations(nodes, 2) if rng.random() < (0.7 if a // 12 == b // 12 else 0.04)]
+    got = dict(S.communities(spark.createDataFrame(edges, "a long, b long, weight double"), 0.3).collect())
+    planted = {v: v // 12 for v in nodes}
+    assert _potts(edges, got, 0.3) >= 0.97 * _potts(edges, planted, 0.3)
+    for c in set(got.values()):
+        own = {v for v in got if got[v] == c}
+        seen, todo = set(), [min(own)]
+        while todo:
+            v = todo.pop()
+            seen.add(v)
+            todo += [y for x in ((a, b) for a, b, _ in edges) for y in x if v in x and y in own and y not in seen and y != v]
+        assert seen == own and c == min(own)
+
+
+def test_seed_community_by_greedy_modularity(spark):
+    edges = [(a, b, 1.0) for a, b in itertools.combinations(range(5), 2)] + [(a, b, 1.0) for a, b in itertools.combinations(range(10, 15), 2)] + [(4, 10, 1.0)]
+    df = spark.createDataFrame(edges, "a long, b long, weight double")
+    reach = S.bounded_reach(df, spark.createDataFrame([(0,), (12,)], "event_id long"), 4, 0.15)
+    got = S.seed_communities(df, reach).collect()
+    assert {(r.seed, r.event_id) for r in got} == {(0, v) for v in range(5)} | {(12, v) for v in range(10, 15)}
+
+
+@pytest.mark.parametrize("hub_df", [256, 3])
+@pytest.mark.parametrize("floor", [0.0, 0.4])
+def test_shared_actors_equal_all_pairs(spark, floor, hub_df):
+    rng = random.Random(hub_df)
+    rows = sorted({(e, min(int(rng.expovariate(0.25)), 30)) for e in range(40) for _ in range(rng.randint(1, 7))})
+    held, df = {}, {}
+    for e, a in rows:
+        held.setdefault(e, set()).add(a)
+        df[a] = df.get(a, 0) + 1
+    want = {}
+    for x, y in itertools.combinations(sorted(held), 2):
+        both = held[x] & held[y]
+        if len(both) >= 2 and sum(1 / df[a] for a in both) >= floor:
+            want[x, y] = (len(both), round(sum(1 / df[a] for a in both), 9), round(max(1 / df[a] for a in both), 9))
+    keep = (F.col("shared") >= 2) & (F.col("weight") >= floor)
+    got = S.shared_actors(spark.createDataFrame(rows, "event_id long, entity_id long"), keep, 2, floor, hub_df=hub_df).collect()
+    assert {(r.a, r.b): (r.shared, round(r.weight, 9), round(r.rarest, 9)) for r in got} == want
+
+
+def test_star_merge_equals_one_after_another(spark):
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)})
+    nodes = [(v, rng.randint(1, 4), rng.randint(0, 5)) for v in range(40)]
+    near = {v: {x for p in pairs for x in p if v in p and x != v} for v in range(40)}
+    taken, want = set(), set()
+    order = sorted(range(40), key=lambda v: (-nodes[v][1], nodes[v][2], v))
+    for n, v in enumerate(order):
+        if v not in taken:
+            for u in near[v] & set(order[n + 1 :]) - taken:
+                taken.add(u)
+                want.add((v, u))
+    got = S.star_merge(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(nodes, "event_id long, outlets long, at long"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_average_linkage_equals_one_merger_after_another(spark):
+    rng = random.Random(5)
+    sim = {p: round(rng.random(), 4) for p in itertools.combinations(range(16), 2) if rng.random() < 0.6}
+    groups = [[v] for v in sorted({v for p in sim for v in p})]
+    mean = lambda x, y: sum(sim.get((min(i, j), max(i, j)), 0.0) for i in x for j in y) / len(x) / len(y)
+    while len(groups) > 1:
+        best, i, j = max((mean(x, y), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups[:i]))
+        if best < 0.35:
+            break
+        groups[j] += groups.pop(i)
+    df = spark.createDataFrame([(*p, s) for p, s in sim.items()], "a long, b long, sim double")
+    assert dict(S.average_linkage(df, 0.35).collect()) == {v: min(g) for g in groups for v in g}
+
+
+def test_branch_tree_on_literals(spark):
+    members = spark.createDataFrame([(1, 1, 10), (2, 1, 20), (3, 1, 30), (4, 1, 40), (5, 1, 5)], "event_id long, component long, at long")
+    edges = spark.createDataFrame([(1, 2, 1.0), (1, 3, 0.5), (2, 3, 0.4), (3, 4, 0.2)], "a long, b long, weight double")
+    tree = S.branch_parents(members, edges, spark.createDataFrame([(1, 1)], "component long, root long"))
+    assert {(r.event_id, r.parent_id) for r in tree.collect()} == {(1, None), (2, 1), (3, 1), (4, 3), (5, 1)}
+    assert dict(S.tree_depths(tree).collect()) == {1: 0, 2: 1, 3: 1, 4: 2, 5: 1}
+
+
+def test_entities_fold_and_come_back(spark):
+    named = spark.createDataFrame([(1, "k", "x", None), (2, "k", "x", "q"), (3, "k", "x", None), (4, "k", "y", "q"), (5, "k", "y", "r"), (6, "k", "y", "r"), (7, "k", "y", None)], "entity_id long, kind string, key string, ident string")
+    folds = S.entity_folds(named)
+    assert {(r.entity_id, r.target, r.why) for r in folds.collect()} == {(2, 1, "name"), (3, 1, "name"), (6, 5, "identifier")}
+    mentions = spark.createDataFrame([(10, 1), (10, 2), (11, 3), (12, 2), (12, 3), (13, 6), (13, 5), (14, 7)], "event_id long, entity_id long")
+    folded, journal = S.fold_entities(mentions, folds)
+    assert {tuple(r) for r in folded.collect()} == {(10, 1), (11, 1), (12, 1), (13, 5), (14, 7)}
+    assert sorted(map(tuple, S.restore_entities(folded, journal).collect())) == sorted(map(tuple, mentions.collect()))
+
+
 def test_star_merge_needs_its_own_verdict(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     nodes = spark.createDataFrame([(1, 5, 1), (2, 4, 2), (3, 3, 3)], "event_id long, outlets long, at long")
@@ -175,10 +274,44 @@ def test_direct_speech():
     assert not Q.is_direct('It\'s a lost mark "here\nWe will not pay this tax', 24, 48)
 
 
-def test_reported_speech():
-    text = "आशा राव ने कहा कि हम यह कर नहीं देंगे और आज नहीं"
-    assert Q.check(text, "हम यह कर नहीं देंगे", "आशा राव", "hi") == "reported"
-    assert Q.check(text, "हम यह कर नहीं देंगे", "आशा राव", "en") == "not_quoted"
+@pytest.mark.parametrize(
+    ("lang", "text", "words", "verdict"),
+    [
+        ("hi", "राहुल गांधी ने कहा कि हम यह कर नहीं देंगे। फिर", "हम यह कर नहीं देंगे", "reported"),
+        ("hi", "मंत्री ने कहा कि हम यह कर नहीं देंगे। फिर", "हम यह कर नहीं देंगे", "not_named"),
+        ("hi", "राहुल गांधी आए। हम यह कर नहीं देंगे", "हम यह कर नहीं देंगे", "not_quoted"),
+        ("hi", "राहुल गांधी ने कहा कि हम यह कर राहुल गांधी नहीं देंगे", "हम यह कर राहुल गांधी नहीं देंगे", "narration"),
+        ("mr", "राहुल गांधी म्हणाले, आम्ही हा कर देणार नाही आज", "आम्ही हा कर देणार नाही", "reported"),
+        ("gu", "રાહુલ ગાંધીએ કહ્યું કે અમે આ કર નહીં આપીએ આજે", "અમે આ કર નહીં આપીએ", "reported"),
+        ("pa", "ਰਾਹੁਲ ਗਾਂਧੀ ਨੇ ਕਿਹਾ ਕਿ ਅਸੀਂ ਇਹ ਕਰ ਨਹੀਂ ਦੇਵਾਂਗੇ", "ਅਸੀਂ ਇਹ ਕਰ ਨਹੀਂ ਦੇਵਾਂਗੇ", "reported"),
+        ("bn", "রাহুল গান্ধী বলেন, আমরা এই কর দেব না আজ", "আমরা এই কর দেব না", "reported"),
+        ("or", "ରାହୁଲ ଗାନ୍ଧୀ କହିଛନ୍ତି ଯେ ଆମେ ଏହି କର ଦେବୁ ନାହିଁ", "ଆମେ ଏହି କର ଦେବୁ ନାହିଁ", "reported"),
+        ("as", "ৰাহুল গান্ধীয়ে কয় আমি এই কৰ নিদিওঁ আজি", "আমি এই কৰ নিদিওঁ আজি", "reported"),
+        ("ta", "ராகுல் காந்தி, இந்த வரியை நாங்கள் செலுத்த மாட்டோம் என்று கூறினார்.", "இந்த வரியை நாங்கள் செலுத்த மாட்டோம்", "reported"),
+        ("te", "రాహుల్ గాంధీ ఈ పన్ను మేము ఎప్పుడూ కట్టం అని అన్నారు.", "ఈ పన్ను మేము ఎప్పుడూ కట్టం", "reported"),
+        ("kn", "ರಾಹುಲ್ ಗಾಂಧಿ ಅವರು ಈ ತೆರಿಗೆ ನಾವು ಕಟ್ಟುವುದಿಲ್ಲ ಎಂದು ಹೇಳಿದರು.", "ಈ ತೆರಿಗೆ ನಾವು ಕಟ್ಟುವುದಿಲ್ಲ", "reported"),
+        ("kn", "ರಾಹುಲ್ ಗಾಂಧಿ ಅವರು ಈ ತೆರಿಗೆ ನಾವು ಕಟ್ಟುವುದಿಲ್ಲ ಎಂದು. ಹೇಳಿದರು", "ಈ ತೆರಿಗೆ ನಾವು ಕಟ್ಟುವುದಿಲ್ಲ", "not_quoted"),
+        ("ml", "രാഹുൽ ഗാന്ധി ഈ നികുതി ഞങ്ങൾ കൊടുക്കില്ല എന്ന് പറഞ്ഞു.", "ഈ നികുതി ഞങ്ങൾ കൊടുക്കില്ല", "reported"),
+        ("ur", "راہل گاندھی نے کہا کہ ہم یہ ٹیکس نہیں دیں گے", "ہم یہ ٹیکس نہیں دیں", "reported"),
+        ("en", "Rahul Gandhi said that we will not pay this tax", "we will not pay this tax", "not_quoted"),
+    ],
+)
+def test_reported_speech(lang, text, words, verdict):
+    assert Q.check(text, words, "Rahul Gandhi", lang) == verdict
+
+
+def test_names_across_scripts():
+    assert U.cross_script_skeleton("Siddaramaiah") == U.cross_script_skeleton("ಸಿದ್ದರಾಮಯ್ಯ") == "strn"
+    assert U.named_in("Siddaramaiah", "ಮುಖ್ಯಮಂತ್ರಿ ಸಿದ್ದರಾಮಯ್ಯನವರು ಹೇಳಿದರು") and not U.named_in("Siddaramaiah", "ಮುಖ್ಯಮಂತ್ರಿ ಹೇಳಿದರು")
+    assert U.named_in("M. K. Stalin", "முதல்வர் ஸ்டாலின் கூறினார்") and not U.named_in("", "ஸ்டாலின்")
+
+
+def test_nearest_naming():
+    text = "Asha Rao said we go now. Then Vikram Sen left."
+    at = text.index("we go now")
+    assert Q.naming_gap(text, at, at + 9, "Asha Rao") == 6 and Q.naming_gap(text, at, at + 9, "Vikram Sen") is None
+    assert Q.naming_gap("we go now, Rao said", 0, 9, "Asha Rao") == 2 and Q.naming_gap("x" * 300 + " we go now", 301, 310, "Asha Rao") is None
+    assert Q.naming_gap("Asha Rao. " + "y " * 120 + "we go now", 250, 259, "Asha Rao") is None
 
 
 def test_roles():

@@ -82,6 +82,55 @@ def test_staged_stream_splits_bad_payloads(spark, tmp_path):
     assert P.given_up(spark.createDataFrame([(1,), (1,), (1,), (2,)], "k long"), "k").collect()[0].k == 1
 
 
+def test_batches_are_bounded_and_keep_their_numbers(spark, tmp_path):
+    for n in range(5):
+        spark.range(n, n + 1).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    sizes = []
+    stream = P.files(spark, f"{tmp_path}/in/part=*", "id long", per_trigger=2)
+    assert P.drain(stream, each=lambda batch, n: sizes.append((n, batch.count()))).count() == 5
+    assert [n for n, _ in sizes] == [0, 1, 2] and max(k for _, k in sizes) <= 2
+
+
+def test_shadow_batches_stay_out_of_sight(spark, tmp_path):
+    sinks = [P.routed(f"{tmp_path}/live", f"{tmp_path}/shadow", live) for live in (True, False)]
+    for again in range(2):
+        sinks[0](spark.range(3), 0)
+        sinks[1](spark.range(7 + again), 0)
+    assert spark.read.parquet(f"{tmp_path}/live/batch=*").count() == 3 and spark.read.parquet(f"{tmp_path}/shadow/batch=*").count() == 8
+
+
+def test_periodic_job_goes_on_from_its_checkpoint(spark, tmp_path):
+    seen = []
+    for n in range(2):
+        spark.range(10 * n, 10 * n + 4).write.mode("append").parquet(f"{tmp_path}/in")
+        query = P.every(P.files(spark, f"{tmp_path}/in", "id long"), "1 second", lambda batch, k: seen.extend(r.id for r in batch.collect()), f"{tmp_path}/state")
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(seen) == [0, 1, 2, 3, 10, 11, 12, 13]
+
+
+def test_trim_never_cuts_a_batch(spark):
+    topic = spark.createDataFrame([(b, i) for b in range(5) for i in range(10)], "batch long, i long")
+    assert sorted({r.batch for r in P.trimmed(topic, "batch", 15).collect()}) == [3, 4] and P.trimmed(topic, "batch", 10).count() == 10
+
+
+def test_quiet_claims_are_reclaimed(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, 7, at(0), False), (1, 7, at(50), False), (2, 7, at(0), False), (2, 8, at(10), True), (3, 7, at(0), False), (4, 1, at(0), False), (4, 2, at(1), False), (4, 3, at(2), False), (5, 1, at(100), False)]
+    got = P.reclaimed(spark.createDataFrame(rows, "item long, worker long, at timestamp, done boolean"), "item", "worker", "at", "done", 60).collect()
+    assert {(r.item, r.worker, r.fate) for r in got} == {(3, 7, "reclaim"), (4, 3, "dead")}
+
+
+def test_scratch_refuses_a_machine_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from recordloom import storage
+
+    context = SimpleNamespace(applicationId="remote-1", master="spark://host:7077", getConf=lambda: {}, _jsc=None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.scratch_root(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_clear_scratch_is_repeatable(spark):
     from recordloom import storage
 
