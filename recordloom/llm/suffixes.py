@@ -297,6 +297,11 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return hashes.astype(np.uint32)
 
 
+def _squeezed(span: np.ndarray) -> bytes:
+    """Neighbouring suffixes overlap, so they travel compressed."""
+    return pa.compress(span.tobytes(), codec="zstd", asbytes=True)
+
+
 def _split(part: np.ndarray, parts: int):
     order = np.argsort(part, kind="stable")
     edge = np.searchsorted(part[order], np.arange(parts + 1))
@@ -395,7 +400,7 @@ def _contexts(parts, window, gram):
                         if len(some):
                             rows.append((
                                 p, kind, _short(hashes[pick[some]]).tobytes(), spots[pick[some]].tobytes(), nb[some].tobytes(), na[some].tobytes(),
-                                span[some].tobytes() if spans else b"",
+                                _squeezed(span[some]) if spans else b"",
                             ))
             if hot_windows:
                 rows += _hot_rows(np.concatenate(hot_windows), bucket, parts)
@@ -459,7 +464,10 @@ def _find_repeats(buckets, window, gram):
         if len(usual):
             h, spots = load(usual, "hashes", np.uint32), load(usual, "spots", _SPOT)
             nb, na = load(usual, "before", np.uint8).astype(np.int64), load(usual, "after", np.uint8).astype(np.int64)
-            span = load(usual, "bytes", np.uint8).reshape(-1, reach + window)
+            wide = reach + window
+            rows_of = [len(x) for x in usual.column("before").to_pylist()]
+            blobs = [pa.decompress(x, n * wide, codec="zstd", asbytes=True) for x, n in zip(usual.column("bytes").to_pylist(), rows_of, strict=True)]
+            span = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, wide)
             order = np.lexsort((spots["at"], *_keys(spots["doc"]), h))
             edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
             size = np.diff(np.concatenate((edge, [len(order)])))

@@ -87,6 +87,43 @@ def test_viterbi_is_the_best_path(field):
     assert tuple(field.viterbi(names)) == best
 
 
+def test_candidates_apart_by_marks_are_one_stretch(field):
+    a, b = "aB3dE5gH7jK9", "zY8xW6vU4tS2"
+    for gap in (" ", " -- " * 40, "\n" * 5000):
+        assert len(secrets.stretches(f"see {a}{gap}{b} now")) == 1
+    assert len(secrets.stretches(f"see {a} and {b} now")) == 2
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_spans_apart_from_others(some, base):
+    spans, end = [], 0
+    for a, n in sorted(some):
+        if a >= end:
+            spans.append([a, a + n])
+            end = a + n
+    base = sorted((a, a + n, 0) for a, n in base)
+    assert secrets._apart(spans, base) == [(a, b, 3) for a, b in spans if not any(a < e and s < b for s, e, _ in base)]
+
+
+def test_added_spans_held_out(field):
+    """Precision and recall by token on generated secrets and look-alikes the field never saw."""
+    rng_texts = ["the quick brown fox jumps over the lazy dog near a river bank at noon " * 3]
+    found = want = both = 0
+    for names, marks in secrets.training_chains(rng_texts, seed=991):
+        got = field.viterbi(names)
+        found += sum(g > 0 for g in got)
+        want += sum(m > 0 for m in marks)
+        both += sum(g > 0 and m > 0 for g, m in zip(got, marks, strict=True))
+    assert both >= 0.97 * found and both >= 0.97 * want
+
+
+def test_very_long_text_full_of_secrets(spark, field):
+    text = "".join(f"token={i:08d}abcd x " for i in range(40_000))
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).first()
+    assert row.n_assign == 40_000
+
+
 def test_secret_query_rows(spark, edge, none, field):
     got = secrets.find_secrets(edge, field).collect()
     assert len(got) == 15
@@ -137,6 +174,19 @@ def test_mix_reaches_its_targets(spark, edge, block):
     assert all(abs(by[s] - want[s]) <= 1 for s in want)
 
 
+def test_mix_takes_the_same_from_any_number_of_chunks(spark, edge):
+    for chunks in (1, 700):
+        got = mixing.Mix(edge, block_words=16, shard_slots=8, chunks=chunks).taken().agg(F.sum("taken"), F.sum("size")).first()
+        assert abs(got[0] - got[1]) <= 5
+
+
+def test_slots_are_unrolled_by_many_tasks(spark):
+    df = spark.createDataFrame([("a", 0, 500_000), ("b", 3, 40_000)], "source string, lo long, hi long")
+    out = mixing._explode_range(df, F.col("lo"), F.col("hi"), "k", 540_000)
+    tasks = out.withColumn("t", F.spark_partition_id()).groupBy("t").count().collect()
+    assert len(tasks) >= 10 and max(r["count"] for r in tasks) < 140_000 and out.distinct().count() == 539_997
+
+
 def test_mix_is_repeatable_and_written_out_whole(spark, edge, none):
     a = sorted(map(repr, mixing.Mix(edge, block_words=16, shard_slots=8).taken().collect()))
     assert a == sorted(map(repr, mixing.Mix(edge.repartition(5), block_words=16, shard_slots=8).taken().collect()))
@@ -337,6 +387,13 @@ def test_chat_on_odd_rows(spark):
     assert "<|user name=bob|>" in ann.text and chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_pieces_and_names(spark):
+    rows = [(1, None, f"s{i % 2}|><|end|>", f"t{i:02d}") for i in range(10)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most_rows=4).collect()
+    assert sorted((r.piece, r.n_turns) for r in got) == [(0, 4), (0, 4), (1, 4), (1, 4), (2, 2), (2, 2)]
+    assert all(r.text.count("|>\n") == r.n_turns * 2 for r in got)
+
+
 def test_chat_equals_its_twin(spark, tiny):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tiny}/conversations.parquet'")
@@ -482,6 +539,13 @@ def test_topk_beyond_float_precision(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, 9 * 10**18 + 2), (1, 9 * 10**18 + 1), (3, -9 * 10**18)]
 
 
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e300, -1e300]), (2, [-1e18, 0.0]), (3, [0.5, 0.25])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    most = (1 << 63) - 1
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, most), (3, most), (2, -most - 1)]
+
+
 # --- 8
 
 
@@ -512,6 +576,29 @@ def test_most_frequent_languages_are_learned(spark):
     assert collections.Counter(lang for lang, _ in got) == {"bb": 5, "zz": 5}
 
 
+def test_grams_across_pieces(monkeypatch):
+    text = "  Ünï code 漢字, тест!! and so on: plain words 12 here " * 40
+    whole = langid.gram_counts([text])
+    for size in (7, 64, 500):
+        monkeypatch.setattr(langid, "_CHARS_AT_ONCE", size)
+        pieces = langid.gram_counts([text, "x", text])
+        assert (pieces[0][0] == whole[0][0]).all() and (pieces[0][2] == whole[0][0]).all() and pieces[1].tolist() == [whole[1][0], 1, whole[1][0]]
+
+
+def test_grams_do_not_depend_on_neighbours():
+    texts = ["1 ab", "", "--cd ef", "gh", "!"]
+    together = langid.gram_counts(texts)
+    for i, t in enumerate(texts):
+        alone = langid.gram_counts([t])
+        assert (alone[0][0] == together[0][i]).all() and alone[1][0] == together[1][i]
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    rows = [(1, f"text {i}", "aa") for i in range(500)] + [(2, "b", "aa"), (3, "c", "bb")]
+    got = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert collections.Counter(lang for lang, _ in got) == {"aa": 2 - sum(zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2)), "bb": 1 - (zlib.crc32(b"3") % 3 == 1)} - collections.Counter()
+
+
 def test_lang_is_no_input(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     model = langid.fit(langid.training_sample(docs))
