@@ -383,14 +383,29 @@ def followup_links(spark, sf_dir):
     return s.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("from_id"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("to_id"), "score").groupBy("from_id", "to_id").agg(F.max("score").alias("score"))
 
 
-@query("star_merges")
+def _stars(pairs: str, nodes: str) -> str:
+    """SQL of the star merge, one record after another in order of rank."""
+    return f"""v AS ({pairs}), b AS (SELECT a AS x, b AS y FROM v UNION SELECT b, a FROM v), r AS (SELECT event_id, row_number() OVER (ORDER BY outlets DESC, told, event_id) AS n FROM ({nodes}) WHERE event_id IN (SELECT x FROM b)),
+    near AS (SELECT o.n, o.event_id, coalesce(list(l.event_id ORDER BY l.event_id) FILTER (l.n > o.n), CAST([] AS BIGINT[])) AS ids FROM r o LEFT JOIN b ON b.x = o.event_id LEFT JOIN r l ON l.event_id = b.y GROUP BY o.n, o.event_id),
+    turn AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS survivor, CAST([] AS BIGINT[]) AS fresh UNION ALL SELECT n, list_concat(taken, f), event_id, f FROM (SELECT near.n, taken, near.event_id,
+      CASE WHEN list_contains(taken, near.event_id) THEN CAST([] AS BIGINT[]) ELSE list_filter(ids, lambda i: NOT list_contains(taken, i)) END AS f FROM turn JOIN near ON near.n = turn.n + 1))
+    SELECT survivor, unnest(fresh) AS member FROM turn"""
+
+
+@query("star_merges", f"WITH RECURSIVE {_EDGES}, {DOSSIER_NODES}, {_stars('SELECT a, b FROM edges', 'SELECT * FROM nodes')}")
 def star_merges(spark, sf_dir):
     """MC15: members join a survivor only on their own verdict with it."""
     t = Tables(spark, sf_dir)
     return S.star_merge(_edges(t).select("a", "b"), t.dossier_nodes)
 
 
-@query("story_merge_plan")
+_COVERED = "SELECT * FROM nodes WHERE outlets >= 20 AND event_id IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 8)"
+
+
+@query(
+    "story_merge_plan",
+    f"WITH RECURSIVE {_EDGES}, {DOSSIER_NODES}, covered AS ({_COVERED}), {_stars('SELECT a, b FROM edges WHERE shared >= 3 AND a IN (SELECT event_id FROM covered) AND b IN (SELECT event_id FROM covered)', 'SELECT * FROM covered')}",
+)
 def story_merge_plan(spark, sf_dir):
     """GR18: stories over the floors of outlets and developments merge along strong pairs, the better covered one stays."""
     t = Tables(spark, sf_dir)

@@ -60,11 +60,17 @@ def stream_tiers(spark, sf_dir):
     return P.drain(P.tiers_reached(_events(spark, sf_dir).select("user_id"), "user_id"))
 
 
-@query("stream_debounce")
+@query(
+    "stream_debounce",
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    w AS (SELECT user_id, i, t + 90000000 AS due, 1 AS g FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.t > w.due THEN e.t + 90000000 ELSE w.due END, CASE WHEN e.t > w.due THEN g + 1 ELSE g END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1),
+    c AS (SELECT user_id, g, min(due) AS due, count(*) AS n FROM w GROUP BY user_id, g)
+    SELECT user_id, make_timestamp(due) AS due, n FROM c WHERE due < (SELECT max(t) - 60000000 FROM e)""",
+)
 def stream_debounce(spark, sf_dir):
     """SS8: keys handed on 90 seconds after their first row."""
     events = _events(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", "1 minute")
-    return P.drain(P.debounce(events, "user_id", "at")).select("user_id", "due", "n")
+    return P.drain(P.debounce(events, "user_id", "at")).select("user_id", F.col("due").cast("timestamp_ntz").alias("due"), "n")
 
 
 @query("failures_given_up", "SELECT user_id, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3")
@@ -174,7 +180,14 @@ def collapsed_quotes(spark, sf_dir):
     return Q.collapse_quotes(Q.with_gaps(quote.withColumn("text", F.concat("speaker", F.lit(" said: "), "quote"))))
 
 
-@query("transcript_windows")
+@query(
+    "transcript_windows",
+    r"""WITH RECURSIVE s AS (SELECT conv_id AS episode, turn * 17.0 AS a, turn * 17.0 + 16 AS b, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+    w AS (SELECT episode, i, a AS opened, b AS till, 0 AS g FROM s WHERE i = 1 UNION ALL SELECT s.episode, s.i, CASE WHEN w.till - w.opened >= 30 OR s.b - w.opened > 60 THEN s.a ELSE w.opened END, s.b, CASE WHEN w.till - w.opened >= 30 OR s.b - w.opened > 60 THEN g + 1 ELSE g END
+      FROM w JOIN s ON s.episode = w.episode AND s.i = w.i + 1),
+    p AS (SELECT w.episode, g, min(a) AS start_s, max_by(b, w.i) AS end_s, trim(regexp_replace(string_agg(text, ' ' ORDER BY w.i), '\s+', ' ', 'g')) AS text FROM w JOIN s ON s.episode = w.episode AND s.i = w.i GROUP BY w.episode, g)
+    SELECT episode, CAST(row_number() OVER (PARTITION BY episode ORDER BY g) - 1 AS INTEGER) AS seq, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s, md5(text) AS text_md5 FROM p WHERE text <> ''""",
+)
 def transcript_windows(spark, sf_dir):
     """SS14: consecutive segments packed into windows of 30 to 60 seconds."""
     c = Tables(spark, sf_dir).raw("conversations")

@@ -28,19 +28,19 @@ def _content(c: str) -> str:
     return f"list_filter(list_distinct({_words(c)}), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\p{{N}}+') AND NOT list_contains({_STOP}, w))"
 
 
-@query(
-    "url_canonical",
-    r"""WITH u AS (SELECT page_id, trim(url) AS raw, regexp_replace(regexp_replace(trim(url), '^https?://', '', 'i'), '#.*$', '') AS rest FROM pages),
+_URLS = r"""WITH u AS (SELECT page_id, trim(url) AS raw, regexp_replace(regexp_replace(trim(url), '^https?://', '', 'i'), '#.*$', '') AS rest FROM pages),
     p AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '(:80|:443)$', ''), '\.$', '') AS host, regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS path,
       list_sort(list_transform(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT starts_with(lower(q), 'utm_') AND NOT list_contains(['_ga','at_campaign','at_link_id','at_medium','at_ptr_name','dclid','fbclid','gclid','igshid','mc_cid','mc_eid','msclkid'], lower(split_part(q, '=', 1)))), lambda q: CASE WHEN contains(q, '=') THEN q ELSE q || '=' END)) AS q FROM u)
-    SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_canonical FROM p""",
-)
+    SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_canonical FROM p"""
+
+
+@query("url_canonical", _URLS)
 def url_canonical(spark, sf_dir):
     """TX1: a comparison key for URLs."""
     return Tables(spark, sf_dir).raw("pages").select("page_id", T.canonical_url(F.col("url")).alias("url_canonical"))
 
 
-@query("url_canonical_full")
+@query("url_canonical_full", _URLS)
 def url_canonical_full(spark, sf_dir):
     """TX1: the same with international hosts and escaped queries."""
     return Tables(spark, sf_dir).raw("pages").select("page_id", U.canonical_url_udf("url").alias("url_canonical"))
@@ -109,14 +109,28 @@ def repeated_openings(spark, sf_dir):
     return d.join(many, ["source", "opening"]).select("doc_id", "n")
 
 
-@query("chunked_documents")
+@query(
+    "chunked_documents",
+    """WITH RECURSIVE d AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents), s AS (SELECT doc_id, body, length(body) AS n FROM d WHERE length(body) > 0),
+    w AS (SELECT doc_id, 0 AS place, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS stop FROM s UNION ALL SELECT doc_id, place + 1, CASE WHEN stop IS NULL THEN start ELSE greatest(stop - 150, start + 1) END,
+        NULL FROM (SELECT w.doc_id, w.place, w.start, c.stop, s.n FROM w JOIN s USING (doc_id), LATERAL (SELECT substr(s.body, w.start + 601, 600) AS half) h,
+          LATERAL (SELECT strpos(reverse(half), chr(10) || chr(10)) AS a, strpos(reverse(half), ' .') AS b, strpos(reverse(half), ' ') AS e) q,
+          LATERAL (SELECT CASE WHEN w.start + 1200 >= s.n THEN s.n WHEN a > 0 THEN w.start + 1201 - a WHEN b > 0 THEN w.start + 1201 - b WHEN e > 0 THEN w.start + 1201 - e ELSE w.start + 1200 END AS stop) c) x WHERE stop < n),
+    p AS (SELECT w.doc_id, w.place, trim(substr(s.body, w.start + 1, c.stop - w.start), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS piece FROM w JOIN s USING (doc_id), LATERAL (SELECT substr(s.body, w.start + 601, 600) AS half) h,
+          LATERAL (SELECT strpos(reverse(half), chr(10) || chr(10)) AS a, strpos(reverse(half), ' .') AS b, strpos(reverse(half), ' ') AS e) q,
+          LATERAL (SELECT CASE WHEN w.start + 1200 >= s.n THEN s.n WHEN a > 0 THEN w.start + 1201 - a WHEN b > 0 THEN w.start + 1201 - b WHEN e > 0 THEN w.start + 1201 - e ELSE w.start + 1200 END AS stop) c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS chunk_index, CAST(length(piece) AS INTEGER) AS n_chars, md5(piece) AS chunk_md5 FROM p WHERE piece <> ''""",
+)
 def chunked_documents(spark, sf_dir):
     """TX9: overlapping chunks cut at natural boundaries."""
     d = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(U.chunks_udf("text")).alias("chunk_index", "chunk"))
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query("slugs")
+@query(
+    "slugs",
+    r"""SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (SELECT doc_id, left(trim(regexp_replace(strip_accents(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss')), '[^\p{L}\p{M}\p{N}]+', '-', 'g'), '-'), 120) AS s FROM documents)""",
+)
 def slugs(spark, sf_dir):
     """TX10: identity slugs of names in any script."""
     return Tables(spark, sf_dir).documents.select("doc_id", U.slug_udf(_headline()).alias("slug"))
@@ -219,7 +233,12 @@ def consonant_skeletons(spark, sf_dir):
     return names.select("name", T.skeleton(F.col("name")).alias("skeleton"))
 
 
-@query("cross_script_names")
+@query(
+    "cross_script_names",
+    f"""WITH l AS (SELECT p_partkey AS entity_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), 'sh|ch|jh', 's', 'g'), 'th|dh', 't', 'g'), 'bh|ph', 'p', 'g'), 'kh|gh', 'k', 'g'), '[^a-z .]', '', 'g') AS n FROM part),
+    c AS (SELECT entity_id, regexp_replace(translate(replace(n, '.', ' '), 'gqcxjzdbfm', 'kkkksstppn'), '[^kstpnrl ]', '', 'g') AS n FROM l)
+    SELECT entity_id, trim(regexp_replace({"regexp_replace(" * 7}n{"".join(f", '{k}+', '{k}', 'g')" for k in "kstpnrl")}, ' +', ' ', 'g')) AS skeleton FROM c""",
+)
 def cross_script_names(spark, sf_dir):
     """TX21: one skeleton for a name in any script."""
     return Tables(spark, sf_dir).actors.select("entity_id", U.skeleton_udf("name").alias("skeleton"))
