@@ -7,7 +7,9 @@ template most of whose tokens it shares in place, and the template turns the tok
 differ into variable fields. A template that occurs in ``min_docs`` documents or more
 recurs; every document but the first that has it (smallest doc_id) loses its lines. A long
 line, of ``long_tokens`` tokens or ``long_chars`` characters, recurs from its second
-document on where it is the same to the letter.
+document on where it is the same to the letter; but a document that would lose over
+``most_share`` of its characters in this way is a copy as a whole, and is left whole to the
+operators that group copies.
 
 The tree works on distinct masked lines, counted map-side, so a line that every document
 repeats is one row. Its depth is the same at every size: a leaf is parsed whole, and beyond
@@ -41,6 +43,7 @@ SHARE = 0.7
 #: From here on a line that repeats to the letter recurs from its second document on.
 LONG_TOKENS = 50
 LONG_CHARS = 300
+MOST_SHARE = 0.5
 #: Templates of a leaf from which on they are looked up by blocks of tokens.
 MAX_LEAF = 1000
 FIELD = "<*>"
@@ -63,11 +66,12 @@ def _leaf(line: Column, leading: int, *more: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, leading: int = LEADING, long_tokens: int = LONG_TOKENS, long_chars: int = LONG_CHARS) -> DataFrame:
-    """(d, mark, pos, line, leaf, whole): each line that may be dropped.
+    """(d, mark, pos, line, leaf, whole, size): each line that may be dropped.
 
     ``d`` is the doc_id, or the last of all ids, and ``mark`` the hash of the text, which
     tells rows of one doc_id apart. ``line`` and ``leaf`` are the hashes of the masked form
-    and of its leaf, null for lines of few tokens; ``whole`` is that of a long line itself.
+    and of its leaf, null for lines of few tokens; ``whole`` is that of a long line itself,
+    ``size`` its length.
     """
     base = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text")
     lines = base.select("d", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
@@ -75,7 +79,7 @@ def line_rows(docs: DataFrame, leading: int = LEADING, long_tokens: int = LONG_T
     rows = rows.withColumn("n", _tokens(F.col("m"))).where((F.col("n") >= MIN_TOKENS) | (F.length("raw") >= long_chars))
     many, long = F.col("n") >= MIN_TOKENS, (F.col("n") >= long_tokens) | (F.length("raw") >= long_chars)
     return rows.select(
-        "d", "mark", "pos", F.when(many, F.xxhash64("m")).alias("line"), F.when(many, _leaf(F.col("m"), leading)).alias("leaf"), F.when(long, F.xxhash64("raw")).alias("whole")
+        "d", "mark", "pos", F.when(many, F.xxhash64("m")).alias("line"), F.when(many, _leaf(F.col("m"), leading)).alias("leaf"), F.when(long, F.xxhash64("raw")).alias("whole"), F.when(long, F.length("raw")).alias("size")
     )
 
 
@@ -220,19 +224,25 @@ def _recurring_whole(rows: DataFrame) -> DataFrame:
 
 
 def drop_recurring(
-    docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, max_leaf: int = MAX_LEAF, long_tokens: int = LONG_TOKENS, long_chars: int = LONG_CHARS
+    docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, max_leaf: int = MAX_LEAF, long_tokens: int = LONG_TOKENS, long_chars: int = LONG_CHARS,
+    most_share: float = MOST_SHARE,
 ) -> DataFrame:
     """``docs`` with its recurring lines dropped, and the columns _n_lines and _n_dropped."""
     rows = stored(line_rows(docs.select("doc_id", "text"), leading, long_tokens, long_chars), "lines")
     found = stored(recurring(docs, rows, min_docs, share, max_leaf), "recurring").groupBy("line").agg(F.min("first_doc").alias("first_doc"))
     spots = [
-        rows.where(F.col("line").isNotNull()).select("d", "mark", "pos", "line").join(found, "line"),
-        rows.where(F.col("whole").isNotNull()).select("d", "mark", "pos", "whole").join(stored(_recurring_whole(rows), "whole"), "whole"),
+        rows.where(F.col("line").isNotNull()).select("d", "mark", "pos", "line", F.lit(None).cast("int").alias("size")).join(found, "line"),
+        rows.where(F.col("whole").isNotNull()).select("d", "mark", "pos", "size", "whole").join(stored(_recurring_whole(rows), "whole"), "whole"),
     ]
     hits = spots[0].drop("line").unionByName(spots[1].drop("whole")).where(F.col("d") != F.col("first_doc"))
-    hits = hits.groupBy(F.col("d").alias("_d"), F.col("mark").alias("_mark")).agg(F.collect_set("pos").alias("_hits"))
+    long = F.col("size").isNotNull()
+    hits = hits.groupBy(F.col("d").alias("_d"), F.col("mark").alias("_mark")).agg(
+        F.collect_set(F.when(~long, F.col("pos"))).alias("_short"), F.collect_set(F.when(long, F.struct("pos", "size"))).alias("_long")
+    )
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
     joined = docs.join(hits, (key == hits["_d"]) & (F.xxhash64(docs["text"]) == hits["_mark"]), "left").drop("_d", "_mark")
+    whole_copy = F.aggregate("_long", F.lit(0), lambda s, x: s + x["size"]) > most_share * F.length("text")
+    joined = joined.withColumn("_hits", F.when(whole_copy, F.col("_short")).otherwise(F.array_union("_short", F.col("_long.pos"))))
     split = F.split("text", "\n", -1)
     # a hash set of the dropped places, so that a text of many lines takes time in proportion
     places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_hits")
@@ -244,7 +254,7 @@ def drop_recurring(
         .withColumn("_kept", F.when(hit, kept))
         .withColumn("_n_dropped", F.when(hit, F.col("_n_lines") - F.size("_kept")).otherwise(0).cast("long"))
         .withColumn("text", F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-        .drop("_kept", "_hits", "_split")
+        .drop("_kept", "_hits", "_split", "_short", "_long")
     )
 
 

@@ -434,13 +434,12 @@ def _brute_lines(rows, min_docs):
         members[t] |= held[m]
     out = {}
     for i, text in rows:
-        keep = []
-        for x in text.split("\n"):
-            who = members.get(template.get(mask(x)), set())
-            if len(who) >= min_docs and min(who) != i or len(whole.get(x, ())) >= 2 and min(whole[x]) != i:
-                continue
-            keep.append(x)
-        out[i] = "\n".join(keep)
+        lines = text.split("\n")
+        long = [len(whole.get(x, ())) >= 2 and min(whole[x]) != i for x in lines]
+        if sum(len(x) for x, hit in zip(lines, long, strict=True) if hit) > 0.5 * len(text):
+            long = [False] * len(lines)  # a copy as a whole
+        who = [members.get(template.get(mask(x)), set()) for x in lines]
+        out[i] = "\n".join(x for x, w, hit in zip(lines, who, long, strict=True) if not hit and not (len(w) >= min_docs and min(w) != i))
     return out
 
 
@@ -463,10 +462,12 @@ def test_the_tree_is_as_deep_at_every_size(spark, n):
 
 def test_long_lines_recur_from_two_documents(spark):
     long, glued = " ".join(f"word{chr(97 + i % 26)}" for i in range(60)), "漢字" * 160
-    rows = [(1, f"a title of mine\n{long}"), (2, f"{long}\nanother end of it"), (3, f"{glued}\nx"), (4, f"y\n{glued}"), (5, f"{long}\n{long} once more"), (6, "漢字" * 50), (7, "漢字" * 50)]
+    own = lambda n: "\n".join(f"{chr(97 + n)} own line {chr(97 + k)} of a text that has more to say" for k in range(9))
+    rows = [(1, f"a title of mine\n{long}"), (2, f"{long}\n{own(0)}"), (3, f"{glued}\nx"), (4, f"{own(1)}\n{glued}"), (5, f"{long}\n{long} once more\n{own(2)}"), (6, "漢字" * 50), (7, "漢字" * 50)]
+    rows += [(8, f"{long}\na copy"), (9, f"a title of mine\n{long}")]
     got = {r.doc_id: r.text for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == _brute_lines(rows, templates.MIN_DOCS)
-    assert (got[2], got[4], got[5], got[7]) == ("another end of it", "y", f"{long} once more", "漢字" * 50)
+    assert (got[2], got[4], got[5], got[7]) == (own(0), own(1), f"{long} once more\n{own(2)}", "漢字" * 50) and got[8] == rows[7][1] and got[9] == rows[8][1]
 
 
 def test_lines_of_repeated_and_missing_ids_and_very_long_texts(spark):
