@@ -135,44 +135,46 @@ def bounded_reach(edges: DataFrame, seeds: DataFrame, depth: int, floor: float,
 
 
 def _best_moves(edges: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
-    """id, best: the neighbouring community of greatest constant-Potts gain, for nodes that gain by moving.
+    """id, best, alone: the neighbouring community of greatest constant-Potts gain, for nodes that gain by moving.
 
     ``nodes`` is (id, size, c, within); ``edges`` is (a, b, w), both ways. Only communities of
-    the same ``within`` are open to a node.
+    the same ``within`` are open to a node. ``alone`` is true where a node shares its own with none.
     """
     links = edges.join(nodes.select(F.col("id").alias("b"), "c", F.col("within").alias("_in")), "b").groupBy("a", "c", "_in").agg(F.sum("w").alias("w"))
-    sizes = nodes.groupBy("c").agg(F.sum("size").alias("all"))
-    own = nodes.select(F.col("id").alias("a"), "size", F.col("c").alias("own"), "within").join(sizes.select(F.col("c").alias("own"), F.col("all").alias("own_all")), "own")
+    sizes = nodes.groupBy("c").agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("k"))
+    own = nodes.select(F.col("id").alias("a"), "size", F.col("c").alias("own"), "within").join(sizes.select(F.col("c").alias("own"), F.col("all").alias("own_all"), F.col("k").alias("own_k")), "own")
     options = links.join(own, "a").where(F.col("within") == F.col("_in")).join(sizes, "c")
     stays = F.col("c") == F.col("own")
     gain = F.round(F.col("w") - resolution * F.col("size") * (F.col("all") - F.when(stays, F.col("size")).otherwise(0)), 9)
-    scored = options.select("a", "c", "own", gain.alias("gain"), stays.alias("stays"), F.round(-resolution * F.col("size") * (F.col("own_all") - F.col("size")), 9).alias("alone"))
+    apart = F.round(-resolution * F.col("size") * (F.col("own_all") - F.col("size")), 9)
+    scored = options.select("a", "c", gain.alias("gain"), stays.alias("stays"), apart.alias("apart"), (F.col("own_k") == 1).alias("alone"))
     best = scored.groupBy("a").agg(
-        F.max(F.when(~F.col("stays"), F.struct("gain", (-F.col("c")).alias("c")))).alias("to"), F.coalesce(F.max(F.when(F.col("stays"), F.col("gain"))), F.first("alone")).alias("now")
+        F.max(F.when(~F.col("stays"), F.struct("gain", (-F.col("c")).alias("c")))).alias("to"), F.coalesce(F.max(F.when(F.col("stays"), F.col("gain"))), F.first("apart")).alias("now"), F.first("alone").alias("alone")
     )
-    return best.where(F.col("to").isNotNull() & (F.col("to.gain") > F.col("now") + 1e-8)).select(F.col("a").alias("id"), (-F.col("to.c")).alias("best"))
+    return best.where(F.col("to").isNotNull() & (F.col("to.gain") > F.col("now") + 1e-8)).select(F.col("a").alias("id"), (-F.col("to.c")).alias("best"), "alone")
 
 
 def _moved(edges: DataFrame, nodes: DataFrame, resolution: float, rounds: int, merge_only: bool = False) -> DataFrame:
-    """``nodes`` after rounds of moves, in each of which a hashed half may move to what the other half owns.
+    """``nodes`` after rounds of moves, in each of which a hashed half may move.
 
-    With ``merge_only`` nodes that share their community stay, so nothing leaves what others joined.
+    With ``merge_only`` nodes move once, from a community of their own to one whose name does
+    not belong to the moving half, so nothing leaves what others joined.
     """
     for n in range(rounds):
-        best = _best_moves(edges, nodes, resolution)
+        half = lambda c, n=n: F.pmod(F.xxhash64(c, F.lit(n)), F.lit(2))
+        wants, turn = F.col("best").isNotNull(), half("id") == 0
         if merge_only:
-            alone = nodes.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == 1).select("c")
-            best = best.join(nodes.join(alone, "c").where("may").select("id"), "id")
-        best = stored(best, "best")
-        if not best.take(1):
+            wants, turn = wants & F.col("alone") & F.col("may"), turn & (half("best") == 1)
+        found = nodes.join(_best_moves(edges, nodes, resolution), "id", "left").withColumn("wants", F.coalesce(wants, F.lit(False)))
+        nodes = stored(found.withColumn("c", F.when(F.col("wants") & turn, F.col("best")).otherwise(F.col("c"))).drop("best", "alone"), "nodes")
+        going = nodes.where("wants").take(1)
+        nodes = nodes.drop("wants")
+        if not going:
             break
-        half = lambda c, n=n: F.pmod(F.xxhash64(c, F.lit(n)), F.lit(2))
-        now = best.where((half("id") == 0) & (half("best") == 1)) if merge_only else best.where(half("id") == 0)
-        nodes = stored(nodes.join(now, "id", "left").withColumn("c", F.coalesce("best", "c")).drop("best"), "nodes")
     return nodes
 
 
-def communities(edges: DataFrame, resolution: float = 0.05, levels: int = 6, rounds: int = 16) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 0.05, levels: int = 4, rounds: int = 10) -> DataFrame:
     """event_id, community: constant-Potts communities by the Leiden method, named by their smallest member.
 
     Each level moves nodes between communities, refines every community into well-connected
