@@ -283,7 +283,18 @@ def numbers_grounded(spark, sf_dir):
     return d.join(rows, "doc_id").select("doc_id", T.grounded(F.col("text"), F.col("rows")).alias("is_grounded"))
 
 
-@query("sentence_lines")
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ENDS = U.SENTENCE_ABBREVIATION.replace("'", "''")
+
+
+@query(
+    "sentence_lines",
+    rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, {_BLANK}), '([.!?]["’”]?)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {_BLANK})), lambda x: x <> '') AS p FROM documents),
+    parts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM d),
+    f AS (SELECT *, CASE WHEN regexp_matches(lag(part) OVER (PARTITION BY doc_id ORDER BY i), '{_ENDS}') THEN 0 ELSE 1 END AS begins FROM parts),
+    g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM f), s AS (SELECT doc_id, line, string_agg(part, ' ' ORDER BY i) AS sentence FROM g GROUP BY doc_id, line)
+    SELECT doc_id, CAST(line - 1 AS INTEGER) AS line, md5(sentence) AS sentence_md5, CAST(len(list_distinct(list_transform(regexp_extract_all(sentence, '[0-9][0-9.,]*'), lambda x: rtrim(x, '.,')))) AS INTEGER) AS n_figures FROM s""",
+)
 def sentence_lines(spark, sf_dir):
     """TX27: sentences, aware of abbreviations, with their figures."""
     d = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(U.sentences_udf("text")).alias("line", "sentence"))
