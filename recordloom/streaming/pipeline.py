@@ -83,10 +83,10 @@ def reclaimed(claims: DataFrame, item: str, worker: str, at: str, done: str, idl
     last = claims.groupBy(item).agg(
         F.max_by(worker, F.struct(at, worker)).alias("worker"), F.max(at).alias("last_seen"), F.countDistinct(worker).alias("deliveries"), F.max(F.col(done).cast("int")).alias("_done")
     )
-    now = F.broadcast(claims.agg(F.max(at).alias("_now")))  # one row
-    quiet = F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) >= idle_seconds * 1_000_000
+    now = claims.agg(F.max(at)).scalar()
+    quiet = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) >= idle_seconds * 1_000_000
     fate = F.when(F.col("deliveries") >= most_deliveries, "dead").otherwise("reclaim")
-    return last.join(now).where((F.col("_done") == 0) & quiet).select(item, "worker", "last_seen", "deliveries", fate.alias("fate"))
+    return last.where((F.col("_done") == 0) & quiet).select(item, "worker", "last_seen", "deliveries", fate.alias("fate"))
 
 
 def staged(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
