@@ -75,7 +75,8 @@ def line_rows(docs: DataFrame, leading: int = LEADING, long_tokens: int = LONG_T
     """
     base = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text")
     lines = base.select("d", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = lines.select("d", "mark", "pos", "raw", masked(F.col("raw")).alias("m")).where(F.length("m") > 0)
+    # a filter on a nondeterministic column stays above the projection, so a line is masked once and not again in the filter
+    rows = lines.select("d", "mark", "pos", "raw", masked(F.col("raw")).alias("m"), F.spark_partition_id().alias("_once")).where((F.length("m") > 0) & (F.col("_once") >= 0))
     rows = rows.withColumn("n", _tokens(F.col("m"))).where((F.col("n") >= MIN_TOKENS) | (F.length("raw") >= long_chars))
     many, long = F.col("n") >= MIN_TOKENS, (F.col("n") >= long_tokens) | (F.length("raw") >= long_chars)
     return rows.select(
