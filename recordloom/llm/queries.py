@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import chat, langid, middle, mixing, neighbours, packing, secrets, simhash, sketches, suffixes, templates, topk
+from recordloom.llm import align, chat, langid, middle, mixing, neighbours, packing, secrets, simhash, sketches, suffixes, templates, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,12 +15,14 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_document_fingerprints": sketches.op9_document_fingerprints,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_tokenizer_alignment": align.op11_tokenizer_alignment,
     "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
     "op13_fill_in_middle": middle.op13_fill_in_middle,
 }
 ORACLES = {
     "op5_chat_perspectives": chat.ORACLE,
     "op7_exact_topk": topk.ORACLE,
+    "op11_tokenizer_alignment": align.op11_tokenizer_alignment,
     "op12_nearest_neighbours": neighbours.ORACLE,
     "op13_fill_in_middle": middle.ORACLE,
 }
