@@ -126,6 +126,41 @@ def feed_entries(spark, sf_dir):
     return rows.select(F.col("external_id").cast("long").alias("page_id"), "url", "title", F.col("published").cast("timestamp_ntz").alias("published"))
 
 
+def _told_feeds(spark, pages, path: str, poll: int) -> None:
+    """Feeds of a hundred pages each as they are at a poll: some broken at the first, some with news at the second."""
+    text = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = lambda guid: F.concat(F.lit("<item><guid>"), guid, F.lit("</guid><link>"), text("url"), F.lit("</link></item>"))
+    page = F.col("page_id").cast("string")
+    news = (F.col("feed") % 3 == 0) & F.lit(poll == 1)
+    items = pages.withColumn("item", F.concat(item(page), F.when(news & (F.col("page_id") % 100 == 0), item(F.concat(page, F.lit("-new")))).otherwise("")))
+    joined = items.groupBy("feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "item"))), lambda x: x["item"]), "").alias("items"))
+    end = F.when((F.col("feed") % 2 == 1) & F.lit(poll == 0), "</chan").otherwise("</channel></rss>")
+    joined.select("feed", F.concat(F.lit("<rss><channel>"), "items", end).alias("value")).write.partitionBy("feed").mode("overwrite").text(path)
+
+
+@query(
+    "feed_collector",
+    """WITH p AS (SELECT page_id, page_id // 100 AS feed, url FROM pages), t AS (
+      SELECT feed, CAST(page_id AS VARCHAR) AS external_id, url, CASE WHEN feed % 2 = 1 THEN 1 ELSE 0 END AS first_poll, CASE WHEN feed % 3 = 0 AND feed % 2 = 0 THEN 2 ELSE 1 END AS times FROM p
+      UNION ALL SELECT feed, page_id || '-new', url, 1, 1 FROM p WHERE feed % 3 = 0 AND page_id % 100 = 0)
+    SELECT CAST(feed AS INTEGER) AS feed, external_id, url, CAST(first_poll AS INTEGER) AS first_poll, CAST(times AS BIGINT) AS times FROM t""",
+)
+def feed_collector(spark, sf_dir):
+    """SC1 SC3: feeds of pages polled twice by one collector: what did not change is not told again, what was broken is told once it is whole."""
+    spark.dataSource.register(rss.FeedSource)
+    base = f"{scratch_root(spark)}/feeds-{uuid.uuid4().hex[:12]}"
+    pages = Tables(spark, sf_dir).raw("pages").select("page_id", "url", F.expr("page_id div 100").cast("int").alias("feed"))
+    feeds = [r.feed for r in pages.select("feed").distinct().collect()]  # the caller's list of addresses
+    stream = spark.readStream.format("feeds").option("paths", ",".join(f"{base}/told/feed={f}" for f in feeds)).option("feedsPerBatch", len(feeds)).load()
+    polls = []
+    for poll in (0, 1):
+        _told_feeds(spark, pages, f"{base}/told", poll)
+        polls.append(P.drain(stream, checkpoint=f"{base}/state").withColumn("poll", F.lit(poll)))
+    good = polls[0].unionByName(polls[1]).where(F.col("error").isNull())
+    feed = F.regexp_extract("feed", "feed=([0-9]+)$", 1).cast("int")
+    return good.groupBy(feed.alias("feed"), "external_id", "url").agg(F.min("poll").alias("first_poll"), F.count(F.lit(1)).alias("times"))
+
+
 #: Frames around five words of a document (%s), with the language, the speaker, the role and the verdict and role that are due.
 _FRAMES = [
     ('The lawyer of the town, Asha Rao, said: "%s." Then ', "en", "Asha Rao", "lawyer of the town", "direct", "lawyer of the town"),

@@ -1,22 +1,33 @@
 """RSS and Atom feeds as a Spark data source: ``spark.read.format("feeds").option("paths", ...)``.
 
 One partition per feed, so a feed that fails costs its own rows alone; it yields one row
-with the error instead. Paths are files or http(s) addresses. With ``seen`` (a JSON object
-of path to validator) a feed whose content has not changed yields nothing.
+with the error instead. Paths are http(s) addresses, or files or folders of any store. With
+``seen`` (a JSON object of path to validator) a feed whose content has not changed yields
+nothing.
+
+``spark.readStream.format("feeds")`` is the collector: each batch asks the next
+``feedsPerBatch`` feeds, ``AT_ONCE`` of them at a time, on condition that they changed. Its
+offsets hold what every feed last answered with (ETag and Last-Modified, or a digest where
+a feed has neither), so a server's 304, or the same content again, makes no rows, and a
+poll without news makes no batch. A feed that fails gives one row with the error and keeps
+the validators of its last good answer. A batch that is run again asks on its old
+conditions: it may see newer entries, which the next batch tells too, but loses none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import urllib.error
 import urllib.request
 import xml.etree.ElementTree as ET
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "feed string, external_id string, url string, title string, body string, published timestamp, validator string, error string"
 #: A date without a zone is Indian time.
@@ -75,6 +86,43 @@ class FeedPartition(InputPartition):
         self.path, self.seen = path, seen
 
 
+AT_ONCE = 8
+#: A validator's header in the answer, and the header that makes a request depend on it.
+CONDITIONS = {"ETag": "If-None-Match", "Last-Modified": "If-Modified-Since"}
+
+
+def fetched(path: str, seen: dict | None = None, timeout: float = 30) -> tuple[bytes | None, dict]:
+    """(content, validators) of a feed; no content if it is as it was when it had ``seen``."""
+    seen = seen or {}
+    if path.startswith(("http://", "https://")):
+        asked = urllib.request.Request(path, headers={ask: seen[tell] for tell, ask in CONDITIONS.items() if seen.get(tell)})  # noqa: S310 - the caller names the feeds
+        try:
+            with urllib.request.urlopen(asked, timeout=timeout) as answer:  # noqa: S310
+                raw = answer.read()
+                now = {name: answer.headers[name] for name in CONDITIONS if answer.headers[name]}
+        except urllib.error.HTTPError as e:
+            if e.code == 304:
+                return None, seen
+            raise
+    else:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        found = store.get_file_info(at)
+        inside = store.get_file_info(fs.FileSelector(at)) if found.type == fs.FileType.Directory else [found]
+        raw = b"".join(store.open_input_stream(f.path).read() for f in sorted(inside, key=lambda f: f.path) if not f.base_name.startswith(("_", ".")))
+        now = {}
+    if not now:  # nothing to ask by: tell by the content
+        now = {"digest": hashlib.sha1(raw).hexdigest()}
+        if now == seen:
+            return None, seen
+    return raw, now
+
+
+def _wrong(path: str, e: Exception) -> tuple:
+    return path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("paths", "").split(",") if p]
@@ -85,16 +133,48 @@ class FeedReader(DataSourceReader):
 
     def read(self, partition):
         try:
-            url = partition.path if "://" in partition.path else f"file://{partition.path}"
-            with urllib.request.urlopen(url, timeout=30) as response:  # noqa: S310 - the caller names the feeds
-                raw = response.read()
+            raw, _ = fetched(partition.path)
         except Exception as e:  # noqa: BLE001 - one feed's failure is a row, not the job's end
-            yield partition.path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]
+            yield _wrong(partition.path, e)
             return
         if hashlib.sha1(raw).hexdigest() != partition.seen:
             yield from _told(partition.path, raw)
 
 
+class FeedCollector(SimpleDataSourceStreamReader):
+    """Offsets: ``seen`` (feed to validators), ``next`` (the feed to ask first), ``told`` (polls with rows)."""
+
+    def __init__(self, options):
+        self.paths = sorted({p for p in options.get("paths", "").split(",") if p})
+        self.per_batch = int(options.get("feedsPerBatch", "64"))
+        self.timeout = float(options.get("timeout", "30"))
+
+    def initialOffset(self):
+        return {"seen": {}, "next": 0, "told": 0}
+
+    def _ask(self, path, seen):
+        try:
+            raw, now = fetched(path, seen, self.timeout)
+            rows = [] if raw is None else list(_told(path, raw))
+            # what can't be parsed is asked for again
+            return rows, seen if any(r[-1] for r in rows) else now
+        except Exception as e:  # noqa: BLE001 - one feed's failure is a row, not the job's end
+            return [_wrong(path, e)], seen
+
+    def read(self, start):
+        n = min(self.per_batch, len(self.paths))
+        asked = [self.paths[(start["next"] + i) % len(self.paths)] for i in range(n)]
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            answers = list(pool.map(lambda p: self._ask(p, start["seen"].get(p, {})), asked))
+        seen = start["seen"] | {p: now for p, (_, now) in zip(asked, answers, strict=True) if now}
+        rows = [r for some, _ in answers for r in some]
+        after = (start["next"] + n) % max(1, len(self.paths)) if n < len(self.paths) else 0
+        return iter(rows), {"seen": seen, "next": after, "told": start["told"] + bool(rows)}
+
+    def readBetweenOffsets(self, start, end):
+        return self.read(start)[0]
+
+
 class FeedSource(DataSource):
     @classmethod
     def name(cls):
@@ -105,3 +185,6 @@ class FeedSource(DataSource):
 
     def reader(self, schema):
         return FeedReader(self.options)
+
+    def simpleStreamReader(self, schema):
+        return FeedCollector(self.options)

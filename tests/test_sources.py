@@ -1,6 +1,9 @@
 """Sources, sinks, runs and streams on small files."""
 
 import datetime as dt
+import http.server
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +28,90 @@ def test_feeds(spark, tmp_path):
     assert spark.read.format("feeds").option("paths", f"{tmp_path}/good.xml").option("seen", seen).load().count() == 0
 
 
+class _Server:
+    """Feeds on a local port; counts requests in flight and keeps what was asked for."""
+
+    def __init__(self):
+        self.feeds, self.asked, self.now, self.most, self.lock = {}, [], 0, 0, threading.Lock()
+        outer = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                with outer.lock:
+                    outer.now += 1
+                    outer.most = max(outer.most, outer.now)
+                    outer.asked.append((self.path, self.headers.get("If-None-Match"), self.headers.get("If-Modified-Since")))
+                time.sleep(0.05)
+                body, headers = outer.feeds[self.path]
+                same = headers and all(self.headers.get(rss.CONDITIONS[k]) == v for k, v in headers.items())
+                with outer.lock:
+                    outer.now -= 1
+                self.send_response(304 if same else 500 if body is None else 200)
+                for k, v in headers.items():
+                    self.send_header(k, v)
+                self.end_headers()
+                if body is not None and not same:
+                    self.wfile.write(body)
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def _item(guid):
+    return f"<rss><channel><item><guid>{guid}</guid><title>t</title></item></channel></rss>".encode()
+
+
+def test_collector_asks_on_condition(spark, tmp_path):
+    """200, 304 and 500; a poll without news makes no batch; a restart goes on from the offsets."""
+    server = _Server()
+    for i in range(20):
+        server.feeds[f"/{i}"] = (_item(f"a{i}"), {"ETag": f'"{i}"'} if i % 2 else {"Last-Modified": f"Mon, 01 Jan 2024 10:00:{i:02d} GMT"})
+    server.feeds["/5"] = (None, {})
+    server.feeds["/6"] = (b"<rss><chan", {})
+    server.feeds["/7"] = (_item("a7"), {})  # no validators: told by its content
+    spark.dataSource.register(rss.FeedSource)
+    batches = []
+
+    def poll():
+        del server.asked[:], batches[:]
+        stream = spark.readStream.format("feeds").option("paths", ",".join(server.url + p for p in server.feeds)).load()
+        keep = lambda df, n: batches.extend((r.feed.rpartition("/")[2], r.external_id, r.error) for r in df.collect())
+        stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+        return sorted((f, i) for f, i, e in batches if not e), sorted(f for f, _, e in batches if e)
+
+    good, wrong = poll()
+    assert good == sorted((str(i), f"a{i}") for i in range(20) if i not in (5, 6)) and wrong == ["5", "6"]
+    assert 1 < server.most <= rss.AT_ONCE and all(a[1:] == (None, None) for a in server.asked)
+    good, wrong = poll()
+    assert good == [] and wrong == ["5", "6"]
+    told = {p: (etag, since) for p, etag, since in server.asked}
+    assert told["/1"] == ('"1"', None) and told["/2"] == (None, "Mon, 01 Jan 2024 10:00:02 GMT") and told["/5"] == (None, None)
+    server.feeds["/1"] = (_item("b1"), {"ETag": '"new"'})
+    server.feeds["/2"] = (None, {})  # fails now: what it last answered with stays
+    server.feeds["/5"] = (_item("a5"), {"ETag": '"5"'})
+    server.feeds["/6"] = (_item("a6"), {"ETag": '"6"'})
+    assert poll() == ([("1", "b1"), ("5", "a5"), ("6", "a6")], ["2"])
+    server.feeds["/2"] = (_item("a2"), {"Last-Modified": "Mon, 01 Jan 2024 10:00:02 GMT"})
+    assert poll() == ([], [])
+    assert ("/2", None, "Mon, 01 Jan 2024 10:00:02 GMT") in server.asked
+    server.server.shutdown()
+
+
+def test_collector_takes_turns():
+    c = rss.FeedCollector({"paths": "a,b,c,d,e", "feedsPerBatch": "2"})
+    asked = []
+    c._ask = lambda p, seen: (asked.append(p) or [], seen)
+    at = c.initialOffset()
+    for _ in range(3):
+        at = c.read(at)[1]
+    assert sorted(asked[:2]) == ["a", "b"] and sorted(asked[2:4]) == ["c", "d"] and sorted(asked[4:]) == ["a", "e"] and at["told"] == 0
+    assert list(rss.FeedCollector({}).read(c.initialOffset())[0]) == []
+
+
 def test_entry_dates():
     assert rss.entry_date("2024-01-01T00:00:00").utcoffset() == dt.timedelta(hours=5, minutes=30)
     assert rss.entry_date("no date") is None and rss.entry_date(None) is None
