@@ -42,6 +42,12 @@ REFERRERS = {
 #: Fixed value: query keys that only track.
 TRACKING = ("_ga", "at_campaign", "at_link_id", "at_medium", "at_ptr_name", "dclid", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid")
 
+#: Fixed value: initials and abbreviations whose stop ends no sentence.
+ABBREVIATION = (
+    r"(?:^|[\s(“\"'])(?:[A-Z]|Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|No|Nos|Rs|Re|vs|Lt|Col|Gen|Maj|Capt|Sgt|Hon|Rev|Fr|Smt|Shri|Md|Adv|"
+    r"Justice|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|Inc|Ltd|Pvt|Co|Corp|Govt|Dept|Univ|approx|est)\.$"
+)
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, marks and digits."""
@@ -61,6 +67,21 @@ def title_share(title_words: Column, flat_text: Column) -> Column:
     return F.when(F.size(title_words) >= 3, F.size(held) / F.size(title_words))
 
 
+def sentences(text: Column) -> Column:
+    """Sentences; a stop after an initial or an abbreviation does not end one.
+
+    Every gap after a stop becomes a mark, gaps after abbreviations become blanks again, and
+    what is left of the marks is where the text is cut.
+    """
+    blank = " \t\n\x0b\x0c\r"
+    mark = "\x01"
+    parts = F.split(F.regexp_replace(F.btrim(text, F.lit(blank)), r"([.!?][\"’”]?)\s+", f"$1{mark}"), mark)
+    parts = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(blank))), lambda p: p != "")
+    ended = F.transform(parts, lambda p: F.concat(p, F.when(F.regexp(p, F.lit(ABBREVIATION)), " ").otherwise(mark)))
+    whole = F.regexp_replace(F.array_join(ended, ""), f"[ {mark}]$", "")
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(whole, mark))
+
+
 def flat_ws(text: Column) -> Column:
     """White space collapsed and trimmed; offsets of quotes refer to this text."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

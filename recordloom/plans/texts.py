@@ -284,7 +284,7 @@ def numbers_grounded(spark, sf_dir):
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_ENDS = U.SENTENCE_ABBREVIATION.replace("'", "''")
+_ENDS = T.ABBREVIATION.replace("'", "''")
 
 
 @query(
@@ -297,7 +297,7 @@ _ENDS = U.SENTENCE_ABBREVIATION.replace("'", "''")
 )
 def sentence_lines(spark, sf_dir):
     """TX27: sentences, aware of abbreviations, with their figures."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(U.sentences_udf("text")).alias("line", "sentence"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("line", "sentence"))
     return d.select("doc_id", "line", F.md5("sentence").alias("sentence_md5"), F.size(T.numbers(F.col("sentence"))).alias("n_figures"))
 
 

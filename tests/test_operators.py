@@ -242,8 +242,28 @@ def test_chunks_cover_the_text():
     assert U.chunks("") == [] and U.chunks("short") == ["short"]
 
 
-def test_sentences_know_abbreviations():
-    assert U.sentences("Mr. Rao spoke. N. Rao left! 5.5 is left") == ["Mr. Rao spoke.", "N. Rao left!", "5.5 is left"]
+def test_sentences_know_abbreviations(spark):
+    told = lambda text: _one(spark, T.sentences(F.lit(text)))
+    assert told("Mr. Rao spoke. N. Rao left! 5.5 is left") == ["Mr. Rao spoke.", "N. Rao left!", "5.5 is left"]
+    assert told(' He said "no."  Then\nhe left.\t') == ['He said "no."', "Then\nhe left."]
+    assert told("By Dr. A. B. Rao. Ends with Mr.") == ["By Dr. A. B. Rao.", "Ends with Mr."]
+    assert told("") == [] and told(" \n") == [] and _one(spark, T.sentences(F.lit(None).cast("string"))) is None
+
+
+def test_sounds_come_from_letter_names():
+    """One letter of each class in nine Brahmic scripts and Urdu."""
+    for k, s, t, p, n, r, l in ("कचतपमरल", "কচতপমরল", "ਕਚਤਪਮਰਲ", "કચતપમરલ", "କଚତପମରଲ", "கசதபமரல", "కచతపమరల", "ಕಚತಪಮರಲ", "കചതപമരല", "کچتپمرل"):
+        assert [U._native_sound(x) for x in (k, s, t, p, n, r, l)] == list("kstpnrl")
+    assert [U._native_sound(x) for x in "खघ\u0958\u0959\u095aज\u095bशषटठडढदधफभ\u095eणञङंँऋ\u095c\u095d\u0931ळ"] == list("kkkkkssss" "tttttt" "ppp" "nnnnn" "rrrrl")
+    assert [U._native_sound(x) for x in "خغقکكگثجذزژسشصضظتٹدڈطبفنںرڑ"] == list("kkkkkk" "ssssssssss" "ttttt" "pp" "nn" "rr")
+    assert not any(U._native_sound(x) for x in "अआइयवहाि्ः़।०۔حعہهیوءا")
+
+
+def test_frames_inside_reported_words():
+    quotative = "ಸರ್ಕಾರ ಬರುತ್ತದೆ ಎಂದು"
+    assert Q.framed(f"{quotative} ಅವರು ಸಭೆಯಲ್ಲಿ ಹೇಳಿದರು. ಮತ್ತೆ", "kn") and Q.framed(f"{quotative} {'ಅವರು ' * 8}ಹೇಳಿದರು.", "kn")
+    assert not Q.framed(f"{quotative} {'ಅವರು ' * 9}ಹೇಳಿದರು.", "kn") and not Q.framed(f"{quotative} ಹೇಳಿದರು ಅವರು.", "kn")
+    assert not Q.framed(quotative, "kn") and not Q.framed("", "kn") and not Q.framed("he said so.", "en")
 
 
 def test_scripts(spark):
