@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.llm.columns import Carried
 from recordloom.llm.workers import lean
 
 UND = "und"
@@ -272,11 +273,11 @@ def accepted(docs: DataFrame) -> DataFrame:
     Rejected are texts without letters and texts far from every centroid. With no labelled
     row to learn from, nothing is rejected but texts without letters.
     """
-    names = docs.columns
     model = fit(training_sample(docs))
     if model is None:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return identify(docs, model, tuple(c for c in names if c != "doc_id")).where(~F.col("rejected")).select(*names)
+    carried = Carried(docs, "doc_id", "text")
+    return carried.back(identify(carried.df, model, ("text", *carried.others())).where(~F.col("rejected")))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

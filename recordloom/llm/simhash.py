@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.columns import Carried
 from recordloom.llm.sketches import shingle_hashes
 from recordloom.llm.workers import lean, release
 from recordloom.operators.components import connected_components
@@ -431,11 +432,13 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, views:
     one doc_id and texts that are not alike are documents of their own. A row without a
     doc_id can't be named in a group and stays.
     """
+    carried = Carried(docs, "doc_id", "text")
+    docs = carried.df
     groups = near_copies(docs.select("doc_id", "text"), words, similarity, views, radius)
-    keep = groups.where("lead").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    own = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(keep.withColumnRenamed("_mark", "_m"), (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_m")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark").unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = groups.where("lead").select(F.col("doc_id").alias("id"), F.col("mark").alias("m")).distinct()
+    own = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = own.join(keep, (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("m")), "left_semi")
+    return carried.back(kept.dropDuplicates(["doc_id", "mark"]).drop("mark").unionByName(docs.where(F.col("doc_id").isNull())))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ template most of whose tokens it shares in place, and the template turns the tok
 differ into variable fields. A template that occurs in ``min_docs`` documents or more
 recurs; every document but the first that has it (smallest doc_id) loses its lines. A long
 line, of ``long_tokens`` tokens or ``long_chars`` characters, recurs from its second
-document on where it is the same to the letter; but a document that would lose over
-``most_share`` of its characters in this way is a copy as a whole, and is left whole to the
-operators that group copies.
+document on where it is the same to the letter. Only copies as a whole keep such lines, for
+the operators that group copies: where a document equals the first one that has the line,
+or shares with it long lines of at least ``copy_share`` of the characters that either has.
 
 The tree works on distinct masked lines, counted map-side, so a line that every document
 repeats is one row. Its depth is the same at every size: a leaf is parsed whole, and beyond
@@ -22,7 +22,8 @@ lines of fewer than ``min_tokens`` tokens that are not long are never dropped; t
 document keeps all its lines of a template; a line is told by the 64-bit hash of its masked
 form; rows of equal doc_id are one document, a null doc_id counts as one document that
 comes last; dropping takes time in proportion to a text's lines, however long it is; an
-empty table gives an empty result; further columns pass through unchanged.
+empty table gives an empty result; further columns pass through unchanged, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.columns import Carried
 from recordloom.storage import stored
 
 MIN_DOCS = 10
@@ -43,7 +45,8 @@ SHARE = 0.7
 #: From here on a line that repeats to the letter recurs from its second document on.
 LONG_TOKENS = 50
 LONG_CHARS = 300
-MOST_SHARE = 0.5
+#: Above what five-word shingles call near copies, as a few characters of their own cost two texts many shingles.
+COPY_SHARE = 0.85
 #: Templates of a leaf from which on they are looked up by blocks of tokens.
 MAX_LEAF = 1000
 FIELD = "<*>"
@@ -66,21 +69,21 @@ def _leaf(line: Column, leading: int, *more: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, leading: int = LEADING, long_tokens: int = LONG_TOKENS, long_chars: int = LONG_CHARS) -> DataFrame:
-    """(d, mark, pos, line, leaf, whole, size): each line that may be dropped.
+    """(d, mark, pos, line, leaf, whole, size, total): each line that may be dropped.
 
     ``d`` is the doc_id, or the last of all ids, and ``mark`` the hash of the text, which
     tells rows of one doc_id apart. ``line`` and ``leaf`` are the hashes of the masked form
     and of its leaf, null for lines of few tokens; ``whole`` is that of a long line itself,
-    ``size`` its length.
+    ``size`` its length and ``total`` its text's.
     """
-    base = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text")
-    lines = base.select("d", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    base = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("mark"), F.length("text").alias("total"), "text")
+    lines = base.select("d", "mark", "total", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     # a filter on a nondeterministic column stays above the projection, so a line is masked once and not again in the filter
-    rows = lines.select("d", "mark", "pos", "raw", masked(F.col("raw")).alias("m"), F.spark_partition_id().alias("_once")).where((F.length("m") > 0) & (F.col("_once") >= 0))
+    rows = lines.select("d", "mark", "total", "pos", "raw", masked(F.col("raw")).alias("m"), F.spark_partition_id().alias("_once")).where((F.length("m") > 0) & (F.col("_once") >= 0))
     rows = rows.withColumn("n", _tokens(F.col("m"))).where((F.col("n") >= MIN_TOKENS) | (F.length("raw") >= long_chars))
     many, long = F.col("n") >= MIN_TOKENS, (F.col("n") >= long_tokens) | (F.length("raw") >= long_chars)
     return rows.select(
-        "d", "mark", "pos", F.when(many, F.xxhash64("m")).alias("line"), F.when(many, _leaf(F.col("m"), leading)).alias("leaf"), F.when(long, F.xxhash64("raw")).alias("whole"), F.when(long, F.length("raw")).alias("size")
+        "d", "mark", "pos", F.when(many, F.xxhash64("m")).alias("line"), F.when(many, _leaf(F.col("m"), leading)).alias("leaf"), F.when(long, F.xxhash64("raw")).alias("whole"), F.when(long, F.length("raw")).alias("size"), F.when(long, F.col("total")).alias("total")
     )
 
 
@@ -219,44 +222,57 @@ def recurring(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, share:
 
 
 def _recurring_whole(rows: DataFrame) -> DataFrame:
-    """(whole, first_doc): the long lines that repeat to the letter in another document."""
+    """(whole, first): the long lines that repeat to the letter in another document; ``first`` has d, mark and total."""
     long = rows.where(F.col("whole").isNotNull())
-    return long.groupBy("whole").agg(F.min("d").alias("first_doc"), F.max("d").alias("last_doc")).where(F.col("first_doc") < F.col("last_doc")).select("whole", "first_doc")
+    firsts = long.groupBy("whole").agg(F.min(F.struct("d", "mark", "total")).alias("first"), F.max("d").alias("last_doc"))
+    return firsts.where(F.col("first.d") < F.col("last_doc")).select("whole", "first")
+
+
+def _long_hits(rows: DataFrame, copy_share: float) -> DataFrame:
+    """(d, mark, at): the places of long lines to drop, document by document."""
+    found = rows.where(F.col("whole").isNotNull()).join(stored(_recurring_whole(rows), "whole"), "whole").where(F.col("d") != F.col("first.d"))
+    shared = found.groupBy("d", "mark", "first").agg(F.collect_set("pos").alias("at"), F.sum("size").alias("common"), F.max("total").alias("total"))
+    either = F.col("total") + F.col("first.total") - F.col("common")
+    copy = (F.col("mark") == F.col("first.mark")) | (F.col("common") >= copy_share * either)
+    return shared.where(~copy).select("d", "mark", "at")
 
 
 def drop_recurring(
     docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, max_leaf: int = MAX_LEAF, long_tokens: int = LONG_TOKENS, long_chars: int = LONG_CHARS,
-    most_share: float = MOST_SHARE,
+    copy_share: float = COPY_SHARE,
 ) -> DataFrame:
     """``docs`` with its recurring lines dropped, and the columns _n_lines and _n_dropped."""
+    carried = Carried(docs, "doc_id", "text")
+    docs = carried.df
     rows = stored(line_rows(docs.select("doc_id", "text"), leading, long_tokens, long_chars), "lines")
     found = stored(recurring(docs, rows, min_docs, share, max_leaf), "recurring").groupBy("line").agg(F.min("first_doc").alias("first_doc"))
-    spots = [
-        rows.where(F.col("line").isNotNull()).select("d", "mark", "pos", "line", F.lit(None).cast("int").alias("size")).join(found, "line"),
-        rows.where(F.col("whole").isNotNull()).select("d", "mark", "pos", "size", "whole").join(stored(_recurring_whole(rows), "whole"), "whole"),
-    ]
-    hits = spots[0].drop("line").unionByName(spots[1].drop("whole")).where(F.col("d") != F.col("first_doc"))
-    long = F.col("size").isNotNull()
-    hits = hits.groupBy(F.col("d").alias("_d"), F.col("mark").alias("_mark")).agg(
-        F.collect_set(F.when(~long, F.col("pos"))).alias("_short"), F.collect_set(F.when(long, F.struct("pos", "size"))).alias("_long")
-    )
+    short = rows.where(F.col("line").isNotNull()).select("d", "mark", "pos", "line").join(found, "line").where(F.col("d") != F.col("first_doc"))
+    hits = short.select("d", "mark", F.array("pos").alias("at")).unionByName(_long_hits(rows, copy_share))
+    hits = hits.groupBy("d", "mark").agg(F.flatten(F.collect_list("at")).alias("hits"))
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
-    joined = docs.join(hits, (key == hits["_d"]) & (F.xxhash64(docs["text"]) == hits["_mark"]), "left").drop("_d", "_mark")
-    whole_copy = F.aggregate("_long", F.lit(0), lambda s, x: s + x["size"]) > most_share * F.length("text")
-    joined = joined.withColumn("_hits", F.when(whole_copy, F.col("_short")).otherwise(F.array_union("_short", F.col("_long.pos"))))
+    joined = docs.join(hits, (key == hits["d"]) & (F.xxhash64(docs["text"]) == hits["mark"]), "left").drop("d", "mark")
     split = F.split("text", "\n", -1)
     # a hash set of the dropped places, so that a text of many lines takes time in proportion
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_hits")
-    kept = F.transform(places, lambda i: F.get(F.col("_split"), i))
-    hit = F.col("_hits").isNotNull() & F.col("text").isNotNull()
-    return (
-        joined.withColumn("_split", F.when(F.col("text").isNotNull(), split))
-        .withColumn("_n_lines", F.when(F.col("text").isNotNull(), F.size("_split")).otherwise(0).cast("long"))
-        .withColumn("_kept", F.when(hit, kept))
-        .withColumn("_n_dropped", F.when(hit, F.col("_n_lines") - F.size("_kept")).otherwise(0).cast("long"))
-        .withColumn("text", F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-        .drop("_kept", "_hits", "_split", "_short", "_long")
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "hits")
+    kept = F.transform(places, lambda i: F.get(F.col("split"), i))
+    hit = F.col("hits").isNotNull() & F.col("text").isNotNull()
+    dropped = (
+        joined.withColumn("split", F.when(F.col("text").isNotNull(), split))
+        .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size("split")).otherwise(0).cast("long"))
+        .withColumn("kept", F.when(hit, kept))
+        .withColumn("n_dropped", F.when(hit, F.col("n_lines") - F.size("kept")).otherwise(0).cast("long"))
+        .withColumn("text", F.when(hit, F.array_join("kept", "\n")).otherwise(F.col("text")))
     )
+    return carried.back(dropped, F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with its recurring lines dropped, columns unchanged; ``n_chars``, where there is one, follows the text."""
+    carried = Carried(docs, "doc_id", "text", "n_chars")
+    done = drop_recurring(carried.df).select(*carried.inner)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return carried.back(done)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

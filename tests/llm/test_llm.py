@@ -432,12 +432,16 @@ def _brute_lines(rows, min_docs):
     members = collections.defaultdict(set)
     for m, t in template.items():
         members[t] |= held[m]
-    out = {}
+    out, texts = {}, dict(rows)
     for i, text in rows:
         lines = text.split("\n")
-        long = [len(whole.get(x, ())) >= 2 and min(whole[x]) != i for x in lines]
-        if sum(len(x) for x, hit in zip(lines, long, strict=True) if hit) > 0.5 * len(text):
-            long = [False] * len(lines)  # a copy as a whole
+        first = [min(whole[x]) if len(whole.get(x, ())) >= 2 else i for x in lines]
+        common = collections.Counter()
+        for x, j in zip(lines, first, strict=True):
+            common[j] += len(x) * (j != i)
+        # copies as a whole of the first document that has the line
+        copy = {j for j, n in common.items() if texts[j] == text or n >= templates.COPY_SHARE * (len(text) + len(texts[j]) - n)}
+        long = [j != i and j not in copy for j in first]
         who = [members.get(template.get(mask(x)), set()) for x in lines]
         out[i] = "\n".join(x for x, w, hit in zip(lines, who, long, strict=True) if not hit and not (len(w) >= min_docs and min(w) != i))
     return out
@@ -470,6 +474,49 @@ def test_long_lines_recur_from_two_documents(spark):
     assert (got[2], got[4], got[5], got[7]) == (own(0), own(1), f"{long} once more\n{own(2)}", "漢字" * 50) and got[8] == rows[7][1] and got[9] == rows[8][1]
 
 
+@pytest.mark.parametrize("percent", [30, 50, 60, 80, 85, 90, 95])
+def test_a_passage_of_many_documents_stays_once(spark, percent):
+    """A passage of 120 words in nine documents, at any share of their words, is left once by line and near dedup together."""
+    passage = " ".join(f"shared{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
+    own = lambda n: " ".join(f"own{chr(97 + n)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120 * 100 // percent - 120))
+    rows = [(i, f"{passage}\n{own(i)}" if i % 2 else f"{own(i)}\n{passage}") for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = templates.cleaned(df)
+    assert {r.doc_id: r.text for r in lines.collect()} == _brute_lines(rows, templates.MIN_DOCS)
+    left = simhash.deduplicate(lines).collect()
+    assert sum(passage in r.text for r in left) == 1
+    assert percent >= 85 or {r.doc_id for r in left} == set(range(1, 10))
+
+
+def test_copies_of_copies_lose_the_same_lines(spark):
+    passage, text = (" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)) for w in ("p", "t"))
+    rows = [(1, f"{passage}\nfirst of all"), (5, f"{passage}\n{text}"), (9, f"{passage}\n{text}"), (11, text), (12, f"{text}\nx")]
+    got = {r.doc_id: r.text for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute_lines(rows, templates.MIN_DOCS) == {1: rows[0][1], 5: text, 9: text, 11: "", 12: "x"}
+
+
+NAMES = (
+    "score rejected lang_pred _hits _split _kept _short _long _d _mark _id _m _n_lines _n_dropped d mark pos line leaf whole size total at hits split kept n_lines n_dropped first "
+    "id lead doc carried_0 carried_5 kind key shard slot block chunk nth words from_word part parts p all_words _key fp view root node u v"
+).split() + ["a.b", "with space", "SCORE2"]
+
+
+def test_stages_take_columns_of_any_name(spark, tiny):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in NAMES])
+    plain, stage = docs, wide
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        plain, stage = step(spark, plain, tiny).cache(), step(spark, stage, tiny).cache()
+        got = stage.select(*docs.columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr), name
+        if name != "source_mixing":  # which makes documents of its own
+            assert stage.columns == wide.columns
+            assert stage.where(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in NAMES)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, stage, tiny).count() > 0
+
+
 def test_lines_of_repeated_and_missing_ids_and_very_long_texts(spark):
     many = "\n".join(f"entry of the log number {i}" if i % 2 else f"{i}" for i in range(40_000))
     rows = [(i, f"entry of the log number {i}\nkept {i}") for i in range(12)] + [(3, "entry of the log number 5\nsecond text"), (50, many)]
