@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from recordloom.llm import langid, mixing, packing, simhash, templates
 from recordloom.storage import stored
 
@@ -15,12 +13,15 @@ def language(spark, docs, sf_dir):
 
 def line_dedup(spark, docs, sf_dir):
     """Lines whose template recurs across documents go from all documents but the first that has it."""
-    cleaned = templates.drop_recurring(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(*docs.columns)
+    return templates.cleaned(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each SimHash near-duplicate group stays: the one of smallest doc_id."""
+    """One document of each near-duplicate group stays: the one of smallest doc_id.
+
+    Balls around SimHash fingerprints of words and bands of least shingle hashes find the
+    pairs, five-word shingles at 0.8 decide on them.
+    """
     return simhash.deduplicate(docs)
 
 
