@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import text as T
 from recordloom.functions import unicode as U
 from recordloom.operators import relations as J
+from recordloom.operators.search import occurrences, repaired_spans
 from recordloom.plans.bind import Tables
 from recordloom.plans.registry import query
 
@@ -393,13 +394,44 @@ def hamming_pairs(spark, sf_dir):
     SELECT item_id, doc_id, CAST(instr(t, q) AS INTEGER) AS quote_start FROM b, d WHERE contains(t, q)""",
 )
 def verbatim_quotes(spark, sf_dir):
-    """QC1 TX9: quotes found word for word in flattened documents, by the quote's first characters as key."""
+    """QC1 TX9: quotes found word for word in flattened documents."""
     t = Tables(spark, sf_dir)
-    b = t.raw("benchmark").select("item_id", T.flat_ws(F.col("text")).alias("q")).withColumn("k", F.substring("q", 1, 24))
-    d = t.documents.select("doc_id", T.flat_ws(F.col("text")).alias("t"))
-    # 24-character openings of all positions that begin a word meet the quotes' openings in an equi-join
-    at = d.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(r"(?=(?:^|(?<= ))(.{24}))"), F.lit(1)), lambda x: x))).alias("k"))
-    return at.join(b, "k").where(F.contains("t", "q")).select("item_id", "doc_id", F.instr("t", F.col("q")).alias("quote_start")).distinct()
+    quotes = t.raw("benchmark").select("item_id", T.flat_ws(F.col("text")).alias("q"))
+    return occurrences(t.documents.select("doc_id", T.flat_ws(F.col("text")).alias("text")), quotes).select("item_id", "doc_id", "quote_start")
+
+
+@query(
+    "quotes_anywhere",
+    r"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM benchmark),
+      p AS (SELECT 4 * item_id AS item_id, substr(q, 3, 5) AS q FROM b UNION ALL SELECT 4 * item_id + 1, substr(q, 6, 14) FROM b UNION ALL SELECT 4 * item_id + 2, substr(q, 9, 40) FROM b UNION ALL SELECT 4 * item_id + 3, substr(q, 2, 200) FROM b),
+      d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+    SELECT item_id, doc_id, CAST(instr(t, q) AS INTEGER) AS quote_start, CAST(instr(t, q) + length(q) - 1 AS INTEGER) AS quote_end FROM p, d WHERE q <> '' AND contains(t, q)""",
+)
+def quotes_anywhere(spark, sf_dir):
+    """QC1: strings of 5 to 200 characters, cut inside words too, wherever a document has them."""
+    t = Tables(spark, sf_dir)
+    flat = t.raw("benchmark").select("item_id", T.flat_ws(F.col("text")).alias("q"))
+    cuts = [(3, 5), (6, 14), (9, 40), (2, 200)]
+    pieces = F.inline(F.array(*[F.struct((4 * F.col("item_id") + i).alias("item_id"), F.substring("q", at, n).alias("q")) for i, (at, n) in enumerate(cuts)]))
+    return occurrences(t.documents.select("doc_id", T.flat_ws(F.col("text")).alias("text")), flat.select(pieces))
+
+
+@query(
+    "claim_spans",
+    r"""WITH d AS (SELECT doc_id, source, lang, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+      c AS (SELECT doc_id AS claim_id, doc_id, t, CASE WHEN doc_id % 7 = 3 THEN '' ELSE source END AS speaker,
+        CASE doc_id % 5 WHEN 0 THEN replace(substr(text, 11, 60), ' ', '  ') WHEN 1 THEN substr(text, 11, 60) || 'x' WHEN 2 THEN substr(text, 4, 20) ELSE substr(text, 150, 80) END AS quote FROM d),
+      q AS (SELECT *, trim(regexp_replace(quote, '\s+', ' ', 'g')) AS q FROM c),
+      v AS (SELECT *, CASE WHEN coalesce(speaker, '') = '' THEN 'no_speaker' WHEN length(q) < 25 THEN 'short_quote' WHEN NOT contains(t, q) THEN 'not_verbatim' ELSE 'kept' END AS verdict FROM q)
+    SELECT claim_id, doc_id, verdict, CASE WHEN verdict = 'kept' THEN CAST(instr(t, q) AS INTEGER) END AS quote_start, CASE WHEN verdict = 'kept' THEN CAST(instr(t, q) + length(q) - 1 AS INTEGER) END AS quote_end FROM v""",
+)
+def claim_spans(spark, sf_dir):
+    """QC1 QC2: claims kept where their document has the quote, with the span it really has there."""
+    d = Tables(spark, sf_dir).documents
+    i, text = F.col("doc_id"), F.col("text")
+    quote = F.when(i % 5 == 0, F.replace(F.substring(text, 11, 60), F.lit(" "), F.lit("  "))).when(i % 5 == 1, F.concat(F.substring(text, 11, 60), F.lit("x"))).when(i % 5 == 2, F.substring(text, 4, 20)).otherwise(F.substring(text, 150, 80))
+    claims = d.select(i.alias("claim_id"), "doc_id", F.when(i % 7 == 3, "").otherwise(F.col("source")).alias("speaker"), quote.alias("quote"))
+    return repaired_spans(claims, d, T.flat_ws)
 
 
 @query(
