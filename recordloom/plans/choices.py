@@ -1,15 +1,18 @@
-"""Choices in order of rank: images that are not near ones shown before, communities that no better one covers."""
+"""Choices in order of rank: images that are not near ones shown before, communities that no better one covers, the story of a record."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
 from recordloom.operators import communities as C
 from recordloom.operators import hashes as H
+from recordloom.operators.assignment import Assignments
 from recordloom.plans.bind import Tables
 from recordloom.plans.registry import query
-from recordloom.storage import stored
+from recordloom.storage import scratch_root, stored
 
 _PHOTOS = """px AS (SELECT label AS story, 3 * vec_id + k AS photo, vec_id, list_transform(list_zip(list_concat(embedding, embedding[1:8]), range(72)), lambda p: CAST(floor(1000 * CAST(p[1] AS DOUBLE)) AS BIGINT) + k * k * ((vec_id + p[2]) % 5 - 2) * 6) AS px FROM embeddings, (SELECT unnest([0, 1, 2]) AS k)),
   ph AS (SELECT story, photo, vec_id, array_to_string(list_transform(range(64), lambda i: CASE WHEN px[i + i // 8 + 1] > px[i + i // 8 + 2] THEN '1' ELSE '0' END), '') AS bits FROM px)"""
@@ -91,3 +94,42 @@ def community_dedup(spark, sf_dir):
     """GR13: communities by support, each taken unless it overlaps one taken before; those of one outlet or member are none."""
     facts, members = _communities(Tables(spark, sf_dir))
     return C.deduplicated(stored(facts, "facts"), members).select(F.col("set_id").alias("community"), "taken")
+
+
+def _batch(k: int) -> str:
+    """The twin of one batch: ``placed{k}`` and the answers ``got{k}`` to ``placed{k + 1}``."""
+    return f"""ev{k} AS (SELECT * FROM ev WHERE event_id % 3 = {k}),
+    st{k} AS (SELECT story, count(*) AS n, min(told) AS since, max(told) AS last, story % 10 = 0 AS running FROM placed{k} GROUP BY story),
+    ln{k} AS (SELECT DISTINCT e.event_id, p.story FROM ev{k} e JOIN lk ON lk.x = e.event_id JOIN placed{k} p ON p.event_id = lk.y),
+    nr{k} AS (SELECT event_id, story, d FROM (SELECT event_id, story, d, row_number() OVER (PARTITION BY event_id ORDER BY d, story) AS nth FROM (
+      SELECT e.event_id, p.story, min(round(1 - s.sim, 6)) AS d FROM ev{k} e JOIN placed{k} p ON p.told BETWEEN e.told - INTERVAL 14 DAY AND e.told + INTERVAL 1 HOUR JOIN sims s ON s.a = e.event_id AND s.b = p.event_id WHERE round(1 - s.sim, 6) <= 0.8 GROUP BY e.event_id, p.story)) WHERE nth <= 3),
+    fs{k} AS (SELECT event_id, story FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY kind, d, story) AS nth FROM (
+      SELECT event_id, story, 0 AS kind, CAST(0 AS DOUBLE) AS d FROM ln{k} UNION ALL SELECT event_id, story, 1, d FROM nr{k} WHERE (event_id, story) NOT IN (SELECT (event_id, story) FROM ln{k}))) WHERE nth <= 3),
+    ce{k} AS (SELECT story, list(m ORDER BY i) AS c FROM (SELECT story, i, avg(x) AS m FROM (SELECT p.story, unnest(u.v) AS x, unnest(range(len(u.v))) AS i FROM placed{k} p JOIN u ON u.vec_id = p.event_id) GROUP BY story, i) GROUP BY story),
+    cn{k} AS (SELECT event_id, story FROM (SELECT e.event_id, s.story, row_number() OVER (PARTITION BY e.event_id ORDER BY round(1 - round(list_cosine_similarity(u.v, c), 6), 6), s.story) AS nth FROM ev{k} e JOIN u ON u.vec_id = e.event_id JOIN st{k} s ON (s.n >= 3 OR s.running) AND s.last >= e.told - INTERVAL 14 DAY JOIN ce{k} USING (story)) WHERE nth <= 2),
+    jd{k} AS (SELECT event_id, story, ((event_id * 31 + story * 17) % 100) / 100.0 AS score FROM (SELECT * FROM fs{k} UNION SELECT * FROM cn{k})),
+    bs{k} AS (SELECT event_id, story, score FROM (SELECT j.event_id, j.story, j.score, row_number() OVER (PARTITION BY j.event_id ORDER BY running DESC, n DESC, since, j.score DESC, j.story) AS nth FROM jd{k} j JOIN st{k} USING (story) WHERE j.score >= CASE WHEN running THEN 0.6 ELSE 0.7 END) WHERE nth = 1),
+    got{k} AS (SELECT e.event_id, coalesce(b.story, e.event_id) AS story, e.told, CASE WHEN b.story IS NULL THEN 'founded' ELSE 'joined' END AS how, CAST(b.score AS DOUBLE) AS score FROM ev{k} e LEFT JOIN bs{k} b USING (event_id)),
+    placed{k + 1} AS (SELECT event_id, story, told FROM placed{k} UNION ALL SELECT event_id, story, told FROM got{k})"""
+
+
+@query(
+    "story_assignment",
+    f"""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), sims AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+    ev AS (SELECT vec_id AS event_id, TIMESTAMP '2024-01-01' + to_hours(vec_id) AS told FROM embeddings), lk AS (SELECT vec_id AS x, vec_id - 7 AS y FROM embeddings WHERE vec_id % 5 = 0 UNION SELECT vec_id - 7, vec_id FROM embeddings WHERE vec_id % 5 = 0),
+    placed0 AS (SELECT event_id, event_id AS story, told FROM ev WHERE false), {", ".join(_batch(k) for k in range(3))}
+    SELECT event_id, CAST(event_id % 3 AS INTEGER) AS batch, story, how, score FROM (SELECT * FROM got0 UNION ALL SELECT * FROM got1 UNION ALL SELECT * FROM got2)""",
+)
+def story_assignment(spark, sf_dir):
+    """GR16: three batches of records placed one after another: by links, by near members of the last fourteen days, by big stories' centroids."""
+    v = Tables(spark, sf_dir).vectors
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(vec_id AS INT), 0, 0)")
+    records = v.select(F.col("vec_id").alias("event_id"), at.alias("at"), F.col("embedding").alias("vector"))
+    links = v.where(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("a"), (F.col("vec_id") - 7).alias("b"))
+    running = v.where(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("story"))
+    judge = lambda asked: asked.withColumn("score", ((F.col("event_id") * 31 + F.col("story") * 17) % 100) / 100.0)
+    # farther and smaller than by default: these vectors are not sentences
+    stories = Assignments(spark, f"{scratch_root(spark)}/stories-{uuid.uuid4().hex[:12]}", running, judge, farthest=0.8, big=3)
+    for k in range(3):
+        stories.run(k, records.where(F.col("event_id") % 3 == k), links)
+    return stories.placed(3).select("event_id", (F.col("event_id") % 3).cast("int").alias("batch"), "story", "how", "score")
