@@ -13,6 +13,7 @@ from recordloom.plans.registry import query
 from recordloom.sources import rss
 from recordloom.storage import scratch_root
 from recordloom.streaming import pipeline as P
+from recordloom.streaming import stories as L
 
 
 def _events(spark, sf_dir):
@@ -161,6 +162,31 @@ def feed_collector(spark, sf_dir):
     return good.groupBy(feed.alias("feed"), "external_id", "url").agg(F.min("poll").alias("first_poll"), F.count(F.lit(1)).alias("times"))
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query(
+    "story_life",
+    """WITH m AS (SELECT user_id AS story, date_trunc('milliseconds', ts) AS at_, 's' || event_id AS slug, event_id FROM events),
+    g AS (SELECT *, lag(at_) OVER w AS before, lead(at_) OVER w AS after_, first_value(slug) OVER w AS own FROM m WINDOW w AS (PARTITION BY story ORDER BY at_, slug)),
+    t AS (SELECT story, own AS slug, 'born' AS status, at_ FROM g WHERE before IS NULL UNION ALL SELECT story, own, 'woken', at_ FROM g WHERE at_ - before >= INTERVAL 24 HOUR UNION ALL SELECT story, own, 'dormant', before + INTERVAL 24 HOUR FROM g WHERE at_ - before >= INTERVAL 24 HOUR
+      UNION ALL SELECT story, own, 'dormant', at_ + INTERVAL 24 HOUR FROM g WHERE after_ IS NULL AND at_ + INTERVAL 24 HOUR <= (SELECT max(at_) FROM m) - INTERVAL 1 HOUR)
+    SELECT story, slug, status, at_ AS turned_at FROM t""",
+)
+def story_life(spark, sf_dir):
+    """GR15: stories fall dormant a day after their last match, by timers, and are woken by the next one under the slug they were born with."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    matches = P.files(spark, f"{sf_dir}/events.parquet*", schema).select(F.col("user_id").alias("story"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("slug"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, _ROCKSDB)
+    try:
+        turns = P.drain(L.story_life(matches, "1 hour"))
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return turns.select("story", "slug", "status", F.col("at").cast("timestamp_ntz").alias("turned_at"))
+
+
 #: Frames around five words of a document (%s), with the language, the speaker, the role and the verdict and role that are due.
 _FRAMES = [
     ('The lawyer of the town, Asha Rao, said: "%s." Then ', "en", "Asha Rao", "lawyer of the town", "direct", "lawyer of the town"),

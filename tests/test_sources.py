@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.sources import files as S
 from recordloom.sources import rss
 from recordloom.streaming import pipeline as P
+from recordloom.streaming import stories
 
 RSS = b"""<rss><channel><item><guid>1</guid><link>http://a/1</link><title>One</title><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item>
 <item><link>http://a/2</link><title>Two</title><pubDate>2024-01-01T10:00:00</pubDate></item></channel></rss>"""
@@ -225,3 +226,29 @@ def test_clear_scratch_is_repeatable(spark):
     assert kept.agg(F.sum("id")).first()[0] == 1
     storage.clear_scratch(spark)
     storage.clear_scratch(spark)
+
+
+def test_story_life_with_late_rows(spark, tmp_path):
+    """Dormant by a timer without rows of its own, woken, late rows too late or not, and a restart in between."""
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    schema = "story long, at timestamp, slug string"
+    batches = [
+        [(1, at(0), "first"), (1, at(5), "other")], [(2, at(32), "two")],  # the watermark is at 31: story 1 slept from 29
+        [(1, at(28), "too late"), (3, at(31.5), "late, but not too late")], [(1, at(33), "again"), (2, at(31.5), "earlier")], [(4, at(60), "end")],
+    ]
+    turns = []
+    spark.conf.set(key, provider)
+    try:
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+            stream = P.files(spark, f"{tmp_path}/in/*", schema)
+            keep = lambda df, _: turns.append(sorted((r.story, r.status, (r.at.replace(tzinfo=dt.timezone.utc) - t0).total_seconds() / 3600, r.slug) for r in df.select("story", "status", F.col("at").cast("timestamp_ntz").alias("at"), "slug").collect()))
+            stories.story_life(stream, "1 hour").writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(t for some in turns for t in some) == sorted([
+        (1, "born", 0, "first"), (2, "born", 32, "two"), (1, "dormant", 29, "first"), (3, "born", 31.5, "late, but not too late"), (1, "woken", 33, "first"),
+        (4, "born", 60, "end"), (2, "dormant", 56, "two"), (3, "dormant", 55.5, "late, but not too late"), (1, "dormant", 57, "first"),
+    ])
