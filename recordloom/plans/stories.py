@@ -10,6 +10,7 @@ from recordloom.operators import records as R
 from recordloom.operators import relations as J
 from recordloom.operators import stories as S
 from recordloom.operators import vectors as V
+from recordloom.operators.sparse import jaccard_pairs
 from recordloom.plans.bind import DOSSIER_NODES, DOSSIERS, MENTIONS, RECORDS, REPORTS, Tables
 from recordloom.plans.registry import query
 from recordloom.storage import stored
@@ -309,19 +310,16 @@ def match_cascade(spark, sf_dir):
     head = F.substring_index("text", "\n", 1)
     long_words = F.array_distinct(F.filter(T.words(head), lambda w: F.length(w) >= 6))
     h = d.select("doc_id", "source", F.md5("text").alias("m"), head.alias("t"), long_words.alias("w"))
-    before = F.col("_doc_id") < F.col("doc_id")
-    row = lambda n, s: [F.col("doc_id"), F.col("_doc_id").alias("match_id"), F.lit(n).alias("tier"), s.alias("score")]
     # the best match on a whole key is the least id that has it
     least = lambda *keys: F.min("doc_id").over(Window.partitionBy(*keys))
     first = h.select("doc_id", least("m").alias("one"), least("t", "source").alias("two"))
     exact = first.where(F.col("one") < F.col("doc_id")).select("doc_id", F.col("one").alias("match_id"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     title = first.where(F.col("two") < F.col("doc_id")).select("doc_id", F.col("two").alias("match_id"), F.lit(2).alias("tier"), F.lit(0.9).alias("score"))
-    # shared words through an inverted index, so only documents with a word in common meet
-    word = h.select("doc_id", "source", F.size("w").alias("n"), F.explode("w").alias("x"))
-    other_word = word.select(F.col("doc_id").alias("_doc_id"), "source", F.col("n").alias("_n"), "x")
-    shared = word.join(other_word, ["source", "x"]).where(before).groupBy("doc_id", "_doc_id", "n", "_n").agg(F.count(F.lit(1)).alias("k"))
-    score = F.round(F.col("k") / (F.col("n") + F.col("_n") - F.col("k")), 6)
-    words = shared.where((F.col("k") >= 2) & (score >= 0.4)).select(*row(3, score))
+    # documents meet on their rare words only, and are compared on all of them
+    word = h.select(F.col("source").alias("group"), F.col("doc_id").alias("id"), F.explode("w").alias("term"))
+    shared = jaccard_pairs(word, 0.4, least=2)
+    score = F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)
+    words = shared.select(F.col("b").alias("doc_id"), F.col("a").alias("match_id"), F.lit(3).alias("tier"), score.alias("score"))
     return S.first_hit(exact.unionByName(title).unionByName(words), "doc_id", "match_id").select("doc_id", "match_id", "tier", "score")
 
 

@@ -9,6 +9,7 @@ from recordloom.functions import text as T
 from recordloom.functions import unicode as U
 from recordloom.operators import relations as J
 from recordloom.operators.search import occurrences, repaired_spans
+from recordloom.operators.sparse import cosine_pairs, jaccard_pairs
 from recordloom.plans.bind import Tables
 from recordloom.plans.registry import query
 
@@ -192,11 +193,9 @@ def headline_overlap(spark, sf_dir):
 )
 def title_trigram_pairs(spark, sf_dir):
     """TX16 MC3: trigram similarity of names by an inverted index."""
-    g = Tables(spark, sf_dir).actors.select("name").distinct().select("name", T.trigrams(F.col("name")).alias("g")).select("name", F.size("g").alias("n"), F.explode("g").alias("g"))
-    a, b = g.select(F.col("name").alias("a"), F.col("n").alias("na"), "g"), g.select(F.col("name").alias("b"), F.col("n").alias("nb"), "g")
-    k = a.join(b, "g").where(F.col("a") < F.col("b")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    sim = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return k.where(sim >= 0.4).select("a", "b", F.round(sim, 6).alias("sim"))
+    g = Tables(spark, sf_dir).actors.select("name").distinct().select(F.lit(0).alias("group"), F.col("name").alias("id"), F.explode(T.trigrams(F.col("name"))).alias("term"))
+    pairs = jaccard_pairs(g, 0.4)
+    return pairs.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("sim"))
 
 
 @query(
@@ -212,11 +211,8 @@ def title_idf_cosine(spark, sf_dir):
     n = f.agg(F.countDistinct("doc_id").alias("n"))
     idf = f.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("w", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
     v = f.join(idf, "w").select("doc_id", "source", "w", (F.col("tf") * F.col("idf")).alias("x"))
-    v = v.withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id"))))
-    a = v.select("source", "w", F.col("doc_id").alias("a"), (F.col("x") / F.col("norm")).alias("xa"))
-    b = v.select("source", "w", F.col("doc_id").alias("b"), (F.col("x") / F.col("norm")).alias("xb"))
-    s = a.join(b, ["source", "w"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("s"))
-    return s.where(F.col("s") >= 0.39).select("a", "b", F.round("s", 5).alias("score"))
+    weights = v.select(F.col("source").alias("group"), F.col("doc_id").alias("id"), F.col("w").alias("term"), "x")
+    return cosine_pairs(weights, 0.39).select("a", "b", F.round("score", 5).alias("score"))
 
 
 @query("ilike_search", "SELECT doc_id FROM documents WHERE text ILIKE '%the%' AND text NOT ILIKE '%license%'")
