@@ -6,6 +6,12 @@ documents still answer how much of one is contained in the other. The union of t
 sketches is the sketch of both documents together, so sketches merge. Hashes have 32
 bits; with n retained hashes a likeness j is off by about sqrt(j (1 - j) / n).
 
+A sketch of one text also carries how many distinct shingles it has and the exclusive or of
+their 64-bit hashes. Two texts are alike 1 only if both agree, and no two are alike more
+than their numbers of shingles allow, so texts too short to retain anything are not taken
+for equal. Of a union neither is known, as shared shingles would count twice; merged
+sketches go without.
+
 Documents meet their successor in one pass: rows are dealt by ranges of doc_id, sorted in
 their range, and the first row of each range is also sent to the end of the range
 before. An id that fills several ranges, and the rows without one, are parted further by
@@ -13,7 +19,8 @@ the hash of their text. The ranges' number follows the bytes of text up to ``MOS
 only their bounds reach the driver, and a task streams its ranges row by row.
 
 Defined cases: a null text is empty; a text without words has an empty sketch, as may one
-of very few words; an empty sketch is alike 1 to another empty one and 0 to any other;
+of very few words; an empty sketch is alike 1 to that of the same shingles (or, merged, to
+another empty one) and 0 to any other;
 fewer words than a shingle make one shingle; a very long text is sketched whole, in one
 piece; rows of equal doc_id follow one another by the hash of their text, rows without
 doc_id come last, by the same; a table of one row has itself as successor; an empty table
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.workers import lean
 
 WORDS = 5
-FRACTION = 1 / 4
+FRACTION = 1 / 2
 RANGE_BYTES = 32_000_000
 MOST_RANGES = 16_384
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -75,31 +82,53 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def sketch(text: str, words: int = WORDS, fraction: float = FRACTION) -> np.ndarray:
-    """The retained hashes, sorted."""
-    hashes = np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32))
-    return hashes[: np.searchsorted(hashes, fraction * 2**32)]
+class Sketch(np.ndarray):
+    """Retained hashes, sorted; ``whole`` is the (number, exclusive or) of all distinct shingle hashes, if known."""
+
+    whole: tuple[int, int] | None = None
+
+
+def sketch(text: str, words: int = WORDS, fraction: float = FRACTION) -> Sketch:
+    """The retained hashes, with the number and exclusive or of all."""
+    every = shingle_hashes(text, words)
+    hashes = np.unique((every >> np.uint64(32)).astype(np.uint32))
+    kept = hashes[: np.searchsorted(hashes, fraction * 2**32)].view(Sketch)
+    kept.whole = len(every), int(np.bitwise_xor.reduce(every)) if len(every) else 0
+    return kept
+
+
+def _most_alike(a: Sketch, b: Sketch) -> float:
+    """No two texts with these whole counts are more alike."""
+    if a.whole is None or b.whole is None or a.whole == b.whole:
+        return 1.0
+    low, high = sorted((a.whole[0], b.whole[0]))
+    return low / high if low < high else (low - 1) / (low + 1)
 
 
-def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, float | None, float | None]:
+def compare(a: Sketch, b: Sketch) -> tuple[float, float | None, float | None]:
     """(likeness, share of a in b, share of b in a); a share of nothing is None."""
     if not len(a) or not len(b):
-        return float(len(a) == len(b)), None, None
+        return float(len(a) == len(b) and _most_alike(a, b) == 1.0), None, None
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both), both / len(a), both / len(b)
+    return min(both / (len(a) + len(b) - both), _most_alike(a, b)), both / len(a), both / len(b)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of both texts' shingles together."""
-    return np.union1d(a, b)
+    return np.union1d(a, b).view(Sketch)
 
 
-def to_text(hashes: np.ndarray) -> str:
-    return hashes.astype(">u4").tobytes().hex()
+def to_text(hashes: Sketch) -> str:
+    """Eight hex digits a hash; for one text also a dash, the number of shingles and 16 digits of their exclusive or."""
+    text = hashes.astype(">u4").tobytes().hex()
+    return text if hashes.whole is None else f"{text}-{hashes.whole[0]:x}{hashes.whole[1]:016x}"
 
 
-def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+def from_text(fingerprint: str) -> Sketch:
+    hashes, _, whole = fingerprint.partition("-")
+    found = np.frombuffer(bytes.fromhex(hashes), ">u4").astype(np.uint32).view(Sketch)
+    found.whole = (int(whole[:-16], 16), int(whole[-16:], 16)) if whole else None
+    return found
 
 
 def _range_of(bounds: list[float], repeats: list[int], none_ranges: int) -> Column:
@@ -186,7 +215,7 @@ class _Edited:
     def __init__(self, words: int, fraction: float):
         self.words, self.fraction = words, fraction
 
-    def state(self, text: str) -> np.ndarray:
+    def state(self, text: str) -> Sketch:
         return sketch(text, self.words, self.fraction)
 
     def __call__(self, doc_id, text, own, next_text, next_own):

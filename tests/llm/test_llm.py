@@ -711,6 +711,26 @@ def test_successors_of_a_heavy_id(spark, heavy):
     assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == collections.Counter(want)
 
 
+def test_short_texts_are_not_taken_for_equal(docs):
+    """Only texts of the same shingles are alike 1, whatever they retain; errors of short texts are small on average."""
+    words = [w for _, t in docs for w in t.split()][:3000]
+    short = [" ".join(words[i : i + n]) for n in (4, 5, 6, 8, 12) for i in range(0, 2000, n)]
+    errors = []
+    for x, y in zip(short, short[1:] + [short[0].upper()], strict=True):
+        a, b = sketches.sketch(x), sketches.sketch(y)
+        true = len(_shingles(x) & _shingles(y)) / len(_shingles(x) | _shingles(y))
+        got = sketches.compare(a, b)[0]
+        assert (got == 1.0) == (true == 1.0) and got <= sketches._most_alike(a, b)
+        back = sketches.from_text(sketches.to_text(a))
+        assert back.whole == a.whole and sketches.compare(back, b)[0] == got
+        errors.append(abs(got - true))
+    assert sum(not len(sketches.sketch(x)) for x in short) > 20 and np.mean(errors) < 0.1
+    edited = [(x, x + " tail") for x in short]
+    assert np.mean([abs(sketches.compare(sketches.sketch(x), sketches.sketch(y))[0] - len(_shingles(x) & _shingles(y)) / len(_shingles(x) | _shingles(y))) for x, y in edited]) < 0.25
+    assert all(sketches.compare(sketches.sketch(x), sketches.sketch(y))[0] < 1.0 for x, y in edited)
+    assert sketches.merge(sketches.sketch(short[0]), sketches.sketch(short[1])).whole is None
+
+
 def test_sketches_merge_and_round_trip(docs):
     a, b = docs[0][1], docs[1][1]
     both = sketches.merge(sketches.sketch(a), sketches.sketch(b))
