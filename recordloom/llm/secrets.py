@@ -53,8 +53,9 @@ KINDS = ("assign", "access", "hex", "crf")
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=.\-]{8,}")
 _NUMBER = re.compile(r"[0-9.+/_=\-]*")
-_WORD = re.compile(r"[A-Za-z0-9]+")
-_GAP = re.compile(r"[^A-Za-z0-9]*")
+_WORD = re.compile(r"[^\W_]+")
+#: Between the tokens of one stretch there is no letter or digit of any script.
+_GAP = re.compile(r"[\W_]*")
 
 
 def rule_spans(text: str) -> list[tuple[int, int, int]]:

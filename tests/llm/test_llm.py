@@ -94,6 +94,17 @@ def test_candidates_apart_by_marks_are_one_stretch(field):
     assert len(secrets.stretches(f"see {a} and {b} now")) == 2
 
 
+@pytest.mark.parametrize("prose", ["и вот снова пришло письмо от города ", "और फिर शहर से एक चिट्ठी आई ", "然后城里又来了一封信， ", "και πάλι ήρθε ένα γράμμα από την πόλη ", "ثم جاءت رسالة أخرى من المدينة "])
+def test_secrets_in_prose_of_other_scripts(field, prose):
+    """Two secrets far apart in one script's prose are two spans, and the prose between them is none."""
+    a, b = "ghp_" + "aB3dE5gH7jK9" * 3, "xoxb" + "-7fG2kL9mQ4" * 3
+    text = f"{prose}{a} {prose * 40}{b} {prose}"
+    assert len(secrets.stretches(text)) == 2
+    spans = secrets.scan(text, field)
+    assert [text[x:y] for x, y, _ in spans] == [a, b]
+    assert secrets.scan(prose * 50, field) == []
+
+
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_spans_apart_from_others(some, base):
