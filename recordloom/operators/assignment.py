@@ -33,15 +33,16 @@ _HOUR = 3_600_000_000
 _PLACED = "event_id long, story long, at timestamp_ntz, vector array<double>, how string, score double"
 
 
-def near_stories(asks: DataFrame, held: DataFrame, k: int, farthest: float, after: int | None, digits: int = 6, block: int = V.BLOCK) -> DataFrame:
+def near_stories(asks: DataFrame, held: DataFrame, k: int, farthest: float, after: int | None, digits: int = 6, block: int = V.BLOCK, before: int = WINDOW_DAYS * _DAY) -> DataFrame:
     """(event_id, story, d): each ask's ``k`` nearest stories, by the least cosine distance of a vector of theirs in its time.
 
     ``asks`` has (event_id, at, vector), ``held`` (story, at, vector), times in microseconds.
-    A held vector counts from ``WINDOW_DAYS`` before the ask to ``after`` microseconds after
-    it (null: however late). With ``after`` both sides meet by buckets of time as long as
-    the window; what one bucket holds is dealt into blocks, and a block returns its k best.
+    A held vector counts from ``before`` to ``after`` microseconds around the ask (null:
+    however late). With ``after``, which is no longer than ``before``, both sides meet by
+    buckets of time as long as that; what one bucket holds is dealt into blocks, and a block
+    returns its k best.
     """
-    span = WINDOW_DAYS * _DAY
+    span = before
     blocks = max(1, math.ceil(held.count() / block))
     salt = F.pmod(F.xxhash64("story", "at"), F.lit(blocks)).cast("int")
     bucket = lambda c: F.floor(c / span).cast("long")

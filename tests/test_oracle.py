@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from recordloom.plans import analytics, choices, entities, evaluation, feed, relational, stories, streams, texts  # noqa: F401 - they register their queries
+from recordloom.plans import analytics, choices, entities, evaluation, feed, passages, relational, stories, streams, texts  # noqa: F401 - they register their queries
 from recordloom.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from recordloom.plans import analytics, choices, entities, evaluation, feed, relational, stories, streams, texts  # noqa: F401 - they register their queries
+from recordloom.plans import analytics, choices, entities, evaluation, feed, passages, relational, stories, streams, texts  # noqa: F401 - they register their queries
 from recordloom.plans.registry import QUERIES
 
 #: Joins with a table of one row of totals.
