@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.choice import first_come
+from recordloom.operators.sparse import jaccard_pairs
 from recordloom.storage import stored
 
 #: The share of the smaller community that makes two one, and the least support.
@@ -46,3 +47,42 @@ def deduplicated(communities: DataFrame, sets: DataFrame, share: float = OVERLAP
     claims = pairs.select(F.explode(F.array("a", "b")).alias("set_id"), F.struct("a", "b").alias("cell")).join(backed, "set_id")
     taken = first_come(claims, "set_id", "cell", "rank")
     return backed.join(taken, "set_id", "left").select("set_id", F.coalesce("taken", F.lit(True)).alias("taken"))
+
+
+#: What makes two stories one by cast: the share of all their names, and the weight of those they share.
+CAST_SHARE = 0.5
+CAST_WEIGHT = 0.12
+
+
+def weighted_pairs(names: DataFrame, floor: float = CAST_WEIGHT) -> DataFrame:
+    """(a, b, weight): sets a < b whose shared names weigh at least ``floor`` together; ``names`` has (set_id, name, weight).
+
+    Exact. What a set holds of light names that can't reach the floor together is left out
+    of the join: if two sets reach it, the heaviest name they share is beyond that in both.
+    """
+    rows = stored(names.select("set_id", "name", "weight").dropDuplicates(["set_id", "name"]), "names")
+    reached = F.sum("weight").over(Window.partitionBy("set_id").orderBy("weight", F.desc("name")).rowsBetween(Window.unboundedPreceding, 0))
+    heavy = rows.withColumn("reached", reached).where(F.col("reached") >= floor - 1e-9).select("set_id", "name")
+    met = heavy.withColumnRenamed("set_id", "a").join(heavy.withColumnRenamed("set_id", "b"), "name").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    shared = stored(met, "met").join(rows.withColumnRenamed("set_id", "a"), "a").join(rows.select(F.col("set_id").alias("b"), "name"), ["b", "name"])
+    sums = shared.groupBy("a", "b").agg(F.round(F.sum("weight"), 9).alias("weight"))
+    return sums.where(F.col("weight") >= floor)
+
+
+def same_stories(stories: DataFrame, members: DataFrame, cast: DataFrame, common: DataFrame) -> DataFrame:
+    """(a, b, hero, members, cast, actors): pairs a < b that are one story, with what says so.
+
+    ``stories`` has (set_id, hero), ``members`` (set_id, member), ``cast`` (set_id, name) and
+    ``common`` (name, df), in how many records a name is. One hero is enough (each story is
+    paired with the least of its hero's), or 0.6 of the smaller one's members, half of all
+    names of both casts, or shared names of a weight of 0.12 by 1 / df.
+    """
+    least = stories.where(F.col("hero").isNotNull()).groupBy("hero").agg(F.min("set_id").alias("a"))
+    heroes = stories.join(least, "hero").where(F.col("a") < F.col("set_id")).select("a", F.col("set_id").alias("b"))
+    names = stored(cast.select("set_id", "name").distinct(), "cast")
+    alike = jaccard_pairs(names.select(F.lit(0).alias("group"), F.col("set_id").alias("id"), F.col("name").alias("term")), CAST_SHARE)
+    weights = names.join(common.where(F.col("df") > 0).select("name", (1.0 / F.col("df")).alias("weight")), "name")
+    found = {"hero": heroes, "members": contained_pairs(members), "cast": alike, "actors": weighted_pairs(weights)}
+    flags = [df.select("a", "b", *[F.lit(k == n).alias(n) for n in found]) for k, df in found.items()]
+    every = flags[0].unionByName(flags[1]).unionByName(flags[2]).unionByName(flags[3])
+    return every.groupBy("a", "b").agg(*[F.bool_or(n).alias(n) for n in found])

@@ -63,7 +63,7 @@ def indexed_sets(sets: DataFrame, floor: float) -> DataFrame:
 def jaccard_pairs(sets: DataFrame, floor: float, least: int = 1) -> DataFrame:
     """(a, b, shared, na, nb): pairs a < b of one group with a Jaccard similarity of at least ``floor`` and ``least`` common terms, exactly.
 
-    ``sets`` has distinct (group, id, term); ids are unique over all groups; a null group has no pairs.
+    ``sets`` has distinct (group, id, term); an id in several groups has the same terms in each; a null group has no pairs.
     """
     rows = stored(sets.where(F.col("group").isNotNull()).select("group", "id", "term"), "sets")
     met = _met(indexed_sets(rows, floor), "n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import text as T
 from recordloom.operators import communities as C
 from recordloom.operators import hashes as H
+from recordloom.operators import records as R
 from recordloom.operators.assignment import Assignments
 from recordloom.plans.bind import Tables
 from recordloom.plans.registry import query
@@ -96,6 +97,31 @@ def community_dedup(spark, sf_dir):
     return C.deduplicated(stored(facts, "facts"), members).select(F.col("set_id").alias("community"), "taken")
 
 
+@query(
+    "same_stories",
+    f"""WITH {_COMMUNITIES}, big AS (SELECT c, arg_max(m, (o_totalprice, m)) AS hero FROM cm JOIN orders ON o_orderkey = m GROUP BY c),
+    k AS (SELECT c, s, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, s) AS nth FROM cs GROUP BY c, s), ct AS (SELECT c, s FROM k WHERE nth <= 5), cn AS (SELECT c, count(*) AS n FROM ct GROUP BY c),
+    df AS (SELECT l_suppkey AS s, count(DISTINCT l_orderkey) // 20 + 1 AS df FROM lineitem GROUP BY l_suppkey), fm AS (SELECT c, count(*) AS members FROM cm GROUP BY c),
+    p1 AS (SELECT l.a, b.c AS b FROM big b JOIN (SELECT hero, min(c) AS a FROM big GROUP BY hero) l ON l.hero = b.hero AND l.a < b.c),
+    p2 AS (SELECT x.c AS a, y.c AS b FROM cm x JOIN cm y ON x.m = y.m AND x.c < y.c JOIN fm fx ON fx.c = x.c JOIN fm fy ON fy.c = y.c GROUP BY x.c, y.c HAVING count(*) >= 0.6 * least(any_value(fx.members), any_value(fy.members))),
+    sh AS (SELECT x.c AS a, y.c AS b, count(*) AS n, round(sum(1.0 / df), 9) AS w, any_value(nx.n) AS na, any_value(ny.n) AS nb FROM ct x JOIN ct y ON x.s = y.s AND x.c < y.c JOIN df ON df.s = x.s JOIN cn nx ON nx.c = x.c JOIN cn ny ON ny.c = y.c GROUP BY x.c, y.c),
+    every AS (SELECT a, b, 1 AS k FROM p1 UNION ALL SELECT a, b, 2 FROM p2 UNION ALL SELECT a, b, 3 FROM sh WHERE n >= 0.5 * (na + nb - n) UNION ALL SELECT a, b, 4 FROM sh WHERE w >= 0.12)
+    SELECT a, b, bool_or(k = 1) AS hero, bool_or(k = 2) AS members, bool_or(k = 3) AS "cast", bool_or(k = 4) AS actors FROM every GROUP BY a, b""",
+)
+def same_stories(spark, sf_dir):
+    """GR14: one hero, most of the smaller one's members, half of both casts, or shared names that are rare enough."""
+    t = Tables(spark, sf_dir)
+    parts = t.raw("part").select(F.col("p_partkey").alias("set_id"), F.expr("p_partkey div 4").alias("block"))
+    lines = t.raw("lineitem").select(F.expr("l_partkey div 4").alias("block"), "l_partkey", F.col("l_orderkey").alias("member"), F.col("l_suppkey").alias("name"))
+    inside = F.when(F.col("set_id") % 5 == 0, F.col("l_partkey") == F.col("set_id")).otherwise(F.col("l_partkey") % 4 != (F.col("set_id") + 1) % 4)
+    rows = stored(parts.join(lines, "block").where(inside).select("set_id", "member", "name").distinct(), "stories")
+    prices = t.raw("orders").select(F.col("o_orderkey").alias("member"), "o_totalprice")
+    heroes = rows.join(prices, "member").groupBy("set_id").agg(F.max_by("member", F.struct("o_totalprice", "member")).alias("hero"))
+    cast = R.top_per_group(rows.groupBy("set_id", "name").agg(F.count(F.lit(1)).alias("n")), ["set_id"], [F.desc("n"), F.asc("name")], 5, "nth")
+    common = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("name")).agg(F.expr("count(DISTINCT l_orderkey) div 20 + 1").alias("df"))
+    return C.same_stories(heroes, rows.select("set_id", "member"), cast, common)
+
+
 def _batch(k: int) -> str:
     """The twin of one batch: ``placed{k}`` and the answers ``got{k}`` to ``placed{k + 1}``."""
     return f"""ev{k} AS (SELECT * FROM ev WHERE event_id % 3 = {k}),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from recordloom.functions import tables
 from recordloom.functions import unicode as U
 from recordloom.operators import records as R
 from recordloom.operators import stories as S
@@ -220,3 +221,35 @@ def sql_functions(spark, sf_dir):
     U.register(spark)
     Tables(spark, sf_dir).raw("pages").createOrReplaceTempView("recordloom_pages")
     return spark.sql("SELECT page_id, canonical_url(url) AS url_canonical FROM recordloom_pages")
+
+
+@query(
+    "sql_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id, CAST(session AS INTEGER) AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, session""",
+)
+def sql_sessions(spark, sf_dir):
+    """UD1: sessions by a table function over partitioned, ordered rows."""
+    tables.register(spark)
+    Tables(spark, sf_dir).clocks.select("user_id", "ts").createOrReplaceTempView("recordloom_clocks")
+    return spark.sql("SELECT * FROM sessions(TABLE(recordloom_clocks) PARTITION BY user_id ORDER BY (ts), gap_seconds => 7200)")
+
+
+@query(
+    "sql_trimmed_mean",
+    """WITH k AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY value) AS i, count(value) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) AS n, CAST(ts AS DATE) AS day FROM events WHERE value IS NOT NULL)
+    SELECT user_id, event_type, day, round(avg(value), 6) AS mean FROM k WHERE i > CAST(floor(n * 0.1) AS BIGINT) AND i <= n - CAST(floor(n * 0.1) AS BIGINT) GROUP BY user_id, event_type, day""",
+)
+def sql_trimmed_mean(spark, sf_dir):
+    """UD1: a mean without its tails as an aggregate in SQL, over what one user did in a day."""
+    tables.register(spark)
+    Tables(spark, sf_dir).clocks.select("user_id", "event_type", F.to_date("ts").alias("day"), "value").createOrReplaceTempView("recordloom_values")
+    return spark.sql("SELECT user_id, event_type, day, round(trimmed_mean(value), 6) AS mean FROM recordloom_values WHERE value IS NOT NULL GROUP BY user_id, event_type, day")
+
+
+@query("sql_chunks", ORACLES["chunked_documents"])
+def sql_chunks(spark, sf_dir):
+    """UD1 TX9: chunks by a table function in a lateral join."""
+    tables.register(spark)
+    Tables(spark, sf_dir).documents.select("doc_id", "text").createOrReplaceTempView("recordloom_documents")
+    return spark.sql("SELECT doc_id, chunk_index, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM recordloom_documents, LATERAL text_chunks(text)")

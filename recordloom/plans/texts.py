@@ -198,6 +198,25 @@ def title_trigram_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("sim"))
 
 
+@query(
+    "title_time_pairs",
+    r"""WITH n AS (SELECT doc_id, doc_id * 7 % 60 AS day, split_part(text, chr(10), 1) AS head FROM documents), w AS (SELECT doc_id, '  ' || unnest(list_filter(regexp_split_to_array(lower(head), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')) || ' ' AS w FROM n),
+    g AS (SELECT DISTINCT doc_id, substr(w, CAST(i AS INTEGER), 3) AS g FROM w, generate_series(1, 400) s(i) WHERE i <= length(w) - 2), c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    s AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id WHERE abs(nx.day - ny.day) <= 4 GROUP BY ALL)
+    SELECT a, b, round(k / CAST(ca.n + cb.n - k AS DOUBLE), 6) AS sim FROM s JOIN c ca ON a = ca.doc_id JOIN c cb ON b = cb.doc_id WHERE k >= 0.6 * (ca.n + cb.n - k)""",
+)
+def title_time_pairs(spark, sf_dir):
+    """MC3 TX16: headlines within four days of one another that share six in ten trigrams."""
+    day = F.col("doc_id") * 7 % 60
+    h = Tables(spark, sf_dir).documents.select("doc_id", day.alias("day"), T.trigrams(_headline()).alias("g"))
+    # days fall into spans of four; a headline is in its own and in the next, where those that come up to four days later are
+    spans = F.explode(F.array(F.floor(F.col("day") / 4), F.floor(F.col("day") / 4) + 1))
+    terms = h.select(spans.alias("group"), F.col("doc_id").alias("id"), F.explode("g").alias("term"))
+    pairs = jaccard_pairs(terms, 0.6)
+    near = pairs.join(h.select(F.col("doc_id").alias("a"), F.col("day").alias("da")), "a").join(h.select(F.col("doc_id").alias("b"), F.col("day").alias("db")), "b").where(F.abs(F.col("da") - F.col("db")) <= 4)
+    return near.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("sim"))
+
+
 @query(
     "title_idf_cosine",
     f"""WITH t AS (SELECT doc_id, source, unnest({_words("split_part(text, chr(10), 1)")}) AS w FROM documents), f AS (SELECT doc_id, source, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM f),
