@@ -42,10 +42,8 @@ CHUNK_BYTES = 16_000_000
 CHUNK_PAIRS = 1_000_000
 #: Entries of a chunk's list that travel in one row.
 LISTED = 50_000
-_CACHED = 200_000
 _ROWS = 2_000
 _SPAN = re.compile(b"[^x]*x")
-_SEGMENT = re.compile(" +[^ ]*")
 _MOST = (1 << 63) - 1
 
 
@@ -81,12 +79,7 @@ class _PlainIds(packing.TokenIds):
 
 
 class Pieces:
-    """The piece side, which puts a space before a text.
-
-    Where no piece goes on with a space after another character, no merge crosses such a
-    place: a text's segments of spaces and what follows are then encoded one by one, and
-    frequent ones are looked up.
-    """
+    """The piece side, which puts a space before a text."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -97,55 +90,64 @@ class Pieces:
             b"" if self.model.is_control(i) or self.model.is_unknown(i) else bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
-        self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, list[int]] = {" ": [pieces.index("▁")]} if "▁" in pieces else {}
 
     def __call__(self, text: str) -> list[int]:
-        if not self.apart or " " not in self.known or "▁" in text:
-            return self.model.encode(text)
-        out: list[int] = []
-        for segment in _SEGMENT.findall(" " + text):
-            ids = self.known.get(segment)
-            if ids is None:
-                ids = self.model.encode(segment[1:])
-                if len(segment) < 40 and len(self.known) < _CACHED:
-                    self.known[segment] = ids
-            out += ids
-        return out
+        return self.model.encode(text)
 
 
 @dataclass(frozen=True)
 class Alignment:
     """Ids of both sides, tokens of each side per group, and the linked ids in order."""
 
-    a: list[int]
-    b: list[int]
-    a_sizes: list[int]
-    b_sizes: list[int]
+    a: np.ndarray
+    b: np.ndarray
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
     linked_a: np.ndarray
     linked_b: np.ndarray
 
     def groups(self) -> str:
         """``a1,a2|b1;a3|b2,b3``."""
-        a, b, i, j, out = list(map(str, self.a)), list(map(str, self.b)), 0, 0, []
-        for n, m in zip(self.a_sizes, self.b_sizes, strict=True):
-            out.append(f"{a[i]}|{b[j]}" if n == m == 1 else f"{','.join(a[i : i + n])}|{','.join(b[j : j + m])}")
-            i, j = i + n, j + m
-        return ";".join(out)
+        # every token as text with the mark that follows it, put where its group begins
+        out = np.empty(len(self.a) + len(self.b), object)
+        upto_a, upto_b = np.cumsum(self.a_sizes), np.cumsum(self.b_sizes)
+        ends = np.zeros(len(self.a), np.int64)
+        ends[upto_a - 1] = 1
+        out[np.arange(len(self.a)) + np.repeat(upto_b - self.b_sizes, self.a_sizes)] = _texts("|", self.a)[2 * self.a + ends]
+        ends = np.zeros(len(self.b), np.int64)
+        ends[upto_b - 1] = 1
+        out[np.arange(len(self.b)) + np.repeat(upto_a, self.b_sizes)] = _texts(";", self.b)[2 * self.b + ends]
+        return "".join(out.tolist())[:-1]
+
+
+_written: dict[str, np.ndarray] = {}
+
+
+def _texts(mark: str, ids: np.ndarray) -> np.ndarray:
+    """Ids as text: at 2 * id followed by a comma, behind it by ``mark``."""
+    have = _written.get(mark, np.empty(0, object))
+    if len(ids) and 2 * int(ids.max()) >= len(have):
+        have = np.array([f"{i}{m}" for i in range(max(1 << 15, 2 * int(ids.max()))) for m in (",", mark)], object)
+        _written[mark] = have
+    return have
 
 
 class _Sizes(dict):
-    """Tokens of A and of B in a span of end letters; short spans are kept."""
+    """Tokens of one side in a span of end letters; short spans are kept."""
+
+    def __init__(self, letter: bytes):
+        super().__init__()
+        self.letter = letter
 
-    def __missing__(self, span: bytes) -> tuple[int, int]:
-        found = 1 + span.count(b"a"), 1 + span.count(b"b")
+    def __missing__(self, span: bytes) -> int:
+        found = 1 + span.count(self.letter)
         if len(span) <= 4:
             self[span] = found
         return found
 
 
-_sizes = _Sizes()
-_NOTHING = Alignment([], [], [], [], np.zeros(0, np.int64), np.zeros(0, np.int64))
+_sizes_a, _sizes_b = _Sizes(b"a"), _Sizes(b"b")
+_NOTHING = Alignment(*(np.zeros(0, np.int64) for _ in range(6)))
 
 
 class Aligner:
@@ -166,13 +168,13 @@ class Aligner:
         ends_b[np.cumsum(self.right_sizes[at_b]) - 1] = True
         labels = np.frombuffer(b".abx", np.uint8)[ends_a + 2 * ends_b].tobytes()
         # bytes where nothing ends count for nothing in a span
-        sizes = [*map(_sizes.__getitem__, _SPAN.findall(labels.translate(None, b".")))]
-        a_sizes, b_sizes = map(list, zip(*sizes, strict=True))
+        spans = _SPAN.findall(labels.translate(None, b"."))
+        a_sizes, b_sizes = (np.fromiter(map(sizes.__getitem__, spans), np.int64, len(spans)) for sizes in (_sizes_a, _sizes_b))
         ends = np.flatnonzero(ends_a | ends_b)
         # the tokens that cover an end are those after all earlier ends of their side
         nth_a = np.cumsum(ends_a[ends]) - ends_a[ends]
         nth_b = np.cumsum(ends_b[ends]) - ends_b[ends]
-        return Alignment(a, b, a_sizes, b_sizes, at_a[nth_a], at_b[nth_b])
+        return Alignment(at_a, at_b, a_sizes, b_sizes, at_a[nth_a], at_b[nth_b])
 
 
 def public_paths() -> tuple[str, str, str]:
@@ -265,7 +267,7 @@ def _measured(paths):
                 text = text.as_py()
                 found = align(text)
                 pairs, times = np.unique(found.linked_a << 32 | found.linked_b, return_counts=True)
-                digest = hashlib.sha256(found.groups().encode()).hexdigest() if found.a else ""
+                digest = hashlib.sha256(found.groups().encode()).hexdigest() if len(found.a) else ""
                 at = chunk.add(pairs, times)
                 some.append((chunk.name, doc, len(found.a), len(found.b), len(found.a_sizes), len(found.linked_a), digest, at.tobytes(), times.astype("<u4").tobytes(), None, None, None))
                 chunk.bytes += len(text or "")

@@ -49,6 +49,8 @@ SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells of the lookup from a draw to its source.
 GUIDE = 4096
+#: Parts of documents that share id and text which one list holds on average.
+PARTS_PER_LIST = 64
 
 
 def word_count(text: Column) -> Column:
@@ -223,7 +225,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     mix = Mix(docs.select("doc_id", "text", "lang", "source"), carry=("lang",), **options)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    parts = mix.pieces.groupBy(key, F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("doc_id", "lang", "source", "from_word", "words")).alias("parts"))
+    pieces = stored(mix.pieces.select(key, F.col("mark").alias("_mark"), "shard", "k", "nth", "doc_id", "lang", "source", "from_word", "words"), "pieces")
+    # rows that repeat one id and text, or have no id, share a key: their parts are dealt into lists of a bounded length
+    many = pieces.groupBy("_key", "_mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PARTS_PER_LIST)
+    lists = F.coalesce(F.ceil(F.col("n") / PARTS_PER_LIST), F.lit(1).cast("long"))
+    dealt = pieces.join(many, ["_key", "_mark"], "left").withColumn("_list", F.pmod(F.xxhash64("shard", "k", "nth", "from_word"), lists))
+    parts = dealt.groupBy("_key", "_mark", "_list").agg(F.collect_list(F.struct("doc_id", "lang", "source", "from_word", "words")).alias("parts"))
     texts = docs.select(key, F.xxhash64("text").alias("_mark"), "text").dropDuplicates(["_key", "_mark"])
     words = F.regexp_extract_all("text", F.lit(r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     # words are cut once per document; each part takes its slice of them

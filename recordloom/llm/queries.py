@@ -22,7 +22,6 @@ QUERIES = {
 ORACLES = {
     "op5_chat_perspectives": chat.ORACLE,
     "op7_exact_topk": topk.ORACLE,
-    "op11_tokenizer_alignment": align.op11_tokenizer_alignment,
     "op12_nearest_neighbours": neighbours.ORACLE,
     "op13_fill_in_middle": middle.ORACLE,
 }

@@ -72,7 +72,7 @@ def test_alignment_equals_the_slow_one(sides, parts):
     text = "".join(parts)
     a, b, groups, links = _slow(text, sides)
     got = sides[2](text)
-    assert (got.a, got.b, got.groups()) == (a, b, groups)
+    assert (got.a.tolist(), got.b.tolist(), got.groups()) == (a, b, groups)
     assert list(zip(got.linked_a.tolist(), got.linked_b.tolist(), strict=True)) == links
 
 
@@ -80,8 +80,8 @@ def test_special_tokens_are_plain_text(sides):
     left, right, align_ = sides
     text = "<|endoftext|> and </s>"
     assert 50256 not in left(text) and 2 not in right(text)
-    assert align_(text).a
-    assert not align_("a ▁ b").a and not align_("").a and not align_(None).a
+    assert len(align_(text).a)
+    assert not any(len(align_(t).a) for t in ("a ▁ b", "", None))
 
 
 def test_counts_equal_brute_force(spark, tiny, sides):

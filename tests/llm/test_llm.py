@@ -207,6 +207,17 @@ def test_mix_is_repeatable_and_written_out_whole(spark, edge, none):
     assert mixing.Mix(none).taken().count() == 0
 
 
+def test_parts_of_repeated_rows_are_dealt_into_lists(spark, monkeypatch):
+    """Many equal rows without an id: short lists give the same documents as one long one."""
+    rows = [(None, PROSE * 40, "en", "a")] * 150 + [(i, f"other {i} " + PROSE * 3, "en", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    found = []
+    for most in (4, 10**9):
+        monkeypatch.setattr(mixing, "PARTS_PER_LIST", most)
+        found.append(collections.Counter(map(tuple, mixing.mixed_documents(df).collect())))
+    assert found[0] == found[1] and sum(found[0].values()) > 150
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p"), "id")
@@ -995,3 +1006,4 @@ def test_pipeline_equals_its_stages_by_hand(spark, tiny):
 
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
+    assert set(queries.ORACLES) < set(queries.QUERIES) and all(isinstance(sql, str) for sql in queries.ORACLES.values())
