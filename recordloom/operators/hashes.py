@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +44,46 @@ def near_pairs(hashes: DataFrame, most: int = NEAR_BITS, group: str = "group") -
     """
     keyed = hashes.where(F.col("h").isNotNull()).select(group, "h").distinct().select(group, "h", F.explode(_bands(F.col("h"), most)).alias("_key"))
     a, b = keyed.withColumnRenamed("h", "ha"), keyed.withColumnRenamed("h", "hb")
-    met = a.join(b, [group, "_key"]).where(F.col("ha") < F.col("hb")).select(group, "ha", "hb", T.hamming_hex(F.col("ha"), F.col("hb")).alias("bits"))
+    # the planner sizes keys like hashes and would send them to every task: each side is dealt by key
+    met = a.join(b.hint("merge"), [group, "_key"]).where(F.col("ha") < F.col("hb")).select(group, "ha", "hb", T.hamming_hex(F.col("ha"), F.col("hb")).alias("bits"))
     return met.where(F.col("bits") <= most).distinct()
 
 
+#: Rows of a group that one task compares with as many others, and rows at a time.
+BLOCK, STRIP = 8192, 256
+
+
+def all_near_pairs(hashes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, bits) of items a < b of one group whose hashes are at most ``most`` bits apart.
+
+    ``hashes`` has (group, item, h), items unique, h as 16 hex digits; a null group or hash has
+    no pairs. For bits that many pairs are within, where no index saves comparing them all:
+    a task compares one pair of blocks, and what travels is rows times a group's blocks.
+    """
+    rows = hashes.where(F.col("group").isNotNull() & F.col("h").isNotNull()).select("group", F.col("item").cast("long").alias("item"), "h")
+    blocks = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    own = rows.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("item"), "blocks"))
+    dealt = own.select("group", "own", "item", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    placed = dealt.select("group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "item", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        item = table.column("item").to_numpy()
+        h = np.array([int(x, 16) for x in table.column("h").to_pylist()], np.uint64)
+        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        inside = bool(len(left)) and table.column("p")[0] == table.column("q")[0]
+        for at in range(0, len(left), STRIP):
+            x = left[at : at + STRIP]
+            bits = np.bitwise_count(h[x][:, None] ^ h[right][None, :])
+            i, j = np.nonzero(bits <= most)
+            a, b, n = item[x[i]], item[right[j]], bits[i, j].astype(np.int32)
+            if inside:  # both sides are the block: each pair comes twice, and each row meets itself
+                a, b, n = a[a < b], b[a < b], n[a < b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n)], ["a", "b", "bits"])
+
+    return placed.groupBy("group", "p", "q").applyInArrow(run, "a long, b long, bits int")
+
+
 def distinct_images(images: DataFrame, limit: int, most: int = NEAR_BITS) -> DataFrame:
     """(group, item, place): the images of each group to show, at most ``limit``.
 

@@ -86,3 +86,32 @@ def test_a_member_of_all_sets_makes_no_pairs(spark):
     """The hub is in every set but in no prefix while rarer members are left."""
     rows = [(i, m) for i in range(300) for m in (-1, 10 * i, 10 * i + 1, 10 * i + 2)]
     assert C.contained_pairs(spark.createDataFrame(rows, "set_id long, member long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 8192])
+def test_all_near_pairs_equal_all_pairs(spark, block):
+    """Blocks and strips of any size; null groups and hashes, copies and groups of one row."""
+    rng = random.Random(block)
+    rows = [(rng.choice(["x", "y", None]), i, f"{rng.getrandbits(64):016x}") for i in range(150)] + [("x", 900 + i, f"{(1 << 64) - 1:016x}") for i in range(3)] + [("x", 950, None), ("z", 951, "0" * 16)]
+    df = spark.createDataFrame(rows, "group string, item long, h string").repartition(3)
+    bits = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = sorted((a, b, bits(x, y)) for g, a, x in rows for k, b, y in rows if g and g == k and a < b and x and y and bits(x, y) <= 26)
+    found = H.all_near_pairs(df, 26, block)
+    assert sorted(map(tuple, found.collect())) == want
+    assert H.all_near_pairs(df.limit(0), 26).count() == 0
+
+
+def test_hamming_pairs_join_no_pairs(spark, tiny):
+    """Pairs are made where blocks meet, never as rows of a join of a source with itself."""
+    from recordloom.plans import texts
+
+    plan = texts.hamming_pairs(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "hamming" not in plan and plan.count("Relation") == 2  # rows, and their count by source
+
+
+def test_keys_of_near_pairs_are_not_broadcast(spark, tmp_path):
+    """Sixty-eight keys a hash come out of a table that is small on disk."""
+    spark.range(2000).selectExpr("id % 3 AS group", "substr(md5(string(id)), 1, 16) AS h").write.parquet(f"{tmp_path}/h")
+    pairs = H.near_pairs(spark.read.parquet(f"{tmp_path}/h"))
+    pairs.collect()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
