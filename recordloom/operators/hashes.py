@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions import text as T
 from recordloom.operators.choice import first_come
 from recordloom.storage import stored
 
@@ -42,10 +41,13 @@ def near_pairs(hashes: DataFrame, most: int = NEAR_BITS, group: str = "group") -
     ``hashes`` has (group, h), h as 16 hex digits. Exact; a hash that many rows have is one
     row here, so copies of one image cost nothing.
     """
-    keyed = hashes.where(F.col("h").isNotNull()).select(group, "h").distinct().select(group, "h", F.explode(_bands(F.col("h"), most)).alias("_key"))
-    a, b = keyed.withColumnRenamed("h", "ha"), keyed.withColumnRenamed("h", "hb")
+    half = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("long")  # noqa: E731 - read once a hash, not once a pair
+    distinct = hashes.where(F.col("h").isNotNull()).select(group, "h").distinct().select(group, "h", half(1).alias("x"), half(9).alias("y"))
+    keyed = distinct.select(group, "h", "x", "y", F.explode(_bands(F.col("h"), most)).alias("_key"))
+    a, b = (keyed.select(group, "_key", F.col("h").alias(f"h{e}"), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}")) for e in "ab")
+    bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))
     # the planner sizes keys like hashes and would send them to every task: each side is dealt by key
-    met = a.join(b.hint("merge"), [group, "_key"]).where(F.col("ha") < F.col("hb")).select(group, "ha", "hb", T.hamming_hex(F.col("ha"), F.col("hb")).alias("bits"))
+    met = a.join(b.hint("merge"), [group, "_key"]).where(F.col("ha") < F.col("hb")).select(group, "ha", "hb", bits.alias("bits"))
     return met.where(F.col("bits") <= most).distinct()
 
 
