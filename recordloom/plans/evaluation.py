@@ -12,6 +12,7 @@ from recordloom.functions import unicode as U
 from recordloom.operators import records as R
 from recordloom.operators import stories as S
 from recordloom.operators import vectors as V
+from recordloom.operators.sparse import cosine_classes
 from recordloom.plans import stories as plans
 from recordloom.plans import texts
 from recordloom.plans.bind import RECORDS, Tables
@@ -156,9 +157,17 @@ def duplicate_audit(spark, sf_dir):
 @query("headline_best_match", f"WITH s AS ({ORACLES['title_idf_cosine']}), x AS (SELECT a AS doc_id, b AS match_id, score FROM s UNION ALL SELECT b, a, score FROM s) SELECT doc_id, match_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, match_id) AS n FROM x) WHERE n = 1")
 def headline_best_match(spark, sf_dir):
     """TX19 MC5: each headline's best match by IDF cosine, ties to the smaller id."""
-    s = texts.title_idf_cosine(spark, sf_dir)
-    both = s.select(F.col("a").alias("doc_id"), F.col("b").alias("match_id"), "score").unionByName(s.select(F.col("b").alias("doc_id"), F.col("a").alias("match_id"), "score"))
-    return R.top_per_group(both, ["doc_id"], [F.desc("score"), F.asc("match_id")], 1).select("doc_id", "match_id", "score")
+    members, pairs = cosine_classes(texts.title_weights(spark, sf_dir), 0.39)
+    pairs = pairs.select("a", "b", F.round("score", 5).alias("score"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    # equal headlines have the same matches; the least id of another class is that of its representative
+    best = lambda score, id_: F.struct((-score).alias("n"), id_.alias("match_id"))
+    others = both.groupBy(F.col("a").alias("rep")).agg(F.min(best(F.col("score"), F.col("b"))).alias("other"))
+    second = members.where(F.col("id") != F.col("rep")).groupBy("rep").agg(F.min("id").alias("second"))
+    rows = members.join(others, "rep", "left").join(second, "rep", "left")
+    own = F.when(F.col("second").isNotNull(), best(F.lit(1.0), F.when(F.col("id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))))
+    found = rows.select(F.col("id").alias("doc_id"), F.least("other", own).alias("m")).where(F.col("m").isNotNull())
+    return found.select("doc_id", "m.match_id", (-F.col("m.n")).alias("score"))
 
 
 @query(
