@@ -59,9 +59,9 @@ def near_stories(asks: DataFrame, held: DataFrame, k: int, farthest: float, afte
         out: list[tuple[int, int, float]] = []
         if len(asked) and len(there):
             when, stories = there.column("at").to_numpy(), there.column("story").to_numpy()
-            unit = V._unit(there.column("vector").to_pylist())
+            unit = V._unit(V._matrix(there.column("vector")))
             ids, now = asked.column("event_id").to_pylist(), asked.column("at").to_numpy()
-            far = 1.0 - np.round(V._unit(asked.column("vector").to_pylist()) @ unit.T, digits)
+            far = 1.0 - np.round(V._unit(V._matrix(asked.column("vector"))) @ unit.T, digits)
             far = np.round(far, digits) + 0.0
             ok = (far <= farthest) & (when[None, :] >= now[:, None] - span)
             if after is not None:

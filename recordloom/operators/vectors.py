@@ -29,8 +29,15 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return ordered.select(key, F.col("_c._m").alias("centroid"))
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column as rows of doubles; null components are not numbers."""
+    flat = [c for c in column.chunks if len(c)]
+    parts = [c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) for c in flat]
+    return np.concatenate(parts) if parts else np.zeros((0, 0))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.float64)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
@@ -39,7 +46,8 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedd
 
     Exact: both sides are dealt into hashed blocks, a task multiplies one pair of blocks
     and returns each row's k best, and a window picks among the blocks' lists. Rows
-    shuffled grow with rows times blocks, never with pairs.
+    shuffled grow with rows times blocks, never with pairs. Vectors that hold null or no
+    numbers take no part.
     """
     rows = _rows(df, id_col, vector)
     return _blocked(rows if asked is None else rows.where(asked), rows, k, floor, True, block, digits)
@@ -51,42 +59,71 @@ def nearest_to(df: DataFrame, targets: DataFrame, k: int, id_col: str = "vec_id"
 
 
 def _rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    return df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    return df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("x"))
+
+
+def _blocks(n: int, block: int, widest: int) -> int:
+    """Blocks of ``n`` rows: a dozen of ``block`` rows keep all cores at work, beyond that they grow to ``widest`` times as many."""
+    return max(1, min(math.ceil(n / block), max(12, math.ceil(n / (widest * block)))))
 
 
 def _blocked(asks: DataFrame, held: DataFrame, k: int, floor: float | None, apart: bool, block: int, digits: int) -> DataFrame:
     """The k best of ``held`` for each row of ``asks``; ``apart`` leaves out a row's own id."""
-    n_a, n_b = (max(1, math.ceil(x.count() / block)) for x in (asks, held))
+    # a row's lists are as many as the blocks of ``held``, so those are the larger ones
+    n_a, n_b = _blocks(asks.count(), block, 2), _blocks(held.count(), block, 8)
+    if asks.schema["x"].dataType != held.schema["x"].dataType:
+        asks, held = (x.withColumn("x", F.col("x").cast("array<double>")) for x in (asks, held))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     a = asks.select(own(n_a).alias("ab"), every(n_b).alias("bb"), "id", "x", F.lit(True).alias("asks"))
     b = held.select(own(n_b).alias("bb"), every(n_a).alias("ab"), "id", "x", F.lit(False).alias("asks")).select("ab", "bb", "id", "x", "asks")
 
     def run(table):
-        ids, marks = table.column("id").to_numpy(), np.array(table.column("asks").to_pylist(), bool)
-        out = ([], [], [])
+        ids, marks = table.column("id").to_numpy(), table.column("asks").to_numpy().astype(bool)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if marks.any() and not marks.all():
-            x = _unit(table.column("x").to_pylist())
-            left, right = ids[marks], ids[~marks]
-            sims = np.round(x[marks] @ x[~marks].T, digits) + 0.0
-            for i in range(len(left)):
-                order = np.lexsort((right, -sims[i])) if k * 8 > len(right) else _best(sims[i], right, k + 1)
-                kept = [j for j in order[: k + 1] if not (apart and right[j] == left[i]) and (floor is None or sims[i, j] >= floor)][:k]
-                out[0].extend([left[i]] * len(kept))
-                out[1].extend(right[kept])
-                out[2].extend(sims[i, kept])
-        return pa.table({"vec_id": pa.array(out[0], pa.int64()), "nbr_id": pa.array(out[1], pa.int64()), "sim": pa.array(out[2], pa.float64())})
+            x = _matrix(table.column("x"))
+            sound = np.isfinite(x).all(axis=1)
+            x, ids, marks = _unit(x[sound]), ids[sound], marks[sound]
+            out += _tops(ids[marks], x[marks], ids[~marks], x[~marks], k, floor, apart, digits)
+        return pa.table(dict(zip(("vec_id", "nbr_id", "sim"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     found = a.unionByName(b).groupBy("ab", "bb").applyInArrow(run, "vec_id long, nbr_id long, sim double")
     best = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "nbr_id")
     return found.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= k).select("vec_id", "nbr_id", "rnk", "sim")
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The k first by (similarity down, id up), ties at the edge included before the cut."""
-    edge = np.partition(sims, len(sims) - k)[len(sims) - k]
-    at = np.flatnonzero(sims >= edge)
-    return at[np.lexsort((ids[at], -sims[at]))][:k]
+def _tops(left: np.ndarray, x: np.ndarray, right: np.ndarray, y: np.ndarray, k: int, floor: float | None, apart: bool, digits: int):
+    """(ids of ``left``, of ``right``, similarities): each row's k first by rounded similarity down, id up.
+
+    Products in single precision leave out what can't be among the first: the greatest of
+    each of some groups of columns bound the k-th from below, and the rest is compared
+    with that bound less the error of rounding. What remains is computed in double.
+    """
+    if not len(left) or not len(right):
+        return
+    k_, groups = k + apart, 4 * (k + apart)
+    slack = 4e-7 * (x.shape[1] + 8) + 2.0 * 10.0**-digits
+    y_ = np.ascontiguousarray(y.T.astype(np.float32))
+    step = max(1, (1 << 22) // len(right))
+    for at in range(0, len(left), step):
+        rough = x[at : at + step].astype(np.float32) @ y_
+        least = np.full(len(rough), -np.inf if floor is None else floor - slack, np.float32)
+        deep = len(right) // groups
+        if deep > 1:
+            tops = rough[:, : deep * groups].reshape(len(rough), deep, groups).max(axis=1)
+            least = np.maximum(least, np.partition(tops, groups - k_, axis=1)[:, groups - k_] - np.float32(slack))
+        i, j = np.divmod(np.flatnonzero((rough >= least[:, None]).ravel()), len(right))
+        sims = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", x[at + i[n : n + 65536]], y[j[n : n + 65536]]) for n in range(0, len(i), 65536)])
+        sims = np.round(sims, digits) + 0.0
+        keep = np.ones(len(i), bool) if floor is None else sims >= floor
+        if apart:
+            keep &= right[j] != left[at + i]
+        i, j, sims = i[keep], j[keep], sims[keep]
+        order = np.lexsort((right[j], -sims, i))
+        i, j, sims = i[order], j[order], sims[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield left[at + i[first]], right[j[first]], sims[first]
 
 
 def similarity_counts(df: DataFrame, label: str, digits: int = 3, id_col: str = "vec_id", vector: str = "embedding", dims: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -106,7 +143,7 @@ def similarity_counts(df: DataFrame, label: str, digits: int = 3, id_col: str =
     def run(table):
         own_, q = table.column("own").to_numpy(), table.column("q").to_numpy()
         ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        unit = _unit(table.column("x").to_pylist())
+        unit = _unit(_matrix(table.column("x")))
         left = np.flatnonzero(own_ == table.column("p").to_numpy())
         right = np.flatnonzero(own_ == q)
         counts: dict[tuple[float, bool], int] = {}

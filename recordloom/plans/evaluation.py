@@ -107,10 +107,16 @@ def exact_set_marking(spark, sf_dir):
 def candidate_recall(spark, sf_dir):
     """EV13: per fold, how many gold pairs are among each vector's twenty nearest."""
     v = Tables(spark, sf_dir).vectors
-    top = V.nearest(v, 20, digits=6).select(F.col("vec_id").alias("a"), F.col("nbr_id").alias("b"), F.lit(1).alias("hit"))
-    gold = v.select(F.col("vec_id").alias("a"), "label").join(v.select(F.col("vec_id").alias("b"), "label"), "label").where(F.col("a") != F.col("b"))
-    fold = F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), F.col("a").cast("string"))), 1, 4), 16, 10).cast("long") % 5
-    return gold.join(top, ["a", "b"], "left").groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("found"))
+    fold = lambda c: (F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), F.col(c).cast("string"))), 1, 4), 16, 10).cast("long") % 5).alias("fold")
+    # a vector's gold pairs are all of its label but itself: counted, never made
+    own = v.where(F.col("label").isNotNull()).groupBy("label", "vec_id").agg(F.count(F.lit(1)).alias("own"))
+    gold = own.join(own.groupBy("label").agg(F.sum("own").alias("all")), "label").where(F.col("all") > F.col("own"))
+    gold = gold.groupBy(fold("vec_id")).agg(F.sum(F.col("own") * (F.col("all") - F.col("own"))).alias("gold"))
+    near = V.nearest(v, 20, digits=6).select(F.col("vec_id").alias("a"), F.col("nbr_id").alias("b"))
+    for end in "ab":
+        near = near.join(v.select(F.col("vec_id").alias(end), F.col("label").alias(f"label_{end}")), end)
+    found = near.where(F.col("label_a") == F.col("label_b")).groupBy(fold("a")).agg(F.count(F.lit(1)).alias("found"))
+    return gold.join(found, "fold", "left").select("fold", "gold", F.coalesce("found", F.lit(0).cast("long")).alias("found"))
 
 
 @query(
