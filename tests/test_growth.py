@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from recordloom.operators import stories as S
 from recordloom.operators import vectors as V
 from recordloom.plans import evaluation
 
@@ -52,3 +54,31 @@ def test_vectors_are_dealt_to_fewer_blocks_than_they_grow():
     sizes = (0, 4096, 10_256, 102_564, 615_384)
     assert [V._blocks(n, 4096, 2) for n in sizes] == [1, 1, 3, 13, 76]
     assert [V._blocks(n, 4096, 8) for n in sizes] == [1, 1, 3, 12, 19]
+
+
+@pytest.mark.parametrize("both_ways", [False, True])
+def test_shared_actors_travel_as_lists(spark, both_ways):
+    """Lists of records are shuffled, pairs are not; hubs' lists are dealt into several."""
+    rows = [(e, a) for a in range(30) for e in range(a, a + 60)] + [(e, 100) for e in range(0, 90, 2)]
+    df = spark.createDataFrame(rows, "event_id long, entity_id long")
+    want = {}
+    names = {e: {a for x, a in rows if x == e} for e, _ in rows}
+    for a in names:
+        for b in names:
+            if a < b and names[a] & names[b]:
+                want[a, b] = len(names[a] & names[b])
+    for hub_df in (4, 256):
+        got = S.shared_actors(df, F.col("shared") >= 1, 1, 0.0, hub_df=hub_df, both_ways=both_ways).select("a", "b", "shared")
+        assert {(r.a, r.b): r.shared for r in got.collect()} == want | ({(b, a): n for (a, b), n in want.items()} if both_ways else {})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and "REPARTITION_BY_NUM" in plan and "hashpartitioning(a#" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(a#" in x and ", b#" in x]
+
+
+def test_related_records_are_cut_before_they_meet_others(spark):
+    rows = [(e, a) for a in range(20) for e in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, entity_id long")
+    got = S.related(df.select("event_id").distinct(), df, 0.01, 5)
+    assert got.count() == 300 and got.where("event_id = 0 AND rnk = 1").first().other_id == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan.split("Window [row_number")[0] and "Exchange hashpartitioning(event_id" not in plan.split("Window [row_number")[1].split("REPARTITION_BY_NUM")[0]
