@@ -80,8 +80,15 @@ def trimmed_mean(values: pd.Series) -> float:
     return float(kept.mean()) if len(kept) else None
 
 
+#: ``trimmed_mean`` of a group's values in an array, without Python: for very many groups.
+TRIMMED_MEAN_OF = f"""CREATE OR REPLACE TEMPORARY FUNCTION trimmed_mean_of(xs ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
+  aggregate(array(array_sort(filter(xs, x -> x IS NOT NULL AND NOT isnan(x)))), CAST(NULL AS DOUBLE), (none, s) ->
+    aggregate(slice(s, 1 + CAST(size(s) * {TAIL}D AS INT), size(s) - 2 * CAST(size(s) * {TAIL}D AS INT)), 0D, (sum, x) -> sum + x, sum -> CASE WHEN size(s) > 0 THEN sum / (size(s) - 2 * CAST(size(s) * {TAIL}D AS INT)) END))"""
+
+
 def register(spark: SparkSession) -> None:
-    """Make ``text_chunks``, ``sessions`` and ``trimmed_mean`` callable from SQL."""
+    """Make ``text_chunks``, ``sessions``, ``trimmed_mean`` and ``trimmed_mean_of`` callable from SQL."""
+    spark.sql(TRIMMED_MEAN_OF)
     spark.udtf.register("text_chunks", F.udtf(TextChunks, useArrow=True))
     spark.udtf.register("sessions", F.udtf(Sessions, useArrow=True))
     spark.udf.register("trimmed_mean", F.pandas_udf(trimmed_mean, "double"))
