@@ -8,7 +8,6 @@ that they found twice are the merge pass's to fold.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -39,43 +38,56 @@ def near_stories(asks: DataFrame, held: DataFrame, k: int, farthest: float, afte
     ``asks`` has (event_id, at, vector), ``held`` (story, at, vector), times in microseconds.
     A held vector counts from ``before`` to ``after`` microseconds around the ask (null:
     however late). With ``after``, which is no longer than ``before``, both sides meet by
-    buckets of time as long as that; what one bucket holds is dealt into blocks, and a block
-    returns its k best.
+    buckets of time as long as that; what one bucket holds and what asks there are dealt into
+    blocks, and a pair of blocks returns its k best, some rows of asks at a time.
     """
     span = before
-    blocks = max(1, math.ceil(held.count() / block))
-    salt = F.pmod(F.xxhash64("story", "at"), F.lit(blocks)).cast("int")
+    dealt = lambda key, n: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     bucket = lambda c: F.floor(c / span).cast("long")
     at = F.col("at")
     times = F.array(F.lit(0).cast("long")) if after is None else F.array_distinct(F.array(bucket(at - span), bucket(at), bucket(at + after)))
     a = asks.where(F.col("vector").isNotNull()).select(F.explode(times).alias("bucket"), "event_id", "at", "vector")
-    a = a.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("salt"), "event_id", F.lit(None).cast("long").alias("story"), "at", "vector")
-    own = F.lit(0).cast("long") if after is None else bucket(at)
-    b = held.where(F.col("vector").isNotNull()).select(own.alias("bucket"), salt.alias("salt"), F.lit(None).cast("long").alias("event_id"), "story", "at", "vector")
+    b = held.where(F.col("vector").isNotNull()).select((F.lit(0).cast("long") if after is None else bucket(at)).alias("bucket"), "story", "at", "vector")
+    fullest = lambda rows: rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    n_asks, n_held = (V._blocks(fullest(x), block, 4) for x in (a, b))
+    a = a.select("bucket", dealt(["event_id"], n_asks).alias("part"), every(n_held).alias("salt"), "event_id", F.lit(None).cast("long").alias("story"), "at", "vector")
+    b = b.select("bucket", every(n_asks).alias("part"), dealt(["story", "at"], n_held).alias("salt"), F.lit(None).cast("long").alias("event_id"), "story", "at", "vector")
 
     def run(table: pa.Table) -> pa.Table:
         asked = table.filter(pa.compute.is_null(table.column("story")))
         there = table.filter(pa.compute.is_valid(table.column("story")))
-        out: list[tuple[int, int, float]] = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(asked) and len(there):
             when, stories = there.column("at").to_numpy(), there.column("story").to_numpy()
-            unit = V._unit(V._matrix(there.column("vector")))
-            ids, now = asked.column("event_id").to_pylist(), asked.column("at").to_numpy()
-            far = 1.0 - np.round(V._unit(V._matrix(asked.column("vector"))) @ unit.T, digits)
-            far = np.round(far, digits) + 0.0
-            ok = (far <= farthest) & (when[None, :] >= now[:, None] - span)
-            if after is not None:
-                ok &= when[None, :] <= now[:, None] + after
-            for i, event in enumerate(ids):
-                least: dict[int, float] = {}
-                for j in np.flatnonzero(ok[i]):
-                    story, d = int(stories[j]), float(far[i, j])
-                    least[story] = min(least.get(story, d), d)
-                out += [(event, story, d) for d, story in sorted((d, s) for s, d in least.items())[:k]]
-        columns = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["event_id", "story", "d"])
-
-    found = a.unionByName(b).groupBy("bucket", "salt").applyInArrow(run, "event_id long, story long, d double")
+            unit = V._unit(V._matrix(there.column("vector"))).T
+            ids, now = asked.column("event_id").to_numpy(), asked.column("at").to_numpy()
+            x, apart = V._unit(V._matrix(asked.column("vector"))), len(np.unique(stories)) == len(stories)
+            step = max(1, (1 << 21) // len(there))
+            for n in range(0, len(ids), step):
+                far = 1.0 - np.round(x[n : n + step] @ unit, digits)
+                far = np.round(far, digits) + 0.0
+                ok = (far <= farthest) & (when[None, :] >= now[n : n + step, None] - span)
+                if after is not None:
+                    ok &= when[None, :] <= now[n : n + step, None] + after
+                if apart and len(stories) > k:
+                    # of stories with one vector each, those beyond the k-th distance can't count
+                    far = np.where(ok, far, np.inf)
+                    ok &= far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(ok)
+                d, of = far[i, j], stories[j]
+                order = np.lexsort((d, of, i))
+                i, d, of = i[order], d[order], of[order]
+                least = np.ones(len(i), bool)
+                least[1:] = (i[1:] != i[:-1]) | (of[1:] != of[:-1])
+                i, d, of = i[least], d[least], of[least]
+                order = np.lexsort((of, d, i))
+                i, d, of = i[order], d[order], of[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((ids[n + i[first]], of[first], d[first]))
+        return pa.table(dict(zip(("event_id", "story", "d"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = a.unionByName(b).groupBy("bucket", "part", "salt").applyInArrow(run, "event_id long, story long, d double")
     least = found.groupBy("event_id", "story").agg(F.min("d").alias("d"))
     nth = F.row_number().over(Window.partitionBy("event_id").orderBy("d", "story"))
     return least.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
@@ -116,7 +128,7 @@ class Assignments:
         first = first.withColumn("nth", nth).where(F.col("nth") <= self.k).select("event_id", "story", F.when(~F.col("told"), F.col("d")).alias("d"))
         big = stories.where((F.col("n") >= self.big) | F.col("running")).select("story", micros("last").alias("at"))
         centres = V.centroids(placed.join(big.select("story"), "story", "left_semi"), "story", "vector").join(big, "story").select("story", "at", F.col("centroid").alias("vector"))
-        central = near_stories(asks, centres, self.centroid_k, 2.0, None)
+        central = near_stories(asks, stored(centres, "centres"), self.centroid_k, 2.0, None)
         return first.unionByName(central.join(first, ["event_id", "story"], "left_anti"))
 
     def run(self, n: int, records: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.functions import text as T
+from recordloom.operators import assignment as A
 from recordloom.operators import stories as S
 from recordloom.operators import vectors as V
 from recordloom.plans import evaluation
@@ -82,3 +84,38 @@ def test_related_records_are_cut_before_they_meet_others(spark):
     assert got.count() == 300 and got.where("event_id = 0 AND rnk = 1").first().other_id == 1
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan.split("Window [row_number")[0] and "Exchange hashpartitioning(event_id" not in plan.split("Window [row_number")[1].split("REPARTITION_BY_NUM")[0]
+
+
+@pytest.mark.parametrize("after", [None, 50])
+def test_asks_of_one_time_are_dealt_too(spark, after):
+    rng = np.random.default_rng(3)
+    vector = lambda: [float(x) for x in rng.normal(size=4)]
+    asks = [(i, int(rng.integers(0, 100)), vector()) for i in range(90)]
+    held = [(i, int(rng.integers(0, 100)), vector()) for i in range(70)]
+    df = spark.createDataFrame(asks, "event_id long, at long, vector array<double>")
+    near = A.near_stories(df, spark.createDataFrame(held, "story long, at long, vector array<double>"), 2, 2.0, after, block=16, before=100)
+    x, y = (V._unit(np.array([r[2] for r in side])) for side in (asks, held))
+    far, want = np.round(1.0 - np.round(x @ y.T, 6), 6) + 0.0, set()
+    for i, (event, at, _) in enumerate(asks):
+        ok = [(far[i, j], held[j][0]) for j in range(70) if held[j][1] >= at - 100 and (after is None or held[j][1] <= at + after)]
+        want |= {(event, story, d) for d, story in sorted(ok)[:2]}
+    assert {(r.event_id, r.story, r.d) for r in near.collect()} == want
+    assert "FlatMapGroupsInArrow [bucket" in (plan := near._jdf.queryExecution().executedPlan().toString()) and "part#" in plan
+
+
+def test_trimmed_mean_of_many_groups_calls_no_python(spark, tiny):
+    plan = evaluation.sql_trimmed_mean(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    values = [1000.0, None, 1.0, 2.0, 3.0, float("nan"), 4.0, 5.0, 6.0, 7.0, 8.0, -1000.0]
+    rows = [("a", values), ("b", [4.0]), ("c", [None]), ("d", [])]
+    spark.createDataFrame(rows, "k string, v array<double>").createOrReplaceTempView("measured")
+    assert {r.k: r.m for r in spark.sql("SELECT k, trimmed_mean_of(v) AS m FROM measured").collect()} == {"a": 4.5, "b": 4.0, "c": None, "d": None}
+
+
+def test_scripts_are_counted_by_runs(spark):
+    texts = ["plain latin", "", None, "123 ...", "\u0995\u0996 a", "\u0915\u0C95 x", "\u0627\u0628\u0627 latin letters", "abc \u0915\u0916\u0917\u0918"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.script_of(F.col("t")).alias("s"), T.is_latin(F.col("t")).alias("l"))
+    assert [tuple(r)[1:] for r in df.collect()] == [
+        ("latin", True), ("latin", False), ("latin", None), ("latin", False), ("bengali", False), ("kannada", False), ("arabic", True), ("devanagari", False),
+    ]
+    assert "][^" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and plan.count("]+") >= 3
