@@ -62,3 +62,28 @@ def test_spans_are_repaired(spark):
     claims = [(1, 1, "A", "that all   of it is true and"), (2, 1, "", "that all of it is true and"), (3, 1, "A", "too short"), (4, 1, None, "x"), (5, 1, "A", "that all of it is false and no more"), (6, 2, "A", "that all of it is true and"), (7, 3, "A", "no such document at all, none")]
     got = search.repaired_spans(spark.createDataFrame(claims, "claim_id long, doc_id long, speaker string, quote string"), docs, T.flat_ws)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, "kept", 9, 34), (2, 1, "no_speaker", None, None), (3, 1, "short_quote", None, None), (4, 1, "no_speaker", None, None), (5, 1, "not_verbatim", None, None), (6, 2, "not_verbatim", None, None)]
+
+
+def test_only_asked_places_travel(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(4000)) for _ in range(20)] + ["ab" * 2000]
+    strings = [(n, texts[n][900 : 900 + length]) for n, length in enumerate([5, 14, 15, 16, 40, 200, 700, 3000])] + [(90, "abab"), (91, "ab" * 200)]
+    asked = spark.createDataFrame(strings, "item_id long, q string").mapInArrow(search._anchored, "item_id long, q string, class int, at int, hash long")
+    classes, bits = tuple(sorted({search.string_class(len(q)) for _, q in strings})), search.asked_bits(asked)
+    found = [list(search.found_pieces(t, classes, bits)) for t in texts]
+    assert all(found[n] for n in range(8)) and sum(map(len, found)) < 60
+    got = search.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(strings, "item_id long, q string"))
+    assert {tuple(r) for r in got.collect()} == {(n, i, t.find(q) + 1, t.find(q) + len(q)) for n, q in strings for i, t in enumerate(texts) if q in t}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "text#" in x]
+
+
+def test_strings_of_one_item_are_found_apart(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    strings = spark.createDataFrame([(7, "two"), (7, "one"), (7, "one two three"), (7, "four")], "item_id long, q string")
+    assert sorted(tuple(r) for r in search.occurrences(docs, strings).collect()) == [(7, 1, 1, 3), (7, 1, 1, 13), (7, 1, 5, 7)]
+
+
+def test_a_full_bitmap_loses_nothing():
+    text, bits = "some words that a text has", search.np.full(1 << 15, 255, search.np.uint8)
+    assert len(list(search.found_pieces(text, [5], bits))) == len({text[i : i + 5] for i in range(len(text) - 4)})
