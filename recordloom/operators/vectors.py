@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: Rows that pass by at once, in multiples of the block.
+CHUNK = 8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,10 +46,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", floor: float | None = None, asked: Column | None = None, block: int = BLOCK, digits: int = 12) -> DataFrame:
     """vec_id, nbr_id, rnk, sim: the k most similar other vectors by cosine of ``digits`` digits, ties to the smaller id.
 
-    Exact: both sides are dealt into hashed blocks, a task multiplies one pair of blocks
-    and returns each row's k best, and a window picks among the blocks' lists. Rows
-    shuffled grow with rows times blocks, never with pairs. Vectors that hold null or no
-    numbers take no part.
+    Exact: asking rows are dealt into hashed blocks, the others stream past each block in
+    chunks and a row keeps its k best of those gone by, which leaves fewer and fewer to
+    look at. Only small tables deal the others into parts too, so that all cores have work,
+    and a window picks among the parts' lists. Rows shuffled grow with rows times blocks,
+    lists with rows. Vectors that hold null or no numbers take no part.
     """
     rows = _rows(df, id_col, vector)
     return _blocked(rows if asked is None else rows.where(asked), rows, k, floor, True, block, digits)
@@ -69,8 +72,7 @@ def _blocks(n: int, block: int, widest: int) -> int:
 
 def _blocked(asks: DataFrame, held: DataFrame, k: int, floor: float | None, apart: bool, block: int, digits: int) -> DataFrame:
     """The k best of ``held`` for each row of ``asks``; ``apart`` leaves out a row's own id."""
-    # a row's lists are as many as the blocks of ``held``, so those are the larger ones
-    n_a, n_b = _blocks(asks.count(), block, 2), _blocks(held.count(), block, 8)
+    n_a, n_b = _dealt(asks.count(), held.count(), block)
     if asks.schema["x"].dataType != held.schema["x"].dataType:
         asks, held = (x.withColumn("x", F.col("x").cast("array<double>")) for x in (asks, held))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
@@ -78,27 +80,86 @@ def _blocked(asks: DataFrame, held: DataFrame, k: int, floor: float | None, apar
     a = asks.select(own(n_a).alias("ab"), every(n_b).alias("bb"), "id", "x", F.lit(True).alias("asks"))
     b = held.select(own(n_b).alias("bb"), every(n_a).alias("ab"), "id", "x", F.lit(False).alias("asks")).select("ab", "bb", "id", "x", "asks")
 
-    def run(table):
-        ids, marks = table.column("id").to_numpy(), table.column("asks").to_numpy().astype(bool)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if marks.any() and not marks.all():
-            x = _matrix(table.column("x"))
-            sound = np.isfinite(x).all(axis=1)
-            x, ids, marks = _unit(x[sound]), ids[sound], marks[sound]
-            out += _tops(ids[marks], x[marks], ids[~marks], x[~marks], k, floor, apart, digits)
-        return pa.table(dict(zip(("vec_id", "nbr_id", "sim"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    found = a.unionByName(b).groupBy("ab", "bb").applyInArrow(run, "vec_id long, nbr_id long, sim double")
+    def run(batches):
+        left, chunk, waiting, best = [], [], 0, None
+
+        def looked():
+            nonlocal best
+            best = best or _Best(*_sound(left), k, floor, apart, digits)
+            best.see(*_sound(chunk))
+
+        for batch in batches:
+            asks_ = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            n = int(asks_.sum())  # asking rows come first
+            if n:
+                left.append(batch.slice(0, n))
+            if n < len(batch):
+                chunk.append(batch.slice(n))
+                waiting += len(batch) - n
+            if waiting >= CHUNK * block:
+                looked()
+                chunk, waiting = [], 0
+        if left and chunk:
+            looked()
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in best.lists()], names=["vec_id", "nbr_id", "sim"])
+
+    task = (F.col("ab") * n_b + F.col("bb")).cast("int")
+    dealt = a.unionByName(b).repartitionById(n_a * n_b, task).sortWithinPartitions(F.desc("asks"))
+    found = dealt.select("id", "x", "asks").mapInArrow(run, "vec_id long, nbr_id long, sim double")
     best = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "nbr_id")
     return found.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= k).select("vec_id", "nbr_id", "rnk", "sim")
 
 
-def _tops(left: np.ndarray, x: np.ndarray, right: np.ndarray, y: np.ndarray, k: int, floor: float | None, apart: bool, digits: int):
+def _dealt(asks: int, held: int, block: int) -> tuple[int, int]:
+    """Blocks of the asking rows and parts of the others: one part as soon as the blocks keep all cores at work."""
+    n_a = _blocks(asks, block, 4)
+    return n_a, min(_blocks(held, block, 8), math.ceil(24 / n_a))
+
+
+def _sound(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows that hold numbers alone."""
+    table = pa.Table.from_batches(batches)
+    x = _matrix(table.column("x"))
+    sound = np.isfinite(x).all(axis=1)
+    return table.column("id").to_numpy()[sound], _unit(x[sound])
+
+
+class _Best:
+    """The k best of what went by for each of some rows; found ones wait until they are as many as those kept."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: float | None, apart: bool, digits: int):
+        self.ids, self.x, self.how = ids, x, (k, floor, apart, digits)
+        self.names, self.row = np.unique(ids, return_inverse=True)
+        self.least = np.full(len(self.names), -np.inf)
+        self.kept, self.waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def see(self, ids: np.ndarray, y: np.ndarray) -> None:
+        for found in _tops(self.ids, self.x, ids, y, *self.how, self.least[self.row]):
+            self.kept.append(found)
+            self.waiting += len(found[0])
+        if self.waiting >= self.how[0] * len(self.names):
+            self.lists()
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = self.how[0]
+        ids, others, sims = map(np.concatenate, zip(*self.kept, strict=True))
+        order = np.lexsort((others, -sims, ids))
+        ids, others, sims = ids[order], others[order], sims[order]
+        nth = np.arange(len(ids)) - np.searchsorted(ids, ids)
+        full = nth == k - 1
+        self.least[np.searchsorted(self.names, ids[full])] = sims[full]
+        self.kept, self.waiting = [(ids[nth < k], others[nth < k], sims[nth < k])], 0
+        return self.kept[0]
+
+
+def _tops(left: np.ndarray, x: np.ndarray, right: np.ndarray, y: np.ndarray, k: int, floor: float | None, apart: bool, digits: int, bound: np.ndarray | None = None):
     """(ids of ``left``, of ``right``, similarities): each row's k first by rounded similarity down, id up.
 
     Products in single precision leave out what can't be among the first: the greatest of
     each of some groups of columns bound the k-th from below, and the rest is compared
-    with that bound less the error of rounding. What remains is computed in double.
+    with that bound less the error of rounding. What remains is computed in double. A row of
+    ``left`` may have its own ``bound``, under which nothing is wanted.
     """
     if not len(left) or not len(right):
         return
@@ -110,7 +171,9 @@ def _tops(left: np.ndarray, x: np.ndarray, right: np.ndarray, y: np.ndarray, k:
         rough = x[at : at + step].astype(np.float32) @ y_
         least = np.full(len(rough), -np.inf if floor is None else floor - slack, np.float32)
         deep = len(right) // groups
-        if deep > 1:
+        if bound is not None:
+            least = np.maximum(least, (bound[at : at + step] - slack).astype(np.float32))
+        if deep > 1 and (bound is None or not np.isfinite(bound[at : at + step]).all()):
             tops = rough[:, : deep * groups].reshape(len(rough), deep, groups).max(axis=1)
             least = np.maximum(least, np.partition(tops, groups - k_, axis=1)[:, groups - k_] - np.float32(slack))
         i, j = np.divmod(np.flatnonzero((rough >= least[:, None]).ravel()), len(right))

@@ -58,6 +58,26 @@ def test_vectors_are_dealt_to_fewer_blocks_than_they_grow():
     assert [V._blocks(n, 4096, 8) for n in sizes] == [1, 1, 3, 12, 19]
 
 
+@pytest.mark.parametrize("floor", [None, 0.4])
+def test_lists_of_neighbours_grow_with_rows_not_with_blocks(spark, floor):
+    rng = np.random.default_rng(4)
+    x = np.round(np.repeat(rng.normal(size=(300, 6)), 2, axis=0), 3)
+    ids = rng.permutation(600)
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    near = V.nearest(df, 30, floor=floor, block=8, digits=6)
+    assert most_rows(near) <= 2 * 30 * 600
+    unit, want = V._unit(x), set()
+    sims = np.round(np.einsum("id,jd->ij", unit, unit), 6) + 0.0
+    for i in range(600):
+        found = sorted((-sims[i, j], int(ids[j])) for j in range(600) if j != i and (floor is None or sims[i, j] >= floor))
+        want |= {(int(ids[i]), j, n) for n, (_, j) in enumerate(found[:30], 1)}
+    assert {(r.vec_id, r.nbr_id, r.rnk) for r in near.collect()} == want
+
+
+def test_few_asking_rows_keep_all_cores_at_work():
+    assert [V._dealt(n, m, 4096) for n, m in ((615_384, 615_384), (102_564, 102_564), (1_000, 615_384), (2_000, 2_000), (0, 5))] == [(38, 1), (12, 2), (1, 19), (1, 1), (1, 1)]
+
+
 @pytest.mark.parametrize("both_ways", [False, True])
 def test_shared_actors_travel_as_lists(spark, both_ways):
     """Lists of records are shuffled, pairs are not; hubs' lists are dealt into several."""
