@@ -106,6 +106,36 @@ def test_related_records_are_cut_before_they_meet_others(spark):
     assert "Join" in plan.split("Window [row_number")[0] and "Exchange hashpartitioning(event_id" not in plan.split("Window [row_number")[1].split("REPARTITION_BY_NUM")[0]
 
 
+def casts_of(seed, records, actors, each):
+    rng = np.random.default_rng(seed)
+    return sorted({(e, int(a)) for e in range(records) for a in rng.choice(actors, each, replace=False)})
+
+
+def shared_by_all(rows):
+    """(a, b): the weights of what two records share, both ways, and the records of each actor."""
+    held, found = {}, {}
+    for e, a in rows:
+        held.setdefault(a, []).append(e)
+    for es in held.values():
+        for x in es:
+            for y in es:
+                if x != y:
+                    found.setdefault((x, y), []).append(1 / len(es))
+    return found
+
+
+@pytest.mark.parametrize("both_ways", [False, True])
+@pytest.mark.parametrize("hub_df", [256, 2])
+def test_pairs_that_share_one_actor_are_not_made_where_two_are_asked(spark, hub_df, both_ways):
+    rows = casts_of(5, 2000, 120, 3)
+    got = S.shared_actors(spark.createDataFrame(rows, "event_id long, entity_id long"), F.col("shared") >= 2, 2, hub_df=hub_df, both_ways=both_ways)
+    found = shared_by_all(rows)
+    assert len(found) > 200_000 and most_rows(got) < 40_000
+    want = {p: (len(w), round(sum(w), 9), round(max(w), 9)) for p, w in found.items() if len(w) >= 2 and (both_ways or p[0] < p[1])}
+    rows = got.collect()
+    assert {(r.a, r.b): (r.shared, round(r.weight, 9), round(r.rarest, 9)) for r in rows} == want and len(rows) == len(want)
+
+
 @pytest.mark.parametrize("after", [None, 50])
 def test_asks_of_one_time_are_dealt_too(spark, after):
     rng = np.random.default_rng(3)
