@@ -136,6 +136,21 @@ def test_pairs_that_share_one_actor_are_not_made_where_two_are_asked(spark, hub_
     assert {(r.a, r.b): (r.shared, round(r.weight, 9), round(r.rarest, 9)) for r in rows} == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize(("records", "actors", "each", "floor", "k"), [(2000, 120, 3, 0.01, 5), (300, 200, 4, 0.3, 3), (300, 200, 4, 0.0, 1), (60, 8, 5, 0.01, 4), (200, 90, 1, 0.0, 5)])
+def test_related_records_equal_all_pairs_and_are_not_made_of_them(spark, records, actors, each, floor, k):
+    rows = casts_of(6, records, actors, each) + [(e, 10_000 + a) for e in (3, 7, 11) for a in range(3)]
+    df = spark.createDataFrame(rows, "event_id long, entity_id long")
+    got = S.related(df.select("event_id").where("event_id % 5 < 4"), df, floor, k)
+    best, want = {}, set()
+    for (x, y), w in shared_by_all(rows).items():
+        best.setdefault(x, []).append((-round(sum(w), 6), y))
+    for x, ys in best.items():
+        want |= {(x, y, -w, n) for n, (w, y) in enumerate(sorted(p for p in ys if -p[0] >= floor)[:k], 1) if x % 5 < 4}
+    if records == 2000:
+        assert most_rows(got) < 60_000
+    assert {(r.event_id, r.other_id, r.weight, r.rnk) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("after", [None, 50])
 def test_asks_of_one_time_are_dealt_too(spark, after):
     rng = np.random.default_rng(3)
