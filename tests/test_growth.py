@@ -114,12 +114,13 @@ def casts_of(seed, records, actors, each):
 def shared_by_all(rows):
     """(a, b): the weights of what two records share, both ways, and the records of each actor."""
     held, found = {}, {}
-    for e, a in rows:
-        held.setdefault(a, []).append(e)
+    for e, a in sorted(set(rows), key=str):
+        if a is not None:
+            held.setdefault(a, []).append(e)
     for es in held.values():
         for x in es:
             for y in es:
-                if x != y:
+                if x != y and None not in (x, y):
                     found.setdefault((x, y), []).append(1 / len(es))
     return found
 
@@ -139,6 +140,8 @@ def test_pairs_that_share_one_actor_are_not_made_where_two_are_asked(spark, hub_
 @pytest.mark.parametrize(("records", "actors", "each", "floor", "k"), [(2000, 120, 3, 0.01, 5), (300, 200, 4, 0.3, 3), (300, 200, 4, 0.0, 1), (60, 8, 5, 0.01, 4), (200, 90, 1, 0.0, 5)])
 def test_related_records_equal_all_pairs_and_are_not_made_of_them(spark, records, actors, each, floor, k):
     rows = casts_of(6, records, actors, each) + [(e, 10_000 + a) for e in (3, 7, 11) for a in range(3)]
+    rows += [(None, a) for a in range(actors)] + [(e, None) for e in range(50)] + [(1000 + e, 20_000 + n) for n in (k, k + 1) for e in range(n)] + [(None, 20_000 + k), (None, 20_001 + k)]
+    rows += [(1000 + e, 30_000) for e in range(2 * k + 4)]
     df = spark.createDataFrame(rows, "event_id long, entity_id long")
     got = S.related(df.select("event_id").where("event_id % 5 < 4"), df, floor, k)
     best, want = {}, set()
