@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
 from recordloom.operators import assignment as A
+from recordloom.operators import communities as C
+from recordloom.operators import sparse
 from recordloom.operators import stories as S
 from recordloom.operators import vectors as V
 from recordloom.plans import evaluation
@@ -188,3 +190,43 @@ def test_scripts_are_counted_by_runs(spark):
     ]
     assert "[^" not in df._jdf.queryExecution().executedPlan().toString()
     assert min(min(block.encode().decode("unicode_escape").replace("-", "")) for block in T.SCRIPTS.values()) >= "\u0600"
+
+
+@pytest.mark.parametrize(("hub", "share"), [(64, 0.6), (3, 0.6), (12, 0.3), (1, 1.0)])
+def test_containing_sets_travel_as_lists_and_frequent_members_make_none(spark, monkeypatch, hub, share):
+    """Lists of sets are shuffled, pairs are not; members of more than HUB sets are in no list and still count."""
+    monkeypatch.setattr(C, "HUB", hub)
+    rng = np.random.default_rng(7)
+    sets = {i: {int(m) for m in rng.choice(60, rng.integers(1, 9), replace=False) ** 2 // 60} for i in range(150)}
+    sets |= {150 + i: set(sets[i]) | {100 + i} for i in range(20)}
+    df = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s] * 2 + [(None, 1), (3, None)], "set_id long, member long").repartition(3)
+    want = {}
+    for a in sets:
+        for b in sets:
+            least = min(len(sets[a]), len(sets[b]))
+            if a < b and len(sets[a] & sets[b]) >= share * least - 1e-9:
+                want[a, b] = round(len(sets[a] & sets[b]) / least, 6)
+    rows = C.contained_pairs(df, share).collect()
+    assert {(r.a, r.b): r.overlap for r in rows} == want and len(rows) == len(want)
+    monkeypatch.setattr(C, "HUB", 1000)
+    plan = C.contained_pairs(df, share)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(s#" in x and ", ns#" in x]
+
+
+@pytest.mark.parametrize("size", [5, 14])
+def test_names_of_many_casts_make_no_pairs_where_several_are_asked(spark, size):
+    """Casts that must share four of five names meet on two: one name shared is no pair. Larger ones meet on one."""
+    rng = np.random.default_rng(8)
+    casts = {i: [int(n) for n in rng.choice(40, 5 if i < 590 else size, replace=False)] for i in range(600)}
+    weight = {n: 1 / (29 + n % 4) for n in range(40)}
+    df = spark.createDataFrame([(i, n, weight[n]) for i, c in casts.items() for n in c], "set_id long, name long, weight double")
+    both = {(a, b): set(casts[a]) & set(casts[b]) for a in casts for b in casts if a < b}
+    got = C.weighted_pairs(df, 0.12)
+    want = {p: round(sum(weight[n] for n in s), 9) for p, s in both.items() if sum(weight[n] for n in s) >= 0.12}
+    rows = got.collect()
+    assert {(r.a, r.b): round(r.weight, 6) for r in rows} == {p: round(w, 6) for p, w in want.items()} and len(rows) == len(want)
+    alike = sparse.jaccard_pairs(df.select(F.lit(0).alias("group"), F.col("set_id").alias("id"), F.col("name").alias("term")), 0.5)
+    assert {(r.a, r.b) for r in alike.collect()} == {p for p, s in both.items() if 2 * len(s) >= len(set(casts[p[0]]) | set(casts[p[1]]))}
+    if size == 5:
+        assert most_rows(got) < 8_000 < len([p for p, s in both.items() if s]) and most_rows(alike) < 8_000
+
